@@ -79,7 +79,7 @@ FROM p LEFT JOIN f ON payload_digest = d AND payload_bytes >= 100
 #: Mixing: a source is at its cap if the level that its own rank implies exceeds it; ranks by cap / weight.
 OP7_SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
