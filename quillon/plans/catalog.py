@@ -734,3 +734,123 @@ def rotation_test(spark, d):
     c = emb_cells(spark, d)
     s = c.select("sample_id", "grp").distinct().filter("grp in ('0', '1')").orderBy("sample_id").toPandas()
     return rotation.test_sets(rotation.feature_effects(c, rotation.two_group_basis(s, "grp", ("0", "1"))), _dim_sets(spark, d), n_rotations=199)
+
+
+# Adaptive detection, markers, modules ------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT lang, CAST(n_chars AS DOUBLE) AS v FROM documents), q AS (SELECT lang, quantile_cont(v, 0.25) AS q1, median(v) AS m, quantile_cont(v, 0.75) AS q3, count(*) AS c FROM x GROUP BY 1),
+h AS (SELECT a.lang, median(CASE WHEN a.v = m THEN 1.0 WHEN b.v = m THEN -1.0 ELSE ((a.v - m) - (m - b.v)) / (a.v - b.v) END) AS mc FROM x a JOIN x b ON a.lang = b.lang JOIN q ON q.lang = a.lang WHERE a.v >= m AND b.v <= m AND a.v <> b.v GROUP BY 1),
+f AS (SELECT lang, q1 - 1.5 * exp((CASE WHEN mc >= 0 THEN -4 ELSE -3 END) * mc) * (q3 - q1) AS lo, q3 + 1.5 * exp((CASE WHEN mc >= 0 THEN 3 ELSE 4 END) * mc) * (q3 - q1) AS hi FROM q JOIN h USING (lang))
+SELECT x.lang AS feature_id, count(*) AS n, count(*) FILTER (WHERE v < lo OR v > hi) AS n_out FROM x JOIN f USING (lang) GROUP BY 1""")
+def adjusted_boxplot(spark, d):
+    from quillon.operators import adaptive
+
+    c = table(spark, d, "documents").select(F.col("lang").alias("feature_id"), F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").cast("double").alias("value"), F.lit(0).alias("flag"))
+    return _counts(adaptive.adjusted_boxplot(c, ["feature_id"]))
+
+
+@query()
+def student_t_outliers(spark, d):
+    from quillon.operators import adaptive
+
+    return _counts(adaptive.student_t_outliers(event_cells(spark, d), 0.001))
+
+
+@query()
+def kde_outliers(spark, d):
+    from quillon.operators import adaptive
+
+    return _counts(adaptive.kde_outliers(event_cells(spark, d), "grp"), "grp")
+
+
+@query(f"""WITH {EMB_SQL}, s AS (SELECT feature_id, count(*) AS n, min(value) AS lo, max(value) AS hi, least(100, count(*) // 5) AS bins FROM emb GROUP BY 1), h AS (SELECT feature_id, CAST(least(floor((value - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS b, count(*) AS c FROM emb JOIN s USING (feature_id) GROUP BY 1, 2),
+g AS (SELECT s.feature_id, n, r.b, coalesce(c, 0) AS c, lo + (r.b + 0.5) * ((hi - lo) / bins) AS x FROM s JOIN range(100) r(b) ON r.b < bins LEFT JOIN h ON h.feature_id = s.feature_id AND h.b = r.b),
+w AS (SELECT feature_id, n, b, x, sum(c) OVER o AS w0, sum(c * x) OVER o AS m0, sum(c * x) OVER (PARTITION BY feature_id) AS mt FROM g WINDOW o AS (PARTITION BY feature_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT feature_id, b, x, round((w0 / n) * (1 - w0 / n) * (m0 / w0 - (mt - m0) / (n - w0)) ** 2, 12) AS v FROM w WHERE w0 > 0 AND w0 < n)
+SELECT feature_id, round(first(x ORDER BY v DESC, b), 6) AS threshold FROM v GROUP BY 1""")
+def otsu_thresholds(spark, d):
+    from quillon.operators import markers
+
+    return markers.otsu(emb_cells(spark, d)).withColumn("threshold", r("threshold"))
+
+
+@query()
+def marker_scores(spark, d):
+    from quillon.operators import markers
+
+    c = emb_cells(spark, d)
+    lab = c.filter("grp in ('0', '1')").select("sample_id", (F.col("grp") == "1").cast("int").alias("label")).distinct()
+    return markers.marker_scores(c, lab, 0.2)
+
+
+@query()
+def ensemble_labels(spark, d):
+    from quillon.operators import markers
+
+    c = emb_cells(spark, d).filter("grp in ('0', '1')")
+    s = c.select("sample_id", F.when(F.col("sample_id").cast("long") % 4 != 0, F.col("grp")).alias("label")).distinct()
+    return markers.classify_samples(c, s, "label", ("0", "1"))
+
+
+@query()
+def module_cliques(spark, d):
+    from quillon.operators import modules
+
+    return modules.discover(emb_cells(spark, d), "grp", 64, 0.3)
+
+
+@query(f"""WITH {_BY_GROUP}, e AS (SELECT condition, a, b, r FROM pr WHERE abs(r) >= 0.3) SELECT x.condition, x.a, x.b, y.b AS c FROM e x JOIN e y ON x.condition = y.condition AND x.b = y.a JOIN e z ON z.condition = x.condition AND x.a = z.a AND y.b = z.b""")
+def condition_triangles(spark, d):
+    e = correlate.edges(_by_condition(spark, d), 0.3).select("condition", "a", "b")
+    x, y, z = (e.select(F.col("condition"), F.col("a").alias(p), F.col("b").alias(q)) for p, q in (("a", "b"), ("b", "c"), ("a", "c")))
+    return x.join(y, ["condition", "b"]).join(z, ["condition", "a", "c"]).select("condition", "a", "b", "c")
+
+
+@query()
+def set_rewiring(spark, d):
+    from quillon.plans import workflows
+
+    return workflows.analyze(emb_cells(spark, d), _dim_sets(spark, d), "grp", "0", "1", 0.15)["rewiring"]
+
+
+@query()
+def clique_stability(spark, d):
+    from quillon.operators import modules
+
+    return modules.clique_stability(emb_cells(spark, d).filter("grp = '0'"), 0.35, 3, n=10)
+
+
+@query()
+def clique_differential(spark, d):
+    from quillon.plans import workflows
+
+    return workflows.differential_sets(emb_cells(spark, d), _dim_sets(spark, d), "grp", ("0", "1"))
+
+
+@query()
+def mixed_model(spark, d):
+    c = emb_cells(spark, d).withColumn("subject_id", (F.col("sample_id").cast("long") % 40).cast("string")).filter("grp in ('0', '1')")
+    return linear.mixed_contrasts(c, ("0", "1"), "grp")
+
+
+@query()
+def covariate_contrasts(spark, d):
+    c = emb_cells(spark, d)
+    s = c.select("sample_id", "grp", (F.col("sample_id").cast("long") % 5).cast("double").alias("age")).distinct().filter("grp in ('0', '1')").toPandas()
+    return linear.moderated(linear.design_contrasts(c, linear.covariate_design(s, "grp", ("0", "1"), ["age"])))
+
+
+@query()
+def method_comparison(spark, d):
+    from quillon.plans import workflows
+
+    return workflows.compare_methods(emb_cells(spark, d), _dim_sets(spark, d), "grp", ("0", "1"), 199)
+
+
+@query()
+def clean_matrix(spark, d):
+    from quillon.plans import workflows
+
+    flow = workflows.Clean(group="grp", threshold=3.0)
+    return flow.report(flow.run(event_cells(spark, d)))
