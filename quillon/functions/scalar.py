@@ -16,7 +16,8 @@ RANK_SE = 1.06
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def fisher_z(r: Column) -> Column:

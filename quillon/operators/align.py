@@ -71,7 +71,7 @@ def reverse_symbols(resolved: DataFrame, min_confidence: float = 0.0) -> DataFra
     """name (upper case) -> id from symbols and aliases; symbols beat aliases, the last id of a symbol and the first of an alias count."""
     ok = resolved.filter((F.col("confidence") >= min_confidence) & F.col("symbol").isNotNull())
     s = ok.select(F.upper("symbol").alias("name"), "id", F.lit(0).alias("_p"), (-F.col("ord")).alias("_o"))
-    a = ok.select(F.upper(F.explode("aliases")).alias("name"), "id", F.lit(1).alias("_p"), F.col("ord").alias("_o"))
+    a = ok.select(F.explode(F.transform("aliases", F.upper)).alias("name"), "id", F.lit(1).alias("_p"), F.col("ord").alias("_o"))
     return keep_first(s.union(a), ["name"], ["_p", "_o"]).select("name", "id")
 
 

@@ -25,7 +25,7 @@ def _moments(x: Column, y: Column, w: Column | None = None) -> Column:
     vx, vy = F.sum(w * x * x) / n - mx * mx, F.sum(w * y * y) / n - my * my
     flat = (vx <= 1e-12 * F.greatest(mx * mx, F.lit(1e-300))) | (vy <= 1e-12 * F.greatest(my * my, F.lit(1e-300)))
     r = F.try_divide(cov, F.sqrt(F.when(flat, None).otherwise(vx * vy)))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))  # least and greatest skip nulls
 
 
 def average_ranks(cells: DataFrame, keys: list[str]) -> DataFrame:

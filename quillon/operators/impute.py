@@ -64,7 +64,7 @@ def mad_clip(cells: DataFrame, threshold: float = 3.5, group_cols: list[str] | N
             return F.when(f_ok, F.col("f_med") + sign * half("f_mad"))
 
     low, high = bound(-1, "g_low"), bound(1, "g_high")
-    high = high if max_upper is None else F.least(high, F.lit(max_upper))
+    high = high if max_upper is None else F.when(high.isNotNull(), F.least(high, F.lit(max_upper)))
     v = F.col("value")
     clipped = F.when(v < low, low).when(v > high, high).otherwise(v)
     return _done(j, F.when(target(F.col("flag")), clipped).otherwise(v), cells.columns)
@@ -86,7 +86,7 @@ def soft_clip_cells(cells: DataFrame, threshold: float = 3.5, group_cols: list[s
     else:
         low = F.when(f_ok, F.col("f_med") - half("f_mad")).otherwise(F.col("g_low"))
         high = F.when(f_ok, F.col("f_med") + half("f_mad")).otherwise(F.col("g_high"))
-    high = high if max_upper is None else F.least(high, F.lit(max_upper))
+    high = high if max_upper is None else F.when(high.isNotNull(), F.least(high, F.lit(max_upper)))
     v = F.col("value")
     return _done(j, F.when(F.col("_touched") & low.isNotNull() & (low < high), soft_clip(v, low, high, sharpness)).otherwise(v), cells.columns)
 

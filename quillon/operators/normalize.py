@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.scalar import clip
 from quillon.operators.robust import back
 
 
@@ -66,12 +67,11 @@ def variance_stabilise(cells: DataFrame, max_iter: int = 50, tol: float = 1e-4)
     """
     spark = cells.sparkSession
     p = [(r["sample_id"], 0.0, r["b"]) for r in cells.groupBy("sample_id").agg(F.coalesce(F.median(F.when(F.col("value") > 0, F.col("value"))), F.lit(1.0)).alias("b")).collect()]
-    clip = lambda x, m: F.greatest(F.lit(-m), F.least(F.lit(m), x))
-    y = F.asinh(clip(F.col("value") - F.col("a"), 1e10) / F.greatest(F.col("b"), F.lit(1e-10)))
+    y = F.asinh(clip(F.col("value") - F.col("a"), -1e10, 1e10) / F.greatest(F.col("b"), F.lit(1e-10)))
     for _ in range(max_iter):
         now = back(cells, spark.createDataFrame(p, "sample_id string, a double, b double"), ["sample_id"])
         ref = now.groupBy("feature_id").agg(F.avg(y).alias("ref"))
-        j = back(now, ref, ["feature_id"]).filter("value is not null").withColumn("sh", F.sinh(clip(F.col("ref"), 10.0)))
+        j = back(now, ref, ["feature_id"]).filter("value is not null").withColumn("sh", F.sinh(clip(F.col("ref"), -10.0, 10.0)))
         a = j.groupBy("sample_id").agg(F.median(F.col("value") - F.col("b") * F.col("sh")).alias("a2"), F.first("a").alias("a"), F.first("b").alias("b"))
         k = back(j.drop("a", "b"), a, ["sample_id"])
         ratio = F.abs(F.col("value") - F.col("a2")) / F.abs(F.col("sh"))

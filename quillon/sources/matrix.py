@@ -87,7 +87,7 @@ def load_sets(spark: SparkSession, path: str, min_members: int = 3) -> DataFrame
     df = spark.read.csv(path, header=True)
     set_col = next(c for c in ("clique_id", "set_id", "regulator") if c in df.columns)
     if "clique_genes" in df.columns:
-        m = df.select(F.col(set_col).alias("set_id"), F.trim(F.explode(F.split("clique_genes", ","))).alias("feature_id"))
+        m = df.select(F.col(set_col).alias("set_id"), F.explode(F.transform(F.split("clique_genes", ","), F.trim)).alias("feature_id"))
     else:
         m = df.select(F.col(set_col).alias("set_id"), F.col("gene" if "gene" in df.columns else "feature_id").alias("feature_id"))
     m = m.filter("feature_id <> ''").distinct()
