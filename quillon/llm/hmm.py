@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import crc_mod, words_of, written
@@ -71,6 +71,7 @@ class Alphabet:
     class_total: np.ndarray
     n: int
     types: int
+    level: int
 
     @property
     def size(self) -> int:
@@ -80,8 +81,20 @@ class Alphabet:
         return zlib.crc32(word) % len(self.class_total)
 
 
+def _level(c: str) -> Column:
+    """Counts on a logarithmic scale of 16 steps to a doubling."""
+    return F.floor(F.log2(c) * 16).cast("int")
+
+
 def alphabet(counts: DataFrame, own_words: int = 4096, hot_words: int = 100_000, classes: int = 1024) -> Alphabet:
-    top = counts.orderBy(F.col("c").desc(), "word").limit(hot_words).collect()  # bounded by hot_words
+    # the frequent words are those from a level of counts on, so that no top list travels from each task
+    sizes, level = counts.groupBy(_level("c").alias("k")).agg(F.count("*").alias("v")).collect(), 0  # a row a level
+    for r in sorted(sizes, reverse=True):
+        hot_words -= r["v"]
+        if hot_words < 0:
+            level = r["k"] + 1
+            break
+    top = sorted(counts.filter(_level("c") >= level).collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # hot_words at most
     hot = {bytes(r["word"]): r["c"] for r in top}
     own = {END: 0} | {w: i for i, w in enumerate((w for w in list(hot)[:own_words] if w != END), 1)}
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -92,7 +105,7 @@ def alphabet(counts: DataFrame, own_words: int = 4096, hot_words: int = 100_000,
     for w in own:
         if w in hot:
             z[zlib.crc32(w) % classes] -= hot[w] + 1
-    return Alphabet(hot, own, z, total["n"] or 0, total["v"] or 0)
+    return Alphabet(hot, own, z, total["n"] or 0, total["v"] or 0, level)
 
 
 def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
@@ -272,8 +285,7 @@ def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus:
     encoded = written(encode(docs, spark.sparkContext.broadcast(a), modulus, held_out), "hmm-encoded")
     hmm = baum_welch(encoded, states, a.size, passes)
     rare = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    least = min(a.hot.values(), default=0)
-    known = rare.join(counts.filter(F.col("c") <= least), "word")  # the others are in the alphabet
+    known = rare.join(counts.filter(_level("c") < a.level), "word")  # the others are in the alphabet
     sums = known.groupBy("rid").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"))
     r = log_likelihoods(encoded, hmm).join(sums, "rid", "left")
     tail_known, tail_log = F.coalesce("tail_known", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))
