@@ -18,8 +18,8 @@ Large groups of copies. Equal sets are one class (their digest), settled without
 bucket every member is then compared with the bucket's smallest member; the links found are contracted
 to components, and only buckets whose members are still in different components get an R-tree, which
 emits pairs across components only. Buckets are read as sorted runs, trees are built over blocks of at
-most ``block`` members, and verifications are grouped by their smaller document in salted parts, so no
-group meets in one task and none is cut short.
+most ``block`` members, and verifications over pairs of blocks of a family, so no group meets in one
+task and none is cut short.
 
 Edge cases: texts of fewer words than a shingle are one shingle; without words (or text) the set is
 empty and links with nothing; rows without an id link only through an equal set; rows that share an id
@@ -29,21 +29,23 @@ are one document; an empty table gives an empty result; further columns are igno
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quillon.llm.components import components
-from quillon.llm.shared import words_of, written
+from quillon.llm.shared import release, words_of, written
 
-#: Coordinates of a point.
-GROUPS = 32
-PREPARED_SCHEMA = "doc_id bigint, digest binary, n bigint, point binary, keys binary"
+#: A point has 2 ** b groups, b between these; stored points, which travel with the buckets, at most 2 ** STORED_BITS.
+LEAST_BITS, MOST_BITS, STORED_BITS = 5, 15, 8
+PREPARED_SCHEMA = "doc_id bigint, digest binary, n bigint, point binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,19 +64,6 @@ class _WordHashes(dict):
         return h
 
 
-def shingle_set(words: list[bytes], k: int, hashes: _WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence if it is shorter."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(k, n)
-    s = np.full(n - width + 1, width, np.uint64)
-    for j in range(width):
-        s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[j : n - width + 1 + j])
-    return np.unique(s)
-
-
 @functools.cache
 def _bands(num: int, den: int, most: int = 1 << 40) -> list[int]:
     """Lower ends of the size bands."""
@@ -103,26 +92,30 @@ def _scheme(i: int, num: int, den: int) -> int:
 
 def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set, at least one of which any linked set has too."""
-    n = len(s)
-    own = int(np.searchsorted(_bands(num, den), n, side="right")) - 1
-    mixed, out = _mix(s), []
-    d = most_different(n + n * den // num, num, den)
-    for i in (own, own - 1) if own else (own,):
-        g = _scheme(i, num, den)
-        group = (s % np.uint64(g)).astype(np.uint16 if g < 65536 else np.int64)
-        o = np.argsort(group, kind="stable")
-        heads, at = np.unique(group[o], return_index=True)
-        content = np.add.reduceat(mixed[o], at)
-        label = np.uint64((i + 1) * int(_M1) % 2**64)
-        out.append(_mix(content ^ _mix(heads.astype(np.uint64) + label)))
-        if len(heads) <= d:
-            empty = np.setdiff1d(np.arange(g, dtype=np.uint64), heads.astype(np.uint64))
-            out.append(_mix(_mix(empty + label) ^ _M2))
-    return np.concatenate(out)
-
-
-def point_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    one = Sets([], 1, _WordHashes())
+    one.hashes, one.doc, one.sizes, one.begin = s, np.zeros(len(s), np.int64), np.array([len(s)]), np.array([0, len(s)])
+    return one.keys(np.array([0]), num, den)[0]
+
+
+def point_of(s: np.ndarray, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Counts of a set per group: 2 ** b groups by the top b bits of the hash, about as many as elements."""
+    b = min(most_bits, max(LEAST_BITS, len(s).bit_length() - 1))
+    return np.bincount((s >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b)
+
+
+def pack_point(p: np.ndarray) -> bytes:
+    """One byte a group, or four where a count needs them; the first byte tells."""
+    return b"\x01" + p.astype(np.uint8).tobytes() if p.max() < 256 else b"\x04" + p.astype(np.uint32).tobytes()
+
+
+def unpack_point(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8 if x[0] == 1 else np.uint32, offset=1).astype(np.int32)
+
+
+def aligned(points: list[np.ndarray]) -> np.ndarray:
+    """Points as rows with the coarsest point's groups: neighbouring groups of the finer ones add up."""
+    least = min(map(len, points))
+    return np.stack([p if len(p) == least else p.reshape(least, -1).sum(1) for p in points])
 
 
 class CountTree:
@@ -163,36 +156,131 @@ class CountTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def prepare(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """PREPARED_SCHEMA rows; of equal sets in a task only the first has point and keys."""
+class Sets:
+    """The sets of several documents at once: sorted distinct shingle hashes, document after document."""
+
+    def __init__(self, words: list[list[bytes]], k: int, hashes: _WordHashes):
+        lengths = np.array([len(w) for w in words], np.int64)
+        h = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+        doc = np.repeat(np.arange(len(words)), lengths)
+        begin = np.concatenate([[0], np.cumsum(lengths)])
+        width = np.minimum(lengths, k)
+        s = width[doc].astype(np.uint64)
+        for j in range(int(width.max(initial=0))):
+            moved = np.concatenate([h[j:], np.zeros(j, np.uint64)])
+            s = np.where(j < width[doc], _mix(s * np.uint64(0x9E3779B97F4A7C15) + moved), s)
+        whole = np.arange(len(h)) - begin[doc] <= (lengths - width)[doc]
+        s, doc = s[whole], doc[whole]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(words)))])
+        for i, j in zip(ends, ends[1:]):
+            s[i:j].sort()
+        fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.zeros(0, bool)
+        self.hashes, self.doc = s[fresh], doc[fresh]
+        self.sizes = np.bincount(self.doc, minlength=len(words))
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def one(self, i: int) -> np.ndarray:
+        return self.hashes[self.begin[i] : self.begin[i + 1]]
+
+    def digests(self) -> list[bytes | None]:
+        return [xxhash.xxh3_128_digest(self.one(i).tobytes()) if n else None for i, n in enumerate(self.sizes)]
+
+    def keys(self, chosen: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+        """``bucket_keys`` of the chosen documents."""
+        take = np.zeros(len(self.sizes), bool)
+        take[chosen] = True
+        rank = np.cumsum(take) - 1
+        row = take[self.doc]
+        s, doc = self.hashes[row], rank[self.doc[row]]
+        sizes = self.sizes[chosen]
+        own = np.searchsorted(_bands(num, den), sizes, side="right") - 1
+        mixed, parts = _mix(s), [[] for _ in chosen]
+        for shift in (0, 1):
+            band = own - shift
+            g = np.array([_scheme(int(i), num, den) if i >= 0 else 1 for i in band], np.int64)
+            first = np.concatenate([[0], np.cumsum(g)])
+            group = (s % g[doc].astype(np.uint64)).astype(np.int64)
+            content = _bucket_sums(mixed, first[doc] + group, int(first[-1]))
+            filled = np.bincount(first[doc] + group, minlength=int(first[-1])) > 0
+            at = np.repeat(np.arange(len(g)), g)
+            label = (band + 1).astype(np.uint64)[at] * _M1 + (np.arange(int(first[-1])) - first[at]).astype(np.uint64)
+            key = _mix(content ^ _mix(label))
+            empty = _mix(_mix(label) ^ _M2)
+            for i in range(len(g)):
+                if band[i] >= 0:
+                    f = filled[first[i] : first[i + 1]]
+                    parts[i].append(key[first[i] : first[i + 1]][f])
+                    n = int(sizes[i])
+                    if int(f.sum()) <= most_different(n + n * den // num, num, den):
+                        parts[i].append(empty[first[i] : first[i + 1]][~f])
+        return [np.concatenate(p) for p in parts]
+
+
+def _bucket_sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit digest of the sum of values by bucket: exact sums of 22-bit parts (in double precision), then mixed."""
+    out = np.zeros(n, np.uint64)
+    for i in range(3):
+        part = ((values >> np.uint64(22 * i)) & np.uint64(0x3FFFFF)).astype(np.float64)
+        out = _mix(out + np.bincount(at, part, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _sets(batches, k: int, batch_words: int):
+    """ids and Sets of the documents of Arrow batches (doc_id, text), so many words at a time."""
+    hashes = _WordHashes()
+    for b in batches:
+        ids, words, n = [], [], 0
+        for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+            ids.append(i)
+            words.append(words_of(x.as_py()))
+            n += len(words[-1])
+            if n >= batch_words:
+                yield ids, Sets(words, k, hashes)
+                ids, words, n = [], [], 0
+        if ids:
+            yield ids, Sets(words, k, hashes)
+
+
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+
+
+def prepare(docs: DataFrame, k: int, batch_words: int = 200_000) -> DataFrame:
+    """PREPARED_SCHEMA rows; of equal sets in a task only the first has a point."""
 
     def run(batches):
-        hashes, seen = _WordHashes(), set()
-        for b in batches:
-            out = []
-            for i, x in zip(b.column(0), b.column(1)):
-                s = shingle_set(words_of(x.as_py()), k, hashes)
-                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                point = keys = None
-                if digest is not None and i.is_valid and digest not in seen:
-                    seen.add(digest)
-                    point, keys = point_of(s).tobytes(), bucket_keys(s, num, den).tobytes()
-                out.append((digest, len(s), point, keys))
-            c = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=[x.split()[0] for x in PREPARED_SCHEMA.split(", ")])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, PREPARED_SCHEMA)
-
-
-def shared_buckets(prepared: DataFrame) -> DataFrame:
-    """key, node, pivot for the members of every bucket with more than one; pivot: its smallest."""
-
-    def unpack(batches):
-        for b in batches:
-            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
-            if keys:
-                nodes = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
+        seen = set()
+        for ids, sets in _sets(batches, k, batch_words):
+            digests = sets.digests()
+            point: list = [None] * len(ids)
+            for i, d in enumerate(digests):
+                if d is not None and d not in seen:
+                    seen.add(d)
+                    point[i] = pack_point(point_of(sets.one(i), STORED_BITS))
+            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets.sizes, pa.int64()), pa.array(point, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PREPARED_SCHEMA.split(", ")])
+
+    return _input(docs).mapInArrow(run, PREPARED_SCHEMA)
+
+
+def shared_buckets(docs: DataFrame, k: int, num: int, den: int, batch_words: int = 200_000) -> DataFrame:
+    """key, node, pivot for the members of every bucket with more than one; pivot: its smallest.
+
+    Of equal sets in a task only the first is a member: they'd share all buckets. Keys go from the scan
+    straight to the shuffle and are stored nowhere else."""
+
+    def emit(batches):
+        seen = set()
+        for ids, sets in _sets(batches, k, batch_words):
+            chosen = []
+            for i, d in enumerate(sets.digests()):
+                if d is not None and ids[i] is not None and d not in seen:
+                    seen.add(d)
+                    chosen.append(i)
+            if chosen:
+                keys = sets.keys(np.array(chosen), num, den)
+                nodes = np.repeat(np.array([ids[i] for i in chosen], np.int64), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
     def runs(batches):
         """Rows come sorted by key and node; the last row of a batch and the run's first node are carried over."""
@@ -228,37 +316,66 @@ def shared_buckets(prepared: DataFrame) -> DataFrame:
             held = bool(has_more[first[last]]) or (first[last] == 0 and key is not None and bool(held))
             key, node, pivot = k[last], n[last], p[last]
 
-    rows = prepared.filter("keys is not null").select("doc_id", "keys").mapInArrow(unpack, "key bigint, node bigint")
+    rows = _input(docs).mapInArrow(emit, "key bigint, node bigint")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key bigint, node bigint, pivot bigint")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, part: int = 64) -> DataFrame:
-    """The links (u, v) among ``pairs`` (u, v). Pairs are grouped by u in parts of about ``part``."""
-    sizes = pairs.groupBy("u").agg(F.count("*").alias("c"))
-    salted = pairs.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / part)).cast("int").alias("salt"))
-    wanted = salted.select(F.col("v").alias("node"), "u", "salt").union(salted.select("u", F.col("u").alias("u2"), "salt").distinct())
-    texts = docs.selectExpr("cast(doc_id as bigint) node", "cast(text as string) text")
-
-    def check(key, rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = _WordHashes()
-        sets = {node: shingle_set(words_of(text), k, hashes) for node, text in zip(rows["node"], rows["text"])}
-        u, out = key[0], []
-        a = sets[u]
-        pa_ = point_of(a).astype(np.int64)
-        for v, b in sets.items():
-            if v == u or not len(a) or not len(b):
-                continue
-            if int(np.minimum(pa_, point_of(b)).sum()) * (den + num) < num * (len(a) + len(b)):
-                continue
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            if den * shared >= num * (len(a) + len(b) - shared):
-                out.append(v)
-        return pd.DataFrame({"u": np.full(len(out), u, np.int64), "v": np.array(out, np.int64)})
-
-    return texts.join(wanted, "node").select("node", "text", "u", "salt").groupBy("u", "salt").applyInPandas(check, "u bigint, v bigint")
-
-
-def cross_pairs(members: DataFrame, num: int, den: int, block: int = 2048) -> DataFrame:
+def _maybe(ids: DataFrame, column: str, bits: int = 26) -> Column:
+    """A condition that holds for all values of ``ids.column`` and few others: a bitmap over hashed ids of a fixed
+    size (2 ** bits), shipped as binary. It only spares the shuffle of texts that the join would not match."""
+    hashed = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    words = ids.select(F.shiftright(hashed, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (hashed % 32).cast("int")).alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2 ** (bits - 5) rows at most
+    bitmap = np.zeros(1 << (bits - 5), np.uint32)
+    bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(BooleanType())
+    def has(h: pd.Series) -> pd.Series:
+        x = h.to_numpy()
+        return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
+
+    return has(hashed)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, families: DataFrame, k: int, num: int, den: int, part: int = 64) -> DataFrame:
+    """Links (u, v) that connect what the linked ones among ``pairs`` (u, v, stored) connect.
+
+    Nodes are dealt to blocks of about ``part`` within their family (node, family: any grouping that puts most
+    partners together); a task gets the texts of two blocks, once each however many pairs they have. It
+    compares its nodes by their points' bound, then on the sets, and skips pairs that its links connect already."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(families, "node")
+    sizes = nodes.groupBy("family").agg(F.ceil(F.count("*") / part).alias("blocks"))
+    blocks = nodes.join(sizes, "family").select("node", F.struct("family", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")).alias("block"))
+    p = pairs.join(blocks.select(F.col("node").alias("u"), F.col("block").alias("a")), "u").join(blocks.select(F.col("node").alias("v"), F.col("block").alias("b")), "v")
+    wanted = p.select(F.explode(F.array("u", "v")).alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = written(wanted, "jaccard-wanted")
+    texts = _input(docs).withColumnRenamed("doc_id", "node").filter(_maybe(wanted.select("node"), "node"))
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").sort_values("node")
+        ids, out = rows["node"].to_numpy(), []
+        sets = Sets([words_of(x) for x in rows["text"]], k, _WordHashes())
+        full = np.flatnonzero(sets.sizes)
+        if len(full) > 1:
+            points, n, root = [point_of(sets.one(i)) for i in full], sets.sizes[full], np.arange(len(full))
+            for i in range(len(full)):
+                for j in range(i):
+                    if root[i] == root[j] or n[i] * den < num * n[j] or n[j] * den < num * n[i]:
+                        continue
+                    x, y = aligned([points[i], points[j]])
+                    if int(np.minimum(x, y).sum()) * (den + num) < num * int(n[i] + n[j]):
+                        continue
+                    shared = len(np.intersect1d(sets.one(full[i]), sets.one(full[j]), assume_unique=True))
+                    if den * shared >= num * (int(n[i] + n[j]) - shared):
+                        out.append((ids[full[j]], ids[full[i]]))
+                        root[root == root[i]] = root[j]
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return texts.join(wanted, "node").select("node", "text", "a", "b").groupBy("a", "b").applyInPandas(lambda rows: check(rows), "u bigint, v bigint")
+
+
+def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
     """Distinct pairs (u < v) of members (key, node, n, point, component) of a bucket that are in different
     components and that the R-tree's bound lets through."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -266,45 +383,81 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 2048) -> Da
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.stack([np.frombuffer(x, np.uint32) for x in rows["point"]])
-        nodes, sizes_, parts = (rows[c].to_numpy() for c in ("node", "n", "component"))
-        tree, out = CountTree(points, sizes_), []
-        for i in range(len(rows)):
-            hits = tree.search(points[i], int(sizes_[i]), num, den)
-            hits = hits[(nodes[hits] > nodes[i]) & (parts[hits] != parts[i])]
-            out.append(np.stack([np.full(len(hits), nodes[i]), nodes[hits]], 1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+    def within(group: list) -> list[tuple[int, int]]:
+        nodes, sizes_, points, parts = zip(*group)
+        points, sizes_, parts, out = aligned([unpack_point(x) for x in points]), np.array(sizes_), np.array(parts), []
+        tree = CountTree(points, sizes_)
+        for i, node in enumerate(nodes):
+            for j in tree.search(points[i], int(sizes_[i]), num, den):
+                if nodes[j] > node and parts[j] != parts[i]:
+                    out.append((node, nodes[j]))
+        return out
+
+    def run(batches):
+        """Rows come sorted by bucket and block pair; a group that a batch cuts is carried over."""
+        key, group, done = None, [], set()
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else ([], []))], names=["u", "v"])
+            done.clear()
+            return batch
 
-    grouped = m.select("key", "low", "high", "node", "n", "point", "component").groupBy("key", "low", "high")
-    return grouped.applyInPandas(run, "u bigint, v bigint").distinct()
+        for b in batches:
+            for *at, node, n, point, part in zip(*(c.to_pylist() for c in b.columns)):
+                if at != key:
+                    if len(group) > 1:
+                        done.update(within(group))
+                    key, group = at, []
+                    if len(done) > 100_000:
+                        yield flush()
+                group.append((node, n, point, part))
+        if len(group) > 1:
+            done.update(within(group))
+        yield flush()
+
+    cols = ["key", "low", "high"]
+    rows = m.select(*cols, "node", "n", "point", "component").repartition(*cols).sortWithinPartitions(*cols)
+    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); linked: den * |A and B| >= num * |A or B|."""
-    prepared = written(prepare(docs, k, num, den), "jaccard-sets")
-    classes = written(prepared.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    firsts = prepared.filter("keys is not null").select(F.col("doc_id").alias("node"), "n", "point", "digest").join(classes, "digest")
-    firsts = written(firsts.select("node", "rep", "n", "point"), "jaccard-firsts")
-    shared = written(shared_buckets(prepared), "jaccard-buckets")
-    rep = firsts.select("node", "rep")
+    spark = docs.sparkSession
+    prepared = written(prepare(docs, k), "jaccard-sets")
+    named = prepared.filter("digest is not null and doc_id is not null")
+    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "jaccard-classes")
+    shared = written(shared_buckets(docs, k, num, den), "jaccard-buckets")
+    release(spark)
+    # members by their class's representative
+    members = shared.select("node").distinct().join(named.select(F.col("doc_id").alias("node"), "digest"), "node").join(classes.select("digest", "rep"), "digest")
+    rep = written(members.select("node", "rep").distinct(), "jaccard-members")
     equal = rep.filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
 
     one = shared.filter("pivot <> node").groupBy("node").agg(F.min("pivot").alias("pivot"))
     one = one.join(rep, "node").join(rep.select(F.col("node").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot")
     one = one.filter("rep <> pivot_rep").select(F.least("rep", "pivot_rep").alias("u"), F.greatest("rep", "pivot_rep").alias("v")).distinct()
-    links = written(verify(docs, one, k, num, den).union(equal), "jaccard-links")
+    one = written(one, "jaccard-stars")
+    # a family: the smallest pivot that a node's buckets have
+    families = shared.groupBy("node").agg(F.min("pivot").alias("family")).join(rep, "node").groupBy(F.col("rep").alias("node")).agg(F.min("family").alias("family"))
+    families = written(families, "jaccard-families")
+    links = written(verify(docs, one, families, k, num, den).union(equal), "jaccard-links")
+    release(spark)
     comp = written(components(links), "jaccard-components")
 
     placed = shared.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    open_ = placed.join(open_keys, "key", "left_semi").join(firsts, "node").select("key", F.col("rep").alias("node"), "n", "point", "component").distinct()
+    # buckets with the same members say the same: one of them is enough
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count("*").alias("c")]
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *same).filter("a <> b")
+    open_keys = open_keys.groupBy("x", "y", "c", "a", "b").agg(F.min("key").alias("key")).select("key")
+    open_ = placed.join(open_keys, "key", "left_semi").join(rep, "node").select("key", F.col("rep").alias("node"), "component").distinct()
+    open_ = open_.join(classes.select(F.col("rep").alias("node"), "n", "point"), "node")
     across = written(cross_pairs(open_, num, den), "jaccard-across")
-    more = written(verify(docs, across, k, num, den), "jaccard-more")
-    comp = components(links.union(more))
+    release(spark, shared)
+    more = written(verify(docs, across, families, k, num, den), "jaccard-more")
+    release(spark)
+    comp = written(components(links.union(more)), "jaccard-components")
 
-    r = prepared.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
+    r = prepared.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "rep"), "digest", "left")
     r = r.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return r.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

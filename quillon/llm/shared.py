@@ -7,6 +7,7 @@ Everything that must outlive an executor goes below the folder that the session
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back what finished steps hold: the files of stored tables that nothing reads any more, and, by
+    letting both sides collect their garbage, the shuffle files of steps whose frames are gone."""
+    for df in tables:
+        for root in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_mod(col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; a null id counts as the empty text."""
     c = F.col(col) if isinstance(col, str) else col

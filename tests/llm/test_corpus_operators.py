@@ -350,7 +350,8 @@ def test_count_tree_finds_all():
     rng = np.random.default_rng(8)
     sets = [jaccard._mix(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(1, 200, 150)]
     sets += [np.concatenate([s[: max(1, int(len(s) * 0.96))], jaccard._mix(rng.integers(0, 2**63, 1).astype(np.uint64))]) for s in sets[:80]]
-    points, sizes = np.stack([jaccard.point_of(s) for s in sets]), np.array([len(s) for s in sets])
+    points, sizes = jaccard.aligned([jaccard.unpack_point(jaccard.pack_point(jaccard.point_of(s))) for s in sets]), np.array([len(s) for s in sets])
+    assert points.sum(1).tolist() == sizes.tolist()
     tree = jaccard.CountTree(points, sizes)
     for i in range(len(sets)):
         shared = np.minimum(points, points[i]).sum(1).astype(int)
