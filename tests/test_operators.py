@@ -348,3 +348,62 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda d: sorted((r["start"], r["event_type"], r["n"], round(r["mean"], 6)) for r in d.collect())
     assert key(spark.table("stats")) == key(batch)
     assert flags.sessions(spark.read.parquet(src)).agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_assignment_is_optimal():
+    import itertools
+
+    from quillon.operators.controls import assign
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 3), (4, 6), (5, 7)):
+        c = rng.random((n, m))
+        got = assign(c)
+        assert len(set(got.tolist())) == n
+        assert c[np.arange(n), got].sum() == pytest.approx(min(c[np.arange(n), list(p)].sum() for p in itertools.permutations(range(m), n)))
+
+
+def test_matched_controls_and_interaction(spark):
+    from quillon.operators import controls
+
+    rng = np.random.default_rng(6)
+    x = {f"f{i:02d}": (rng.normal(size=30) + i % 5 + (np.arange(30) % 3 == 0) * (2.5 if i < 6 else 0)).tolist() for i in range(40)}
+    c = cells_of(spark, x)
+    s = spark.createDataFrame([(f"s{i:02d}", "ABC"[i % 3]) for i in range(30)], "sample_id string, label string")
+    t = spark.createDataFrame([(f"f{i:02d}",) for i in range(6)], "feature_id string")
+    sets = controls.matched_sets(c, t, 5).collect()
+    assert len(sets) == 30 and not {r["feature_id"] for r in sets} & {f"f{i:02d}" for i in range(6)}
+    g = resample.group_t(c, s.withColumn("iteration", F.lit(0)), "A", "B").select("feature_id", "t")
+    assert controls.matched_controls(c, g, t, 40).first()["p"] == pytest.approx(1 / 41)
+    i = controls.interaction_permutation(c, s, "label", ("A", "B"), ("B", "C"), t, 40).first()
+    assert i["observed_dz"] > 2 and i["p"] < 0.1
+    m = spark.createDataFrame([("k", f"f{i:02d}") for i in range(6)] + [("o", f"f{i:02d}") for i in range(20, 26)], "set_id string, feature_id string")
+    b = {r["set_id"]: r for r in controls.bootstrap_selection(c, m, s, "label", "A", "B", 20).collect()}
+    assert b["k"]["robust"] and not b["o"]["robust"]
+
+
+def test_extension_points(spark, tmp_path):
+    from quillon.plans import extension as ext
+
+    rng = np.random.default_rng(7)
+    x = {f"f{i:02d}": (rng.normal(size=20) + (np.arange(20) % 2 == 0) * (3 if i < 5 else 0)).tolist() for i in range(30)}
+    c = cells_of(spark, x)
+    step = ext.Transform("outliers", robust.detect_outliers, {"threshold": 3.0})
+    assert c.transform(ext.chain(step, lambda d: d)).count() == c.count()
+    with pytest.raises(ValueError):
+        step(c.drop("value"))
+    s = spark.createDataFrame([(f"s{i:02d}", "xy"[i % 2]) for i in range(20)], "sample_id string, g string")
+    sets = spark.createDataFrame([("hit", f"f{i:02d}") for i in range(5)] + [("none", f"f{i:02d}") for i in range(10, 15)], "set_id string, feature_id string")
+    r = {v["set_id"]: v["p_two_sided"] for v in ext.competitive_engine(c, sets, ext.TwoGroups("g", "x", "y"), s, lambda a, b: normalize.summarize_sets(a, b, "median"), resample.group_t, 40).collect()}
+    assert r["hit"] < 0.06 < r["none"]
+    d = ext.DerivedGroups(F.when(F.col("g") == "x", "test").otherwise("reference"))
+    assert ext.labelled(s, d).count() == 20
+    store = ext.StoredTable(spark, str(tmp_path / "store"))
+    one = store.get(c, correlate.correlations, method="pearson")
+    assert one.count() == 435 and store.get(c.repartition(3), lambda d: 1 / 0, method="pearson").count() == 435
+    assert len(store.entries()) == 1 and store.clear(1) == 0 and store.clear() == 1
+    e = spark.createDataFrame([("r", "a", "activation", 3), ("r", "b", "repression", 2)], "source string, target string, relationship string, evidence_count int")
+    e.write.parquet(str(tmp_path / "edges"))
+    src = ext.CompositeSource((ext.TableSource(spark, str(tmp_path / "edges")), ext.TableSource(spark, str(tmp_path / "edges"))))
+    assert src.module("r").count() == 2 and src.regulators(min_targets=2).count() == 1
+    assert {v["set_id"] for v in ext.neighbor_sets(e, "r").collect()} == {"r_activation", "r_repression"}
