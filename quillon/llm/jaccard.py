@@ -8,18 +8,18 @@ verified on the sets themselves.
 How the trees are dealt out. One tree over all points would compare each document with all of similar
 size, so the points are first dealt to buckets that no link can miss. Two linked sets of a + b
 elements differ in at most D = (a + b)(1 - t) / (1 + t). Hash the shingles of a size band into more
-than D groups: some group is the same in both, so the hash of a group's content is a bucket key. Sizes
-are split into bands of ratio 1 / t; a document takes part in its own band's scheme and the one below,
-so that linked documents share a scheme. If a document has so few non-empty groups that only empty
-ones might agree, it also emits those. Buckets hold whole random subsets of a set, so a passage or line
-that very many documents share does not put them together.
-
-Large groups of copies. Equal sets are one class (their digest), settled without any pair. In each
-bucket every member is then compared with the bucket's smallest member; the links found are contracted
-to components, and only buckets whose members are still in different components get an R-tree, which
-emits pairs across components only. Buckets are read as sorted runs, trees are built over blocks of at
-most ``block`` members, and verifications over pairs of blocks of a family, so no group meets in one
-task and none is cut short.
+than D groups: some group is the same in both, so the hash of a group's content is a bucket key. More
+than that: if a set has more than D groups of at least m elements, one of *those* is the same, so only
+they become keys, and one frequent shingle alone doesn't put texts together. A set with fewer such
+groups emits all groups, and the empty ones too if it must. Sizes are split into bands of ratio 1 / t; a
+document takes part in its own band's scheme and the one below, so that linked documents share a scheme.
+
+Large groups of copies. Equal sets are one class (their digest), settled without any pair. Each class
+is then verified against the smallest pivot (a bucket's smallest member) that it met, and the links are
+contracted. Classes that met, directly or through others, and are still in different components get
+R-trees, which emit pairs across components only; these are verified in turn. Buckets are read as sorted
+runs, trees are built over pairs of blocks of at most ``block`` members, and verifications over pairs of
+small blocks, so no group meets in one task and none is cut short.
 
 Edge cases: texts of fewer words than a shingle are one shingle; without words (or text) the set is
 empty and links with nothing; rows without an id link only through an equal set; rows that share an id
@@ -44,7 +44,7 @@ from quillon.llm.components import components
 from quillon.llm.shared import release, words_of, written
 
 #: A point has 2 ** b groups, b between these; stored points, which travel with the buckets, at most 2 ** STORED_BITS.
-LEAST_BITS, MOST_BITS, STORED_BITS = 5, 15, 8
+LEAST_BITS, MOST_BITS, STORED_BITS = 5, 15, 13
 PREPARED_SCHEMA = "doc_id bigint, digest binary, n bigint, point binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -78,16 +78,24 @@ def most_different(total: int, num: int, den: int) -> int:
     return total * (den - num) // (den + num)
 
 
+@functools.cache
+def _group_size(num: int, den: int) -> tuple[int, float]:
+    """(least elements of a group that becomes a key, mean elements of a group): the largest least such that a
+    set is expected to have more such groups than two linked sets can differ in, with a seventh to spare."""
+    wanted = 1.15 * (1 + den / num) * (den - num) / (den + num)
+    for least in range(8, 0, -1):
+        share, mean = max((sum(math.exp(-m + j * math.log(m) - math.lgamma(j + 1)) for j in range(least, least + 60)) / m, m) for m in (x / 10 for x in range(10, 200)))
+        if share >= wanted:
+            return least, mean
+    return 1, 1 / wanted
+
+
 @functools.cache
 def _scheme(i: int, num: int, den: int) -> int:
-    """Number of groups of band i's scheme: above any difference, and the groups expected to be empty."""
+    """Number of groups of band i's scheme; above any difference of its linked sets."""
     ends = _bands(num, den)
     top = ends[i + 1] - 1
-    d = most_different(top + top * den // num, num, den)
-    g = d + 1
-    for _ in range(2 if d else 0):
-        g = d + 1 + math.ceil(g * math.exp(-ends[i] / g))
-    return g
+    return max(most_different(top + top * den // num, num, den) + 1, math.ceil(ends[i] / _group_size(num, den)[1]))
 
 
 def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -194,25 +202,24 @@ class Sets:
         s, doc = self.hashes[row], rank[self.doc[row]]
         sizes = self.sizes[chosen]
         own = np.searchsorted(_bands(num, den), sizes, side="right") - 1
-        mixed, parts = _mix(s), [[] for _ in chosen]
+        mixed, parts, least = _mix(s), [[] for _ in chosen], _group_size(num, den)[0]
         for shift in (0, 1):
             band = own - shift
             g = np.array([_scheme(int(i), num, den) if i >= 0 else 1 for i in band], np.int64)
             first = np.concatenate([[0], np.cumsum(g)])
             group = (s % g[doc].astype(np.uint64)).astype(np.int64)
             content = _bucket_sums(mixed, first[doc] + group, int(first[-1]))
-            filled = np.bincount(first[doc] + group, minlength=int(first[-1])) > 0
+            filled = np.bincount(first[doc] + group, minlength=int(first[-1]))
             at = np.repeat(np.arange(len(g)), g)
             label = (band + 1).astype(np.uint64)[at] * _M1 + (np.arange(int(first[-1])) - first[at]).astype(np.uint64)
             key = _mix(content ^ _mix(label))
-            empty = _mix(_mix(label) ^ _M2)
             for i in range(len(g)):
                 if band[i] >= 0:
-                    f = filled[first[i] : first[i + 1]]
-                    parts[i].append(key[first[i] : first[i + 1]][f])
-                    n = int(sizes[i])
-                    if int(f.sum()) <= most_different(n + n * den // num, num, den):
-                        parts[i].append(empty[first[i] : first[i + 1]][~f])
+                    f, n = filled[first[i] : first[i + 1]], int(sizes[i])
+                    d = most_different(n + n * den // num, num, den)
+                    # more groups of some size than there can be differences: one of them is untouched in both sets
+                    size = next((m for m in (least, 1) if int((f >= m).sum()) > d), 0)
+                    parts[i].append(key[first[i] : first[i + 1]][f >= size])
         return [np.concatenate(p) for p in parts]
 
 
@@ -376,25 +383,34 @@ def verify(docs: DataFrame, pairs: DataFrame, families: DataFrame, k: int, num:
 
 
 def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
-    """Distinct pairs (u < v) of members (key, node, n, point, component) of a bucket that are in different
-    components and that the R-tree's bound lets through."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    m = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Distinct pairs (u < v) of members (key, node, n, point, component) of a key that are in different
+    components and that the R-tree's bound lets through.
+
+    A tree holds points of one number of groups and of twice that many (linked sizes differ by less than a
+    factor of two), so that long sets keep fine points beside short ones; a key's members are dealt to
+    blocks, and a task's group is one pair of blocks."""
+    bits = F.greatest(F.lit(LEAST_BITS), F.least(F.lit(STORED_BITS), F.length(F.bin("n")) - 1))
+    m = members.withColumn("bits", bits).withColumn("low_bits", F.explode(F.array(F.col("bits"), F.col("bits") - 1)))
+    sizes = m.groupBy("key", "low_bits").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
+    m = m.join(sizes.select("key", "low_bits", "blocks"), ["key", "low_bits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def within(group: list) -> list[tuple[int, int]]:
-        nodes, sizes_, points, parts = zip(*group)
-        points, sizes_, parts, out = aligned([unpack_point(x) for x in points]), np.array(sizes_), np.array(parts), []
+    def within(low: int, high: int, group: list) -> list[tuple[int, int]]:
+        nodes, sizes_, points, parts, own, upper = zip(*group)
+        if len(set(parts)) == 1 or all(upper):
+            return []
+        sizes_, parts, own, upper, ids = np.array(sizes_), np.array(parts), np.array(own), np.array(upper), np.array(nodes)
+        points, out = aligned([unpack_point(x) for x in points]), []
         tree = CountTree(points, sizes_)
-        for i, node in enumerate(nodes):
-            for j in tree.search(points[i], int(sizes_[i]), num, den):
-                if nodes[j] > node and parts[j] != parts[i]:
-                    out.append((node, nodes[j]))
+        for i in np.flatnonzero(~upper):
+            j = tree.search(points[i], int(sizes_[i]), num, den)
+            j = j[(parts[j] != parts[i]) & (upper[j] | (ids[j] > ids[i])) & ((own[j] != own[i]) | (low == high))]
+            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
         return out
 
     def run(batches):
-        """Rows come sorted by bucket and block pair; a group that a batch cuts is carried over."""
+        """Rows come sorted by key, bits and block pair; a group that a batch cuts is carried over."""
         key, group, done = None, [], set()
 
         def flush():
@@ -403,25 +419,27 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> Da
             return batch
 
         for b in batches:
-            for *at, node, n, point, part in zip(*(c.to_pylist() for c in b.columns)):
+            for *at, node, n, point, part, own, upper in zip(*(c.to_pylist() for c in b.columns)):
                 if at != key:
                     if len(group) > 1:
-                        done.update(within(group))
+                        done.update(within(*key[2:], group))
                     key, group = at, []
                     if len(done) > 100_000:
                         yield flush()
-                group.append((node, n, point, part))
+                group.append((node, n, point, part, own, upper))
         if len(group) > 1:
-            done.update(within(group))
+            done.update(within(*key[2:], group))
         yield flush()
 
-    cols = ["key", "low", "high"]
-    rows = m.select(*cols, "node", "n", "point", "component").repartition(*cols).sortWithinPartitions(*cols)
+    cols = ["key", "low_bits", "low", "high"]
+    rows = m.select(*cols, "node", "n", "point", "component", "own", (F.col("bits") > F.col("low_bits")).alias("upper")).repartition(*cols).sortWithinPartitions(*cols)
     return rows.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); linked: den * |A and B| >= num * |A or B|."""
+    if not den <= 2 * num <= 2 * den:
+        raise ValueError("the similarity must be between a half and one")
     spark = docs.sparkSession
     prepared = written(prepare(docs, k), "jaccard-sets")
     named = prepared.filter("digest is not null and doc_id is not null")
@@ -433,26 +451,27 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     rep = written(members.select("node", "rep").distinct(), "jaccard-members")
     equal = rep.filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
 
-    one = shared.filter("pivot <> node").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    one = one.join(rep, "node").join(rep.select(F.col("node").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot")
-    one = one.filter("rep <> pivot_rep").select(F.least("rep", "pivot_rep").alias("u"), F.greatest("rep", "pivot_rep").alias("v")).distinct()
+    # who shares a bucket with whose pivot, by representatives
+    met = shared.filter("pivot <> node").select("node", "pivot").distinct()
+    met = met.join(rep, "node").join(rep.select(F.col("node").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot").filter("rep <> pivot_rep")
+    met = written(met.select(F.least("rep", "pivot_rep").alias("u"), F.greatest("rep", "pivot_rep").alias("v")).distinct(), "jaccard-met")
+    one = met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     one = written(one, "jaccard-stars")
-    # a family: the smallest pivot that a node's buckets have
-    families = shared.groupBy("node").agg(F.min("pivot").alias("family")).join(rep, "node").groupBy(F.col("rep").alias("node")).agg(F.min("family").alias("family"))
+    # partners mostly have the same smallest acquaintance
+    families = met.union(met.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("family"))
     families = written(families, "jaccard-families")
     links = written(verify(docs, one, families, k, num, den).union(equal), "jaccard-links")
-    release(spark)
     comp = written(components(links), "jaccard-components")
+    release(spark, shared)
 
-    placed = shared.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # buckets with the same members say the same: one of them is enough
-    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count("*").alias("c")]
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *same).filter("a <> b")
-    open_keys = open_keys.groupBy("x", "y", "c", "a", "b").agg(F.min("key").alias("key")).select("key")
-    open_ = placed.join(open_keys, "key", "left_semi").join(rep, "node").select("key", F.col("rep").alias("node"), "component").distinct()
-    open_ = open_.join(classes.select(F.col("rep").alias("node"), "n", "point"), "node")
+    # what shares no bucket, directly or through others, can't be linked: a tree's members are a component of that relation
+    reach = components(met)
+    placed = reach.select("node", F.col("component").alias("key")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed, "jaccard-placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    open_ = placed.join(open_keys, "key", "left_semi").join(classes.select(F.col("rep").alias("node"), "n", "point"), "node")
     across = written(cross_pairs(open_, num, den), "jaccard-across")
-    release(spark, shared)
+    release(spark)
     more = written(verify(docs, across, families, k, num, den), "jaccard-more")
     release(spark)
     comp = written(components(links.union(more)), "jaccard-components")
