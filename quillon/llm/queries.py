@@ -99,5 +99,38 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate
 """
 
 
+#: Vectors with a null, not finite or only zero components link with nothing.
+OP5_SQL = """
+WITH RECURSIVE e AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS x,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+                  AND len(list_filter(embedding, lambda v: v <> 0)) > 0, false) AS ok FROM embeddings),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.ok AND b.ok AND a.vec_id < b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+two AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT DISTINCT u AS node, u AS label FROM two UNION SELECT two.v, reach.label FROM reach JOIN two ON reach.node = two.u WHERE reach.label < two.v),
+c AS (SELECT node, min(label) AS component FROM reach GROUP BY 1),
+k AS (SELECT u AS node, count(*) AS n FROM two GROUP BY 1)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id, e.vec_id IS NOT DISTINCT FROM coalesce(c.component, e.vec_id) AS kept
+FROM e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN k ON k.node = e.vec_id
+"""
+
+#: All pairs that share a shingle: for the small tables.
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(x[i:i + 2], ' ') AS g FROM (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 1, 2))) AS i FROM w WHERE len(x) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 90 * (a.n + b.n - c)),
+two AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT DISTINCT u AS node, u AS label FROM two UNION SELECT two.v, reach.label FROM reach JOIN two ON reach.node = two.u WHERE reach.label < two.v),
+c AS (SELECT node, min(label) AS component FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_zip_warc": OP4_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op4_zip_warc": OP4_SQL, "op5_hnsw_near_duplicates": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_source_mixing": OP7_SQL}
