@@ -407,3 +407,39 @@ def test_extension_points(spark, tmp_path):
     src = ext.CompositeSource((ext.TableSource(spark, str(tmp_path / "edges")), ext.TableSource(spark, str(tmp_path / "edges"))))
     assert src.module("r").count() == 2 and src.regulators(min_targets=2).count() == 1
     assert {v["set_id"] for v in ext.neighbor_sets(e, "r").collect()} == {"r_activation", "r_repression"}
+
+
+def test_commands(spark, tmp_path):
+    from quillon.plans import commands
+
+    rng = np.random.default_rng(8)
+    head = [f"{'CASE' if i % 2 else 'CTRL'}-{i}" for i in range(48)]
+    base = rng.normal(size=48)
+    lines = ["id," + ",".join(head)] + [f"g{j}," + ",".join(f"{base[i] + 0.2 * rng.normal() + (i % 2) * 2 * (j < 6):.4f}" for i in range(48)) for j in range(12)]
+    (tmp_path / "m.csv").write_text("\n".join(lines))
+    (tmp_path / "sets.csv").write_text("clique_id,gene\n" + "".join(f"k{j // 3},g{j}\n" for j in range(12)))
+    (tmp_path / "c.json").write_text('{"min_correlation": 0.5}')
+    common = ["--input", str(tmp_path / "m.csv"), "--sets", str(tmp_path / "sets.csv"), "--contrast", "CASE,CTRL", "--config", str(tmp_path / "c.json")]
+    for command, table in (("impute", "cells"), ("sensitivity", "sensitivity"), ("analyze", "modules"), ("discover", "modules"), ("differential", "sets"), ("compare", "concordance"), ("chart-data", "edges")):
+        out = str(tmp_path / command)
+        commands.main([command, "--output", out, *common])
+        assert spark.read.parquet(f"{out}/{table}").count() > 0, command
+    commands.main(["validate", "--output", str(tmp_path / "v"), "--n", "20", *common])
+    assert "verdict" in (tmp_path / "v" / "verdict.json").read_text()
+    with pytest.raises(SystemExit):
+        commands.main(["analyze", "--input", "x", "--output", "y"])
+
+
+def test_chart_data(spark):
+    from quillon.plans import chart_data
+
+    c = cells_of(spark, {"a": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 500]})
+    after = impute.mad_clip(robust.detect_outliers(c, threshold=3.0))
+    ch = chart_data.changes(c, after).first()
+    assert ch["before"] == 500 and ch["change"] < 0
+    h = chart_data.histogram(c, "value", 10).collect()
+    assert sum(r["n"] for r in h) == 11
+    assert chart_data.vulnerability(after).first()["n_outliers"] == 1
+    m = spark.createDataFrame([("s", "A", ["a", "b"]), ("s", "B", ["b", "c"])], "set_id string, cond string, members array<string>")
+    assert {r["feature_id"]: r["flow"] for r in chart_data.feature_flow(m, "cond", "A", "B").collect()} == {"a": "gained", "b": "kept", "c": "lost"}
+    assert chart_data.membership(m, ["cond"]).count() == 4
