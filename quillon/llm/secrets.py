@@ -56,12 +56,12 @@ def _key_like(token: str) -> bool:
     return classes == 3 and len(set(token)) >= min(16, len(token) // 2)
 
 
-def weak_parts(text: str) -> list[tuple[int, int, int]]:
+def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(w in low for w in IDENTIFIER_WORDS):
         return []  # without an identifier nothing is linked
     found = [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
-    if found:
+    if found or any(s[1] == 1 for s in base):
         found += [(m.start(), 4, m.end()) for m in KEY.finditer(text) if _key_like(m[0])]
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     return sorted(found)
@@ -69,7 +69,7 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
 
 def linked(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
     """Weak parts whose complement is in the same scope."""
-    parts = sorted(weak_parts(text) + [s for s in base if s[1] < 2])
+    parts = sorted(weak_parts(text, base) + [s for s in base if s[1] < 2])
     if not parts:
         return []
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
