@@ -1,7 +1,7 @@
 """Secret scan with multipart credential linking.
 
-Base detectors (assign, access, hex) report on their own. Weaker parts do not: an identifier (a short
-access key, a client or user assignment), a key-like token and an endpoint (URL or host with a
+Base detectors (assign, access, hex) report on their own. Weaker parts do not: an identifier (a short or
+temporary access key, a client or user assignment), a key-like token and an endpoint (URL or host with a
 domain) are found as intervals and reported only when complementary parts meet in a scope: an
 identifier (or a base ``access`` span) and a key within ``reach`` code points of each other and no blank
 line between them; an endpoint then joins the pair it is near to. The interval join is a sweep over
@@ -29,7 +29,7 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 #: Weak parts.
-IDENTIFIER = re.compile(r"""\bA[KS]IA[A-Z0-9]{8,13}\b|(?:client|user|account|access)[_-]?(?:id|key[_-]?id|name)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,64})""", re.A | re.I)
+IDENTIFIER = re.compile(r"""\b(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{8,})\b|(?:client|user|account|access)[_-]?(?:id|key[_-]?id|name)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,64})""", re.A | re.I)
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{4,253}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?|\b(?:host|endpoint|server)\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9.-]{4,253}", re.A | re.I)
 IDENTIFIER_WORDS = ("akia", "asia", "client", "user", "account", "access")

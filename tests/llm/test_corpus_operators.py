@@ -541,3 +541,11 @@ def test_linking_by_a_bare_access_id():
     found = [[(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.linked(t, secrets.base_spans(t))] for t in texts]
     key = ("key", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
     assert found == [[key], [key, ("endpoint", "https://s3.example.com")]]
+
+
+def test_linking_by_a_temporary_access_id():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for name in ("ASIAIOSFODNN7EXAMPLE", "ASIAIOSFODNN7"):
+        t = f"{name} {key} https://sts.example.com"
+        assert [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.linked(t, secrets.base_spans(t))] == [("identifier", name), ("key", key), ("endpoint", "https://sts.example.com")]
+        assert secrets.linked(name, secrets.base_spans(name)) == []
