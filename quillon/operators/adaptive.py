@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -103,26 +103,32 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 4, mode="symmetric"), k / k.sum(), mode="valid")
 
 
-def kde_threshold(scores: np.ndarray, k: int = 50, tail: float = 0.005, sensitivity: float = 1e-4, low: float = 2.5, high: float = 6.0, fallback: float = 3.0) -> float:
-    """Where the tail of an adaptive kernel density begins to fall off steadily; fewer than 50 scores give the fallback."""
-    s = np.sort(scores[np.isfinite(scores)])
-    if len(s) < 50 or s[0] == s[-1]:
-        return fallback
-    n = min(k, len(s) - 1)
-    # the distance to the k-th nearest value (itself counted) of sorted scores is a window's half width
+def _widths(s: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each of the sorted values to its k-th nearest (itself counted): a window's half width."""
     idx = np.arange(len(s))
     width = np.full(len(s), np.inf)
-    for left in range(n):
-        a, b = idx - left, idx - left + n - 1
+    for left in range(k):
+        a, b = idx - left, idx - left + k - 1
         ok = (a >= 0) & (b < len(s))
         width[ok] = np.minimum(width[ok], np.maximum(s[idx[ok]] - s[a[ok]], s[b[ok]] - s[idx[ok]]))
-    width = np.clip(width, 0.01, None)
-    grid = np.linspace(s[0], s[-1], 500)
-    density = np.zeros(500)
-    for part in np.array_split(idx, max(1, len(s) // 2000)):
-        u = (grid[:, None] - s[part][None, :]) / width[part]
-        density += (np.exp(-0.5 * u * u) / (width[part] * math.sqrt(2 * math.pi))).sum(1)
-    density = _smooth(density / len(s))
+    return np.clip(width, 0.01, None)
+
+
+def _kernels(grid: np.ndarray, s: np.ndarray, width: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sum of the kernels of the sorted values at each grid point."""
+    density = np.zeros(len(grid))
+    for part in np.array_split(np.arange(len(s)), max(1, len(s) // 2000)):
+        x, w = s[part], width[part]
+        # beyond 39 widths a kernel is 0 in double precision
+        at = slice(np.searchsorted(grid, (x - 39 * w).min()), np.searchsorted(grid, (x + 39 * w).max(), side="right"))
+        u = (grid[at, None] - x) / w
+        density[at] += np.exp(-0.5 * u * u) @ (times[part] / (w * math.sqrt(2 * math.pi)))
+    return density
+
+
+def _fall(grid: np.ndarray, density: np.ndarray, tail: float, sensitivity: float, low: float, high: float) -> float:
+    """Where the tail of a density over the grid begins to fall off steadily."""
+    density = _smooth(density)
     right = np.cumsum(density[::-1] * (grid[1] - grid[0]))[::-1]
     below = np.flatnonzero(right <= tail)
     start = int(below[0]) if len(below) else int(0.95 * 500)
@@ -131,22 +137,86 @@ def kde_threshold(scores: np.ndarray, k: int = 50, tail: float = 0.005, sensitiv
     return float(np.clip(grid[min(at, 499)], low, high))
 
 
-def kde_outliers(cells: DataFrame, group: str, **how) -> DataFrame:
+def kde_threshold(scores: np.ndarray, k: int = 50, tail: float = 0.005, sensitivity: float = 1e-4, low: float = 2.5, high: float = 6.0, fallback: float = 3.0) -> float:
+    """Where the tail of an adaptive kernel density begins to fall off steadily; fewer than 50 scores give the fallback."""
+    s = np.sort(scores[np.isfinite(scores)])
+    if len(s) < 50 or s[0] == s[-1]:
+        return fallback
+    grid = np.linspace(s[0], s[-1], 500)
+    density = _kernels(grid, s, _widths(s, min(k, len(s) - 1)), np.ones(len(s)))
+    return _fall(grid, density / len(s), tail, sensitivity, low, high)
+
+
+def _in_blocks(scores: DataFrame, group: str, k: int, rows: int) -> DataFrame:
+    """group, z, times, block, own, n, lo, hi: the distinct scores of each group in blocks of about ``rows`` scores by
+    order, and beside each block's own the ``k`` before and the ``k`` after it."""
+    most = 1000
+    d = scores.groupBy(group, "z").agg(F.count("*").alias("times"))  # equal scores are one row
+    stats = d.groupBy(group).agg(F.sum("times").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    # the borders of large groups alone: one for every ``rows`` scores at most
+    large = back(scores, stats.filter(F.col("n") > rows), [group]).filter("n is not null")
+    borders = large.groupBy(group).agg(F.first("n").alias("n"), F.percentile_approx("z", F.array(*(F.lit(i / most) for i in range(1, most))), 100 * most).alias("q"))
+    step = F.ceil(most / F.least(F.lit(most), F.ceil(F.col("n") / rows))).cast("int")
+    borders = borders.select(group, F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("borders"))
+    borders = scores.sparkSession.createDataFrame(borders.collect(), borders.schema)  # approximate, so taken once
+    block = F.coalesce(F.size(F.filter("borders", lambda x: x <= F.col("z"))), F.lit(0))
+    d = back(d, F.broadcast(borders), [group]).withColumn("block", F.when(F.col("borders").isNull(), 0).otherwise(block)).drop("borders")
+    own = back(d, stats, [group]).select(group, "z", "times", "block", F.lit(True).alias("own"), "n", "lo", "hi")
+
+    # a block's outer scores, k at either end, hold what its neighbours need
+    w = Window.partitionBy(group, "block")
+    outer = own.join(F.broadcast(borders.select(F.col(group).alias("_g")).distinct()), F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    up = outer.withColumn("_at", F.row_number().over(w.orderBy("z"))).filter(F.col("_at") <= k).drop("_at")
+    down = outer.withColumn("_at", F.row_number().over(w.orderBy(F.desc("z")))).filter(F.col("_at") <= k).drop("_at")
+
+    def halos(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("z")
+        blocks, out = rows["block"].to_numpy(), []
+        for b in np.unique(blocks):
+            i, j = np.searchsorted(blocks, b), np.searchsorted(blocks, b, side="right")
+            out.append(pd.concat([rows.iloc[max(0, i - k) : i], rows.iloc[j : j + k]]).assign(block=b, own=False))
+        return pd.concat(out)
+
+    return own.unionByName(up.union(down).distinct().groupBy(group).applyInPandas(lambda rows: halos(rows), own.schema))
+
+
+def kde_outliers(cells: DataFrame, group: str, k: int = 50, fallback: float = 3.0, block_rows: int = 100_000, **how) -> DataFrame:
     """MAD-z of positive values per (feature, group), cut at each group's density threshold; features without spread are skipped.
 
-    The density of a group is estimated from 2,000 evenly spaced quantiles of its scores (an exact percentile
-    aggregate), so that a group of any size gives a task a bounded array."""
+    The density of a group is that of all its scores (``kde_threshold``). Sorted scores are dealt to blocks of bounded
+    size, which see as many neighbours on either side as a bandwidth needs; the densities of a group's blocks are
+    summed per grid point."""
     c = cells.withColumn("_pos", F.when(F.col("value") > 0, F.col("value")))
     s = median_mad(c, ["feature_id", group], "_pos").filter("mad >= 1e-10")
     z = back(c, s, ["feature_id", group]).withColumn("z", (F.col("_pos") - F.col("med")) * MAD_SCALE / F.col("mad"))
-    n = z.filter("z > 0").groupBy(group).agg(F.count("z").alias("n"))
-    at = [i / 1999 for i in range(2000)]
-    q = z.filter("z > 0").groupBy(group).agg(F.percentile("z", F.array(*map(F.lit, at))).alias("q")).join(n, group)
+    scores = z.filter("z > 0 and z < double('infinity')").select(group, "z")
+    settings = {"tail": 0.005, "sensitivity": 1e-4, "low": 2.5, "high": 6.0} | how
+
+    def density(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("z")
+        n, lo, hi = int(rows["n"].iloc[0]), float(rows["lo"].iloc[0]), float(rows["hi"].iloc[0])
+        out = rows[[group, "block", "n", "lo", "hi"]].head(1)
+        if n < 50 or lo == hi:
+            return out.assign(density=[[]])
+        x, times, own = rows["z"].to_numpy(float), rows["times"].to_numpy(np.int64), rows["own"].to_numpy(bool)
+        near = min(k, n - 1)
+        seen = np.minimum(times, near)  # further equal scores leave the distances as they are
+        width = _widths(np.repeat(x, seen), near)[np.cumsum(seen) - seen]
+        return out.assign(density=[_kernels(np.linspace(lo, hi, 500), x[own], width[own], times[own].astype(float))])
 
     @F.pandas_udf(DoubleType())
-    def cut(q: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([kde_threshold(np.asarray(a, float) if m >= 50 else np.empty(0), **how) for a, m in zip(q, n)])
-
-    t = q.select(group, cut("q", "n").alias("threshold"))
+    def cut(blocks: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        def one(parts, n, lo, hi):
+            if n < 50 or lo == hi:
+                return fallback
+            return _fall(np.linspace(lo, hi, 500), np.sum([p["density"] for p in parts], axis=0) / n, **settings)
+
+        return pd.Series([one(*x) for x in zip(blocks, n, lo, hi)])
+
+    dealt = _in_blocks(scores, group, k, block_rows)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(group, "block", "n", "lo", "hi").schema)
+    parts = dealt.groupBy(group, "block").applyInPandas(lambda rows: density(rows), fields + ", density array<double>")
+    t = parts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("block", "density"))).alias("blocks"), *(F.first(x).alias(x) for x in ("n", "lo", "hi")))
+    t = t.select(group, cut("blocks", "n", "lo", "hi").alias("threshold"))
     j = back(z, t, [group])
     return j.withColumn("flag", set_flag(F.col("flag"), Quality.OUTLIER_DETECTED, F.col("z") > F.col("threshold"))).select(*cells.columns, "threshold")

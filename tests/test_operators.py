@@ -443,3 +443,17 @@ def test_chart_data(spark):
     m = spark.createDataFrame([("s", "A", ["a", "b"]), ("s", "B", ["b", "c"])], "set_id string, cond string, members array<string>")
     assert {r["feature_id"]: r["flow"] for r in chart_data.feature_flow(m, "cond", "A", "B").collect()} == {"a": "gained", "b": "kept", "c": "lost"}
     assert chart_data.membership(m, ["cond"]).count() == 4
+
+
+def test_kde_density_of_all_scores(spark):
+    from quillon.operators import adaptive
+
+    rng = np.random.default_rng(8)
+    groups = {"small": 3 + rng.standard_t(4, 240), "large": rng.lognormal(0, 0.9, 9000), "ties": np.round(rng.lognormal(0, 0.7, 6000), 1), None: rng.gamma(2, 1, 3000), "few": 1 + rng.random(60)}
+    rows = [("f", f"{g}{i}", float(x), 0, g) for g, v in groups.items() for i, x in enumerate(v)]
+    cells = spark.createDataFrame(rows, "feature_id string, sample_id string, value double, flag int, grp string")
+    got = {r["grp"]: r["t"] for r in adaptive.kde_outliers(cells, "grp", low=0.1, high=50.0, block_rows=700).groupBy("grp").agg(F.max("threshold").alias("t")).collect()}
+    for g, v in groups.items():
+        v = v[v > 0]
+        z = (v - np.median(v)) * 0.6745 / np.median(np.abs(v - np.median(v)))
+        assert np.isclose(got[g], adaptive.kde_threshold(z[z > 0], low=0.1, high=50.0), rtol=1e-9), g
