@@ -1,10 +1,11 @@
 """Secret scan with multipart credential linking.
 
 Base detectors (assign, access, hex) report on their own. Weaker parts do not: an identifier (a short or
-temporary access key, a client or user assignment), a key-like token and an endpoint (URL or host with a
-domain) are found as intervals and reported only when complementary parts meet in a scope: an
-identifier (or a base ``access`` span) and a key within ``reach`` code points of each other and no blank
-line between them; an endpoint then joins the pair it is near to. The interval join is a sweep over
+temporary access key, a client or user assignment), a key-like token of 16 characters or more, an assignment too short
+for the base kind (a key too) and an endpoint (URL or host with a domain) are found as intervals and reported
+only when complementary parts meet in a scope: an identifier (or a base ``access`` span) and a key (or a base
+``assign`` or ``hex`` span) within ``reach`` code points of each other and no blank line between them; what
+lies within an identifier is its value and no key; an endpoint then joins the pair it is near to. The interval join is a sweep over
 the sorted parts of a document: each part looks at those that begin within its reach.
 
 Positions are code points, ends exclusive. Edge cases: null text is empty; a text of any length is
@@ -29,8 +30,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 #: Weak parts.
-IDENTIFIER = re.compile(r"""\b(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{8,})\b|(?:client|user|account|access)[_-]?(?:id|key[_-]?id|name)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,64})""", re.A | re.I)
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+IDENTIFIER = re.compile(r"""\b(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{8,})\b|(?:client|user|account|access)[_-]?(?:id|key[_-]?id|name)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]+)""", re.A | re.I)
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{4,253}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~/-]*)?|\b(?:host|endpoint|server)\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9.-]{4,253}", re.A | re.I)
 IDENTIFIER_WORDS = ("akia", "asia", "client", "user", "account", "access")
 BLANK_LINE = re.compile(r"\n[\x20\t]*\n")
@@ -63,18 +64,26 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found = [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
     if found or any(s[1] == 1 for s in base):
         found += [(m.start(), 4, m.end()) for m in KEY.finditer(text) if _key_like(m[0])]
+        if any(w in low for w in ASSIGN_WORDS):
+            found += [(m.start(), 4, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) < 12]
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     return sorted(found)
 
 
 def linked(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
     """Weak parts whose complement is in the same scope."""
-    parts = sorted(weak_parts(text, base) + [s for s in base if s[1] < 2])
-    if not parts:
+    weak = weak_parts(text, base)
+    if not weak:
         return []
+    ids, parts, end = [s for s in weak if s[1] == 3], [], 0
+    for s in sorted(weak + base):
+        while end < len(ids) and ids[end][2] <= s[0]:
+            end += 1
+        if s[1] in (1, 3, 5) or not (end < len(ids) and ids[end][0] <= s[0] and s[2] <= ids[end][2]):
+            parts.append(s)
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
     scope = [bisect.bisect_right(breaks, s[0]) for s in parts]
-    role = {0: "key", 1: "id", 3: "id", 4: "key", 5: "end"}
+    role = {0: "key", 1: "id", 2: "key", 3: "id", 4: "key", 5: "end"}
     near: list[set[str]] = [set() for _ in parts]
     for i, a in enumerate(parts):  # the sweep
         j = i + 1

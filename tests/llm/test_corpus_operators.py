@@ -549,3 +549,14 @@ def test_linking_by_a_temporary_access_id():
         t = f"{name} {key} https://sts.example.com"
         assert [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.linked(t, secrets.base_spans(t))] == [("identifier", name), ("key", key), ("endpoint", "https://sts.example.com")]
         assert secrets.linked(name, secrets.base_spans(name)) == []
+
+
+def test_linking_of_other_complements():
+    kinds = lambda t: [secrets.KINDS[s[1]] for s in secrets.linked(t, secrets.base_spans(t))]
+    digest = "9f86d081884c7d659a2feaa0c55ad015"
+    assert kinds(f"client_id: x\nclient_key {digest}\nhttps://api.example.com") == ["identifier", "endpoint"]
+    assert kinds("user_name: bob\npassword: hunter2\nhost: db.example.com") == ["identifier", "key", "endpoint"]
+    assert kinds("client_id: abcdef q9ZtR2mKx7LbV4wP") == ["identifier", "key"]
+    assert kinds("client_id: abcdef " + "aB3dE5gH7jK9mN1pQ2rS" * 10) == ["identifier", "key"]
+    # an identifier's own value is no key
+    assert kinds(f"client_id: {digest}") == kinds("client_id: q9ZtR2mKx7LbV4wP") == kinds(f"password: hunter2 {digest} https://api.example.com") == []
