@@ -3,8 +3,9 @@
 Vectors are dealt by a hash of their id to shards of bounded size. A task builds one shard's
 hierarchical navigable small-world graph (Malkov and Yashunin, 2018) in batches and stores it in the
 shared folder. Blocks of queries are then run against every shard; a beam is widened for the queries
-whose beam is full of links, and for a whole block until an audit (queries chosen by a hash, compared
-with an exhaustive scan of the shard) reaches the wanted recall. Found pairs are verified by cosine in
+whose beam is full of links, and for a whole pair of shards until an audit (queries in the order of a hash,
+compared with an exhaustive scan of the shard until enough links are seen) reaches the wanted recall. Where no
+beam does, or all queries have too few links to tell, the shard is scanned exhaustively. Found pairs are verified by cosine in
 double precision, united over all shards, and joined to components.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -175,30 +176,58 @@ class Graph:
         return np.where(sims > -np.inf, ids, -1), sims
 
 
-def linked_pairs(graph: Graph, q: np.ndarray, q_ids: np.ndarray, least: float, recall: float = 0.99, beam: int = 16, audit_share: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """(query id, node id) of pairs with cosine >= least; q holds unit vectors in double precision."""
+def _scan(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) positions of all pairs with cosine >= least, by an exhaustive scan."""
+    found = [np.nonzero(q[i : i + 64] @ graph.exact.T >= least) for i in range(0, len(q), 64)]
+    return np.concatenate([r + 64 * i for i, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
+
+
+def _beam_search(graph: Graph, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) positions of the pairs with cosine >= least that a walk with the beam finds."""
     slack = 1e-5  # of single precision; the verification decides
-    audited = np.flatnonzero((q_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(audit_share) == 0)
-    truth = q[audited] @ graph.exact.T >= least
     n = len(graph.x)
-    while True:
-        a, b = [], []
-        todo, width = np.arange(len(q)), min(beam, n)
-        while len(todo):
-            ids, sims = graph.search(q[todo], width)
-            hit = (ids >= 0) & (sims >= least - slack)
-            full = hit.all(1) & (width < n)  # more links may lie beyond the beam
-            r, c = np.nonzero(hit & ~full[:, None])
-            a.append(todo[r])
-            b.append(ids[r, c])
-            todo, width = todo[full], min(4 * width, n)
-        a, b = np.concatenate(a), np.concatenate(b)
-        sure = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 100_000]], graph.exact[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]) >= least if len(a) else np.zeros(0, bool)
-        a, b = a[sure], b[sure]
-        at = np.isin(a, audited)
-        if beam >= n or at.sum() >= recall * truth.sum():
-            return q_ids[a], graph.ids[b]
+    a, b = [], []
+    todo, width = np.arange(len(q)), min(beam, n)
+    while len(todo):
+        ids, sims = graph.search(q[todo], width)
+        hit = (ids >= 0) & (sims >= least - slack)
+        full = hit.all(1) & (width < n)  # more links may lie beyond the beam
+        r, c = np.nonzero(hit & ~full[:, None])
+        a.append(todo[r])
+        b.append(ids[r, c])
+        todo, width = todo[full], min(4 * width, n)
+    a, b = np.concatenate(a), np.concatenate(b)
+    sure = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 100_000]], graph.exact[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]) >= least if len(a) else np.zeros(0, bool)
+    return a[sure], b[sure]
+
+
+def audited_beam(graph: Graph, q: np.ndarray, q_ids: np.ndarray, least: float, recall: float = 0.99, beam: int = 16, audit_rows: int = 2048, audit_links: int = 50) -> int:
+    """The beam whose walks find the wanted share of the links of audited queries, 0 where only an exhaustive scan does.
+
+    ``q`` holds the unit vectors of all queries of a shard. Queries are audited in the order of a hash of their ids
+    until so many links are seen, if need be all of them; a vector's link to itself doesn't count."""
+    order = np.argsort(q_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    done, true = 0, 0
+    while done < len(q) and (done == 0 or true < audit_links):
+        part = order[done : done + audit_rows]
+        r, c = _scan(graph, q[part], least)
+        true += int((q_ids[part[r]] != graph.ids[c]).sum())
+        done += len(part)
+    if true < audit_links:
+        return 0  # few links or none among all queries: nothing to judge a walk by
+    at = order[:done]
+    while beam < len(graph.x):
+        r, c = _beam_search(graph, q[at], least, beam)
+        if (q_ids[at[r]] != graph.ids[c]).sum() >= recall * true:
+            return beam
         beam *= 2
+    return 0
+
+
+def linked_pairs(graph: Graph, q: np.ndarray, q_ids: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query id, node id) of pairs with cosine >= least; q holds unit vectors in double precision; beam 0: all, exhaustively."""
+    a, b = _beam_search(graph, q, least, beam) if beam else _scan(graph, q, least)
+    return q_ids[a], graph.ids[b]
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.9, shard_rows: int = 65_536, block_rows: int = 2048, recall: float = 0.99) -> DataFrame:
@@ -221,11 +250,14 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, shard_rows: int = 65
     dim = F.size("embedding")
     keyed = vectors.withColumn("dim", dim).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.element_at(table, F.col("dim"))).cast("int"))
     built = written(keyed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, name string, n bigint"), "hnsw-shards").orderBy("dim", "shard").collect()
-    jobs = [(g["name"], q["name"], i) for g in built for q in built if g["dim"] == q["dim"] for i in range(0, q["n"], block_rows)]  # names, not vectors
-    work = spark.createDataFrame(jobs or [("", "", 0)], "graph string, queries string, first bigint").filter("graph <> ''")
-    work = work.repartition(max(1, len(jobs)), F.xxhash64("graph", "queries", "first"))
+    audits = [(g["name"], q["name"], q["n"]) for g in built for q in built if g["dim"] == q["dim"]]  # names, not vectors
 
-    def run(batches):
+    def dealt(jobs: list, third: str) -> DataFrame:
+        work = spark.createDataFrame(jobs or [("", "", 0, 0)], f"graph string, queries string, {third} bigint, beam bigint").filter("graph <> ''")
+        return work.repartition(max(1, len(jobs)), F.xxhash64("graph", "queries", third))
+
+    def opened(batches):
+        """Jobs with their graph and their queries' graph."""
         store, cache = ByteStore(store_root), {}
 
         def load(name: str) -> Graph:
@@ -238,12 +270,23 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, shard_rows: int = 65
 
         for b in batches:
             for job in b.to_pylist():
-                g, q = load(job["graph"]), load(job["queries"])
-                part = slice(job["first"], job["first"] + block_rows)
-                u, v = linked_pairs(g, q.exact[part], q.ids[part], least, recall)
-                lo, hi = np.minimum(u, v), np.maximum(u, v)
-                pairs = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                yield job, load(job["graph"]), load(job["queries"])
+
+    def audit(batches):
+        for job, g, q in opened(batches):
+            beam = audited_beam(g, q.exact, q.ids, least, recall)
+            yield pa.RecordBatch.from_arrays([pa.array([job["graph"]]), pa.array([job["queries"]]), pa.array([job["n"]], pa.int64()), pa.array([beam], pa.int64())], names=["graph", "queries", "n", "beam"])
+
+    beams = dealt([(*x, 0) for x in audits], "n").mapInArrow(audit, "graph string, queries string, n bigint, beam bigint").collect()  # a row a pair of shards
+    work = dealt([(r["graph"], r["queries"], i, r["beam"]) for r in sorted(beams) for i in range(0, r["n"], block_rows)], "first")
+
+    def run(batches):
+        for job, g, q in opened(batches):
+            part = slice(job["first"], job["first"] + block_rows)
+            u, v = linked_pairs(g, q.exact[part], q.ids[part], least, job["beam"])
+            lo, hi = np.minimum(u, v), np.maximum(u, v)
+            pairs = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     return work.mapInArrow(run, "u bigint, v bigint").distinct()
 

@@ -271,6 +271,28 @@ def test_components(spark):
     assert all(got.get(i, i) == find(i) for i in parent)
 
 
+def test_embedding_links_that_no_walk_reaches(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + rng.normal(size=(200, 16)) * 0.01
+    few = rng.normal(size=(300, 16))
+    few[299] = few[7]
+    insert = hnsw.Graph._insert
+
+    def severed(self, *args):  # a graph without links: walks stay at the entry
+        insert(self, *args)
+        for layer in self.layers:
+            layer[:] = -1
+
+    monkeypatch.setattr(hnsw.Graph, "_insert", severed)
+    for v, n in ((x, 200), (few, 1)):
+        g = hnsw.Graph(v / np.linalg.norm(v, axis=1, keepdims=True))
+        g.exact, g.ids = v / np.linalg.norm(v, axis=1, keepdims=True), np.arange(len(v))
+        beam = hnsw.audited_beam(g, g.exact, g.ids, 0.95)
+        a, b = hnsw.linked_pairs(g, g.exact, g.ids, 0.95, beam)
+        assert beam == 0 and (a < b).sum() == n
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
