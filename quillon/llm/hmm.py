@@ -94,7 +94,8 @@ def alphabet(counts: DataFrame, own_words: int = 4096, hot_words: int = 100_000,
         if hot_words < 0:
             level = r["k"] + 1
             break
-    top = sorted(counts.filter(_level("c") >= level).collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # hot_words at most
+    # END always has its own symbol and its count, whatever the level: it is never looked up among the rare words
+    top = sorted(counts.filter((_level("c") >= level) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # hot_words + 1 at most
     hot = {bytes(r["word"]): r["c"] for r in top}
     own = {END: 0} | {w: i for i, w in enumerate((w for w in list(hot)[:own_words] if w != END), 1)}
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -163,6 +164,11 @@ class Hmm:
         return Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)) if k > 1 else np.ones((1, 1)), emit / emit.sum(0))
 
 
+    def stationary(self, steps: int = 64) -> np.ndarray:
+        """The distribution of a state far from the document's start."""
+        return self.start @ np.linalg.matrix_power(self.step, steps)
+
+
 def _chunks(seqs: list[np.ndarray], tokens: int):
     """Lists of sequences, longest first, of about so many tokens."""
     part, n = [], 0
@@ -203,33 +209,52 @@ def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     return logs
 
 
-def expected(hmm: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected start, transition and emission counts of non-empty sequences (longest first)."""
+def expected(hmm: Hmm, seqs: list[np.ndarray], lead: np.ndarray | None = None, core: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected start, transition and emission counts of non-empty sequences (longest first).
+
+    ``lead``: how many symbols at the front of each sequence are context of what follows (0: the sequence begins its
+    document), ``core``: how many symbols after them count; the rest is context too. A transition counts with its
+    second symbol, a start only where a document begins."""
     symbols, begin, active = _layout(seqs)
     last = len(active) - 1
+    lead = np.zeros(len(seqs), np.int64) if lead is None else lead
+    until = lead + (last + 1 if core is None else core)
     e = hmm.emit[symbols]
     alpha, scale = np.empty_like(e), np.empty(len(symbols))
+    first = np.where((lead == 0)[:, None], hmm.start[None, :], hmm.stationary()[None, :])
     for t in range(last + 1):
         i, j = begin[t], begin[t + 1]
-        a = (hmm.start[None, :] if t == 0 else alpha[begin[t - 1] : begin[t - 1] + active[t]] @ hmm.step) * e[i:j]
+        a = (first[: active[0]] if t == 0 else alpha[begin[t - 1] : begin[t - 1] + active[t]] @ hmm.step) * e[i:j]
         scale[i:j] = a.sum(1)
         alpha[i:j] = a / scale[i:j, None]
-    moves = np.zeros_like(hmm.step)
+    moves, counted = np.zeros_like(hmm.step), np.empty(len(symbols), bool)
     beta = np.ones((active[last], len(hmm.start)))
-    for t in range(last, 0, -1):  # alpha of each time becomes alpha * beta once its successor has used it
+    for t in range(last, -1, -1):  # alpha of each time becomes alpha * beta once its successor has used it
         i, j = begin[t], begin[t + 1]
-        ahead = e[i:j] * beta / scale[i:j, None]
-        moves += alpha[begin[t - 1] : begin[t - 1] + active[t]].T @ ahead
-        alpha[i:j] *= beta
-        beta = np.ones((active[t - 1], len(hmm.start)))
-        beta[: active[t]] = ahead @ hmm.step.T
+        counted[i:j] = (lead[: active[t]] <= t) & (t < until[: active[t]])
+        if t:
+            ahead = e[i:j] * beta / scale[i:j, None]
+            before = alpha[begin[t - 1] : begin[t - 1] + active[t]]
+            moves += before.T @ ahead if counted[i:j].all() else before[counted[i:j]].T @ ahead[counted[i:j]]
+            alpha[i:j] *= beta
+            beta = np.ones((active[t - 1], len(hmm.start)))
+            beta[: active[t]] = ahead @ hmm.step.T
     alpha[: active[0]] *= beta
-    return alpha[: active[0]].sum(0), moves * hmm.step, np.stack([np.bincount(symbols, alpha[:, k], len(hmm.emit)) for k in range(alpha.shape[1])], 1)
+    starts = alpha[: active[0]][lead == 0].sum(0)
+    symbols, alpha = symbols[counted], alpha[counted]
+    return starts, moves * hmm.step, np.stack([np.bincount(symbols, alpha[:, k], len(hmm.emit)) for k in range(alpha.shape[1])], 1)
+
+
+def segments(s: np.ndarray, core: int, context: int) -> list[tuple[np.ndarray, int]]:
+    """(symbols, lead) of a sequence's segments: ``core`` symbols each, with ``context`` more on either side."""
+    return [(s[max(0, i - context) : i + core + context], min(i, context)) for i in range(0, len(s), core)]
 
 
-def baum_welch(encoded: DataFrame, k: int, symbols: int, passes: int = 4, segment: int = 512, chunk_tokens: int = 400_000, prior: float = 0.05) -> Hmm:
+def baum_welch(encoded: DataFrame, k: int, symbols: int, passes: int = 4, segment: int = 512, context: int = 64, chunk_tokens: int = 400_000, prior: float = 0.05) -> Hmm:
     """Train on the encoded rows that are not held out. A pass takes sequences in segments of ``segment``
-    symbols (all of them), so that a task's memory doesn't depend on the longest document."""
+    symbols (all of them), so that a task's memory doesn't depend on the longest document; each segment sees
+    ``context`` symbols on either side that don't count, so that the transitions over a cut count once and
+    only documents have starts."""
     spark = encoded.sparkSession
     hmm = Hmm.seeded(k, symbols)
     train = encoded.filter("not held_out").select("symbols")
@@ -242,10 +267,13 @@ def baum_welch(encoded: DataFrame, k: int, symbols: int, passes: int = 4, segmen
             start, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
             for b in batches:
                 seqs = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)]
-                seqs = [s[i : i + segment] for s in seqs for i in range(0, len(s), segment)]
-                for part in _chunks(seqs, chunk_tokens):
-                    for total, x in zip((start, moves, emits), expected(h, part)):
+                cut = sorted((x for s in seqs for x in segments(s, segment, context)), key=lambda x: -len(x[0]))
+                done = 0
+                for part in _chunks([x[0] for x in cut], chunk_tokens):
+                    lead = np.array([x[1] for x in cut[done : done + len(part)]])
+                    for total, x in zip((start, moves, emits), expected(h, part, lead, segment)):
                         total += x
+                    done += len(part)
             v = np.concatenate([start, moves.ravel(), emits.ravel()])
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(v[at])], names=["at", "v"])
@@ -285,7 +313,7 @@ def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus:
     encoded = written(encode(docs, spark.sparkContext.broadcast(a), modulus, held_out), "hmm-encoded")
     hmm = baum_welch(encoded, states, a.size, passes)
     rare = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    known = rare.join(counts.filter(_level("c") < a.level), "word")  # the others are in the alphabet
+    known = rare.join(counts.filter((_level("c") < a.level) & (F.col("word") != F.lit(END))), "word")  # the others are in the alphabet
     sums = known.groupBy("rid").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"))
     r = log_likelihoods(encoded, hmm).join(sums, "rid", "left")
     tail_known, tail_log = F.coalesce("tail_known", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))

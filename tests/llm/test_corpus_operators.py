@@ -128,6 +128,43 @@ def test_forward_matches_path_sums():
         assert np.allclose(got, sum(w[j] for w in want))
 
 
+def test_segments_count_like_whole_sequences():
+    rng = np.random.default_rng(4)
+    k, s = 2, 12
+    h = hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T)
+    whole = sorted([rng.integers(0, s, n).astype(np.uint16) for n in (1, 39, 40, 41, 400, 1013)], key=len, reverse=True)
+    cut = sorted((x for q in whole for x in hmm.segments(q, 40, 30)), key=lambda x: -len(x[0]))
+    assert max(len(x[0]) for x in cut) <= 100
+    want = hmm.expected(h, whole)
+    got = hmm.expected(h, [x[0] for x in cut], np.array([x[1] for x in cut]), 40)
+    for a, b in zip(got, want):
+        assert np.allclose(a, b, atol=1e-4)
+    assert math.isclose(got[1].sum(), sum(map(len, whole)) - len(whole)) and math.isclose(got[0].sum(), len(whole))
+
+
+@pytest.mark.parametrize("hot_words", [100, 100_000])
+def test_hmm_end_token_counts_once(spark, monkeypatch, hot_words):
+    """Even where the highest level of counts alone holds more words than the list of frequent ones may."""
+    trained = []
+    learn = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a, **k: trained.append(learn(*a, **k)) or trained[-1])
+    ids = [[i for i in range(1, 99) if (crc(i) % 7 == 2) == held][:n] for held, n in ((False, 1), (True, 3))]
+    many = [f"u{i}" for i in range(3000)]
+    texts = {ids[0][0]: " ".join(many), ids[1][0]: "", ids[1][1]: "u5", ids[1][2]: "unknown"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in hmm.score_documents(docs, passes=1, own_words=16, hot_words=hot_words, classes=8).collect()}
+    end = float(trained[0].start @ trained[0].emit[0])
+    assert math.isclose(got[ids[1][0]]["score"], math.log10(end), rel_tol=1e-9)
+    assert got[ids[1][0]]["n_known"] == 1 and got[ids[1][1]]["n_known"] == 2 and got[ids[1][2]]["n_known"] == 1
+    # one-word texts over all training words and one unknown word per class are a share of what follows the start
+    h = trained[0]
+    counts = {w.encode(): 1 for w in many} | {hmm.END: 1}
+    a = hmm.alphabet(spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c bigint"), 16, hot_words, 8)
+    first = h.start @ h.emit.T
+    total = sum(first[a.own[w]] if w in a.own else first[len(a.own) + a.klass(w)] * (c + 1) / a.class_total[a.klass(w)] for w, c in counts.items())
+    assert 0.5 < total <= 1 + 1e-9
+
+
 def test_hmm_odd_rows(spark):
     got = hmm.score_documents(odd_docs(spark), own_words=8, hot_words=20, classes=4, passes=1).collect()
     assert len(got) == odd_docs(spark).count() and all(math.isfinite(r["score"]) for r in got)
