@@ -5,7 +5,8 @@ temporary access key, a client or user assignment), a key-like token of 16 chara
 for the base kind (a key too) and an endpoint (URL or host with a domain) are found as intervals and reported
 only when complementary parts meet in a scope: an identifier (or a base ``access`` span) and a key (or a base
 ``assign`` or ``hex`` span) within ``reach`` code points of each other and no blank line between them; what
-lies within an identifier is its value and no key; an endpoint then joins the pair it is near to. The interval join is a sweep over
+lies within an identifier is its value and no key; an endpoint then joins a pair of which both parts are near to
+it, and never stands alone. ``credentials`` lists the pairs with their endpoints. The interval join is a sweep over
 the sorted parts of a document: each part looks at those that begin within its reach.
 
 Positions are code points, ends exclusive. Edge cases: null text is empty; a text of any length is
@@ -36,7 +37,7 @@ ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]{4,253}(?::[0-9]{1,5})?(?:/[A-Za-z
 IDENTIFIER_WORDS = ("akia", "asia", "client", "user", "account", "access")
 BLANK_LINE = re.compile(r"\n[\x20\t]*\n")
 
-SPANS_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+SPANS_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, credentials string"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,11 +71,15 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(found)
 
 
-def linked(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
-    """Weak parts whose complement is in the same scope."""
+def credentials(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> tuple[list[tuple], list[tuple[int, int, int]]]:
+    """The linked pairs of parts, base spans among them, and the weak parts to report.
+
+    A pair is an identifier and a key within reach in one scope; it is given as (identifier, key) or, where endpoints
+    are near to both, as (identifier, key, the first of these). Weak parts of pairs and all endpoints that are near to
+    both parts of one pair are reported, unless a base span overlaps them."""
     weak = weak_parts(text, base)
-    if not weak:
-        return []
+    if not weak and not any(s[1] == 1 for s in base):
+        return [], []
     ids, parts, end = [s for s in weak if s[1] == 3], [], 0
     for s in sorted(weak + base):
         while end < len(ids) and ids[end][2] <= s[0]:
@@ -84,16 +89,33 @@ def linked(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> lis
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
     scope = [bisect.bisect_right(breaks, s[0]) for s in parts]
     role = {0: "key", 1: "id", 2: "key", 3: "id", 4: "key", 5: "end"}
-    near: list[set[str]] = [set() for _ in parts]
+    pairs, ends = [], [set() for _ in parts]
     for i, a in enumerate(parts):  # the sweep
         j = i + 1
         while j < len(parts) and parts[j][0] - a[2] <= reach and scope[j] == scope[i]:
-            near[i].add(role[parts[j][1]])
-            near[j].add(role[a[1]])
+            x, y = role[a[1]], role[parts[j][1]]
+            if {x, y} == {"id", "key"}:
+                pairs.append((i, j) if x == "id" else (j, i))
+            elif x == "end" != y:
+                ends[j].add(i)
+            elif y == "end" != x:
+                ends[i].add(j)
             j += 1
-    paired = [(role[p[1]] == "id" and "key" in n) or (role[p[1]] == "key" and "id" in n) or (role[p[1]] == "end" and {"id", "key"} <= n) for p, n in zip(parts, near)]
-    covered = lambda p: any(b[0] < p[2] and p[0] < b[2] for b in base)
-    return [p for p, ok in zip(parts, paired) if ok and p[1] > 2 and not covered(p)]
+    groups, weak = [], set()
+    for i, k in sorted(pairs):
+        both = ends[i] & ends[k]
+        groups.append((parts[i], parts[k], parts[min(both)]) if both else (parts[i], parts[k]))
+        weak.update((i, k), both)
+    starts, furthest = [b[0] for b in base], [0]  # the furthest end of the base spans that begin before
+    for b in base:
+        furthest.append(max(furthest[-1], b[2]))
+    free = lambda p: furthest[bisect.bisect_left(starts, p[2])] <= p[0]
+    return groups, sorted(p for p in (parts[i] for i in weak) if p[1] > 2 and free(p))
+
+
+def linked(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
+    """Weak parts whose complement is in the same scope."""
+    return credentials(text, base, reach)[1]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -110,10 +132,12 @@ def find_secrets(docs: DataFrame, reach: int = 400) -> DataFrame:
                 text = text.as_py() or ""
                 base = base_spans(text)
                 kinds = [s[1] for s in base]
-                every = sorted(base + linked(text, base, reach))
-                out.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                groups, weak = credentials(text, base, reach)
+                every = sorted(base + weak)
+                of_pairs = ",".join("+".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in g) for g in groups)
+                out.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), of_pairs))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[x.split()[0] for x in SPANS_SCHEMA.split(", ")])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(scan, SPANS_SCHEMA)
