@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import components, hmm, hnsw, jaccard, media, mixing, packing, pii, quality, secrets, zipwarc
 
@@ -25,8 +26,6 @@ def odd_docs(spark):
         (None, "one two three four", "en", "a", 18), (None, None, None, None, None), (5, long_text, "en", "a", len(long_text)), (6, long_text + " x", "en", "c", 1),
         (7, "a@b.cd 1.2.3.4 \U0001f600 e@f.gh +1 (437) 555-0689", "en", "a", 1), (8, "4845168114407329" * 200, "en", "a", 1), (9, "x" * 50_000, "en", "a", 1),
     ]
-    from pyspark.sql import functions as F
-
     return spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("spans", F.lit("clash"))
 
 
@@ -195,6 +194,64 @@ def test_pack_opens_the_cheapest_bin():
     assert packing.pack([5, 4, 3, 2], (8, 16), overhead=4) == [(0, 16, 0), (0, 16, 5), (0, 16, 9), (0, 16, 12)]
 
 
+def pack_cost(sizes, lengths, **how):
+    return sum(packing.cost(c, **how) for c in dict(p[:2] for p in packing.pack(sizes, lengths, **how)).values())
+
+
+def best_cost(sizes, lengths, **how):
+    """The least cost over all partitions of the pieces."""
+    def parts(rest, bins):
+        if not rest:
+            yield sum(packing.cost(min(c for c in lengths if c >= b), **how) for b in bins)
+            return
+        n = rest[0]
+        for i in range(len(bins)):
+            if bins[i] + n <= max(lengths):
+                yield from parts(rest[1:], bins[:i] + [bins[i] + n] + bins[i + 1 :])
+        yield from parts(rest[1:], bins + [n])
+
+    return min(parts(sizes, []))
+
+
+def test_pack_against_all_partitions():
+    rng, ratios = random.Random(5), []
+    for _ in range(150):
+        lengths = rng.choice([(4, 8, 16), (8, 16), (6, 10, 15), (16,)])
+        how = {"overhead": rng.choice([0, 1, 4]), "attention": rng.choice([8, 16, 1000])}
+        sizes = [rng.randint(1, max(lengths)) for _ in range(rng.randint(1, 7))]
+        ratios.append(pack_cost(sizes, lengths, **how) / best_cost(sizes, lengths, **how))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.5 and sum(r < 1 + 1e-9 for r in ratios) > 100 and sum(ratios) / len(ratios) < 1.03
+
+
+def test_pack_fill_is_the_greedy_one():
+    rng = random.Random(6)
+    for _ in range(300):
+        up = sorted(rng.randint(1, 12) for _ in range(rng.randint(1, 30)))
+        left, first, capacity = rng.randint(0, len(up)), rng.randint(1, 20), rng.randint(20, 60)
+        used = first
+        for n in reversed(up[:left]):
+            used += n if used + n <= capacity else 0
+        assert packing._Remaining(up).fill(left, first, capacity) == used
+
+
+def test_pack_uses_several_lengths_to_gain():
+    rng = random.Random(1)
+    for low, high in ((1, 250), (200, 256), (1, 1500)):
+        sizes = [rng.randint(low, high) for _ in range(3000)]
+        opened = Counter(c for _, c in set(p[:2] for p in packing.pack(sizes)))
+        assert sum(opened.values()) - max(opened.values()) > 30 or high <= 250
+        assert pack_cost(sizes, packing.LENGTHS) < 0.85 * pack_cost(sizes, (4096,))
+        assert pack_cost(sizes, packing.LENGTHS) <= 1.001 * min(pack_cost(sizes, (c,)) for c in packing.LENGTHS if c >= high)
+
+
+def test_pack_documents_whatever_the_layout(spark):
+    docs = some_docs(spark).select("doc_id", "text")
+    docs = docs.union(docs.filter("doc_id % 3 = 0")).union(spark.createDataFrame([(5, "a b c")] * 700 + [(None, "a b")] * 300, "doc_id bigint, text string"))
+    rows = [Counter(map(tuple, packing.pack_documents(d, shard_pieces=100).collect())) for d in (docs, docs.repartition(7, "text"), docs.orderBy(F.rand(1)).coalesce(2))]
+    assert rows[0] == rows[1] == rows[2] and sum(rows[0].values()) >= docs.count()
+    assert len({x[4].split("-")[0] for x in rows[0] if x[0] == 5 and x[4]}) > 1  # one id's copies are dealt to several shards
+
+
 def test_pack_documents(spark):
     for docs in (some_docs(spark), odd_docs(spark)):
         words = Counter()
