@@ -5,13 +5,16 @@ distinct image of a task once in tar shards under its SHA-256, and returns one i
 row: digest, shard, offset, length. ``probe_headers`` fills metadata columns from range reads of
 the header alone; ``read_media`` reads the stored bytes, decodes them and computes features.
 
-No shuffle: each task packs what it scans. Shards are written below the shared folder under names
+Texts are not shuffled: each task packs what it scans. Shards are written below the shared folder under names
 that hold a token of the attempt; the index table is committed by Spark, so a lost task leaves at
-most an unreferenced shard and the re-run writes its own.
-
-Edge cases: a null or empty text is the empty payload (64 zero bytes); repeated rows and equal texts
-share one member per task and give equal values; null ids are kept; an empty table gives an empty
-index; further columns of the input are ignored.
+most an unreferenced shard and the re-run writes its own. For the read-back the small index rows are dealt
+by shard and range of ``range_bytes``, so that a task reads a bounded stretch of one shard, in order, whatever
+the index's own files look like; rows of one member follow one another, and the task keeps only the last.
+
+Edge cases: a null or empty text is the empty payload (64 zero bytes); a text of any length is one member, held
+whole by its task; repeated rows and equal texts share one member per task (equal texts that different tasks
+pack are stored once each, under the same digest) and give equal values; null ids are kept; an empty table gives
+an empty index; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillon.llm.shared import ByteStore, read_at, shared_dir, written
 
@@ -180,15 +184,22 @@ def _handle(store: ByteStore, handles: dict, name: str):
     return handles[name]
 
 
+def by_place(index: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
+    """Index rows dealt to tasks by shard and range, sorted by place; about a task a range of stored bytes."""
+    stored = index.agg(F.sum("length")).first()[0] or 0  # of all rows, repeated members too: no less than is stored
+    n = min(100_000, max(index.sparkSession.sparkContext.defaultParallelism, -(-stored // range_bytes)))
+    return index.repartition(n, "shard", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("shard", "offset")
+
+
 def read_media(index: DataFrame, root: str) -> DataFrame:
     """Rows of MEDIA_SCHEMA: header columns by a range read, then the member read back, checked and decoded."""
 
     def read(batches):
-        store, handles, seen = ByteStore(root), {}, {}
+        store, handles, last, seen = ByteStore(root), {}, None, None
         for batch in batches:
             rows, out = batch.to_pydict(), []
             for digest, shard, offset, length in zip(rows["digest"], rows["shard"], rows["offset"], rows["length"]):
-                if digest not in seen:
+                if digest != last:
                     handle = _handle(store, handles, shard)
                     width, height, depth, _ = parse_header(read_at(handle, offset, HEADER_BYTES))
                     media = read_at(handle, offset, length)
@@ -196,8 +207,8 @@ def read_media(index: DataFrame, root: str) -> DataFrame:
                     if stored != digest:
                         raise ValueError(f"{shard}@{offset} doesn't hold {digest}")
                     payload = decode_png(media)
-                    seen[digest] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), stored, feature_of(payload), width, height, depth)
-                out.append(seen[digest])
+                    last, seen = digest, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), stored, feature_of(payload), width, height, depth)
+                out.append(seen)
             cols = list(zip(*out)) if out else [[]] * 9
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=_names(MEDIA_SCHEMA))
@@ -209,4 +220,4 @@ def media_columns(docs: DataFrame, shard_bytes: int = 32 << 20) -> DataFrame:
     """Pack, commit the index, read back."""
     root = shared_dir(docs.sparkSession, "media")
     index = written(pack_media(docs, root, shard_bytes), "media-index")
-    return read_media(index, root)
+    return read_media(by_place(index), root)
