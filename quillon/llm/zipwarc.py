@@ -1,11 +1,14 @@
 """WARC records in ZIP packages, read by range without extraction.
 
-``write_packages`` stores each page as a gzip member of a WARC file; the WARC file, its CDXJ index
-and a description are *stored* (uncompressed) members of a ZIP archive, so that an offset in the
-index plus the member's own offset is an offset in the archive. ``ZipDirectory`` parses the end
-record, the ZIP64 end record and locator and the central directory from range reads;
+``write_packages`` stores each page as a gzip member of a WARC file; the WARC file, its CDXJ index (sorted by
+reversed host and path, then time) and a description are *stored* (uncompressed) members of a ZIP archive, so
+that an offset in the index plus the member's own offset is an offset in the archive. ``ZipDirectory`` parses
+the end record, the ZIP64 end record and locator and the central directory from range reads;
 ``read_packages`` follows the index to each record and reads just its range.
 
+A record's id is unique (a name-based UUID of the folder, the task and the position, so that a task that runs again
+gives the same); the page's own id is a field of its own, and a revisit names the page, address and time of its response.
+
 Of records with equal payloads of at least ``min_revisit_bytes``, those with the smallest page id are
 responses and the others revisits that name it. Digests are grouped with partial aggregation; the
 join that brings each page its response's id is a sort-merge join on the digest that adaptive
@@ -13,7 +16,10 @@ execution splits where one payload is very frequent.
 
 Edge cases: null or empty html is an empty payload; payloads below the limit are always responses;
 a null page id is never the one referred to, unless all of a group are null, and then all are
-responses; rows that repeat the smallest page id are all responses; an empty table gives no archive.
+responses; rows that repeat the smallest page id are all responses; an empty table gives no archive; a null or
+malformed address is kept as it is (line ends become blanks) and indexed by its own text; a page of any length
+is one record, held whole by its task (a package closes once it exceeds ``package_bytes``); further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +27,15 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zlib
+from datetime import UTC, datetime
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +91,9 @@ class ZipDirectory:
         tail_at = max(0, size - 22 - 65535 - 20)
         tail = read_at(handle, tail_at, size - tail_at)
         at = tail.rfind(struct.pack("<I", END))
+        # the record ends where its comment does; a signature within the comment doesn't
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail)):
+            at = tail.rfind(struct.pack("<I", END), 0, at + 3)
         if at < 0:
             raise ValueError("no end record: not a ZIP archive")
         n, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -122,18 +135,40 @@ class ZipDirectory:
         return read_at(self.handle, *self.locate(name))
 
 
-def warc_record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """One record as a gzip member; a revisit has no block."""
+def url_key(url: str) -> str:
+    """The sort key of an address in the index: reversed host, then path and query, in lower case and without blanks."""
+    try:
+        parts = urlsplit(url.strip())
+        host = (parts.hostname or "").removeprefix("www.")
+    except ValueError:
+        host = ""
+    if not host:
+        return "".join(url.split()).lower() or "-"
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return "".join((",".join(reversed(host.split("."))) + ")" + path).split()).lower()
+
+
+def one_line(url: str | None) -> str:
+    return (url or "").replace("\r", " ").replace("\n", " ")
+
+
+def warc_record(record_id: str, page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str, refers_url: str | None = None) -> bytes:
+    """One record as a gzip member; a revisit (``refers_to``: its response's page id) has no block."""
     fields = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}",
+        f"WARC-Record-ID: <urn:uuid:{record_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Page-ID: {'' if page_id is None else page_id}",
         "Content-Type: text/html",
     ]
     if refers_to is not None:
-        fields += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        fields += [
+            f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Target-URI: {one_line(refers_url)}", f"WARC-Refers-To-Date: {date}",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        ]
     block = payload if refers_to is None else b""
     head = "\r\n".join(["WARC/1.1", *fields, f"Content-Length: {len(block)}", "", ""])
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 1, mtime=0)
@@ -152,26 +187,32 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
-    """pages (page_id, url, html) with digest and refers_to (null: a response)."""
+    """pages (page_id, url, html) with digest, refers_to (null: a response) and refers_url."""
     p = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "coalesce(cast(html as string), '') html")
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = F.octet_length("html") >= min_revisit_bytes
-    firsts = p.filter(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = p.filter(large).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     j = p.join(firsts, "digest", "left")
     revisit = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return j.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
+    return j.select("page_id", "url", "html", "digest", *(F.when(revisit, F.col(c)).alias(n) for c, n in (("first_id", "refers_to"), ("first_url", "refers_url"))))
+
 
+def write_packages(pages: DataFrame, root: str, package_bytes: int = 16 << 20, zip64: bool = True, min_revisit_bytes: int = 100, date: str | None = None) -> DataFrame:
+    """Manifest (MANIFEST_SCHEMA) of the archives written below ``root``; lazy, to be written before use.
 
-def write_packages(pages: DataFrame, root: str, package_bytes: int = 16 << 20, zip64: bool = True, min_revisit_bytes: int = 100) -> DataFrame:
-    """Manifest (MANIFEST_SCHEMA) of the archives written below ``root``; lazy, to be written before use."""
+    ``date``: the records' time as in 2024-01-31T12:00:00Z; None: now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    stamp = "".join(c for c in date if c.isdigit())[:14]
 
     def pack(batches):
-        store, done = ByteStore(root), []
+        store, done, n = ByteStore(root), [], 0
+        task = TaskContext.get().partitionId()
 
         def close(body: io.BytesIO, index: list[str]) -> None:
             package = ZipDirectoryWriter(zip64)
             package.add(WARC_MEMBER, body.getvalue())
-            package.add(INDEX_MEMBER, "".join(index).encode())
+            package.add(INDEX_MEMBER, "".join(sorted(index)).encode())
             package.add(ABOUT_MEMBER, b'{"profile": "data-package", "resources": ["%s", "%s"]}' % (WARC_MEMBER.encode(), INDEX_MEMBER.encode()))
             name = f"package-{uuid.uuid4().hex}.zip"
             store.put(name, package.close())
@@ -179,10 +220,12 @@ def write_packages(pages: DataFrame, root: str, package_bytes: int = 16 << 20, z
 
         body, index = io.BytesIO(), []
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(c for c in batch.columns)):
-                payload = html.as_py().encode()
-                record = warc_record(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py())
-                index.append(f'{digest} {{"offset": {body.tell()}, "length": {len(record)}}}\n')
+            for page_id, url, html, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
+                record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{root}/{task}/{n}"))
+                n += 1
+                record = warc_record(record_id, page_id, url, html.encode(), digest, refers_to, date, refers_url)
+                about = {"url": one_line(url), "mime": "text/html" if refers_to is None else "warc/revisit", "digest": f"sha256:{digest}", "length": len(record), "offset": body.tell(), "filename": WARC_MEMBER}
+                index.append(f"{url_key(one_line(url))} {stamp} {json.dumps(about)}\n")
                 body.write(record)
                 if body.tell() >= package_bytes:
                     close(body, index)
@@ -206,14 +249,13 @@ def read_packages(manifest: DataFrame, root: str, with_payload: bool = False) ->
                 zipped, out = ZipDirectory(handle), []
                 base, _ = zipped.locate(WARC_MEMBER)
                 for line in zipped.read(INDEX_MEMBER).splitlines():
-                    digest, place = line.split(b" ", 1)
-                    offset, length = (int(x.split(b":")[1]) for x in place.strip(b"{}").split(b","))
-                    fields, block = parse_record(read_at(handle, base + offset, length))
+                    about = json.loads(line.split(b" ", 2)[2])
+                    fields, block = parse_record(read_at(handle, base + int(about["offset"]), int(about["length"])))
                     kind = fields["WARC-Type"]
                     stored = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if stored != digest.decode() or kind == "response" and hashlib.sha256(block).hexdigest() != stored:
+                    if f"sha256:{stored}" != about["digest"] or kind == "response" and hashlib.sha256(block).hexdigest() != stored:
                         raise ValueError(f"{package}: a record doesn't match its digest")
-                    ids = [fields.get(k, "").removeprefix("<urn:page:").rstrip(">") for k in ("WARC-Record-ID", "WARC-Refers-To")]
+                    ids = [fields.get(k, "") for k in ("WARC-Page-ID", "WARC-Refers-To-Page-ID")]
                     n = len(block) if kind == "response" else int(fields["WARC-Payload-Length"])
                     out.append((int(ids[0]) if ids[0] else None, n, stored, kind, int(ids[1]) if ids[1] else None, fields["WARC-Target-URI"], block if with_payload else None))
                 handle.close()

@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -296,13 +297,64 @@ def test_zip_directory_both_ways(tmp_path):
     assert d.read("stored") == b"x" * 100
     with pytest.raises(ValueError):
         d.locate("packed")
+    # a comment that holds the end record's signature, and one that looks like a whole end record
+    end = b"PK\x05\x06"
+    for note in (b"see " + end + b" here", end + bytes(18) + b"more", end):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("stored", b"x" * 100)
+            z.comment = note
+        d = zipwarc.ZipDirectory(pa.PythonFile(io.BytesIO(out.getvalue()), "r"))
+        assert d.read("stored") == b"x" * 100
+
+
+def test_zip64_directory_of_another_writer():
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:  # more members than the old end record can count
+        for i in range(65_600):
+            z.writestr(zipfile.ZipInfo(str(i)), b"%d" % i)
+        with z.open(zipfile.ZipInfo("wide"), "w", force_zip64=True) as f:
+            f.write(b"wide member")
+    d = zipwarc.ZipDirectory(pa.PythonFile(io.BytesIO(out.getvalue()), "r"))
+    assert len(d.members) == 65_601 and d.read("65599") == b"65599" and d.read("wide") == b"wide member"
+
+
+def test_warc_fields_and_index(spark, tmp_path):
+    big = "z" * 200
+    rows = [(2, "https://www.Example.org/b?x=1", big), (1, "http://example.com:80/a b", big), (1, "http://example.com/a", "other"), (4, "http://[bad", "q"), (5, None, big)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("clash")).withColumn("refers_to", F.lit(9))
+    root = f"file://{tmp_path}"
+    manifest = zipwarc.write_packages(pages.coalesce(1), root, date="2024-01-31T12:00:00Z").collect()
+    assert sum(r["n_records"] for r in manifest) == 5
+    import pyarrow as pa
+
+    seen, kinds = set(), Counter()
+    for r in manifest:
+        d = zipwarc.ZipDirectory(pa.OSFile(str(tmp_path / r["package"])))
+        lines, base = d.read(zipwarc.INDEX_MEMBER).splitlines(), d.locate(zipwarc.WARC_MEMBER)[0]
+        assert lines == sorted(lines)
+        for line in lines:
+            key, stamp, about = line.split(b" ", 2)
+            about = json.loads(about)
+            fields, _ = zipwarc.parse_record(zipwarc.read_at(d.handle, base + about["offset"], about["length"]))
+            assert stamp == b"20240131120000" and fields["WARC-Date"] == "2024-01-31T12:00:00Z" and about["url"] == fields["WARC-Target-URI"]
+            assert key.decode() == zipwarc.url_key(about["url"])
+            seen.add(fields["WARC-Record-ID"])
+            kinds[fields["WARC-Type"], fields.get("WARC-Refers-To-Page-ID"), fields.get("WARC-Refers-To-Target-URI")] += 1
+    assert len(seen) == 5 and kinds == {("response", None, None): 3, ("revisit", "1", "http://example.com:80/a b"): 2}
+    assert [zipwarc.url_key(u) for u in ("https://www.Example.org/B?x=1", "http://a.b.c", "http://[bad", "")] == ["org,example)/b?x=1", "c,b,a)/", "http://[bad", "-"]
 
 
 def test_warc_round_trip(spark):
     big = "é" * 60
     rows = [(5, "u", big), (3, "u\r\nv", big), (9, None, big), (None, "u", big), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (3, "u", big), (None, "n", "z" * 100), (None, "n", "z" * 100)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = zipwarc.warc_round_trip(pages, package_bytes=64).collect()
+    got = zipwarc.warc_round_trip(pages.withColumn("digest", F.lit("clash")).withColumn("payload", F.lit(1)), package_bytes=64).collect()
     digest = lambda s: hashlib.sha256((s or "").encode()).hexdigest()
     want = Counter()
     for i, _, h in rows:
