@@ -4,13 +4,20 @@ Base detectors (email, ip, card, phone) find validated spans. High-recall genera
 overlapping candidates; boosted trees score them from their format and context; per-kind thresholds,
 calibrated on held-out documents, select what is redacted besides the base spans.
 
-Training needs no hand-made labels: a candidate that is itself a base span is a positive, any other a
-negative, and the sign that defines the label (a leading plus, whether a neighbour is a number) isn't
-a feature. So a candidate that looks as the validated ones do, but which the leftmost greedy base
-match skipped or failed, scores as they do. Features are small integers; what training gathers is one
+Training needs no hand-made labels, and its labels are not the base patterns: each validated span is
+rewritten as people write such data to evade or by habit (``@`` and dots spelt out or spaced, a phone without its
+country, dotted groups of a card, a card behind another number, a spaced address), in its own context, and
+those rewritten spans that a generator proposes are the positives; each span counts once, shared among its forms.
+Candidates of the texts themselves that overlap no base span are unlabelled. The assumption is that data in other
+forms is about as frequent as validated data and stands in like contexts: of the unlabelled candidates with some
+features, as many as there are positives with these are taken to be data, and only those beyond that count as
+negatives. ``precision`` is what the held-out half of documents must reach under these counts. Features are small integers; what training gathers is one
 row per combination of them (``CELLS`` at most), counted over the candidates of all documents. Trees
 are fitted to these counts on the driver and become CASE expressions, so that scoring is JVM-only.
 
+Long texts: arrays are built, compared and cut in blocks of ``BLOCK`` spans, and contexts are taken from the pieces
+between matches, so that no step looks at the whole text or all spans once per span.
+
 Positions are code points, ends exclusive. Edge cases: null text is empty and has no spans; empty
 tables and corpora without candidates give base spans only; very long runs of one character class are
 scanned once (possessive patterns, each run started once); rows with equal texts get equal spans;
@@ -21,7 +28,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +54,8 @@ WIDE = {
     "phone": r"(?<![0-9(])\+?(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 WIDE_HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\x20?\.\x20?[0-9]", "card": r"[0-9]{12}|[0-9]{4}[\x20.-][0-9]{4}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
+#: Spans in a block.
+BLOCK = 128
 #: Words near a span that speak of its kind.
 NEAR = r"(?i)(?:mail|kontakt|contact|phone|tel|call|fax|card|visa|konto|iban|addr|host|server|\bip\b)"
 
@@ -56,20 +64,54 @@ LEVELS = (4, 8, 2, 6, 4, 4, 2, 2, 3)
 CELLS = math.prod(LEVELS)
 
 
-def _found(text: Column, pattern: str, hint: str, kind: int) -> Column:
-    """array<struct<start, kind, end, match>> of the leftmost non-overlapping matches."""
-    hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,match:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+_SPAN = "struct<start:int,kind:int,end:int,match:string,left:string,right:string>"
+_NONE = f"cast(array() as array<{_SPAN}>)"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body's own lambdas look at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(spans: Column) -> Column:
+    """array<struct<items, lo, hi>>: runs of BLOCK spans with their least start and greatest end (null: no items)."""
+    begins = F.sequence(F.lit(0), F.greatest(F.size(spans) - 1, F.lit(0)), F.lit(BLOCK))
+    cut = F.transform(begins, lambda b: F.slice(spans, b + 1, F.lit(BLOCK)))
+    return F.transform(cut, lambda x: F.struct(x.alias("items"), F.array_min(F.transform(x, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(x, lambda s: s["end"])).alias("hi")))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["1"])
-        end = begin + F.coalesce(F.length(x["0"]), F.lit(0))
-        here = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["0"].alias("match"))
-        return F.struct(end.alias("at"), F.when(x["0"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"))
+def _meets(x: Column, blocks: Column, also=None) -> Column:
+    """Whether one of the blocks' spans overlaps x and fulfils ``also``."""
+    def hit(o: Column) -> Column:
+        met = (o["start"] < x["end"]) & (x["start"] < o["end"])
+        return met & also(o) if also else met
 
-    pairs = F.arrays_zip(hits, parts)  # the last part follows all matches and has no hit
-    return F.when(text.rlike(hint), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
+    return F.coalesce(F.exists(blocks, lambda b: (b["lo"] < x["end"]) & (x["start"] < b["hi"]) & F.exists(b["items"], hit)), F.lit(False))
+
+
+def _found(text: str, pattern: str, hint: str, kind: int) -> Column:
+    """Spans (_SPAN) of the leftmost non-overlapping matches in the column ``text``. left: up to 24 code points before,
+    back to the start of the match before; right: up to 8 after, as far as the end of the next match.
+
+    The parts between the matches and the matches are zipped (the last part has no match), cut in blocks, and each
+    block is laid out from its own position on."""
+    sql = """
+    CASE WHEN {text} RLIKE r'{hint}' THEN
+      element_at(transform(array(named_struct('hits', regexp_extract_all({text}, r'{pattern}', 0), 'parts', split({text}, r'{pattern}', -1))), v ->
+      element_at(transform(array(arrays_zip(v.hits, v.parts, concat(array(''), v.hits), slice(v.parts, 2, size(v.parts)), slice(v.hits, 2, greatest(size(v.hits), 1)))), pairs ->
+      element_at(transform(array(transform(sequence(0, size(pairs) - 1, {block}), b -> slice(pairs, b + 1, {block}))), blocks ->
+        flatten(zip_with(blocks, slice(aggregate(
+            transform(blocks, b -> aggregate(b, 0, (a, x) -> a + length(x.parts) + coalesce(length(x.hits), 0))),
+            array(0), (a, n) -> concat(a, array(element_at(a, -1) + n))), 1, size(blocks)),
+          (b, at) -> aggregate(b, named_struct('at', at, 'out', {none}), (acc, x) -> named_struct(
+            'at', acc.at + length(x.parts) + coalesce(length(x.hits), 0),
+            'out', CASE WHEN x.hits IS NULL THEN acc.out ELSE concat(acc.out, array(named_struct(
+              'start', acc.at + length(x.parts), 'kind', {kind}, 'end', acc.at + length(x.parts) + length(x.hits), 'match', x.hits,
+              'left', right(concat(right(x.`2`, 24), right(x.parts, 24)), 24),
+              'right', left(concat(left(coalesce(x.`3`, ''), 8), left(coalesce(x.`4`, ''), 8)), 8)))) END),
+            acc -> acc.out)))), 1)), 1)), 1)
+    ELSE {none} END"""
+    return F.expr(sql.format(text=text, pattern=pattern, hint=hint, kind=kind, block=BLOCK, none=_NONE))
 
 
 def _digits(match: Column) -> Column:
@@ -92,42 +134,54 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _sorted(spans: Column) -> Column:
-    return F.array_sort(F.array_distinct(spans))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans, sorted by start, then kind."""
+def base_spans(text: str) -> Column:
+    """All base spans of the column, sorted by start, then kind."""
     def valid(kind: str):
         return lambda x: _valid(kind, x["match"])
 
-    each = [F.filter(_found(text, BASE[k], HINT[k], i), valid(k)) for i, k in enumerate(KINDS)]
-    return _sorted(F.concat(*each))
+    return F.array_sort(F.concat(*(F.filter(_found(text, BASE[k], HINT[k], i), valid(k)) for i, k in enumerate(KINDS))))
 
 
-def candidates(text: Column) -> Column:
-    return _sorted(F.concat(*(_found(text, WIDE[k], WIDE_HINT[k], i) for i, k in enumerate(KINDS))))
+def candidates(text: str) -> Column:
+    """What the generators propose in the column."""
+    return F.array_sort(F.concat(*(_found(text, WIDE[k], WIDE_HINT[k], i) for i, k in enumerate(KINDS))))
+
+
+def rewritten(kind: str, x: Column) -> Column:
+    """array<struct<left, form>>: a base span as it is otherwise written, behind its context."""
+    m, left, d = x["match"], x["left"], _digits(x["match"])
+    if kind == "email":
+        user, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+        forms = [(left, F.concat(user, F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))) for at, dot in (("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."))]
+    elif kind == "ip":
+        forms = [(left, F.replace(m, F.lit("."), F.lit(dot))) for dot in (" . ", ". ")]
+    elif kind == "card":
+        groups = [F.substring(d, i, 4) for i in (1, 5, 9, 13)]
+        forms = [(F.concat(left, F.lit(" 12 ")), d), (left, F.when(F.length(d) == 16, F.concat_ws(".", *groups)))]
+    else:
+        area, first, last = (F.substring(d, i, n) for i, n in ((-10, 3), (-7, 3), (-4, 4)))
+        forms = [(left, F.when(F.length(d) >= 10, f)) for f in (F.concat(F.lit("("), area, F.lit(") "), first, F.lit("-"), last), *(F.concat_ws(c, area, first, last) for c in "-. "))]
+    made = F.array(*(F.struct(a.alias("left"), f.alias("form")) for a, f in forms))
+    return F.filter(made, lambda v: v["form"].isNotNull())
 
 
 def _char_class(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"^[\x20\x09-\x0D]"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
 
 
-def features(text: Column, x: Column) -> Column:
-    """struct of FEATURES, each an integer below its level."""
+def features(x: Column) -> Column:
+    """struct of FEATURES of a span, each an integer below its level."""
     m, n = x["match"], F.length(_digits(x["match"]))
-    left = F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1)))
-    context = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
     values = {
         "kind": x["kind"],
         "digits": F.when(n < 7, 0).when(n < 10, 1).when(n == 10, 2).when(n == 11, 3).when(n < 16, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7),
         "luhn": _luhn(m).cast("int"),
         "style": F.when(m.contains("@"), 0).when(m.contains("("), 1).when(m.contains(" "), 2).when(m.contains("-"), 3).when(m.contains("."), 4).otherwise(5),
-        "left": _char_class(left),
-        "right": _char_class(F.substring(text, x["end"] + 1, F.lit(1))),
-        "near": context.rlike(NEAR).cast("int"),
-        "octets": _valid("ip", m).cast("int"),
-        "tail": F.when(m.rlike(r"\.[A-Za-z]{2,6}$"), 2).when(m.rlike("[A-Za-z]$"), 1).otherwise(0),
+        "left": _char_class(F.substring(x["left"], -1, 1)),
+        "right": _char_class(F.substring(x["right"], 1, 1)),
+        "near": x["left"].rlike(NEAR).cast("int"),
+        "octets": _valid("ip", F.replace(m, F.lit(" "), F.lit(""))).cast("int"),
+        "tail": F.when(m.rlike(r"[.\])]\x20?[A-Za-z]{2,6}$"), 2).when(m.rlike("[A-Za-z]$"), 1).otherwise(0),
     }
     return F.struct(*(F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in values.items()))
 
@@ -140,14 +194,14 @@ class Trees:
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)  # by kind; absent: nothing is selected
 
-    def margin(self, f) -> float | Column:
-        """Log odds of the features, as a number or as an expression."""
-        def walk(t):
+    def margin(self, f: str) -> str:
+        """SQL of the log odds of the struct of features that the expression ``f`` names."""
+        def walk(t) -> str:
             if not isinstance(t, tuple):
-                return F.lit(float(t))
-            return F.when(f[FEATURES[t[0]]] <= t[1], walk(t[2])).otherwise(walk(t[3]))
+                return f"{float(t)!r}D"
+            return f"CASE WHEN {f}.{FEATURES[t[0]]} <= {t[1]} THEN {walk(t[2])} ELSE {walk(t[3])} END"
 
-        return reduce(lambda a, t: a + walk(t), self.trees, F.lit(float(self.prior)))
+        return " + ".join([f"{float(self.prior)!r}D", *map(walk, self.trees)])
 
     def value(self, cell: tuple[int, ...]) -> float:
         def walk(t):
@@ -200,41 +254,57 @@ def calibrate(model: Trees, cells: list[tuple[tuple[int, ...], float, float]], p
                 model.thresholds[kind] = m - 1e-9
 
 
-def train(docs: DataFrame, precision: float = 0.75) -> Trees:
+def examples(texts: DataFrame) -> DataFrame:
+    """fold, f (features), w (weight), y (1: a rewritten span, 0: unlabelled) of the training candidates of ``texts`` (fold, text)."""
+    t = texts.withColumn("base", base_spans("text"))
+    free = _bound(_blocks(F.col("base")), lambda blocks: F.filter(candidates("text"), lambda x: ~_meets(x, blocks)))
+    natural = F.transform(free, lambda x: F.struct(x.alias("x"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("form"), F.lit(1.0).alias("w")))
+
+    def forms(i: int, kind: str) -> Column:
+        each = lambda x: _bound(rewritten(kind, x), lambda v: F.transform(v, lambda a: F.struct(x.alias("x"), a["left"].alias("left"), a["form"].alias("form"), (1.0 / F.size(v)).alias("w"))))
+        return F.flatten(F.transform(F.filter("base", lambda x: x["kind"] == i), each))
+
+    t = t.select("fold", F.explode(F.concat(natural, *(forms(i, k) for i, k in enumerate(KINDS)))).alias("e"))
+    t = t.select("fold", "e.*", F.concat("e.left", "e.form", "e.x.right").alias("local"))
+    # a rewritten span counts if a generator of its kind proposes just it
+    proposed = F.lit(None).cast(f"array<{_SPAN}>")
+    for i, k in enumerate(KINDS):
+        proposed = F.when(F.col("x.kind") == i, _found("local", WIDE[k], WIDE_HINT[k], i)).otherwise(proposed)
+    whole = F.filter(proposed, lambda c: (c["start"] == F.length("left")) & (c["match"] == F.col("form")))
+    t = t.select("fold", "w", F.when(F.col("form").isNull(), 0.0).otherwise(1.0).alias("y"), F.explode(F.when(F.col("form").isNull(), F.array("x")).otherwise(whole)).alias("x"))
+    return t.select("fold", features(F.col("x")).alias("f"), "w", "y")
+
+
+def train(docs: DataFrame, precision: float = 0.9) -> Trees:
     """Fit on the candidates of documents in fold 0, calibrate on fold 1 (crc32 of the id, modulo 2)."""
     t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), crc_mod("doc_id", 2).alias("fold"))
-    hint = "|".join([*WIDE_HINT.values()])
-    c = t.filter(F.col("text").rlike(hint)).select("fold", "text", base_spans(F.col("text")).alias("base"), F.explode(candidates(F.col("text"))).alias("x"))
-    same = lambda b: (b["kind"] == F.col("x.kind")) & (b["start"] == F.col("x.start")) & (b["end"] == F.col("x.end"))
-    c = c.select("fold", features(F.col("text"), F.col("x")).alias("f"), F.exists("base", same).cast("long").alias("y"))
-    rows = c.groupBy("fold", "f").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # two rows a cell at most
-    folds = {k: sorted((tuple(r["f"]), float(r["n"]), float(r["y"])) for r in rows if r["fold"] == k) for k in (0, 1)}
+    hint = "|".join([*WIDE_HINT.values(), *HINT.values()])
+    c = examples(t.filter(F.col("text").rlike(hint)))
+    rows = c.groupBy("fold", "f").agg(F.sum(F.col("w") * (1 - F.col("y"))).alias("u"), F.sum(F.col("w") * F.col("y")).alias("y")).collect()  # two rows a cell at most
+    folds = {k: sorted((tuple(r["f"]), max(float(r["u"]), float(r["y"])), float(r["y"])) for r in rows if r["fold"] == k) for k in (0, 1)}
     model = boost(folds[0])
     calibrate(model, folds[1], precision)
     return model
 
 
 def with_spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """row (struct of the columns of docs), doc_id, text, base and spans: arrays of (start, kind, end, match)."""
+    """row (struct of the columns of docs), doc_id, text, base and spans: arrays of (start, kind, end, match, left, right)."""
     model = train(docs) if model is None else model
     t = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("base", base_spans(F.col("text")))
+    t = t.withColumn("base", base_spans("text"))
     if not model.thresholds:
         return t.withColumn("spans", F.col("base"))
-    text = F.col("text")
 
-    def chosen(x: Column) -> Column:
-        f = features(text, x)
-        at = F.lit(math.inf)
-        for kind, value in model.thresholds.items():
-            at = F.when(x["kind"] == kind, F.lit(value)).otherwise(at)
-        free = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return free & (model.margin(f) >= at)
+    def longer(x: Column, o: Column) -> Column:
+        n, m = o["end"] - o["start"], x["end"] - x["start"]
+        return (n > m) | ((n == m) & (F.struct(o["start"], o["kind"]) < F.struct(x["start"], x["kind"])))
 
-    t = t.withColumn("more", F.filter(candidates(text), chosen))
-    longer = lambda x, o: (o["end"] - o["start"] > x["end"] - x["start"]) | ((o["end"] - o["start"] == x["end"] - x["start"]) & (F.struct(o["start"], o["kind"]) < F.struct(x["start"], x["kind"])))
-    alone = F.filter("more", lambda x: ~F.exists("more", lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]) & longer(x, o)))
-    return t.withColumn("spans", _sorted(F.concat("base", alone))).drop("more")
+    free = _bound(_blocks(F.col("base")), lambda blocks: F.filter(candidates("text"), lambda x: ~_meets(x, blocks)))
+    t = t.withColumn("scored", F.transform(free, lambda x: F.struct(x.alias("x"), features(x).alias("f"))))
+    at = " ".join(f"WHEN {kind} THEN {value!r}D" for kind, value in model.thresholds.items())
+    t = t.withColumn("more", F.expr(f"transform(filter(scored, c -> {model.margin('c.f')} >= CASE c.x.kind {at} END), c -> c.x)"))
+    alone = _bound(_blocks(F.col("more")), lambda blocks: F.filter("more", lambda x: ~_meets(x, blocks, lambda o: longer(x, o))))
+    return t.withColumn("spans", F.array_sort(F.concat("base", alone))).drop("scored", "more")
 
 
 def _named(x: Column) -> Column:
@@ -257,15 +327,29 @@ def find_pii(docs: DataFrame, model: Trees | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Trees | None = None, mark: str = "[{}]") -> DataFrame:
     """docs with each span of the text replaced by its kind's mark; overlapping spans are replaced as one. A null text stays null."""
     t = with_spans(docs, model)
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    text, before, after = F.col("text"), *mark.split("{}")
+
+    def block(w: Column) -> Column:
+        """The pieces of a block of spans: the text between them and their marks."""
+        at, b = w["at"], w["block"]
+        stretch = F.substring(text, at + 1, F.greatest(b["hi"] - at, F.lit(0)))
+
+        def pieces(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                piece = F.array(F.substring(part, acc["at"] - at + 1, x["start"] - acc["at"]), F.concat(F.lit(before), F.upper(_named(x)), F.lit(after)))
+                return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+            start = F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+            return F.aggregate(b["items"], start, step, lambda a: a["out"])
+
+        return _bound(stretch, pieces)
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit(mark.split("{}")[0]), F.upper(_named(x)), F.lit(mark.split("{}")[1])))
-        apart = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def whole(v: Column) -> Column:
+        each = F.zip_with(v["blocks"], F.slice(v["at"], 1, F.size(v["blocks"])), lambda b, a: F.struct(a.alias("at"), b.alias("block")))
+        tail = F.substring(text, F.element_at(v["at"], -1) + 1, F.length(text))
+        return F.array_join(F.concat(F.flatten(F.transform(each, block)), F.array(tail)), "")
 
-    last = lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), "")
-    clean = F.when(F.size("spans") == 0, F.col("row")["text"]).otherwise(F.aggregate("spans", start, step, last))
-    t = t.withColumn("clean", clean)
+    reached = lambda blocks: F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.greatest(F.element_at(a, -1), b["hi"]))))
+    marked = _bound(_blocks(F.col("spans")), lambda blocks: _bound(F.struct(blocks.alias("blocks"), reached(blocks).alias("at")), whole))
+    t = t.withColumn("clean", F.when(F.size("spans") == 0, F.col("row")["text"]).otherwise(marked))
     return t.select(*(F.col("clean").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -637,6 +637,69 @@ def test_pii_redaction(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0 and pii.find_pii(odd_docs(spark)).count() == odd_docs(spark).count()
 
 
+def test_pii_added_spans_precision_and_recall(spark):
+    """Data in other forms than the base ones, planted among decoys of the same shapes."""
+    rng = random.Random(21)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+
+    def card(good):
+        while True:
+            d = "4" + digit(15)
+            if luhn(d) == good:
+                return d
+
+    docs, wanted = [], {}
+    for i in range(900):
+        octets = [str(rng.randint(1, 255)) for _ in range(4)]
+        user, host, area = word(), word() + ".com", digit(9)
+        if i % 3:  # in base form
+            piece = rng.choice([f"mail {user}@{host}", f"host {'.'.join(octets)}", f"card {card(True)}", f"call +1 ({area[:3]}) {area[3:6]}-{area[5:9]}"])
+            docs.append((i, f"{word()} {word()} {piece} {word()}"))
+            continue
+        good = [("mail ", f"{user}[at]{host.replace('.', '[dot]')}"), ("mail ", f"{user} (at) {host.replace('.', ' (dot) ')}"), ("host ", " . ".join(octets)), ("card ", (lambda d: ".".join(d[j : j + 4] for j in (0, 4, 8, 12)))(card(True))),
+                ("call ", f"({area[:3]}) {area[3:6]}-{area[5:9]}"), ("call ", f"{area[:3]}.{area[3:6]}.{area[5:9]}"), ("visa 77 ", card(True))]
+        bad = [("order ", card(False)), ("order ", (lambda d: ".".join(d[j : j + 4] for j in (0, 4, 8, 12)))(card(False))), ("part ", f"{area[:3]}-{area[3:6]}-{area[5:9]}"), ("version ", " . ".join(["3", "400", "1", str(rng.randint(300, 999))]))]
+        is_good = bool(i % 2)
+        before, span = rng.choice(good if is_good else bad)
+        lead = f"{word()} {word()} {before}"
+        docs.append((i, f"{lead}{span} {word()}"))
+        wanted[i] = (len(lead), len(lead) + len(span)) if is_good else None
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    texts, added, right = dict(docs), 0, 0
+    for i, r in got.items():
+        base = {f"{k}:{s}:{e}" for s, _, e, k in plain_pii(texts[i])}
+        more = set(filter(None, r["spans"].split(","))) - base
+        added += len(more)
+        right += sum(wanted.get(i) == tuple(map(int, x.split(":")[1:])) for x in more)
+    planted = sum(w is not None for w in wanted.values())
+    assert right >= 0.9 * planted and right >= 0.9 * added, (planted, added, right)
+
+
+def test_pii_long_texts(spark):
+    """Positions and redaction over many blocks of spans, in time about linear in them."""
+    import time
+
+    trees = pii.Trees(0.0, [], {0: -1.0, 1: -1.0, 2: -1.0, 3: -1.0})  # every candidate is chosen
+    took = []
+    for n in (8000, 16_000):
+        parts = [f"é user{i}@host{i % 7}.example.com" if i % 2 else f"user{i} [at] host.example.com +1 (437) 555-0689" for i in range(n)]
+        text = " ".join(parts)
+        docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+        began = time.perf_counter()
+        (r,) = pii.find_pii(docs, trees).collect()
+        took.append(time.perf_counter() - began)
+        assert r["n_email"] == n // 2 and r["n_phone"] == n // 2 and r["base_sha256"] == hashlib.sha256(joined(plain_pii(text)).encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",")]
+        assert len(spans) == n // 2 * 3
+        at, out = 0, []
+        for kind, start, end in spans:
+            out += [text[at : int(start)], f"[{kind.upper()}]"]
+            at = int(end)
+        assert pii.redact(docs, trees).first()["text"] == "".join(out) + text[at:]
+    assert took[1] < 2.2 * took[0] + 2, took
+
+
 def test_pii_is_native(spark):
     plan = pii.find_pii(some_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
