@@ -1,13 +1,14 @@
 """Helpers shared by the corpus operators: the shared folder, written tables and a byte store.
 
 Everything that must outlive an executor goes below the folder that the session names in
-``spark.checkpoint.dir``; a temporary folder is used only where that setting is absent (tests).
+``spark.checkpoint.dir``; a temporary folder is used only where that setting is absent on one machine (tests),
+and it is an error that it is absent on a cluster. Results are lazy and may read stored tables, so these stay until
+the folder's owner clears it; tables that a finished step alone has read are deleted by the step.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -25,7 +26,10 @@ def _fallback_root() -> str:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _fallback_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or _fallback_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,15 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A stored table of small rows, marked for broadcast if it has at most ``rows``; beyond that the join shuffles."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Give back what finished steps hold: the files of stored tables that nothing reads any more, and, by
-    letting both sides collect their garbage, the shuffle files of steps whose frames are gone."""
+    """Delete the files of stored tables that nothing reads any more."""
     for df in tables:
         for root in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(root)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def crc_mod(col: str | Column, modulus: int) -> Column:

@@ -422,7 +422,7 @@ def test_embedding_links_that_no_walk_reaches(monkeypatch):
     x = rng.normal(size=(400, 16))
     x[200:] = x[:200] + rng.normal(size=(200, 16)) * 0.01
     few = rng.normal(size=(300, 16))
-    few[299] = few[7]
+    few[299] = few[7] + 1e-3
     insert = hnsw.Graph._insert
 
     def severed(self, *args):  # a graph without links: walks stay at the entry
@@ -430,13 +430,67 @@ def test_embedding_links_that_no_walk_reaches(monkeypatch):
         for layer in self.layers:
             layer[:] = -1
 
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert hnsw.audited_beam(hnsw.Graph(unit(x)), np.arange(400), 0.95) > 0
     monkeypatch.setattr(hnsw.Graph, "_insert", severed)
-    for v, n in ((x, 200), (few, 1)):
-        g = hnsw.Graph(v / np.linalg.norm(v, axis=1, keepdims=True))
-        g.exact, g.ids = v / np.linalg.norm(v, axis=1, keepdims=True), np.arange(len(v))
-        beam = hnsw.audited_beam(g, g.exact, g.ids, 0.95)
-        a, b = hnsw.linked_pairs(g, g.exact, g.ids, 0.95, beam)
-        assert beam == 0 and (a < b).sum() == n
+    for v, n in ((x, 200), (few, 1), (few[:200], 0)):  # the last has no links of its own: the planted queries tell
+        g = hnsw.Graph(unit(v))
+        assert hnsw.audited_beam(g, np.arange(len(v)), 0.95) == 0
+        pairs = [(a, b) for r, c, _ in hnsw.found_links(g, g.x, 0.95, 0) for a, b in zip(r, c) if a < b]
+        assert len(pairs) == n
+
+
+def test_audit_ignores_self_links(monkeypatch):
+    """A walk that finds each query's own vector and nothing else fails the audit."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + rng.normal(size=(300, 16)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x)
+    monkeypatch.setattr(hnsw, "_walk_links", lambda graph, q, least, beam: iter([(np.arange(len(q)), (q @ graph.x.T).argmax(1), np.ones(len(q)))]))
+    assert hnsw.audited_beam(g, np.arange(600), 0.95) == 0
+
+
+def test_planted_queries_are_near():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = hnsw.planted(x, np.arange(50), 0.9)
+    c = np.einsum("nd,nd->n", q, x)
+    assert np.allclose(np.linalg.norm(q, axis=1), 1, atol=1e-5) and c.min() >= 0.9 and c.max() <= 1 and c.min() < 0.93
+
+
+def test_embedding_groups_report_no_pairs(spark):
+    """Groups of equal and of near vectors: a row a vector and block, counts and components as by brute force."""
+    rng = np.random.default_rng(10)
+    centre, other = rng.normal(size=16), rng.normal(size=16)
+    x = np.concatenate([np.tile(centre, (300, 1)), other + rng.normal(size=(400, 16)) * 0.02, rng.normal(size=(100, 16)), centre[None] * 2])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rep", F.lit("clash")).withColumn("n", F.lit(3))
+    classes = docs.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    links = hnsw.embedding_links(classes.select("rep", "size", "embedding"), shard_rows=200, block_rows=64).collect()
+    n_shards = -(-502 // 200)
+    assert len(links) <= 502 * (n_shards * -(-200 // 64) + 4) < 400 * 399 // 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(docs, shard_rows=200).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(300)] == [0] * 300 and got[800]["component_id"] == 0
+    assert [got[i]["component_id"] for i in range(300, 700)] == [300] * 400
+
+
+def test_limit_is_decided_in_double_precision(spark):
+    """Cosines so near 0.9 that single precision can't tell."""
+    base = np.zeros(8)
+    base[0] = 1.0
+    rows = [(0, base.tolist())]
+    for i, d in enumerate((1e-9, -1e-9, 1e-8, -1e-8, 1e-12, -1e-12), 1):
+        v = np.zeros(8)
+        v[0], v[i] = 0.9 + d, -np.sqrt(1 - (0.9 + d) ** 2)
+        rows.append((i, v.tolist()))
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: 3, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0}
 
 
 # 6 ------------------------------------------------------------------------------------------------
