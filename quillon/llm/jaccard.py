@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles. Shingles are hashed into groups; the counts per
 group are a point, and two sets share at most the sum of the coordinate-wise minima of their points.
 An R-tree over the points finds the pairs whose bound reaches the wanted overlap, and these are
-verified on the sets themselves.
+verified on the sets themselves. All links but those of equal sets come from the trees.
 
 How the trees are dealt out. One tree over all points would compare each document with all of similar
 size, so the points are first dealt to buckets that no link can miss. Two linked sets of a + b
@@ -13,17 +13,21 @@ than that: if a set has more than D groups of at least m elements, one of *those
 they become keys, and one frequent shingle alone doesn't put texts together. A set with fewer such
 groups emits all groups, and the empty ones too if it must. Sizes are split into bands of ratio 1 / t; a
 document takes part in its own band's scheme and the one below, so that linked documents share a scheme.
-
-Large groups of copies. Equal sets are one class (their digest), settled without any pair. Each class
-is then verified against the smallest pivot (a bucket's smallest member) that it met, and the links are
-contracted. Classes that met, directly or through others, and are still in different components get
-R-trees, which emit pairs across components only; these are verified in turn. Buckets are read as sorted
-runs, trees are built over pairs of blocks of at most ``block`` members, and verifications over pairs of
-small blocks, so no group meets in one task and none is cut short.
+Buckets with the same smallest member (their pivot) are one: a set has many keys, and this way its point
+travels once a pivot, not once a key.
+
+Equal sets are one class (their digest), settled without any pair. Two rounds thin out large groups of copies: in
+each bucket's tree a member looks for the first member that its bound allows and that is in another component (the
+pivot comes first, in the second round the order is that of a hash), so that there is at most one pair a member and
+bucket; the pairs are verified and contracted. In the last round the trees of the buckets that still span components
+emit all pairs across these. A bucket of more than ``block`` members is dealt to parts of that size: in the first
+rounds each with the pivot, in the last to all pairs of parts whose sizes (in slices of a quarter of a band) can be linked,
+so no bucket meets in one task and none is cut short. Unrelated texts that share a bucket in great number and are of
+one size are still compared pair by pair, by their bounds.
 
 Edge cases: texts of fewer words than a shingle are one shingle; without words (or text) the set is
 empty and links with nothing; rows without an id link only through an equal set; rows that share an id
-are one document; an empty table gives an empty result; further columns are ignored.
+are one document; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from quillon.llm.components import components
-from quillon.llm.shared import release, words_of, written
+from quillon.llm.shared import broadcast_if_small, release, words_of, written
 
 #: A point has 2 ** b groups, b between these; stored points, which travel with the buckets, at most 2 ** STORED_BITS.
 LEAST_BITS, MOST_BITS, STORED_BITS = 5, 15, 13
@@ -261,7 +265,7 @@ def prepare(docs: DataFrame, k: int, batch_words: int = 200_000) -> DataFrame:
             digests = sets.digests()
             point: list = [None] * len(ids)
             for i, d in enumerate(digests):
-                if d is not None and d not in seen:
+                if d is not None and ids[i] is not None and d not in seen:  # a class is known by its members with ids
                     seen.add(d)
                     point[i] = pack_point(point_of(sets.one(i), STORED_BITS))
             columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets.sizes, pa.int64()), pa.array(point, pa.binary())]
@@ -349,68 +353,81 @@ def verify(docs: DataFrame, pairs: DataFrame, families: DataFrame, k: int, num:
     """Links (u, v) that connect what the linked ones among ``pairs`` (u, v, stored) connect.
 
     Nodes are dealt to blocks of about ``part`` within their family (node, family: any grouping that puts most
-    partners together); a task gets the texts of two blocks, once each however many pairs they have. It
-    compares its nodes by their points' bound, then on the sets, and skips pairs that its links connect already."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(families, "node")
-    sizes = nodes.groupBy("family").agg(F.ceil(F.count("*") / part).alias("blocks"))
-    blocks = nodes.join(sizes, "family").select("node", F.struct("family", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")).alias("block"))
-    p = pairs.join(blocks.select(F.col("node").alias("u"), F.col("block").alias("a")), "u").join(blocks.select(F.col("node").alias("v"), F.col("block").alias("b")), "v")
-    wanted = p.select(F.explode(F.array("u", "v")).alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = written(wanted, "jaccard-wanted")
+    partners together); a task gets the texts of two blocks, once each however many pairs they have, and these pairs.
+    It compares a pair's points, then the sets, and skips what its links connect already."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    nodes = written(nodes, "jaccard-nodes")
+    large = written(nodes.groupBy("family").agg(F.ceil(F.count("*") / part).alias("parts")).filter("parts > 1"), "jaccard-parts")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    blocks = nodes.join(broadcast_if_small(large), "family", "left").select("node", F.struct("family", own.alias("part")).alias("block"))
+    p = pairs.join(blocks.select(F.col("node").alias("u"), F.col("block").alias("x")), "u").join(blocks.select(F.col("node").alias("v"), F.col("block").alias("y")), "v")
+    p = written(p.select("u", "v", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "jaccard-dealt")
+    wanted = written(p.select(F.explode(F.array("u", "v")).alias("node"), "a", "b").distinct(), "jaccard-wanted")
     texts = _input(docs).withColumnRenamed("doc_id", "node").filter(_maybe(wanted.select("node"), "node"))
 
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
+    def check(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").sort_values("node")
         ids, out = rows["node"].to_numpy(), []
         sets = Sets([words_of(x) for x in rows["text"]], k, _WordHashes())
-        full = np.flatnonzero(sets.sizes)
-        if len(full) > 1:
-            points, n, root = [point_of(sets.one(i)) for i in full], sets.sizes[full], np.arange(len(full))
-            for i in range(len(full)):
-                for j in range(i):
-                    if root[i] == root[j] or n[i] * den < num * n[j] or n[j] * den < num * n[i]:
-                        continue
-                    x, y = aligned([points[i], points[j]])
-                    if int(np.minimum(x, y).sum()) * (den + num) < num * int(n[i] + n[j]):
-                        continue
-                    shared = len(np.intersect1d(sets.one(full[i]), sets.one(full[j]), assume_unique=True))
-                    if den * shared >= num * (int(n[i] + n[j]) - shared):
-                        out.append((ids[full[j]], ids[full[i]]))
-                        root[root == root[i]] = root[j]
+        n, points, root = sets.sizes, {}, np.arange(len(ids))
+        us, vs = np.searchsorted(ids, of["u"].to_numpy()), np.searchsorted(ids, of["v"].to_numpy())
+        for i, j in zip(us, vs):
+            if root[i] == root[j] or n[i] * den < num * n[j] or n[j] * den < num * n[i]:
+                continue
+            for x in (i, j):
+                if x not in points:
+                    points[x] = point_of(sets.one(x))
+            x, y = aligned([points[i], points[j]])
+            if int(np.minimum(x, y).sum()) * (den + num) < num * int(n[i] + n[j]):
+                continue
+            shared = len(np.intersect1d(sets.one(i), sets.one(j), assume_unique=True))
+            if den * shared >= num * (int(n[i] + n[j]) - shared):
+                out.append((ids[i], ids[j]))
+                root[root == root[i]] = root[j]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return texts.join(wanted, "node").select("node", "text", "a", "b").groupBy("a", "b").applyInPandas(lambda rows: check(rows), "u bigint, v bigint")
-
-
-def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
-    """Distinct pairs (u < v) of members (key, node, n, point, component) of a key that are in different
-    components and that the R-tree's bound lets through.
-
-    A tree holds points of one number of groups and of twice that many (linked sizes differ by less than a
-    factor of two), so that long sets keep fine points beside short ones; a key's members are dealt to
-    blocks, and a task's group is one pair of blocks."""
-    bits = F.greatest(F.lit(LEAST_BITS), F.least(F.lit(STORED_BITS), F.length(F.bin("n")) - 1))
-    m = members.withColumn("bits", bits).withColumn("low_bits", F.explode(F.array(F.col("bits"), F.col("bits") - 1)))
-    sizes = m.groupBy("key", "low_bits").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
-    m = m.join(sizes.select("key", "low_bits", "blocks"), ["key", "low_bits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-
-    def within(low: int, high: int, group: list) -> list[tuple[int, int]]:
-        nodes, sizes_, points, parts, own, upper = zip(*group)
-        if len(set(parts)) == 1 or all(upper):
-            return []
-        sizes_, parts, own, upper, ids = np.array(sizes_), np.array(parts), np.array(own), np.array(upper), np.array(nodes)
-        points, out = aligned([unpack_point(x) for x in points]), []
-        tree = CountTree(points, sizes_)
-        for i in np.flatnonzero(~upper):
-            j = tree.search(points[i], int(sizes_[i]), num, den)
-            j = j[(parts[j] != parts[i]) & (upper[j] | (ids[j] > ids[i])) & ((own[j] != own[i]) | (low == high))]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
-        return out
+    dealt = texts.join(wanted, "node").select("node", "text", "a", "b").groupBy("a", "b")
+    return dealt.cogroup(p.groupBy("a", "b")).applyInPandas(lambda rows, of: check(rows, of), "u bigint, v bigint")
+
+
+def _first_pairs(rows: list[tuple], pivot: int, turn: int, num: int, den: int) -> list[tuple[int, int]]:
+    """For each member the first other that its bound allows and that is in another component."""
+    nodes, sizes, points, parts = (list(c) for c in zip(*dict((r[0], r) for r in rows).values()))
+    if len(set(parts)) == 1:
+        return []
+    nodes, sizes, parts = np.array(nodes), np.array(sizes), np.array(parts)
+    rank = nodes if turn == 0 else (_mix(nodes.astype(np.uint64) + np.uint64(turn)) >> np.uint64(1)).astype(np.int64)
+    rank = np.where(nodes == pivot, np.iinfo(np.int64).min, rank) if turn == 0 else rank
+    tree, out = CountTree(aligned([unpack_point(x) for x in points]), sizes), []
+    for i in range(len(nodes)):
+        j = tree.search(tree.points[i], int(sizes[i]), num, den)
+        j = j[parts[j] != parts[i]]
+        if len(j):
+            j = j[rank[j].argmin()]
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def _all_pairs(rows: list[tuple], low: int, high: int, num: int, den: int) -> list[tuple[int, int]]:
+    """All pairs across components that their bounds allow, one of part ``low`` and one of part ``high``."""
+    nodes, sizes, points, parts, own = (list(c) for c in zip(*rows))
+    if len(set(parts)) == 1:
+        return []
+    nodes, sizes, parts, own = np.array(nodes), np.array(sizes), np.array(parts), np.array(own)
+    tree, out = CountTree(aligned([unpack_point(x) for x in points]), sizes), []
+    for i in np.flatnonzero(own == low):
+        j = tree.search(tree.points[i], int(sizes[i]), num, den)
+        j = j[(parts[j] != parts[i]) & ((own[j] == high) if low != high else (nodes[j] > nodes[i]))]
+        out += [(min(nodes[i], x), max(nodes[i], x)) for x in nodes[j]]
+    return out
+
+
+def _per_group(rows: DataFrame, work, n_keys: int) -> DataFrame:
+    """Distinct pairs (u, v) of work(key, rows) over the groups of the first ``n_keys`` columns."""
+    keys = rows.columns[:n_keys]
 
     def run(batches):
-        """Rows come sorted by key, bits and block pair; a group that a batch cuts is carried over."""
+        """Rows come sorted by key; a group that a batch cuts is carried over."""
         key, group, done = None, [], set()
 
         def flush():
@@ -419,71 +436,100 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> Da
             return batch
 
         for b in batches:
-            for *at, node, n, point, part, own, upper in zip(*(c.to_pylist() for c in b.columns)):
-                if at != key:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:n_keys] != key:
                     if len(group) > 1:
-                        done.update(within(*key[2:], group))
-                    key, group = at, []
+                        done.update(work(key, group))
+                    key, group = row[:n_keys], []
                     if len(done) > 100_000:
                         yield flush()
-                group.append((node, n, point, part, own, upper))
+                group.append(row[n_keys:])
         if len(group) > 1:
-            done.update(within(*key[2:], group))
+            done.update(work(key, group))
         yield flush()
 
-    cols = ["key", "low_bits", "low", "high"]
-    rows = m.select(*cols, "node", "n", "point", "component", "own", (F.col("bits") > F.col("low_bits")).alias("upper")).repartition(*cols).sortWithinPartitions(*cols)
-    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def tree_pairs(members: DataFrame, classes: DataFrame, found: DataFrame | None, turn: int | None, num: int, den: int, block: int = 512) -> DataFrame:
+    """Candidate pairs (u < v, distinct) of the R-trees over the buckets ``members`` (pivot, node; the pivot is one of
+    them). found: node, component so far (absent: the node itself); turn: 0 or 1 for one pair a member, None for all."""
+    m = members
+    if found is None:
+        m = m.withColumn("component", F.col("node"))
+    else:
+        m = written(m.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
+    stats = m.groupBy("pivot").agg(F.count("*").alias("n_members"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
+    stats = written(stats.select("pivot", "n_members"), "jaccard-open")
+    hot = broadcast_if_small(stats.filter(F.col("n_members") > block))
+    points = classes.select(F.col("rep").alias("node"), "n", "point")
+    cold_rows = m.join(hot.select("pivot"), "pivot", "left_anti") if found is None else m.join(hot.select("pivot"), "pivot", "left_anti").join(stats, "pivot", "left_semi")
+    hot_rows = m.join(hot, "pivot").withColumn("parts", F.ceil(F.col("n_members") / block).cast("int"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    if turn is not None:
+        each = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).otherwise(F.array(part))
+        rows = cold_rows.select("pivot", F.lit(0).cast("long").alias("low"), "node", "component").union(hot_rows.select("pivot", F.explode(each).alias("low"), "node", "component"))
+        rows = rows.join(points, "node").select("pivot", "low", "node", "n", "point", "component")
+        return _per_group(rows, lambda key, group: _first_pairs(group, key[0], turn, num, den), 2)
+    hot_rows = hot_rows.join(points, "node").withColumn("slice", F.floor(F.log("n") * 4 / math.log(den / num) + 1e-9) if num < den else F.col("n"))
+    sizes = written(hot_rows.groupBy("pivot", "slice").agg(F.ceil(F.count("*") / block).alias("parts")), "jaccard-slices")
+    sizes = broadcast_if_small(sizes)
+    code = lambda a, b: F.col(a) * (1 << 32) + b
+    near = 5 if num < den else 0  # slices that linked sizes can be apart; one more for rounding
+    h = hot_rows.drop("parts").join(sizes, ["pivot", "slice"]).withColumn("own", code("slice", F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts")
+    h = h.withColumn("other_slice", F.explode(F.sequence(F.col("slice") - near, F.col("slice") + near)))
+    h = h.join(sizes.withColumnRenamed("slice", "other_slice"), ["pivot", "other_slice"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    h = h.withColumn("other", code("other_slice", F.col("other")))
+    cols = ["pivot", "low", "high", "node", "n", "point", "component", "own"]
+    h = h.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *cols[3:])
+    zero = F.lit(0).cast("long")
+    c = cold_rows.join(points, "node").select("pivot", zero.alias("low"), zero.alias("high"), "node", "n", "point", "component", zero.alias("own"))
+    return _per_group(c.union(h), lambda key, group: _all_pairs(group, key[1], key[2], num, den), 3)
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); linked: den * |A and B| >= num * |A or B|."""
     if not den <= 2 * num <= 2 * den:
         raise ValueError("the similarity must be between a half and one")
-    spark = docs.sparkSession
     prepared = written(prepare(docs, k), "jaccard-sets")
     named = prepared.filter("digest is not null and doc_id is not null")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "jaccard-classes")
-    shared = written(shared_buckets(docs, k, num, den), "jaccard-buckets")
-    release(spark)
-    # members by their class's representative
-    members = shared.select("node").distinct().join(named.select(F.col("doc_id").alias("node"), "digest"), "node").join(classes.select("digest", "rep"), "digest")
-    rep = written(members.select("node", "rep").distinct(), "jaccard-members")
-    equal = rep.filter("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
-
-    # who shares a bucket with whose pivot, by representatives
-    met = shared.filter("pivot <> node").select("node", "pivot").distinct()
-    met = met.join(rep, "node").join(rep.select(F.col("node").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot").filter("rep <> pivot_rep")
-    met = written(met.select(F.least("rep", "pivot_rep").alias("u"), F.greatest("rep", "pivot_rep").alias("v")).distinct(), "jaccard-met")
-    one = met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    one = written(one, "jaccard-stars")
-    # partners mostly have the same smallest acquaintance
-    families = met.union(met.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("family"))
-    families = written(families, "jaccard-families")
-    links = written(verify(docs, one, families, k, num, den).union(equal), "jaccard-links")
-    comp = written(components(links), "jaccard-components")
-    release(spark, shared)
-
-    # what shares no bucket, directly or through others, can't be linked: a tree's members are a component of that relation
-    reach = components(met)
-    placed = reach.select("node", F.col("component").alias("key")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "jaccard-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    open_ = placed.join(open_keys, "key", "left_semi").join(classes.select(F.col("rep").alias("node"), "n", "point"), "node")
-    across = written(cross_pairs(open_, num, den), "jaccard-across")
-    release(spark)
-    more = written(verify(docs, across, families, k, num, den), "jaccard-more")
-    release(spark)
-    comp = written(components(links.union(more)), "jaccard-components")
-
+    shared = written(shared_buckets(docs, k, num, den).select("node", "pivot").distinct(), "jaccard-buckets")
+    # members by their class's representative; most are it themselves
+    other = named.select(F.col("doc_id").alias("node"), "digest").join(classes.select("digest", "rep"), "digest").filter("node <> rep").select("node", "rep").distinct()
+    other = written(other.join(shared.select(F.explode(F.array("node", "pivot")).alias("node")).distinct(), "node", "left_semi"), "jaccard-members")
+    small = broadcast_if_small(other)
+    met = shared.join(small, "node", "left").select(F.coalesce("rep", "node").alias("node"), "pivot")
+    met = met.join(small.select(F.col("node").alias("pivot"), "rep"), "pivot", "left").select(F.coalesce("rep", "pivot").alias("pivot"), "node").filter("pivot <> node").distinct()
+    met = written(met, "jaccard-met")
+    members = written(met.union(met.select("pivot", F.col("pivot").alias("node")).distinct()), "jaccard-groups")
+    # partners mostly have the same smallest pivot
+    families = written(members.groupBy("node").agg(F.min("pivot").alias("family")), "jaccard-families")
+    release(docs.sparkSession, shared)
+
+    links, found = [], None
+    for turn in (0, 1, None):
+        pairs = written(tree_pairs(members, classes, found, turn, num, den, block), "jaccard-pairs")
+        links.append(written(verify(docs, pairs, families, k, num, den), "jaccard-links"))
+        found = written(components(functools.reduce(DataFrame.union, links)), "jaccard-components")
     r = prepared.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "rep"), "digest", "left")
-    r = r.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    r = r.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return r.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, once each; rows without an id stay."""
-    found = near_duplicates(docs, k, num, den)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id is null"))
+    """The rows of ``docs`` whose id is the smallest of their component.
+
+    Of rows that share an id, those with different texts all stay and those with equal texts are one. Rows without an
+    id are given one by a hash of their text, so that they link as others do and stay only where no row of their group
+    has an id; texts that are null or without words link with nothing, but of rows without id and with one such text
+    one stays."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # beyond all other ids, so that rows with an id go before
+    made = F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64(text), 2) + (1 << 62))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), made.alias("doc_id"), text.alias("text"))
+    found = near_duplicates(whole.select("doc_id", "text"), k, num, den)
+    fate = written(found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again"), "jaccard-fates")
+    kept = whole.join(fate, "doc_id", "left").filter(~F.coalesce("gone", F.lit(False)))
+    repeated = written(kept.filter("again"), "jaccard-repeated").dropDuplicates(["doc_id", "text"])
+    return kept.filter(~F.coalesce("again", F.lit(False))).select("row.*").union(repeated.select("row.*"))

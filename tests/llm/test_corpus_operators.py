@@ -413,8 +413,17 @@ def test_components(spark):
     for a, b in edges:
         lo, hi = sorted((find(a), find(b)))
         parent[hi] = lo
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(6)).collect()}
-    assert all(got.get(i, i) == find(i) for i in parent)
+    edges += [(2000, 3000 + i) for i in range(700)] + [(2, 2)]  # a hub, and a link to oneself
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        parent[hi] = lo
+    links = spark.createDataFrame([*edges, (None, 7)], "u bigint, v bigint").withColumn("n", F.lit("clash")).repartition(6)
+    for local_links in (1_000_000, 0):  # by forests alone, and by stars
+        got = {r["node"]: r["component"] for r in components.components(links, local_links=local_links).collect()}
+        assert all(got.get(i, i) == find(i) for i in parent) and 7 not in got
+    assert components.components(links.limit(0), local_links=0).count() == 0
+    few = components.forest(links.coalesce(1), most_nodes=10).collect()  # begun anew again and again
+    assert {r["node"]: r["component"] for r in components.components(spark.createDataFrame(few)).collect()} == got
 
 
 def test_embedding_links_that_no_walk_reaches(monkeypatch):
@@ -550,6 +559,64 @@ def test_jaccard_against_brute_force(spark, k, num, den):
     assert len({r["component_id"] for r in got}) < len(docs)
 
 
+def test_jaccard_in_small_parts(spark):
+    """Buckets dealt to many parts: copies near the limit, and texts that share most words but aren't linked."""
+    rng = random.Random(12)
+    docs = edited_docs(13, 20, sizes=(11, 20, 40, 90))
+    for n in (30, 90):
+        base = [f"b{rng.randrange(5000)}" for _ in range(n)]
+        for edits in [1] * 60 + [4] * 40:
+            w = list(base)
+            for j in rng.sample(range(n), edits):
+                w[j] = f"z{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    for k, num in ((3, 90), (5, 80)):
+        got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), k, num, 100, block=8).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs, k, num, 100)
+
+
+def test_all_links_but_equal_sets_come_from_trees(spark, monkeypatch):
+    docs = edited_docs(6, 60)
+    equal = {}
+    for i, t in docs:
+        w = t.split()
+        equal.setdefault(frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))), []).append(i)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    proposed, linked, propose, check = [], [], jaccard.tree_pairs, jaccard.verify
+
+    def counted(*args):
+        pairs = propose(*args).cache()
+        proposed.append({(r["u"], r["v"]) for r in pairs.collect()})
+        return pairs
+
+    def recorded(*args):
+        links = check(*args).cache()
+        linked.append({(r["u"], r["v"]) for r in links.collect()})
+        return links
+
+    monkeypatch.setattr(jaccard, "tree_pairs", counted)
+    monkeypatch.setattr(jaccard, "verify", recorded)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame).collect()}
+    assert len(proposed) == len(linked) == 3 and all({tuple(sorted(x)) for x in a} <= b for a, b in zip(linked, proposed))
+    n_links = sum(map(len, linked))
+    assert n_links == len(equal) - len(set(got.values()))  # a link less for each component than it has different sets
+    monkeypatch.setattr(jaccard, "tree_pairs", lambda members, *rest: members.select(F.col("pivot").alias("u"), F.col("node").alias("v")).limit(0))
+    alone = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame).collect()}
+    assert all(alone[i] == min(ids) for ids in equal.values() for i in ids) and alone != got
+
+
+def test_keep_one_without_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long), (None, long + " x"), (7, "a b c d e f"), (None, "a b c d e f"), (8, "q"), (8, "r"), (8, "r"), (None, None), (None, ""), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("component", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("gone", F.lit(2))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert sum(v for (i, t), v in got.items() if i is None and t and t.startswith("w0")) == 1
+    assert got[7, "a b c d e f"] == 1 and got[None, "a b c d e f"] == 0 and got[8, "q"] == got[8, "r"] == 1 and got[None, "alone here"] == 1
+    assert got[None, None] + got[None, ""] == 1 and sum(got.values()) == 6
+
+
 def test_linked_sets_share_a_key():
     rng, hashes = random.Random(7), jaccard._WordHashes()
     for num in (80, 90):
@@ -589,7 +656,7 @@ def test_jaccard_odd_rows(spark):
     assert len(got) == odd_docs(spark).count() and len(by[4]) == 2 and by[4][0]["component_id"] == 4
     assert by[5][0]["component_id"] == by[6][0]["component_id"] == 5 and by[1][0]["component_id"] == 1 and by[2][0]["n_shingles"] == 0
     kept = jaccard.keep_one(odd_docs(spark)).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 3, 4, 5, 7, 8, 9] and sum(r["doc_id"] is None for r in kept) == 2
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 3, 4, 5, 7, 8, 9] and sum(r["doc_id"] is None for r in kept) == 2 and kept[0].asDict().keys() == set(odd_docs(spark).columns)
     assert jaccard.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
