@@ -14,46 +14,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_columns(spark, sf_dir):
+    """Every document as an image in a tar shard, read back: digests, sizes and a feature per row."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def op2_hmm_scores(spark, sf_dir):
+    """Every document scored by the hidden Markov model that the training fold taught."""
     return hmm.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark, sf_dir):
+    """All pieces of all documents in bins of several lengths."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op4_zip_warc(spark, sf_dir):
+    """Every page written as a WARC record in ZIP packages and read back."""
     return zipwarc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_hnsw_near_duplicates(spark, sf_dir):
+    """Links and component of every vector."""
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op6_jaccard_join(spark, sf_dir):
+    """Set size and component of every document by three-word shingles at 0.9."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op7_source_mixing(spark, sf_dir):
+    """What the mix takes of every document."""
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark, sf_dir):
+    """Base spans and added spans of personal data of every document."""
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark, sf_dir):
+    """Quality score of every document."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_secrets(spark, sf_dir):
+    """Base spans, linked weak spans and credentials of every document."""
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -88,3 +88,38 @@ def test_pipeline_stage_by_stage(spark):
     assert packed.agg(F.sum("length")).first()[0] == words
     fill = packed.filter("bin is not null").groupBy("bin").agg(F.sum("length").alias("n"), F.first("bin_length").alias("l")).agg(F.sum("n") / F.sum("l"), F.max(F.col("n") - F.col("l"))).first()
     assert fill[1] <= 0 and fill[0] > 0.8
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing columns, and empty tables."""
+    from test_corpus_operators import odd_docs
+
+    docs = odd_docs(spark)
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if name != "packing":
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        rows = got.collect()
+        if name == "near_duplicates":
+            assert sorted(r["doc_id"] for r in rows if r["doc_id"]) == [1, 2, 3, 4, 5, 7, 8, 9]
+        if name == "pii":
+            assert len(rows) == docs.count() and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_run_is_all_stages(spark, tmp_path):
+    """``run`` over whole tables equals the stages one after the other on what each kept."""
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+    want = Counter(map(tuple, docs.collect()))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want and want
+    empty = tmp_path / "none"
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
