@@ -111,3 +111,17 @@ def merge_experiments(a: DataFrame, b: DataFrame, p: str, threshold: float = 0.0
     j = one(a, "a").join(one(b, "b"), "set_id")
     sa, sb = F.col("p_a") < threshold, F.col("p_b") < threshold
     return j.withColumn("category", F.when(sa & sb, "both").when(sa, "a_only").when(sb, "b_only").otherwise("neither"))
+
+
+def available_columns(columns: list[str], groups: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The groups' columns that are among ``columns``, in the groups' order; groups without any are left out."""
+    present = {g: [c for c in wanted if c in columns] for g, wanted in groups.items()}
+    return {g: found for g, found in present.items() if found}
+
+
+def map_ids(ids: DataFrame, mapping: DataFrame, source: str, target: str, species: str | None = None) -> DataFrame:
+    """id, mapped of the distinct ids of ``ids`` (id) by a stored mapping table, in place of an online service: the first
+    target by name where there are several, null where there is none; ``species`` filters the table if it has that column."""
+    m = mapping.filter(F.col("species") == species) if species is not None and "species" in mapping.columns else mapping
+    one = m.filter(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("id")).agg(F.min(target).alias("mapped"))
+    return ids.select("id").filter("id is not null").distinct().join(one, "id", "left")

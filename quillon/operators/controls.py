@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.normalize import summarize_sets
@@ -47,35 +49,53 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_sets(cells: DataFrame, targets: DataFrame, n: int = 200, seed: int = 0, pool_size: int = 4000) -> DataFrame:
-    """iteration, feature_id: control sets matched one to one on mean and variance, with 10 % jitter for variety.
+JITTER = 0.1
+
+
+def _scatter(seed: int, iteration: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """A number in [-JITTER, JITTER) for each pair of hashes, whatever other pairs there are."""
+    x = rows[:, None] * np.uint64(0x9E3779B97F4A7C15) + cols[None, :] + np.uint64((seed * 1_000_003 + iteration) & (2**63 - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x >> np.uint64(11)).astype(np.float64) / 2**53 * 2 - 1) * JITTER
+
 
-    Only features near a target can be its match, so each target brings its ``pool_size / targets`` nearest
-    others (by mean) to the pool, and an iteration is one task with two small arrays."""
+def matched_pool(stats: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, others that a least-cost matching can use), each feature_id, m, v of ``stats``.
+
+    With k targets one of the k cheapest others of a target is always free, and jitter of 10 % lets only those be
+    cheaper whose cost is at most 1.1 / 0.9 times the k-th: the rest can't be in any best matching. The cost of a pair
+    is |difference of means| + |difference of variances| / 2."""
+    chosen = targets.select("feature_id").distinct()
+    t, rest = stats.join(chosen, "feature_id", "left_semi"), stats.join(chosen, "feature_id", "left_anti")
+    n = t.count()
+    pairs = rest.crossJoin(t.select(F.col("feature_id").alias("t"), F.col("m").alias("tm"), F.col("v").alias("tv")))  # targets are a set of features, small beside the others
+    pairs = pairs.withColumn("c", F.abs(F.col("m") - F.col("tm")) + 0.5 * F.abs(F.col("v") - F.col("tv")))
+    # the k smallest costs of each target, first by task: a bounded sketch that merges
+    kth = pairs.withColumn("_s", F.spark_partition_id()).withColumn("_rk", F.row_number().over(Window.partitionBy("t", "_s").orderBy("c"))).filter(F.col("_rk") <= n)
+    kth = kth.withColumn("_rk", F.row_number().over(Window.partitionBy("t").orderBy("c"))).filter(F.col("_rk") <= n).groupBy("t").agg((F.max("c") * (1 + JITTER) / (1 - JITTER) + 1e-12).alias("most"))
+    return t, pairs.join(kth, "t").filter("c <= most").select("feature_id", "m", "v").distinct()
+
+
+def matched_sets(cells: DataFrame, targets: DataFrame, n: int = 200, seed: int = 0) -> DataFrame:
+    """iteration, feature_id: control sets matched one to one on mean and variance to all other features, at least total
+    cost, with 10 % jitter for variety. Fewer others than targets: all of them. Targets without values have no match."""
     stats = cells.groupBy("feature_id").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).filter("m is not null")
-    t = stats.join(targets.select("feature_id").distinct(), "feature_id", "left_semi").toPandas().sort_values("feature_id")
-    rest = stats.join(targets.select("feature_id").distinct(), "feature_id", "left_anti")
+    t, p = (d.orderBy("feature_id").toPandas() for d in matched_pool(stats, targets))  # the targets, and what their matches can be
     if not len(t):
         return cells.sparkSession.createDataFrame([], "iteration int, feature_id string")
-    each = max(2, pool_size // len(t))
-    near = F.array(*(F.struct(F.lit(i).alias("t"), F.abs(F.col("m") - float(m)).alias("d")) for i, m in enumerate(t["m"])))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("t").orderBy("d", "feature_id")
-    pool = rest.select("feature_id", "m", "v", F.explode(near).alias("x")).select("feature_id", "m", "v", "x.t", "x.d").withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= each)
-    p = pool.select("feature_id", "m", "v").distinct().orderBy("feature_id").toPandas()  # pool_size rows at most
     cost = np.abs(t["m"].to_numpy()[:, None] - p["m"].to_numpy()[None, :]) + 0.5 * np.abs(t["v"].to_numpy()[:, None] - p["v"].to_numpy()[None, :])
     ids = p["feature_id"].tolist()
+    rows, cols = (np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in d["feature_id"]], np.uint64) for d in (t, p))
 
     def draw(batches):
         for b in batches:
             for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
                 if cost.shape[1] < cost.shape[0]:
-                    chosen = rng.permutation(cost.shape[1])
+                    picked = range(cost.shape[1])
                 else:
-                    chosen = assign(cost * (1 + rng.uniform(-0.1, 0.1, cost.shape)))
-                yield pd.DataFrame({"iteration": int(i), "feature_id": [ids[c] for c in chosen]})
+                    picked = assign(cost * (1 + _scatter(seed, int(i), rows, cols)))
+                yield pd.DataFrame({"iteration": int(i), "feature_id": [ids[c] for c in picked]})
 
     return cells.sparkSession.range(n).mapInPandas(draw, "iteration int, feature_id string")
 

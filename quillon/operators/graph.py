@@ -100,8 +100,13 @@ def core_numbers(adj: dict) -> dict:
     return core
 
 
-def maximal_cliques(adj: dict, min_size: int = 3, budget: int = 1_000_000):
-    """Maximal cliques of at least ``min_size``, in a fixed order: degeneracy order outside, pivots inside. Returns (cliques, truncated)."""
+class TooManyCliques(RuntimeError):
+    """A caller's budget of cliques was exceeded: nothing is returned in place of all of them."""
+
+
+def maximal_cliques(adj: dict, min_size: int = 3, budget: int | None = None) -> list[tuple]:
+    """All maximal cliques of at least ``min_size``, in a fixed order: degeneracy order outside, pivots inside.
+    More than ``budget`` of them, if one is given, are an error."""
     order = {v: i for i, (v, _) in enumerate(sorted(core_numbers(adj).items(), key=lambda x: (x[1], x[0])))}
     found: list[tuple] = []
     for v in sorted(adj, key=order.get):
@@ -111,8 +116,8 @@ def maximal_cliques(adj: dict, min_size: int = 3, budget: int = 1_000_000):
             if not p and not x:
                 if len(r) >= min_size:
                     found.append(tuple(sorted(r)))
-                    if len(found) >= budget:
-                        return sorted(found), True
+                    if budget is not None and len(found) > budget:
+                        raise TooManyCliques(f"more than {budget} cliques")
                 continue
             if len(r) + len(p) < min_size:
                 continue
@@ -121,7 +126,7 @@ def maximal_cliques(adj: dict, min_size: int = 3, budget: int = 1_000_000):
                 stack.append(((*r, u), p & adj[u], x & adj[u]))
                 p = p - {u}
                 x = x | {u}
-    return sorted(found), False
+    return sorted(found)
 
 
 def greedy_clique(adj: dict, weight=None, restarts: int = 10) -> tuple:
@@ -219,10 +224,11 @@ def average_linkage(nodes: list, distance: np.ndarray, cut: float = 0.5) -> dict
 # Grouped operators --------------------------------------------------------------------------------------
 
 
-def find_cliques(edges: DataFrame, keys: list[str] | None = None, min_size: int = 3, budget: int = 100_000) -> DataFrame:
-    """keys, members, size, mean_r, min_abs_r, truncated: maximal cliques of edges (keys, a, b, r), a task per component.
+def find_cliques(edges: DataFrame, keys: list[str] | None = None, min_size: int = 3, budget: int | None = None) -> DataFrame:
+    """keys, members, size, mean_r, min_abs_r: all maximal cliques of edges (keys, a, b, r), a task per component.
 
     The (min_size - 1)-core is taken first without keys; with keys the per-key graph is pruned in its task.
+    More than ``budget`` cliques of a component, if one is given, fail the job.
     """
     keys = keys or []
     if not keys:
@@ -239,17 +245,17 @@ def find_cliques(edges: DataFrame, keys: list[str] | None = None, min_size: int
         adj = adjacency(r)
         core = core_numbers(adj)
         adj = {v: {u for u in n if core[u] >= min_size - 1} for v, n in adj.items() if core[v] >= min_size - 1}
-        cliques, cut = maximal_cliques(adj, min_size, budget)
+        cliques = maximal_cliques(adj, min_size, budget)
         out = []
         for c in cliques:
             v = [r[p] for p in itertools.combinations(c, 2)]
-            out.append((list(c), len(c), float(np.mean(v)), float(np.min(np.abs(v))), cut))
-        d = pd.DataFrame(out, columns=["members", "size", "mean_r", "min_abs_r", "truncated"])
+            out.append((list(c), len(c), float(np.mean(v)), float(np.min(np.abs(v)))))
+        d = pd.DataFrame(out, columns=["members", "size", "mean_r", "min_abs_r"])
         for i, k in enumerate(by):
             d.insert(i, k, rows[k].iloc[0])
         return d
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "members array<string>, size int, mean_r double, min_abs_r double, truncated boolean"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "members array<string>, size int, mean_r double, min_abs_r double"])
     return e.groupBy(*by).applyInPandas(run, schema)
 
 

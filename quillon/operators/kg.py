@@ -140,3 +140,11 @@ def jaccard_matches(a: DataFrame, b: DataFrame, least: float = 0.3) -> DataFrame
     both = a.select(F.col("id").alias("id_a"), "member").distinct().join(b.select(F.col("id").alias("id_b"), "member").distinct(), "member").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
     j = both.join(na, "id_a").join(nb, "id_b")
     return j.select("id_a", "id_b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
+def features_of_classes(members: DataFrame, classes: list[str]) -> DataFrame:
+    """feature_id of a table of regulator classes (class, feature_id): the union of the named ones; an unknown name is an error."""
+    known = {r["class"] for r in members.select("class").distinct().filter(F.col("class").isin(classes)).collect()}  # the asked ones at most
+    if unknown := sorted(set(classes) - known):
+        raise ValueError(f"unknown classes: {', '.join(unknown)}")
+    return members.filter(F.col("class").isin(classes)).select("feature_id").distinct()

@@ -110,6 +110,23 @@ def competitive_z(stats: DataFrame, robust: bool = False, correlation: float | N
     return j.select("n_targets", "n_total", F.when(bad, 0.0).otherwise(F.try_divide(F.col("tc") - F.col("bc"), se)).alias("z"))
 
 
+def inter_feature_correlation(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row (n_targets, correlation): the mean correlation of two different targets, not below 0; 0 for fewer than two.
+
+    All entries of the correlation matrix add up to the sum over samples of the squared sum of standardised targets, so
+    no pairs are formed. Constant targets are left out, and so are samples that miss a value of a target."""
+    c = cells.filter("value is not null").join(targets.select("feature_id").distinct(), "feature_id", "left_semi").select("feature_id", "sample_id", "value")
+    k = c.agg(F.count_distinct("feature_id").alias("_all"))
+    whole = back(c.groupBy("sample_id").agg(F.count("*").alias("_n")), k, []).filter("_n = _all").select("sample_id")
+    c = c.join(whole, "sample_id")
+    s = c.groupBy("feature_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count("*").alias("_n")).filter("_s > 1e-12")
+    z = c.join(s, "feature_id").withColumn("z", (F.col("value") - F.col("_m")) / F.col("_s"))
+    per = z.groupBy("sample_id").agg(F.sum("z").alias("z"), F.count("*").alias("_k"), F.max("_n").alias("_n")).withColumn("e", F.col("z") * F.col("z") / F.col("_n"))
+    g = per.agg(F.coalesce(F.max("_k"), F.lit(0)).alias("n_targets"), F.sum("e").alias("_t"))
+    rho = F.try_divide(F.col("_t") - F.col("n_targets"), F.col("n_targets") * (F.col("n_targets") - 1))
+    return g.select("n_targets", F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(0.0)).alias("correlation"))
+
+
 def two_group_statistics(cells: DataFrame, group: str, a, b) -> DataFrame:
     """feature_id with Welch t, pooled t, Cohen's d (absolute) of groups a and b."""
     x, y = F.when(F.col(group) == a, F.col("value")), F.when(F.col(group) == b, F.col("value"))
@@ -180,7 +197,7 @@ def design_contrasts(cells: DataFrame, design: Design) -> DataFrame:
     """OLS per feature on a design, missing values dropped per feature; normal equations by pattern in one Arrow task per feature group."""
     ids = design.sample_ids
     order = cells.sparkSession.createDataFrame([(s, i) for i, s in enumerate(ids)], "sample_id string, sample_ord int")
-    rows = cells.join(F.broadcast(order), "sample_id").groupBy("feature_id").agg(F.collect_list(F.struct("sample_ord", "value")).alias("v"))
+    rows = cells.join(order, "sample_id").groupBy("feature_id").agg(F.collect_list(F.struct("sample_ord", "value")).alias("v"))
     x, c = design.x, design.contrast
 
     def fit(batches):

@@ -33,7 +33,7 @@ def marker_scores(cells: DataFrame, labels: DataFrame, min_effect: float = 0.5)
     """feature_id, d_labeled, balance, consistency, score, threshold of features that separate the labels (sample_id, label 0/1).
 
     score = d * consistency * (0.5 + 0.5 * balance), with the Otsu split over all samples."""
-    lab = cells.join(F.broadcast(labels), "sample_id")
+    lab = cells.join(labels, "sample_id")
     d = two_group_statistics(lab, "label", 1, 0).select("feature_id", F.col("cohens_d").alias("d_labeled")).filter(F.col("d_labeled") >= min_effect)
     t = otsu(cells)
     j = back(back(cells.join(labels, "sample_id", "left"), t, ["feature_id"]), d, ["feature_id"]).filter("d_labeled is not null and value is not null")
@@ -47,7 +47,7 @@ def marker_scores(cells: DataFrame, labels: DataFrame, min_effect: float = 0.5)
 def predict_by_marker(cells: DataFrame, scores: DataFrame) -> DataFrame:
     """sample_id, predicted, confidence from the best marker: side of its threshold, logistic in distance over spread."""
     best = scores.orderBy(F.col("score").desc(), "feature_id").limit(1)
-    j = cells.join(F.broadcast(best), "feature_id")
+    j = cells.join(best, "feature_id")
     sd = j.agg(F.stddev_samp("value").alias("_sd"))
     p = 1 / (1 + F.exp(-4 * (F.col("value") - F.col("threshold")) / F.nullif(F.col("_sd"), F.lit(0.0))))
     label = F.when(F.col("value") > F.col("threshold"), F.col("high_label")).otherwise(1 - F.col("high_label"))
@@ -56,7 +56,7 @@ def predict_by_marker(cells: DataFrame, scores: DataFrame) -> DataFrame:
 
 def welch_top(cells: DataFrame, labels: DataFrame, n: int = 50) -> DataFrame:
     """The n features of largest |Welch t| between labels 0 and 1."""
-    w = two_group_statistics(cells.join(F.broadcast(labels), "sample_id"), "label", 1, 0)
+    w = two_group_statistics(cells.join(labels, "sample_id"), "label", 1, 0)
     return w.orderBy(F.abs("welch_t").desc_nulls_last(), "feature_id").limit(n)
 
 

@@ -56,6 +56,35 @@ def clique_stability(cells: DataFrame, min_correlation: float = 0.7, min_size: i
     return found.groupBy(F.array_sort("members").alias("members")).agg((F.count("*") / F.lit(n)).alias("stability"))
 
 
+def stability_summary(cliques: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
+    """features (comma-joined, sorted), size, stability, mean_correlation of the members' pairs in ``pairs``, is_stable."""
+    c = cliques.select(F.array_sort("members").alias("members"), "stability").withColumn("features", F.array_join("members", ","))
+    a = c.select("features", F.posexplode("members").alias("i", "a"))
+    b = a.select("features", F.col("i").alias("j"), F.col("a").alias("b"))
+    r = a.join(b, "features").filter("i < j").join(pairs.select("a", "b", "r"), ["a", "b"]).groupBy("features").agg(F.avg("r").alias("mean_correlation"))
+    return c.join(r, "features", "left").select("features", F.size("members").alias("size"), "stability", "mean_correlation", (F.col("stability") >= least).alias("is_stable"))
+
+
+def universe(cells: DataFrame, rule: str, n_features: int = 5000, edges: DataFrame | None = None, least: float = 0.0, min_targets: int = 1) -> DataFrame:
+    """feature_id: the features that a module search looks at.
+
+    variance: the most variable; measured: those with any value above ``least``; targets: measured features that a
+    regulator of at least ``min_targets`` measured targets points to; components: measured ends of edges between measured features."""
+    have = cells.filter(F.col("value") > least).select("feature_id").distinct() if rule == "measured" else cells.filter("value is not null").select("feature_id").distinct()
+    if rule == "variance":
+        return normalize.variance_top(cells, n_features).select("feature_id")
+    if rule == "measured":
+        return have
+    hit = edges.join(have.withColumnRenamed("feature_id", "target"), "target", "left_semi").select("source", "target").distinct()
+    if rule == "targets":
+        strong = hit.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") >= min_targets)
+        return hit.join(strong, "source", "left_semi").select(F.col("target").alias("feature_id")).distinct()
+    if rule == "components":
+        inner = hit.join(have.withColumnRenamed("feature_id", "source"), "source", "left_semi").filter("source <> target")
+        return inner.select(F.explode(F.array("source", "target")).alias("feature_id")).distinct()
+    raise ValueError(f"unknown universe {rule}")
+
+
 def stable(cliques: DataFrame, least: float = 0.8) -> DataFrame:
     return cliques.filter(F.col("stability") >= least)
 

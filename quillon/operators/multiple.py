@@ -8,22 +8,47 @@ from pyspark.sql import functions as F
 from quillon.operators.robust import back
 
 
+def ranged(df: DataFrame, col: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``_part``: rows in ``parts`` ranges of the column, in order, so that no window takes all rows.
+
+    The limits are approximate quantiles, one row; equal values are in one range."""
+    limits = df.agg(F.percentile_approx(col, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000)).alias("_limits"))
+    return df.crossJoin(F.broadcast(limits)).withColumn("_part", F.size(F.filter(F.coalesce("_limits", F.array()), lambda x: x < F.col(col)))).drop("_limits")
+
+
+def _before(rows: DataFrame, keys: list[str], col: str, sums: list[str]) -> DataFrame:
+    """Running sums of ``sums`` in the order of ``col`` within keys: within a range by a window, plus the totals of the ranges before (few rows)."""
+    up = Window.partitionBy(*keys, "_part").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_t{c}") for c in sums))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_t{c}").over(earlier), F.lit(0)).alias(f"_b{c}") for c in sums))
+    out = back(rows, starts, [*keys, "_part"])
+    return out.select(*[c for c in rows.columns if c not in sums], *sums, *((F.sum(c).over(up) + F.col(f"_b{c}")).alias(f"_run{c}") for c in sums))
+
+
+def _least_from_here(rows: DataFrame, keys: list[str], col: str, value: str, out: str) -> DataFrame:
+    """``out``: the least ``value`` at this and larger ``col`` within keys, ranges as above."""
+    down = Window.partitionBy(*keys, "_part").orderBy(F.col(col).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = rows.groupBy(*keys, "_part").agg(F.min(value).alias("_m")).select(*keys, "_part", F.min("_m").over(later).alias("_after"))
+    return back(rows, least, [*keys, "_part"]).withColumn(out, F.least(F.min(value).over(down), F.col("_after"))).drop("_after")
+
+
 def bh(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None, keys: list[str] | None = None, method: str = "bh") -> DataFrame:
     """Benjamini-Hochberg (or -Yekutieli) values within ``keys``; ``by`` breaks ties of p. Null p stays null.
 
     q = min over equal and larger p of p * m / rank; equal p values share the largest rank, so the
-    minimum may be taken over *distinct* p values: the window runs over p with its counts, and each
-    partition of it is a set of tests that are corrected together.
+    minimum may be taken over *distinct* p values with their counts. Windows run within ranges of p, and what
+    the ranges before and after add is found over one row a range.
     """
     keys = keys or []
     counts = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up = part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = part.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_rank", F.sum("_c").over(up)).withColumn("_m", F.sum("_c").over(part))
-    factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_m")), F.lit(0.0), lambda a, i: a + 1 / i)
-    counts = counts.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") * factor / F.col("_rank")).over(down)))
-    return back(df, counts.select(*keys, p, out), [*keys, p])
+    counts = _before(ranged(counts, p), keys, p, ["_c"])
+    total = df.filter(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_n")), F.lit(0.0), lambda a, i: a + 1 / i)
+    counts = back(counts, total.withColumn("_f", factor), keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c"))
+    q = _least_from_here(counts, keys, p, "_q", out).withColumn(out, F.least(F.lit(1.0), out))
+    return back(df, q.select(*keys, p, out), [*keys, p])
 
 
 def bonferroni(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = None) -> DataFrame:
@@ -39,9 +64,6 @@ def storey(observed: DataFrame, null: DataFrame, p: str = "p", out: str = "q") -
     n_null = null.agg(F.count(p).alias("_n"))
     both = observed.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_o"), F.lit(0).cast("long").alias("_z")).unionByName(null.filter(F.col(p).isNotNull()).groupBy(p).agg(F.lit(0).cast("long").alias("_o"), F.count("*").alias("_z")))
     both = both.groupBy(p).agg(F.sum("_o").alias("_o"), F.sum("_z").alias("_z"))
-    part = Window.partitionBy(F.lit(0))
-    up = part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_r", F.sum("_o").over(up)).withColumn("_v", F.sum("_z").over(up)).filter("_o > 0").crossJoin(F.broadcast(pi0)).crossJoin(F.broadcast(n_null))
-    both = both.withColumn("_q", F.least(F.lit(1.0), F.col("_pi0") * F.col("_v") * F.col("_m") / F.col("_n") / F.col("_r")))
-    both = both.withColumn(out, F.min("_q").over(part.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    return back(observed, both.select(p, out), [p])
+    both = _before(ranged(both, p), [], p, ["_o", "_z"]).filter("_o > 0").crossJoin(F.broadcast(pi0)).crossJoin(F.broadcast(n_null))  # one row each
+    both = both.withColumn("_q", F.least(F.lit(1.0), F.col("_pi0") * F.col("_run_z") * F.col("_m") / F.col("_n") / F.col("_run_o")))
+    return back(observed, _least_from_here(both, [], p, "_q", out).select(p, out), [p])

@@ -29,7 +29,7 @@ def median_normalize(cells: DataFrame, reference: str = "global") -> DataFrame:
 def standards_normalize(cells: DataFrame, standards: DataFrame, method: str = "median") -> DataFrame:
     """Samples shifted so that their standards' centre meets the centre of all samples'."""
     agg = F.median if method == "median" else F.avg
-    s = cells.join(F.broadcast(standards.select("feature_id").distinct()), "feature_id", "left_semi").groupBy("sample_id").agg(agg("value").alias("_m"))
+    s = cells.join(standards.select("feature_id").distinct(), "feature_id", "left_semi").groupBy("sample_id").agg(agg("value").alias("_m"))
     ref = s.agg(agg("_m").alias("_ref"))
     return back(back(cells, s, ["sample_id"]), ref, []).withColumn("value", F.col("value") - F.coalesce(F.col("_m") - F.col("_ref"), F.lit(0.0))).select(*cells.columns)
 
@@ -128,7 +128,7 @@ def expressed_features(cells: DataFrame) -> DataFrame:
 def subject_values(cells: DataFrame, subjects: DataFrame, method: str = "mean") -> DataFrame:
     """One value per feature and subject (sample_id, subject_id)."""
     agg = F.avg if method == "mean" else F.median
-    return cells.join(F.broadcast(subjects), "sample_id").groupBy("feature_id", "subject_id").agg(agg("value").alias("value"))
+    return cells.join(subjects, "sample_id").groupBy("feature_id", "subject_id").agg(agg("value").alias("value"))
 
 
 def summarize_sets(cells: DataFrame, sets: DataFrame, method: str = "median") -> DataFrame:
@@ -193,3 +193,11 @@ def set_coherence(cells: DataFrame, sets: DataFrame) -> DataFrame:
 
     j = cells.join(sets.select("set_id", "feature_id").distinct(), "feature_id").select("set_id", "feature_id", "sample_id", "value")
     return j.groupBy("set_id").applyInPandas(block, "set_id string, n_members bigint, coherence double")
+
+
+def normalize(cells: DataFrame, method: str = "median", **how) -> DataFrame:
+    """The cells normalised by name: none, median, quantile, vsn (one pass), vsn_iterated, global_standards (with ``standards``)."""
+    steps = {"none": lambda c: c, "median": median_normalize, "quantile": quantile_normalize, "vsn": asinh_scale, "vsn_iterated": variance_stabilise, "global_standards": standards_normalize}
+    if method not in steps:
+        raise ValueError(f"unknown normalisation {method}; known are {', '.join(sorted(steps))}")
+    return steps[method](cells, **how)

@@ -79,7 +79,7 @@ def feature_effects(cells: DataFrame, basis: Basis) -> DataFrame:
     """feature_id, u, s2, df of features that have all of the basis's samples."""
     spark = cells.sparkSession
     order = spark.createDataFrame(list(zip(basis.sample_ids, range(len(basis.sample_ids)))), "sample_id string, sample_ord int")
-    rows = cells.filter("value is not null").join(F.broadcast(order), "sample_id").groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_ord", "value"))).alias("v"))
+    rows = cells.filter("value is not null").join(order, "sample_id").groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_ord", "value"))).alias("v"))
     rows = rows.filter(F.size("v") == len(basis.sample_ids)).select("feature_id", F.transform("v", lambda e: e["value"]).alias("v"))
     q2, df = basis.q2, basis.df
 

@@ -854,3 +854,6 @@ def clean_matrix(spark, d):
 
     flow = workflows.Clean(group="grp", threshold=3.0)
     return flow.report(flow.run(event_cells(spark, d)))
+
+
+from quillon.plans import catalog_more as _more  # noqa: E402, F401  registers its queries here

@@ -76,7 +76,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "discover":
         _write(modules.discover(cells, a.condition, a.n_features, a.min_correlation, a.min_size), out, "modules")
     elif a.command == "differential":
-        _write(workflows.differential_sets(cells, sets, a.condition, pair, a.summary), out, "sets")
+        by_set, by_feature = workflows.differential_sets(cells, sets, a.condition, pair, a.summary), workflows.differential_features(cells, a.condition, pair)
+        _write(by_set, out, "sets")
+        _write(by_feature, out, "features")
+        _write(workflows.compare_levels(by_set, by_feature, sets), out, "levels")
+        if "rotation" in a.tests or "permutation" in a.tests:
+            results = workflows.compare_methods(cells, sets, a.condition, pair, a.n)
+            for name in a.tests.split(","):
+                _write(results.filter(F.col("method").startswith(name)), out, name)
     elif a.command == "compare":
         results = workflows.compare_methods(cells, sets, a.condition, pair)
         _write(results, out, "results")
@@ -84,7 +91,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         _write(compare.robust_hits(results), out, "robust_hits")
     elif a.command == "validate":
         targets = sets.select("feature_id").distinct()
-        verdict = workflows.Validation().run(cells, samples, a.condition, pair, targets, a.n, a.seed)
+        names = lambda text: text.split(",") if text else None
+        others = [tuple(x.split(":")) for x in names(a.others) or []]
+        verdict = workflows.Validation(f"{out}/phases").run(cells, samples, a.condition, pair, targets, names(a.covariates), names(a.strata), others, a.n, a.seed)
         matrix.write_json(f"{out}/verdict.json", verdict)
     elif a.command == "chart-data":
         pairs = correlate.correlations(cells, a.method, [a.condition])
@@ -100,8 +109,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
-    for name in ("metadata", "cohort", "match", "sets", "contrast", "config"):
+    for name in ("metadata", "cohort", "match", "sets", "contrast", "config", "covariates", "strata", "others"):
         p.add_argument(f"--{name}")
+    p.add_argument("--tests", default="", help="of differential: rotation, permutation")
     p.add_argument("--condition", default="phenotype")
     p.add_argument("--detector", default="mad-z", choices=("mad-z", "iqr", "multipass", "adjusted-boxplot", "kde", "student-t"))
     p.add_argument("--mode", default="within_group", choices=("within_group", "per_feature", "global"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import adaptive, compare, correlate, impute, linear, modules, multiple, normalize, resample, robust, rotation
+from quillon.operators import adaptive, compare, controls, correlate, impute, linear, modules, multiple, normalize, resample, robust, rotation
+from quillon.operators.cohort import match_exactly
 from quillon.schema import flag_summary
+from quillon.sources import matrix
 
 
 @dataclass(frozen=True)
@@ -66,6 +72,24 @@ def differential_sets(cells: DataFrame, sets: DataFrame, condition: str, contras
     return multiple.bh(fitted, "p", "q").withColumnRenamed("feature_id", "set_id")
 
 
+def differential_features(cells: DataFrame, condition: str, contrast: tuple[str, str]) -> DataFrame:
+    """feature_id, estimate, t (moderated), p, q of single features."""
+    fitted = linear.moderated(linear.ols_contrasts(cells, [contrast], condition)).select("feature_id", "estimate", F.col("t_mod").alias("t"), "p")
+    return multiple.bh(fitted, "p", "q")
+
+
+def compare_levels(set_results: DataFrame, feature_results: DataFrame, sets: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Per set: members, significant members, whether the set is significant, and what only one level detects.
+
+    coordinated: the set is significant and none of its members; individual: members are and the set isn't.
+    A set or member without a q value isn't significant; the mean estimate is over members with results."""
+    m = sets.select("set_id", "feature_id").distinct().join(feature_results.select("feature_id", F.col("estimate").alias("_e"), F.col("q").alias("_q")), "feature_id", "left")
+    g = m.groupBy("set_id").agg(F.count("*").alias("n_features"), F.count_if(F.col("_q") < threshold).alias("n_significant"), F.avg("_e").alias("mean_estimate"))
+    hit = F.coalesce(F.col("q") < threshold, F.lit(False))
+    j = set_results.select("set_id", "estimate", "q").join(g, "set_id").withColumn("set_significant", hit)
+    return j.withColumn("coordinated", F.col("set_significant") & (F.col("n_significant") == 0)).withColumn("individual", ~F.col("set_significant") & (F.col("n_significant") > 0))
+
+
 def compare_methods(cells: DataFrame, sets: DataFrame, condition: str, contrast: tuple[str, str], n_rotations: int = 499) -> DataFrame:
     """Long results (set_id, method, effect_size, p_value) of OLS on summaries, rotation (two statistics) and competitive permutation."""
     ols = differential_sets(cells, sets, condition, contrast).select("set_id", F.col("estimate").alias("effect_size"), F.col("p").alias("p_value"))
@@ -77,17 +101,85 @@ def compare_methods(cells: DataFrame, sets: DataFrame, condition: str, contrast:
     return compare.unified({"ols": ols, "rotation_msq": pick("msq"), "rotation_mean": pick("mean"), "permutation": perm})
 
 
+def _one(df: DataFrame) -> dict:
+    """The only row of a summary."""
+    row = df.first()
+    if row is None:
+        raise ValueError("nothing is left to test")
+    return row.asDict()
+
+
 @dataclass
 class Validation:
-    """Phases of a validation, each stored once finished, and their verdict."""
+    """Phases of a validation of one target set, each stored in ``folder`` (if given) once finished, and their verdict.
+
+    A phase that is stored already, for the same study, isn't run again; one that fails is stored as failed with its
+    message, counts as missing in the verdict, and is tried again by the next run."""
 
+    folder: str | None = None
     phases: dict = field(default_factory=dict)
 
-    def run(self, cells: DataFrame, samples: DataFrame, condition: str, contrast: tuple[str, str], targets: DataFrame, n: int = 200, seed: int = 0) -> dict:
-        t = linear.ols_contrasts(cells.join(samples.select("sample_id", condition), "sample_id") if condition not in cells.columns else cells, [contrast], condition)
-        control = resample.negative_controls(t.select("feature_id", "t"), targets, n, seed).first()
-        self.phases["covariate_adjusted"] = {"empirical_pvalue": control["p"]}
-        null = resample.label_permutation_null(cells, samples, condition, *contrast, targets, n, seed=seed).first()
-        self.phases["label_permutation"] = {"stratified": {"permutation_pvalue": null["p"]}}
-        self.phases["negative_controls"] = {"target_percentile": 100.0 * control["p"]}
-        return compare.verdict(self.phases)
+    def _phase(self, name: str, study: dict, work: Callable[[], dict]) -> None:
+        path = Path(self.folder) / f"{name}.json" if self.folder else None
+        if path and path.exists():
+            stored = json.loads(path.read_text())
+            if stored.get("study") == study and stored["result"].get("status") != "failed":
+                self.phases[name] = stored["result"]
+                return
+        try:
+            self.phases[name] = work()
+        except (ValueError, AnalysisException, PythonException) as e:
+            self.phases[name] = {"status": "failed", "message": str(e).splitlines()[0]}
+        if path:
+            matrix.write_json(str(path), {"study": study, "result": self.phases[name]})
+
+    def run(
+        self, cells: DataFrame, samples: DataFrame, condition: str, contrast: tuple[str, str], targets: DataFrame, covariates: list[str] | None = None,
+        strata: list[str] | None = None, others: list[tuple[str, str]] | None = None, n: int = 200, seed: int = 0,
+    ) -> dict:
+        """covariate_adjusted: competitive z and empirical p of t values adjusted for the covariates. specificity (with
+        ``others``): the same z in further contrasts. label_permutation: labels shuffled within strata and freely. matched
+        (with covariates): samples matched exactly on them. negative_controls: rank among sets matched on mean and
+        variance. bootstrap: stability of z."""
+        covariates, others = covariates or [], others or []
+        cells = cells.drop(condition)
+        ids = targets.select("feature_id").distinct()
+        study = {"condition": condition, "contrast": list(contrast), "covariates": covariates, "strata": strata, "others": [list(o) for o in others], "n": n, "seed": seed, "targets": ids.agg(F.count("*").alias("n"), F.sum(F.xxhash64("feature_id").cast("decimal(38,0)")).cast("string").alias("h")).first().asDict()}
+
+        def enriched(t: DataFrame) -> dict:
+            marked = t.select("feature_id", "t").filter("t is not null").join(ids.withColumn("_i", F.lit(True)), "feature_id", "left").withColumn("is_target", F.coalesce("_i", F.lit(False)))
+            return {"z": _one(linear.competitive_z(marked))["z"], "empirical_pvalue": _one(resample.negative_controls(marked.select("feature_id", "t"), ids, n, seed))["p"]}
+
+        def of(chosen: DataFrame, pair: tuple[str, str]) -> DataFrame:
+            return linear.ols_contrasts(cells.join(chosen.select("sample_id", condition), "sample_id"), [pair], condition)
+
+        def adjusted() -> dict:
+            rows = samples.select("sample_id", condition, *covariates).distinct().toPandas()  # the design, a row a sample
+            return enriched(linear.design_contrasts(cells, linear.covariate_design(rows, condition, contrast, covariates)))
+
+        def specific() -> dict:
+            found = [(f"{a} - {b}", *enriched(of(samples, (a, b))).values()) for a, b in (contrast, *others)]
+            table = cells.sparkSession.createDataFrame(found, "contrast string, z double, p double")
+            return _one(compare.specificity(table, f"{contrast[0]} - {contrast[1]}"))
+
+        def permuted() -> dict:
+            null = lambda by: _one(resample.label_permutation_null(cells, samples, condition, *contrast, ids, n, by, seed).withColumnRenamed("p", "permutation_pvalue"))
+            return {"stratified": null(strata), "free": null(None)} if strata else {"free": null(None)} | null(None)
+
+        def controls_rank() -> dict:
+            row = _one(controls.matched_controls(cells, of(samples, contrast).select("feature_id", "t"), ids, n, seed))
+            above = row["p"] * (row["n_controls"] + 1) - 1
+            return row | {"target_percentile": 100.0 * above / row["n_controls"]}
+
+        self._phase("covariate_adjusted", study, adjusted)
+        if others:
+            self._phase("specificity", study, specific)
+        self._phase("label_permutation", study, permuted)
+        if covariates:
+            self._phase("matched", study, lambda: enriched(of(match_exactly(samples, condition, covariates, seed), contrast)))
+        self._phase("negative_controls", study, controls_rank)
+        self._phase("bootstrap", study, lambda: _one(resample.bootstrap_stability(cells, samples.select("sample_id", condition), condition, *contrast, ids, n, seed=seed)))
+        result = compare.verdict(self.phases)
+        if self.folder:
+            matrix.write_json(f"{self.folder}/report.json", {"study": study, "phases": self.phases, **result})
+        return result

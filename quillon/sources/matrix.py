@@ -52,7 +52,7 @@ def load_counts(spark: SparkSession, path: str, annotation: str | None = None, i
         a = read_wide(spark, annotation, Format("annotation")).drop("row_order")
         index, gene = a.columns[:2]
         a = keep_first(a.select(F.col(index).alias("_i"), F.col(gene).alias("_g")), ["_i"], ["_g"])
-        wide = wide.join(F.broadcast(a), wide[id_col] == a["_i"], "left").withColumn(id_col, F.coalesce("_g", id_col)).drop("_i", "_g")
+        wide = wide.join(a, wide[id_col] == a["_i"], "left").withColumn(id_col, F.coalesce("_g", id_col)).drop("_i", "_g")
     ids = wide.select(F.col(id_col).alias("feature_id"))
     kind = detect_id_type(ids)
     if ids_only:

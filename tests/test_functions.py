@@ -70,7 +70,11 @@ def test_cliques_against_brute_force():
     for n, p in ((6, 0.5), (9, 0.4), (10, 0.7), (11, 0.5)):
         pairs = [(f"n{a:02d}", f"n{b:02d}") for a, b in itertools.combinations(range(n), 2) if rng.random() < p]
         adj = graph.adjacency(pairs)
-        assert graph.maximal_cliques(adj, 3) == (brute_cliques(adj, 3), False)
+        want = brute_cliques(adj, 3)
+        assert graph.maximal_cliques(adj, 3) == want and graph.maximal_cliques(adj, 3, len(want)) == want
+        if want:  # a caller's budget never cuts the list
+            with pytest.raises(graph.TooManyCliques):
+                graph.maximal_cliques(adj, 3, len(want) - 1)
         best = graph.greedy_clique(adj)
         assert all(b in adj[a] for a, b in itertools.combinations(best, 2))
 

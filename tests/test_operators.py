@@ -457,3 +457,114 @@ def test_kde_density_of_all_scores(spark):
         v = v[v > 0]
         z = (v - np.median(v)) * 0.6745 / np.median(np.abs(v - np.median(v)))
         assert np.isclose(got[g], adaptive.kde_threshold(z[z > 0], low=0.1, high=50.0), rtol=1e-9), g
+
+
+def test_matched_pool_loses_no_match(spark):
+    """Matching within the pruned pool costs as little as matching to all features, jitter included."""
+    import itertools
+
+    from quillon.operators import controls
+
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i:03d}", f"s{j}", float(rng.normal(i % 7, 1 + i % 5))) for i in range(160) for j in range(8)]
+    c = spark.createDataFrame(rows, "feature_id string, sample_id string, value double")
+    t = spark.createDataFrame([(f"f{i:03d}",) for i in (3, 40, 77, 120)], "feature_id string")
+    stats = c.groupBy("feature_id").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    hit, pool = controls.matched_pool(stats, t)
+    every = {r["feature_id"]: (r["m"], r["v"]) for r in stats.collect()}
+    kept, targets = {r["feature_id"] for r in pool.collect()}, [r["feature_id"] for r in hit.collect()]
+    rest = [f for f in sorted(every) if f not in targets]
+    assert len(targets) == 4 and kept < set(rest)
+    cost = np.array([[abs(every[a][0] - every[b][0]) + abs(every[a][1] - every[b][1]) / 2 for b in rest] for a in targets])
+    for turn in range(30):  # any jitter within 10 %
+        x = cost * (1 + np.random.default_rng(turn).uniform(-0.1, 0.1, cost.shape))
+        assert {rest[j] for j in controls.assign(x)} <= kept
+    small = rng.random((3, 6))
+    best = min(sum(small[i, p[i]] for i in range(3)) for p in itertools.permutations(range(6), 3))
+    assert small[np.arange(3), controls.assign(small)].sum() == pytest.approx(best)
+    sets = controls.matched_sets(c, t, 6, 1)
+    got = sets.groupBy("iteration").agg(F.collect_set("feature_id").alias("f")).collect()
+    assert len(got) == 6 and all(len(r["f"]) == 4 and set(r["f"]) <= kept for r in got)
+    assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, controls.matched_sets(c.repartition(5), t, 6, 1).collect()))
+
+
+def test_corrections_over_ranges(spark):
+    """Many p values with ties and nulls, corrected in ranges, against the definition."""
+    rng = np.random.default_rng(5)
+    p = [None, None, *np.round(rng.random(800) ** 2, 3).tolist(), 0.0, 1.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "id int, p double")
+    v = np.array([x for x in p if x is not None])
+    order = np.sort(v)
+    raw = order * len(v) / np.arange(1, len(v) + 1)
+    want = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
+    got = {r["id"]: r["q"] for r in multiple.bh(df, "p").collect()}
+    for i, x in enumerate(p):
+        assert got[i] is None if x is None else got[i] == pytest.approx(want[np.searchsorted(order, x, side="left")])
+    plan = multiple.bh(df, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+    null = spark.createDataFrame([(float(x),) for x in rng.random(500)], "p double")
+    q = {r["id"]: r["q"] for r in multiple.storey(df, null).collect()}
+    n = np.sort([r["p"] for r in null.collect()])
+    pi0 = np.median([min(1, (v > c).sum() / (len(v) * (1 - c))) for c in (i * 0.05 for i in range(1, 19))])
+    each = {x: min(1, pi0 * (n <= x).sum() * len(v) / len(n) / (v <= x).sum()) for x in set(v)}
+    for i, x in enumerate(p):
+        if x is not None:
+            assert q[i] == pytest.approx(min(e for y, e in each.items() if y >= x))
+    assert multiple.bh(df.filter("p is null"), "p").filter("q is not null").count() == 0
+
+
+def study_of(spark, seed=1, effect=2.5):
+    rng = np.random.default_rng(seed)
+    samples = [(f"s{i:02d}", "ab"[i % 2], float(rng.normal(50, 8)), "xy"[(i // 2) % 2]) for i in range(40)]
+    rows = [(f"f{j:02d}", s, float(rng.normal() + 0.03 * age + (effect if g == "a" and j < 6 else 0))) for s, g, age, _ in samples for j in range(40)]
+    return spark.createDataFrame(rows, "feature_id string, sample_id string, value double"), spark.createDataFrame(samples, "sample_id string, grp string, age double, batch string"), spark.createDataFrame([(f"f{j:02d}",) for j in range(6)], "feature_id string")
+
+
+def test_validation_runs_its_phases(spark, tmp_path):
+    import json
+
+    from quillon.plans import workflows
+
+    cells, samples, targets = study_of(spark)
+    v = workflows.Validation(str(tmp_path / "v"))
+    result = v.run(cells, samples, "grp", ("a", "b"), targets, ["age"], ["batch"], [("b", "a")], n=30)
+    assert set(v.phases) == {"covariate_adjusted", "specificity", "label_permutation", "matched", "negative_controls", "bootstrap"}
+    assert result["verdict"] == "validated" and all(result["gates"].values())
+    # the adjusted z against plain least squares
+    s = samples.toPandas().sort_values("sample_id")
+    y = cells.toPandas().pivot(index="sample_id", columns="feature_id", values="value").loc[s["sample_id"]]
+    x = np.stack([np.ones(40), (s["grp"] == "b").to_numpy(float), ((s["age"] - s["age"].mean()) / s["age"].std()).to_numpy()], 1)
+    beta, rss, *_ = np.linalg.lstsq(x, y.to_numpy(), rcond=None)
+    t = np.abs(-beta[1] / np.sqrt(rss / 37 * np.linalg.inv(x.T @ x)[1, 1]))
+    assert v.phases["covariate_adjusted"]["z"] == pytest.approx((t[:6].mean() - t[6:].mean()) / (t[6:].std(ddof=1) / np.sqrt(6)))
+    assert v.phases["specificity"]["label"] == "shared"  # the same contrast the other way round
+    assert v.phases["label_permutation"]["stratified"]["permutation_pvalue"] < 0.05 and v.phases["negative_controls"]["target_percentile"] < 10
+    stored = tmp_path / "v" / "covariate_adjusted.json"
+    kept = json.loads(stored.read_text())
+    kept["result"]["empirical_pvalue"] = 0.99  # a stored phase is taken as it is, another study's isn't
+    stored.write_text(json.dumps(kept))
+    again = workflows.Validation(str(tmp_path / "v")).run(cells, samples, "grp", ("a", "b"), targets, ["age"], ["batch"], [("b", "a")], n=30)
+    assert again["gates"] == {"covariate_adjusted": False, "label_permutation": True} and again["verdict"] == "inconclusive"
+    none = workflows.Validation()  # a level that no sample has: nothing is left to test
+    assert none.run(cells, samples, "grp", ("a", "z"), targets, n=3)["missing"] == ["covariate_adjusted", "label_permutation"] and none.phases["covariate_adjusted"]["status"] == "failed"
+
+
+def test_levels_universes_and_names(spark):
+    from quillon.operators import modules
+    from quillon.plans import workflows
+
+    assert align.available_columns(["age", "sex", "x"], {"who": ["sex", "age"], "none": ["y"]}) == {"who": ["sex", "age"]}
+    with pytest.raises(ValueError):
+        normalize.normalize(cells_of(spark, {"a": [1, 2]}), "nothing")
+    with pytest.raises(ValueError):
+        kg.features_of_classes(spark.createDataFrame([("k", "f")], "class string, feature_id string"), ["k", "z"])
+    with pytest.raises(ValueError):
+        modules.universe(cells_of(spark, {"a": [1]}), "odd", edges=spark.createDataFrame([("r", "a")], "source string, target string"))
+    sets = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "c"), ("s3", "zz")], "set_id string, feature_id string")
+    f = spark.createDataFrame([("a", 1.0, 0.5), ("b", 3.0, None), ("c", 2.0, 0.01)], "feature_id string, estimate double, q double")
+    got = {r["set_id"]: r for r in workflows.compare_levels(spark.createDataFrame([("s1", 2.0, 0.01), ("s2", 2.0, None), ("s3", 0.0, 0.5)], "set_id string, estimate double, q double"), f, sets).collect()}
+    assert got["s1"]["coordinated"] and got["s1"]["mean_estimate"] == 2.0 and got["s2"]["individual"] and not got["s3"]["coordinated"] and got["s3"]["mean_estimate"] is None
+    rho = linear.inter_feature_correlation(cells_of(spark, {"a": [1, 2, 3, 4], "b": [2, 1, 4, 9], "k": [5, 5, 5, 5], "n": [4, 3, 2, 1]}), spark.createDataFrame([("a",), ("b",), ("k",)], "feature_id string")).first()
+    assert rho["n_targets"] == 2 and rho["correlation"] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 1, 4, 9])[0, 1])
+    assert linear.inter_feature_correlation(cells_of(spark, {"a": [1, 2, 3], "n": [3, 2, 1]}), spark.createDataFrame([("a",), ("n",)], "feature_id string")).first()["correlation"] == 0
+    assert linear.inter_feature_correlation(cells_of(spark, {"a": [1, 2]}), sets.select("feature_id").limit(0)).first()["correlation"] == 0
