@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut that survives a lost executor: a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where unset)."""
+    """Lineage cut that survives a lost executor: a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where unset, on one machine)."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
 
 
