@@ -1,16 +1,23 @@
 """Hidden Markov language model over the words of documents.
 
 Counts of all training words are aggregated (per task first, then shuffled by word). The states emit
-symbols of a bounded alphabet: the most frequent words have a symbol of their own, all others share
-classes (crc32 of the word), and within a class a word has its smoothed share of the class's counts,
-P(word) = (c + 1) / (class total + class types + 1). Baum-Welch runs over all training documents:
-each pass computes expected counts per task, and Spark sums them by parameter. The scaled forward
-recursion then gives the exact log likelihood of each whole symbol sequence.
+symbols: the most frequent words have a symbol of their own, all others share classes (crc32 of the
+word). Baum-Welch runs over all training documents: each pass computes expected counts per task, and
+Spark sums them by parameter. A last pass sums, for every training word of a class, how often each
+state is expected to have emitted it: a table that grows with the vocabulary. Within its class and a
+state a word then has the share
 
-What travels: documents are encoded once (two bytes a token) and stored; only words outside the
-broadcast list of frequent words (``hot_words`` at most, a fixed bound) are joined with the counts.
-Words in that join are, by construction, not the frequent ones, so no key is hot there; words that
-only held-out documents repeat have no counts and are dealt by adaptive execution.
+    P(word | state, class) = (g + q) / (q * (class total + class types + 1)),
+
+g its expected count in the state, q the state's share of the class; summed over the states' shares
+this is add-one smoothing of the word's count c, as g over all states sums to c. An unknown word has
+g = 0. The scaled forward recursion gives the exact log likelihood of each whole sequence of words.
+
+What travels: documents are encoded once (two bytes a token, four more for a word of a class) and
+stored; words outside the broadcast list of frequent words (``hot_words`` at most, a fixed bound) are
+joined with the table of words, and only documents that hold such words are shuffled for it, each with
+its own words. Words in that join are, by construction, not the frequent ones, so no key is hot there;
+words that only held-out documents repeat have no counts and are dealt by adaptive execution.
 
 Edge cases: null text has the end token alone; without training documents all counts are 0 and the
 score falls back on one unknown word's share; repeated rows are scored each; null ids count as
@@ -36,7 +43,7 @@ from quillon.llm.shared import crc_mod, words_of, written
 END = b"\n"
 ENCODED_SCHEMA = (
     "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, class_log double, "
-    "symbols binary, words array<binary>, counts array<int>"
+    "symbols binary, places binary, words array<binary>, counts array<int>"
 )
 
 
@@ -110,12 +117,14 @@ def alphabet(counts: DataFrame, own_words: int = 4096, hot_words: int = 100_000,
 
 
 def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
-    """Rows of ENCODED_SCHEMA; ``abc``: a broadcast Alphabet."""
+    """Rows of ENCODED_SCHEMA; ``abc``: a broadcast Alphabet. ``places`` tells which word each token of a class is: its
+    number in the list of frequent words, or -1 - its position in ``words`` (the row's other words)."""
 
     def run(batches):
         a: Alphabet = abc.value
         rid = TaskContext.get().partitionId() << 36  # the split, and so the row, is the same when a task runs again
         log_hot = {w: math.log10(c + 1) for w, c in a.hot.items()}
+        number = {w: i for i, w in enumerate(a.hot)}
         log_z = np.log10(a.class_total)
         base, known = len(a.own), dict(a.own)  # word -> symbol, kept for the words that come again
         for b in batches:
@@ -125,7 +134,8 @@ def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
                 words.append(END)
                 counts = Counter(words)
                 hot_known, hot_log, class_log, tail, times = 0, 0.0, 0.0, [], []
-                for w, n in counts.items():
+                symbol, place = np.empty(len(counts), np.uint16), np.empty(len(counts), np.int32)
+                for i, (w, n) in enumerate(counts.items()):
                     s = known.get(w)
                     if s is None:
                         if len(known) > 500_000:
@@ -135,16 +145,20 @@ def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
                     if lw is not None:
                         hot_known += n
                         hot_log += n * lw
+                        place[i] = number[w]
                     else:
+                        place[i] = -1 - len(tail)
                         tail.append(w)
                         times.append(n)
                     if s >= base:
                         class_log += n * ((lw or 0.0) - log_z[s - base])
-                symbols = np.fromiter((known[w] if w in known else base + a.klass(w) for w in words), np.uint16, len(words))
-                out.append((rid, len(words), hot_known, hot_log, class_log, symbols.tobytes(), tail, times))
+                    symbol[i], counts[w] = s, i
+                at = np.fromiter((counts[w] for w in words), np.int32, len(words))
+                symbols = symbol[at]
+                out.append((rid, len(words), hot_known, hot_log, class_log, symbols.tobytes(), place[at][symbols >= base].tobytes(), tail, times))
                 rid += 1
-            c = list(zip(*out)) if out else [[]] * 8
-            arrays = [pa.array(c[0], pa.int64()), b.column(0), b.column(2), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.list_(pa.binary())), pa.array(c[7], pa.list_(pa.int32()))]
+            c = list(zip(*out)) if out else [[]] * 9
+            arrays = [pa.array(c[0], pa.int64()), b.column(0), b.column(2), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary()), pa.array(c[7], pa.list_(pa.binary())), pa.array(c[8], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ENCODED_SCHEMA.split(", ")])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", modulus) == held_out).alias("held_out"))
@@ -182,40 +196,50 @@ def _chunks(seqs: list[np.ndarray], tokens: int):
         yield part
 
 
-def _layout(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of non-empty sequences (longest first) time by time: the symbols, where each time begins, how many go on."""
+def _layout(seqs: list[np.ndarray], beside: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Symbols of non-empty sequences (longest first) time by time: the symbols, where each time begins, how many go on,
+    and ``beside`` (an integer a symbol) in the same order."""
     lengths = np.array([len(s) for s in seqs])
     active = len(seqs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     begin = np.concatenate([[0], np.cumsum(active)])
-    flat = np.concatenate(seqs)
     t = np.concatenate([np.arange(n) for n in lengths])
-    row = np.repeat(np.arange(len(seqs)), lengths)
-    out = np.empty_like(flat)
-    out[begin[t] + row] = flat
-    return out, begin, active
+    to = begin[t] + np.repeat(np.arange(len(seqs)), lengths)
+
+    def put(x):
+        flat = np.concatenate(x)
+        out = np.empty_like(flat)
+        out[to] = flat
+        return out
+
+    return put(seqs), begin, active, None if beside is None else put(beside)
 
 
-def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each non-empty sequence (longest first), by the scaled forward recursion."""
-    symbols, begin, active = _layout(seqs)
+def forward(hmm: Hmm, seqs: list[np.ndarray], rows: list[np.ndarray] | None = None, factors: np.ndarray | None = None) -> np.ndarray:
+    """log10 likelihood of each non-empty sequence (longest first), by the scaled forward recursion.
+
+    ``factors``: by what a token's emissions are multiplied, a column a state; ``rows``: which row is each token's."""
+    symbols, begin, active, rows = _layout(seqs, rows)
     logs = np.zeros(len(seqs))
-    a = hmm.start[None, :] * hmm.emit[symbols[: active[0]]]
+    a = np.repeat(hmm.start[None, :], active[0], 0)
     for t in range(len(active)):
-        if t:
-            a = (a[: active[t]] @ hmm.step) * hmm.emit[symbols[begin[t] : begin[t + 1]]]
+        i, j = begin[t], begin[t + 1]
+        a = (a[: active[t]] @ hmm.step if t else a) * hmm.emit[symbols[i:j]]
+        if rows is not None:
+            a *= factors[rows[i:j]]
         c = a.sum(1)
         a /= c[:, None]
         logs[: active[t]] += np.log10(c)
     return logs
 
 
-def expected(hmm: Hmm, seqs: list[np.ndarray], lead: np.ndarray | None = None, core: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected start, transition and emission counts of non-empty sequences (longest first).
+def posteriors(hmm: Hmm, seqs: list[np.ndarray], lead: np.ndarray | None = None, core: int | None = None, beside: list[np.ndarray] | None = None):
+    """Expected start and transition counts of non-empty sequences (longest first); their counted symbols, the
+    probability of each state at each of these, and ``beside`` (an integer a symbol) of these.
 
     ``lead``: how many symbols at the front of each sequence are context of what follows (0: the sequence begins its
     document), ``core``: how many symbols after them count; the rest is context too. A transition counts with its
     second symbol, a start only where a document begins."""
-    symbols, begin, active = _layout(seqs)
+    symbols, begin, active, beside = _layout(seqs, beside)
     last = len(active) - 1
     lead = np.zeros(len(seqs), np.int64) if lead is None else lead
     until = lead + (last + 1 if core is None else core)
@@ -241,8 +265,18 @@ def expected(hmm: Hmm, seqs: list[np.ndarray], lead: np.ndarray | None = None, c
             beta[: active[t]] = ahead @ hmm.step.T
     alpha[: active[0]] *= beta
     starts = alpha[: active[0]][lead == 0].sum(0)
-    symbols, alpha = symbols[counted], alpha[counted]
-    return starts, moves * hmm.step, np.stack([np.bincount(symbols, alpha[:, k], len(hmm.emit)) for k in range(alpha.shape[1])], 1)
+    return starts, moves * hmm.step, symbols[counted], alpha[counted], None if beside is None else beside[counted]
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Column sums of ``weights`` by key below ``n``."""
+    return np.stack([np.bincount(keys, weights[:, k], n) for k in range(weights.shape[1])], 1)
+
+
+def expected(hmm: Hmm, seqs: list[np.ndarray], lead: np.ndarray | None = None, core: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected start, transition and emission counts of non-empty sequences (longest first); see ``posteriors``."""
+    starts, moves, symbols, states, _ = posteriors(hmm, seqs, lead, core)
+    return starts, moves, _sums(symbols, states, len(hmm.emit))
 
 
 def segments(s: np.ndarray, core: int, context: int) -> list[tuple[np.ndarray, int]]:
@@ -286,23 +320,119 @@ def baum_welch(encoded: DataFrame, k: int, symbols: int, passes: int = 4, segmen
     return hmm
 
 
-def log_likelihoods(encoded: DataFrame, hmm: Hmm, chunk_tokens: int = 400_000) -> DataFrame:
-    """rid, hmm_log of each encoded row, with the other small columns."""
-    model = encoded.sparkSession.sparkContext.broadcast(hmm)
-    keep = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "class_log"]
+def word_states(encoded: DataFrame, abc, hmm: Hmm, segment: int = 512, context: int = 64, chunk_tokens: int = 400_000, flush: int = 400_000) -> DataFrame:
+    """word, c, g0, g1...: of each training word without a symbol of its own, how often it occurs and how often each
+    state is expected to have emitted it; the g of a word sum to its c. Segments are cut as in ``baum_welch``."""
+    model, k = encoded.sparkSession.sparkContext.broadcast(hmm), len(hmm.start)
+    names = [f"g{i}" for i in range(k)]
 
     def run(batches):
+        a, h = abc.value, model.value
+        base, hot = len(a.own), list(a.hot)
+        more: dict[bytes, int] = {}  # the task's other words
+        c, g = np.zeros(len(hot), np.int64), np.zeros((len(hot), k))
+
+        def out(c, g):
+            at = np.flatnonzero(c)
+            words = hot + list(more)
+            columns = [pa.array([words[i] for i in at], pa.binary()), pa.array(c[at]), *(pa.array(g[at, i]) for i in range(k))]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "c", *names])
+
+        for b in batches:
+            cut = []
+            for x, place, words in zip(b.column(0), b.column(1), b.column(2)):
+                x = np.frombuffer(x.as_buffer(), np.uint16)
+                place = np.frombuffer(place.as_buffer(), np.int32)
+                ids = np.array([len(hot) + more.setdefault(w, len(more)) for w in words.as_py()], np.int64)
+                key = np.full(len(x), -1, np.int64)
+                key[x >= base] = np.concatenate([ids[::-1], np.arange(len(hot))])[place + len(ids)]
+                cut += [(*y, z) for y, (z, _) in zip(segments(x, segment, context), segments(key, segment, context))]
+            cut.sort(key=lambda x: -len(x[0]))
+            n, done = len(hot) + len(more), 0
+            if n > len(c):
+                c, g = np.concatenate([c, np.zeros(n - len(c), np.int64)]), np.concatenate([g, np.zeros((n - len(g), k))])
+            for part in _chunks([x[0] for x in cut], chunk_tokens):
+                these = cut[done : done + len(part)]
+                _, _, _, states, key = posteriors(h, part, np.array([x[1] for x in these]), segment, [x[2] for x in these])
+                found = key >= 0
+                at, which = np.unique(key[found], return_inverse=True)
+                c[at] += np.bincount(which, minlength=len(at))
+                g[at] += _sums(which, states[found], len(at))
+                done += len(part)
+            if len(more) > flush:  # partial sums, so that memory is bounded
+                yield out(c, g)
+                more.clear()
+                c, g = np.zeros(len(hot), np.int64), np.zeros((len(hot), k))
+        yield out(c, g)
+
+    sums = encoded.filter("not held_out").select("symbols", "places", "words").mapInArrow(run, f"word binary, c bigint, {', '.join(f'{x} double' for x in names)}")
+    return sums.groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in names))
+
+
+def word_factors(c: np.ndarray, g: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a word's states make of its add-one share of its class: (g / q + 1) / (c + 1); 1 of an unknown word."""
+    return (g / np.maximum(q, 1e-300) + 1) / (c + 1)[:, None]
+
+
+@dataclass
+class Shares:
+    """The states' shares of each class (classes, k), and the factors of the frequent words (hot words, k)."""
+
+    classes: np.ndarray
+    hot: np.ndarray
+
+
+def shares(words: DataFrame, a: Alphabet, k: int) -> Shares:
+    """From the table of ``word_states``: a row a class and a row a frequent word come to the driver, both bounded."""
+    names, n = [f"g{i}" for i in range(k)], len(a.class_total)
+    q, hot = np.zeros((n, k)), np.ones((len(a.hot), k))
+    for r in words.groupBy((F.crc32("word") % n).alias("s")).agg(*(F.sum(x).alias(x) for x in names)).collect():
+        q[r["s"]] = [r[x] for x in names]
+    q /= np.maximum(q.sum(1, keepdims=True), 1e-300)
+    number = {w: i for i, w in enumerate(a.hot)}
+    for r in words.filter(_level("c") >= a.level).collect():  # hot_words at most
+        w = bytes(r["word"])
+        hot[number[w]] = word_factors(np.array([r["c"]]), np.array([[r[x] for x in names]]), q[a.klass(w)])[0]
+    return Shares(q, hot)
+
+
+def log_likelihoods(encoded: DataFrame, hmm: Hmm, own: int, known: Shares, chunk_tokens: int = 400_000) -> DataFrame:
+    """rid, hmm_log of each encoded row with ``tail`` (its rare words that are known: position, c, g of each state),
+    with the other small columns; ``own``: how many words have a symbol of their own."""
+    model = encoded.sparkSession.sparkContext.broadcast((hmm, known))
+    keep = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "class_log", "tail_known", "tail_log"]
+
+    def run(batches):
+        h, sh = model.value
+        k, n_hot = len(h.start), len(sh.hot)
         for b in batches:
             seqs = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(len(keep))]
+            tails, rows, factors, top = b.column(len(keep) + 2), [], [sh.hot, np.ones((1, k))], n_hot + 1
+            for x, place, tail, n in zip(seqs, b.column(len(keep) + 1), tails, b.column(len(keep) + 3)):
+                place, n = np.frombuffer(place.as_buffer(), np.int32), n.as_py()
+                row, in_class = np.full(len(x), n_hot, np.int32), x >= own
+                row[in_class] = np.where(place >= 0, place, top - 1 - place)
+                f = np.ones((n, k))  # of the row's rare words, which are unknown unless the table has them
+                if tail.is_valid and len(tail):
+                    klass = np.zeros(n, np.int64)
+                    klass[-1 - place[place < 0]] = x[in_class][place < 0].astype(np.int64) - own
+                    v = tail.values
+                    at, c = v.field("i").to_numpy(), v.field("c").to_numpy()
+                    g = np.stack([v.field(f"g{i}").to_numpy() for i in range(k)], 1)
+                    f[at] = word_factors(c, g, sh.classes[klass[at]])
+                rows.append(row)
+                factors.append(f)
+                top += n
             order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-            logs, done = np.zeros(len(seqs)), 0
+            table, logs, done = np.concatenate(factors), np.zeros(len(seqs)), 0
             for part in _chunks(seqs, chunk_tokens):
-                logs[order[done : done + len(part)]] = forward(model.value, part)
+                these = order[done : done + len(part)]
+                logs[these] = forward(h, part, [rows[i] for i in these], table)
                 done += len(part)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(logs)], names=[*keep, "hmm_log"])
 
-    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, class_log double, hmm_log double"
-    return encoded.select(*keep, "symbols").mapInArrow(run, schema)
+    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, class_log double, tail_known bigint, tail_log double, hmm_log double"
+    return encoded.select(*keep, "symbols", "places", "tail", "n_tail").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus: int = 7, held_out: int = 2, own_words: int = 4096, hot_words: int = 100_000, classes: int = 1024) -> DataFrame:
@@ -310,12 +440,21 @@ def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus:
     spark = docs.sparkSession
     counts = written(count_words(docs.filter(crc_mod("doc_id", modulus) != held_out)), "hmm-counts")
     a = alphabet(counts, own_words, hot_words, classes)
-    encoded = written(encode(docs, spark.sparkContext.broadcast(a), modulus, held_out), "hmm-encoded")
+    abc = spark.sparkContext.broadcast(a)
+    encoded = written(encode(docs, abc, modulus, held_out), "hmm-encoded")
     hmm = baum_welch(encoded, states, a.size, passes)
-    rare = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    known = rare.join(counts.filter((_level("c") < a.level) & (F.col("word") != F.lit(END))), "word")  # the others are in the alphabet
-    sums = known.groupBy("rid").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"))
-    r = log_likelihoods(encoded, hmm).join(sums, "rid", "left")
+    words = written(word_states(encoded, abc, hmm), "hmm-words")
+    g = [f"g{i}" for i in range(states)]
+    rare = encoded.select("rid", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("rid", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
+    known = rare.join(words.filter(_level("c") < a.level), "word")  # the others are in the alphabet
+    sums = known.groupBy("rid").agg(
+        F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"),
+        F.collect_list(F.struct("i", "c", *g)).alias("tail"),  # of one document
+    )
+    e = encoded.withColumn("n_tail", F.size("words")).drop("words", "counts")
+    some = e.filter("n_tail > 0").join(sums, "rid", "left")
+    none = e.filter("n_tail = 0").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in sums.schema if f.name != "rid"))
+    r = log_likelihoods(none.unionByName(some), hmm, len(a.own), shares(words, a, states))
     tail_known, tail_log = F.coalesce("tail_known", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))
     return r.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + tail_known).alias("n_known"), F.lit(a.n).cast("long").alias("train_tokens"),
