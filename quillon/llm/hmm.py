@@ -3,21 +3,21 @@
 Counts of all training words are aggregated (per task first, then shuffled by word). The states emit
 symbols: the most frequent words have a symbol of their own, all others share classes (crc32 of the
 word). Baum-Welch runs over all training documents: each pass computes expected counts per task, and
-Spark sums them by parameter. A last pass sums, for every training word of a class, how often each
-state is expected to have emitted it: a table that grows with the vocabulary. Within its class and a
-state a word then has the share
+Spark sums them by parameter. A last pass sums, for every frequent word of a class, how often each
+state is expected to have emitted it. Within its class and a state a word then has the share
 
-    P(word | state, class) = (g + q) / (q * (class total + class types + 1)),
+    P(word | state, class) = (g / q + 1) / (class total + class types + 1),
 
-g its expected count in the state, q the state's share of the class; summed over the states' shares
-this is add-one smoothing of the word's count c, as g over all states sums to c. An unknown word has
-g = 0. The scaled forward recursion gives the exact log likelihood of each whole sequence of words.
+g its expected count in the state and q the state's share of the class's frequent words; a rare word,
+known by its count c alone, has c in place of g / q, an unknown word 0. As g over all states sums to c,
+this is add-one smoothing, and what a state emits sums to 1. The scaled forward recursion gives the
+exact log likelihood of each whole sequence of words.
 
 What travels: documents are encoded once (two bytes a token, four more for a word of a class) and
-stored; words outside the broadcast list of frequent words (``hot_words`` at most, a fixed bound) are
-joined with the table of words, and only documents that hold such words are shuffled for it, each with
-its own words. Words in that join are, by construction, not the frequent ones, so no key is hot there;
-words that only held-out documents repeat have no counts and are dealt by adaptive execution.
+stored; only words outside the broadcast list of frequent words (``hot_words`` at most, a fixed bound)
+are joined with the counts. Words in that join are, by construction, not the frequent ones, so no key
+is hot there; words that only held-out documents repeat have no counts and are dealt by adaptive
+execution.
 
 Edge cases: null text has the end token alone; without training documents all counts are 0 and the
 score falls back on one unknown word's share; repeated rows are scored each; null ids count as
@@ -118,7 +118,7 @@ def alphabet(counts: DataFrame, own_words: int = 4096, hot_words: int = 100_000,
 
 def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
     """Rows of ENCODED_SCHEMA; ``abc``: a broadcast Alphabet. ``places`` tells which word each token of a class is: its
-    number in the list of frequent words, or -1 - its position in ``words`` (the row's other words)."""
+    number in the list of frequent words, or that list's length; ``words`` are the row's other words."""
 
     def run(batches):
         a: Alphabet = abc.value
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, abc, modulus: int, held_out: int) -> DataFrame:
                         hot_log += n * lw
                         place[i] = number[w]
                     else:
-                        place[i] = -1 - len(tail)
+                        place[i] = len(number)
                         tail.append(w)
                         times.append(n)
                     if s >= base:
@@ -320,119 +320,68 @@ def baum_welch(encoded: DataFrame, k: int, symbols: int, passes: int = 4, segmen
     return hmm
 
 
-def word_states(encoded: DataFrame, abc, hmm: Hmm, segment: int = 512, context: int = 64, chunk_tokens: int = 400_000, flush: int = 400_000) -> DataFrame:
-    """word, c, g0, g1...: of each training word without a symbol of its own, how often it occurs and how often each
-    state is expected to have emitted it; the g of a word sum to its c. Segments are cut as in ``baum_welch``."""
-    model, k = encoded.sparkSession.sparkContext.broadcast(hmm), len(hmm.start)
-    names = [f"g{i}" for i in range(k)]
-
-    def run(batches):
-        a, h = abc.value, model.value
-        base, hot = len(a.own), list(a.hot)
-        more: dict[bytes, int] = {}  # the task's other words
-        c, g = np.zeros(len(hot), np.int64), np.zeros((len(hot), k))
+def word_factors(encoded: DataFrame, a: Alphabet, hmm: Hmm, segment: int = 512, context: int = 64, chunk_tokens: int = 400_000) -> np.ndarray:
+    """By what each frequent word's add-one share of its class is multiplied in each state: (g / q + 1) / (c + 1).
 
-        def out(c, g):
-            at = np.flatnonzero(c)
-            words = hot + list(more)
-            columns = [pa.array([words[i] for i in at], pa.binary()), pa.array(c[at]), *(pa.array(g[at, i]) for i in range(k))]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "c", *names])
+    A row a word in the order of ``a.hot``, and a last row of ones for all other words. Segments are cut as in ``baum_welch``."""
+    spark, k, n = encoded.sparkSession, len(hmm.start), len(a.hot)
+    model, own = spark.sparkContext.broadcast(hmm), len(a.own)
 
+    def run(batches):
+        g = np.zeros((n + 1, k))
         for b in batches:
-            cut = []
-            for x, place, words in zip(b.column(0), b.column(1), b.column(2)):
+            parts = []
+            for x, place in zip(b.column(0), b.column(1)):
                 x = np.frombuffer(x.as_buffer(), np.uint16)
-                place = np.frombuffer(place.as_buffer(), np.int32)
-                ids = np.array([len(hot) + more.setdefault(w, len(more)) for w in words.as_py()], np.int64)
-                key = np.full(len(x), -1, np.int64)
-                key[x >= base] = np.concatenate([ids[::-1], np.arange(len(hot))])[place + len(ids)]
-                cut += [(*y, z) for y, (z, _) in zip(segments(x, segment, context), segments(key, segment, context))]
-            cut.sort(key=lambda x: -len(x[0]))
-            n, done = len(hot) + len(more), 0
-            if n > len(c):
-                c, g = np.concatenate([c, np.zeros(n - len(c), np.int64)]), np.concatenate([g, np.zeros((n - len(g), k))])
-            for part in _chunks([x[0] for x in cut], chunk_tokens):
-                these = cut[done : done + len(part)]
-                _, _, _, states, key = posteriors(h, part, np.array([x[1] for x in these]), segment, [x[2] for x in these])
-                found = key >= 0
-                at, which = np.unique(key[found], return_inverse=True)
-                c[at] += np.bincount(which, minlength=len(at))
-                g[at] += _sums(which, states[found], len(at))
+                word = np.full(len(x), n, np.int32)
+                word[x >= own] = np.frombuffer(place.as_buffer(), np.int32)
+                parts += [(*y, z) for y, (z, _) in zip(segments(x, segment, context), segments(word, segment, context))]
+            parts.sort(key=lambda x: -len(x[0]))
+            done = 0
+            for part in _chunks([x[0] for x in parts], chunk_tokens):
+                these = parts[done : done + len(part)]
+                _, _, _, states, word = posteriors(model.value, part, np.array([x[1] for x in these]), segment, [x[2] for x in these])
+                g += _sums(word, states, n + 1)
                 done += len(part)
-            if len(more) > flush:  # partial sums, so that memory is bounded
-                yield out(c, g)
-                more.clear()
-                c, g = np.zeros(len(hot), np.int64), np.zeros((len(hot), k))
-        yield out(c, g)
-
-    sums = encoded.filter("not held_out").select("symbols", "places", "words").mapInArrow(run, f"word binary, c bigint, {', '.join(f'{x} double' for x in names)}")
-    return sums.groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in names))
-
-
-def word_factors(c: np.ndarray, g: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """What a word's states make of its add-one share of its class: (g / q + 1) / (c + 1); 1 of an unknown word."""
-    return (g / np.maximum(q, 1e-300) + 1) / (c + 1)[:, None]
+        at = np.flatnonzero(g[:n].any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(g[at, i]) for i in range(k))], names=["at", *names])
 
-
-@dataclass
-class Shares:
-    """The states' shares of each class (classes, k), and the factors of the frequent words (hot words, k)."""
-
-    classes: np.ndarray
-    hot: np.ndarray
-
-
-def shares(words: DataFrame, a: Alphabet, k: int) -> Shares:
-    """From the table of ``word_states``: a row a class and a row a frequent word come to the driver, both bounded."""
-    names, n = [f"g{i}" for i in range(k)], len(a.class_total)
-    q, hot = np.zeros((n, k)), np.ones((len(a.hot), k))
-    for r in words.groupBy((F.crc32("word") % n).alias("s")).agg(*(F.sum(x).alias(x) for x in names)).collect():
-        q[r["s"]] = [r[x] for x in names]
+    names = [f"g{i}" for i in range(k)]
+    sums = encoded.filter("not held_out").select("symbols", "places").mapInArrow(run, f"at int, {', '.join(f'{x} double' for x in names)}")
+    g, q, out = np.zeros((n, k)), np.zeros((len(a.class_total), k)), np.ones((n + 1, k))
+    for r in sums.groupBy("at").agg(*(F.sum(x).alias(x) for x in names)).collect():  # a row a frequent word
+        g[r["at"]] = [r[x] for x in names]
+    klass = np.array([a.klass(w) for w in a.hot], np.int64)
+    np.add.at(q, klass, g)
     q /= np.maximum(q.sum(1, keepdims=True), 1e-300)
-    number = {w: i for i, w in enumerate(a.hot)}
-    for r in words.filter(_level("c") >= a.level).collect():  # hot_words at most
-        w = bytes(r["word"])
-        hot[number[w]] = word_factors(np.array([r["c"]]), np.array([[r[x] for x in names]]), q[a.klass(w)])[0]
-    return Shares(q, hot)
+    seen = np.array([w not in a.own for w in a.hot], bool)
+    out[:n][seen] = (g[seen] / np.maximum(q[klass[seen]], 1e-300) + 1) / (np.array([*a.hot.values()])[seen, None] + 1)
+    return out
 
 
-def log_likelihoods(encoded: DataFrame, hmm: Hmm, own: int, known: Shares, chunk_tokens: int = 400_000) -> DataFrame:
-    """rid, hmm_log of each encoded row with ``tail`` (its rare words that are known: position, c, g of each state),
-    with the other small columns; ``own``: how many words have a symbol of their own."""
-    model = encoded.sparkSession.sparkContext.broadcast((hmm, known))
-    keep = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "class_log", "tail_known", "tail_log"]
+def log_likelihoods(encoded: DataFrame, hmm: Hmm, own: int, factors: np.ndarray, chunk_tokens: int = 400_000) -> DataFrame:
+    """rid, hmm_log of each encoded row, with the other small columns; ``own``: how many words have a symbol of their own."""
+    model = encoded.sparkSession.sparkContext.broadcast((hmm, factors))
+    keep = ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "class_log"]
 
     def run(batches):
-        h, sh = model.value
-        k, n_hot = len(h.start), len(sh.hot)
+        h, by_word = model.value
         for b in batches:
             seqs = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(len(keep))]
-            tails, rows, factors, top = b.column(len(keep) + 2), [], [sh.hot, np.ones((1, k))], n_hot + 1
-            for x, place, tail, n in zip(seqs, b.column(len(keep) + 1), tails, b.column(len(keep) + 3)):
-                place, n = np.frombuffer(place.as_buffer(), np.int32), n.as_py()
-                row, in_class = np.full(len(x), n_hot, np.int32), x >= own
-                row[in_class] = np.where(place >= 0, place, top - 1 - place)
-                f = np.ones((n, k))  # of the row's rare words, which are unknown unless the table has them
-                if tail.is_valid and len(tail):
-                    klass = np.zeros(n, np.int64)
-                    klass[-1 - place[place < 0]] = x[in_class][place < 0].astype(np.int64) - own
-                    v = tail.values
-                    at, c = v.field("i").to_numpy(), v.field("c").to_numpy()
-                    g = np.stack([v.field(f"g{i}").to_numpy() for i in range(k)], 1)
-                    f[at] = word_factors(c, g, sh.classes[klass[at]])
-                rows.append(row)
-                factors.append(f)
-                top += n
             order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-            table, logs, done = np.concatenate(factors), np.zeros(len(seqs)), 0
+            logs, done = np.zeros(len(seqs)), 0
             for part in _chunks(seqs, chunk_tokens):
-                these = order[done : done + len(part)]
-                logs[these] = forward(h, part, [rows[i] for i in these], table)
+                these, rows = order[done : done + len(part)], []
+                for i in these:
+                    row = np.full(len(seqs[i]), len(by_word) - 1, np.int32)
+                    row[seqs[i] >= own] = np.frombuffer(b.column(len(keep) + 1)[i].as_buffer(), np.int32)
+                    rows.append(row)
+                logs[these] = forward(h, part, rows, by_word)
                 done += len(part)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(logs)], names=[*keep, "hmm_log"])
 
-    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, class_log double, tail_known bigint, tail_log double, hmm_log double"
-    return encoded.select(*keep, "symbols", "places", "tail", "n_tail").mapInArrow(run, schema)
+    schema = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, class_log double, hmm_log double"
+    return encoded.select(*keep, "symbols", "places").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus: int = 7, held_out: int = 2, own_words: int = 4096, hot_words: int = 100_000, classes: int = 1024) -> DataFrame:
@@ -440,21 +389,12 @@ def score_documents(docs: DataFrame, states: int = 4, passes: int = 4, modulus:
     spark = docs.sparkSession
     counts = written(count_words(docs.filter(crc_mod("doc_id", modulus) != held_out)), "hmm-counts")
     a = alphabet(counts, own_words, hot_words, classes)
-    abc = spark.sparkContext.broadcast(a)
-    encoded = written(encode(docs, abc, modulus, held_out), "hmm-encoded")
+    encoded = written(encode(docs, spark.sparkContext.broadcast(a), modulus, held_out), "hmm-encoded")
     hmm = baum_welch(encoded, states, a.size, passes)
-    words = written(word_states(encoded, abc, hmm), "hmm-words")
-    g = [f"g{i}" for i in range(states)]
-    rare = encoded.select("rid", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("rid", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    known = rare.join(words.filter(_level("c") < a.level), "word")  # the others are in the alphabet
-    sums = known.groupBy("rid").agg(
-        F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"),
-        F.collect_list(F.struct("i", "c", *g)).alias("tail"),  # of one document
-    )
-    e = encoded.withColumn("n_tail", F.size("words")).drop("words", "counts")
-    some = e.filter("n_tail > 0").join(sums, "rid", "left")
-    none = e.filter("n_tail = 0").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in sums.schema if f.name != "rid"))
-    r = log_likelihoods(none.unionByName(some), hmm, len(a.own), shares(words, a, states))
+    rare = encoded.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
+    known = rare.join(counts.filter((_level("c") < a.level) & (F.col("word") != F.lit(END))), "word")  # the others are in the alphabet
+    sums = known.groupBy("rid").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"))
+    r = log_likelihoods(encoded, hmm, len(a.own), word_factors(encoded, a, hmm)).join(sums, "rid", "left")
     tail_known, tail_log = F.coalesce("tail_known", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))
     return r.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + tail_known).alias("n_known"), F.lit(a.n).cast("long").alias("train_tokens"),
