@@ -1,12 +1,13 @@
-"""The thin queries of the ten operators over their whole tables, and their SQL where it can say them."""
+"""The thin queries of the operators over their whole tables, and their SQL where it can say them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import hmm, hnsw, jaccard, media, mixing, packing, pii, quality, secrets, zipwarc
+from quillon.llm import fim, hmm, hnsw, jaccard, media, mixing, packing, pii, quality, secrets, tokenfiles, variants, zipwarc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,27 @@ def op10_secrets(spark, sf_dir):
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all documents with their near words, form and root."""
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    """Every document cut in three, and put together again from the output."""
+    cut = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fim.restored(F.col("form"), F.col("output"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+def op13_token_files(spark, sf_dir):
+    """Every document's token ids written in ascending order of id and read back from the files."""
+    import public_tokenizers
+
+    read = tokenfiles.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -71,7 +93,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_columns, op2_hmm_scores, op3_best_fit_packing, op4_zip_warc, op5_hnsw_near_duplicates, op6_jaccard_join, op7_source_mixing, op8_pii, op9_quality, op10_secrets, pipeline)
+    found = (op1_media_columns, op2_hmm_scores, op3_best_fit_packing, op4_zip_warc, op5_hnsw_near_duplicates, op6_jaccard_join, op7_source_mixing, op8_pii, op9_quality, op10_secrets,
+             op11_spelling_variants, op12_fill_in_middle, op13_token_files, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -143,5 +166,50 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """
 
 
+#: The hash of slips (CRC-32, bit by bit in a table, then byte by byte) and near words by what is left without a code point.
+OP11_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+seen AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x, count(*) AS n FROM runs GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM seen, tab),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, i, length(word) AS l, substr(word, 1, i - 1) || substr(word, i + 1) AS r FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.r = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.r = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS form
+  FROM (SELECT near.word, near.near, w.n FROM near JOIN words w ON w.word = near.near) GROUP BY 1),
+formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.form END AS form, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n FROM words w LEFT JOIN best b USING (word)),
+chain AS (SELECT word, coalesce(form, word) AS at FROM formed UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || substr(x, 1, 8))::BIGINT % (length(text) + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (length(text) + 1) AS b,
+         ('0x' || substr(x, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(x, 25, 8))::BIGINT % 100 AS e FROM d),
+f AS (
+  SELECT doc_id, text, n, CAST(least(a, b) AS BIGINT) AS p, CAST(abs(a - b) AS BIGINT) AS m,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+g AS (SELECT *, substr(text, 1, p) AS prefix, substr(text, p + 1, m) AS middle, substr(text, p + m + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_zip_warc": OP4_SQL, "op5_hnsw_near_duplicates": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op4_zip_warc": OP4_SQL, "op5_hnsw_near_duplicates": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_source_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -22,6 +22,9 @@ COLUMNS = {
     8: "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     9: "doc_id held_out score predicted",
     10: "doc_id n_assign n_access n_hex base_sha256 spans",
+    11: "word form root n n_near form_n",
+    12: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    13: "doc_id start n_tokens ids_crc32",
 }
 
 
@@ -35,7 +38,7 @@ def duck():
 
 def test_names_and_columns(spark):
     known = queries.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         (name,) = [k for k in known if re.match(f"op{n}_", k)]
         if n in COLUMNS:
             assert set(COLUMNS[n].split()) <= set(known[name](spark, "/root/testdata/sf0.001").columns), name
