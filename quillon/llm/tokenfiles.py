@@ -54,10 +54,13 @@ UNIT = re.compile(f"(?<=[{SOLID}])(?=[ \n][{SOLID}])")
 #: In Arrow's syntax: a space or line break without such a character on both sides.
 UNEVEN = f"(?:^|[^{SOLID}])[ \n]|[ \n](?:[^{SOLID}]|$)"
 
-#: The pre-tokenizer's pattern where a unit has printable ASCII alone, and how its alphabet writes white space.
-PLAIN = re.compile("[ \n]?[!-~]+")
-PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
-BYTES = {ord(" "): "Ġ", ord("\n"): "Ċ"}
+#: The pre-tokenizer's pattern where a unit has ASCII and Latin letters alone.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(f"[ \n]?[!-~{LETTERS}]+")
+PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\n")
+#: How the byte-level alphabet writes bytes: printable ones as they are, others by characters from 256 on, in order.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {x: chr(256 + i) for i, x in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 
 
 def units_of_texts(texts: pa.Array) -> pa.Array:
@@ -80,12 +83,12 @@ class Units:
     units, the kept ones are out of date and are forgotten. Tokenizers that don't cut texts at the byte-level pattern
     alone get whole texts."""
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000):
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.most, self.known = self.tokenizer.model, most, {}
+        self.model, self.most, self.known, self.pieces = self.tokenizer.model, most, {}, {}
         parts = json.loads(tokenizer_json)
         cut = parts.get("pre_tokenizer") or {}
         self.by_unit = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not parts.get("normalizer")
@@ -95,12 +98,21 @@ class Units:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        """Ids of a unit. Pieces of ASCII are plain to see and go straight to the model, without the cost of offsets."""
+        """Ids of a unit. Pieces of plain letters and signs go straight to the model, without the cost of offsets."""
         text = unit if unit[0] == "\n" else unit[1:] if unit[0] == "\0" else " " + unit
         if not PLAIN.fullmatch(text):
             return self.whole(text)
-        found = [t.id for piece in PIECE.findall(text) for t in self.model.tokenize(piece.translate(BYTES))]
-        return np.array(found, ID).tobytes()
+        return b"".join(map(self.piece, PIECE.findall(text)))
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer gives the model as one."""
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece.replace(" ", BYTES[32]).replace("\n", BYTES[10]) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+            found = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(shown)]) else b""
+            if len(self.pieces) < self.most and len(piece) <= 64:
+                self.pieces[piece] = found
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after the other, and where each text ends."""
@@ -114,6 +126,7 @@ class Units:
         missing = [i for i, x in enumerate(found) if x is None]
         if len(self.known) >= self.most and 10 * len(missing) > len(used):
             self.known.clear()
+            self.pieces.clear()
         for i in missing:
             found[i] = self.unit(used[i])
             if len(self.known) < self.most and len(used[i]) <= 64:
@@ -261,7 +274,7 @@ def pieces(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBat
     return (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, file_bytes: int = 256 << 20, frame_ids: int = 1 << 18) -> DataFrame:
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, file_bytes: int = 64 << 20, frame_ids: int = 1 << 18) -> DataFrame:
     """The stored manifest (MANIFEST_SCHEMA) of the files below ``root`` with the ids of ``docs`` (doc_id, text).
 
     ``tokenizer`` is the path of a tokenizer file on the driver; tasks get its content. A file takes the texts of about
@@ -378,7 +391,7 @@ def read_documents(manifest: DataFrame, root: str, wanted: DataFrame) -> DataFra
     return ids.join(F.broadcast(files), inside).select("file", "base", "doc_id").mapInArrow(read, TOKENS_SCHEMA)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, file_bytes: int = 256 << 20, frame_ids: int = 1 << 18) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, file_bytes: int = 64 << 20, frame_ids: int = 1 << 18) -> DataFrame:
     """Write ``docs`` (doc_id, text) and read all documents back: TOKENS_SCHEMA."""
     root = shared_dir(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, root, tokenizer, end_id, file_bytes, frame_ids), root)
