@@ -91,6 +91,56 @@ def blocked_correlations(rows: DataFrame, block: int = 512) -> DataFrame:
     return spread.groupBy("_lo", "_hi").applyInPandas(lambda rows: product(rows), "a string, b string, r double")
 
 
+def resampled_correlations(cells: DataFrame, weights: DataFrame, condition: str, least: float = 0.0, block: int = 256) -> DataFrame:
+    """condition, iteration, a, b, r with |r| >= ``least``: weighted pair correlations for every set of sample weights (iteration, sample_id, times).
+
+    A task holds two blocks of features and all weights of its condition's samples; each iteration is six matrix
+    products over the values that both features have. Neither cells nor pairs are repeated per iteration in a shuffle."""
+    n = cells.select("feature_id").distinct().count()
+    blocks = max(1, -(-n // block))
+    have = cells.filter("value is not null")
+    packed = have.groupBy(F.col(condition).alias("_k"), "feature_id").agg(F.collect_list("sample_id").alias("samples"), F.collect_list("value").alias("values"))
+    packed = packed.withColumn("_own", F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int"))
+    spread = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    times = weights.groupBy("sample_id").agg(F.collect_list("iteration").alias("its"), F.collect_list("times").alias("times"))
+    grid = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.transform(F.sequence(i, F.lit(blocks - 1)), lambda j: F.struct(i.alias("_lo"), j.alias("_hi"))))))
+    times = have.select(F.col(condition).alias("_k"), "sample_id").distinct().join(times, "sample_id").withColumn("_b", grid).select("_k", "_b._lo", "_b._hi", "sample_id", "its", "times")
+
+    def product(key: tuple, rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_k": [], "iteration": [], "a": [], "b": [], "r": []})
+        if not len(rows) or not len(draws):
+            return none
+        rows = rows.sort_values("feature_id")
+        at = {s: i for i, s in enumerate(sorted(draws["sample_id"]))}
+        its = sorted({i for x in draws["its"] for i in x})
+        number = {i: k for k, i in enumerate(its)}
+        w = np.zeros((len(its), len(at)))
+        for s, which, k in zip(draws["sample_id"], draws["its"], draws["times"]):
+            w[[number[i] for i in which], at[s]] = k
+        x, m = np.zeros((len(rows), len(at))), np.zeros((len(rows), len(at)))
+        for i, (ss, vs) in enumerate(zip(rows["samples"], rows["values"])):
+            j = [at[s] for s in ss]
+            x[i, j], m[i, j] = vs, 1
+        x -= np.divide(x.sum(1), m.sum(1), out=np.zeros(len(x)), where=m.sum(1) > 0)[:, None] * m  # near 0, for the sums of squares
+        ids, lo = rows["feature_id"].to_numpy(), rows["_own"].to_numpy() == key[1]
+        left, right = (np.flatnonzero(lo), np.flatnonzero(~lo)) if key[1] != key[2] else (np.arange(len(x)),) * 2
+        out = []
+        for it, u in zip(its, w):
+            xa, ma, xb, mb = x[left] * u, m[left] * u, x[right], m[right]
+            size, sx, sy = ma @ mb.T, xa @ mb.T, ma @ xb.T
+            sxy, sxx, syy = xa @ xb.T, (xa * x[left]) @ mb.T, ma @ (xb * xb).T
+            spread = np.sqrt(np.maximum(sxx * size - sx * sx, 0) * np.maximum(syy * size - sy * sy, 0))
+            r = np.clip(np.divide(sxy * size - sx * sy, spread, out=np.full_like(size, np.nan), where=spread > 1e-12), -1, 1)
+            i, j = np.nonzero(np.nan_to_num(np.abs(r), nan=-1.0) >= least if key[1] != key[2] else np.triu(np.nan_to_num(np.abs(r), nan=-1.0) >= least, 1))
+            a, b = ids[left[i]], ids[right[j]]
+            out.append(pd.DataFrame({"_k": key[0], "iteration": it, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "r": r[i, j]}))
+        return pd.concat(out) if out else none
+
+    kind = cells.schema[condition].dataType.simpleString()
+    by = ["_k", "_lo", "_hi"]
+    return spread.groupBy(*by).cogroup(times.groupBy(*by)).applyInPandas(product, f"_k {kind}, iteration int, a string, b string, r double").withColumnRenamed("_k", condition)
+
+
 def edges(pairs: DataFrame, min_correlation: float = 0.7) -> DataFrame:
     """Signed edges with |r| at or above the limit."""
     return pairs.filter(F.abs("r") >= min_correlation)

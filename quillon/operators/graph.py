@@ -227,41 +227,6 @@ def average_linkage(nodes: list, distance: np.ndarray, cut: float = 0.5) -> dict
 # Grouped operators --------------------------------------------------------------------------------------
 
 
-def find_cliques(edges: DataFrame, keys: list[str] | None = None, min_size: int = 3, budget: int | None = None) -> DataFrame:
-    """keys, members, size, mean_r, min_abs_r: all maximal cliques of edges (keys, a, b, r), a task per component.
-
-    The (min_size - 1)-core is taken first without keys; with keys the per-key graph is pruned in its task.
-    More than ``budget`` cliques of a component, if one is given, fail the job.
-    """
-    keys = keys or []
-    if not keys:
-        core = kcore(edges, min_size - 1)
-        comp = connected_components(core)
-        e = core.join(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r"), ["a", "b"]).join(comp.select(F.col("node").alias("a"), "component"), "a")
-        by = ["component"]
-    else:
-        e, by = edges, keys
-    head = [f for f in e.schema.fields if f.name in by]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r = {(min(a, b), max(a, b)): float(v) for a, b, v in zip(rows["a"], rows["b"], rows["r"])}
-        adj = adjacency(r)
-        core = core_numbers(adj)
-        adj = {v: {u for u in n if core[u] >= min_size - 1} for v, n in adj.items() if core[v] >= min_size - 1}
-        cliques = maximal_cliques(adj, min_size, budget)
-        out = []
-        for c in cliques:
-            v = [r[p] for p in itertools.combinations(c, 2)]
-            out.append((list(c), len(c), float(np.mean(v)), float(np.min(np.abs(v)))))
-        d = pd.DataFrame(out, columns=["members", "size", "mean_r", "min_abs_r"])
-        for i, k in enumerate(by):
-            d.insert(i, k, rows[k].iloc[0])
-        return d
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "members array<string>, size int, mean_r double, min_abs_r double"])
-    return e.groupBy(*by).applyInPandas(run, schema)
-
-
 def maximum_cliques(edges: DataFrame, keys: list[str], restarts: int = 10) -> DataFrame:
     """keys, members, size: one large clique per key."""
     head = [f for f in edges.schema.fields if f.name in keys]
@@ -275,28 +240,23 @@ def maximum_cliques(edges: DataFrame, keys: list[str], restarts: int = 10) -> Da
     return edges.groupBy(*keys).applyInPandas(run, schema)
 
 
-def communities(edges: DataFrame, keys: list[str], method: str = "louvain", seed: int = 0) -> DataFrame:
-    """keys, node, community, modularity of weighted edges (keys, a, b, weight)."""
+def linkage_communities(edges: DataFrame, keys: list[str], cut: float = 0.5) -> DataFrame:
+    """keys, node, community by average linkage of 1 - weight on edges (keys, a, b, weight): a table of distances between
+    all nodes of a key, in its task. `communities.communities` is the way for large graphs."""
     head = [f for f in edges.schema.fields if f.name in keys]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        w = {(min(a, b), max(a, b)): float(x) for a, b, x in zip(rows["a"], rows["b"], rows["weight"])}
-        if method == "hierarchical":
-            nodes = sorted({v for e in w for v in e})
-            at = {v: i for i, v in enumerate(nodes)}
-            d = np.ones((len(nodes), len(nodes)))
-            for (a, b), x in w.items():
-                d[at[a], at[b]] = d[at[b], at[a]] = 1 - x
-            com = average_linkage(nodes, d)
-        else:
-            com = louvain(w, seed=seed)
-        q = modularity(w, com)
-        out = pd.DataFrame([(v, c, q) for v, c in sorted(com.items())], columns=["node", "community", "modularity"])
+        nodes = sorted({*rows["a"], *rows["b"]})
+        at = {v: i for i, v in enumerate(nodes)}
+        d = np.ones((len(nodes), len(nodes)))
+        for a, b, x in zip(rows["a"], rows["b"], rows["weight"]):
+            d[at[a], at[b]] = d[at[b], at[a]] = 1 - float(x)
+        out = pd.DataFrame(sorted(average_linkage(nodes, d, cut).items()), columns=["node", "community"])
         for i, k in enumerate(keys):
             out.insert(i, k, rows[k].iloc[0])
         return out
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "node string, community int, modularity double"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "node string, community int"])
     return edges.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import correlate, graph, normalize
+from quillon.operators import cliques, communities, correlate, graph, normalize
 from quillon.operators.resample import bootstrap_weights, iterations
 from quillon.operators.robust import back
 
@@ -20,7 +20,7 @@ def discover(cells: DataFrame, condition: str, n_features: int = 5000, min_corre
     big = cells.groupBy(condition).agg(F.count_distinct("sample_id").alias("_n")).filter(F.col("_n") >= min_samples)
     c = cells.join(top, "feature_id", "left_semi").join(big.select(condition), condition, "left_semi")
     e = correlate.edges(correlate.correlations(c, keys=[condition]), min_correlation)
-    return graph.maximum_cliques(e, [condition]).filter(F.col("size") >= min_size) if greedy else graph.find_cliques(e, [condition], min_size)
+    return graph.maximum_cliques(e, [condition]).filter(F.col("size") >= min_size) if greedy else cliques.find_cliques(e, [condition], min_size)
 
 
 def set_modules(pairs: DataFrame, sets: DataFrame, condition: str, min_correlation: float = 0.7, min_size: int = 3) -> DataFrame:
@@ -46,13 +46,11 @@ def clique_differences(cliques: DataFrame, condition: str, case: str, control: s
 
 
 def clique_stability(cells: DataFrame, min_correlation: float = 0.7, min_size: int = 3, n: int = 100, seed: int = 0, groups: list[str] | None = None) -> DataFrame:
-    """members, stability: share of bootstraps of the samples in which a clique is found; weighted sums stand for repeats."""
+    """members, stability: share of bootstraps of the samples in which a clique is found; weights stand for repeats, and all
+    resamples of a block of features are one task's matrix products."""
     w = bootstrap_weights(cells.select("sample_id", *(groups or [])).distinct(), n, groups, seed)
-    c = cells.filter("value is not null").join(w, "sample_id").select("iteration", "sample_id", "feature_id", "value", "times")
-    a = c.select("iteration", "sample_id", "times", F.col("feature_id").alias("a"), F.col("value").alias("x"))
-    b = c.select("iteration", "sample_id", F.col("feature_id").alias("b"), F.col("value").alias("y"))
-    p = a.join(b, ["iteration", "sample_id"]).filter("a < b").groupBy("iteration", "a", "b").agg(correlate._moments(F.col("x"), F.col("y"), F.col("times")).alias("r"))
-    found = graph.find_cliques(p.filter(F.abs("r") >= min_correlation), ["iteration"], min_size)
+    p = correlate.resampled_correlations(cells.withColumn("_all", F.lit(0)), w, "_all", min_correlation)
+    found = cliques.find_cliques(p, ["iteration"], min_size)
     return found.groupBy(F.array_sort("members").alias("members")).agg((F.count("*") / F.lit(n)).alias("stability"))
 
 
@@ -109,4 +107,4 @@ def modularity_null(cells: DataFrame, min_correlation: float, n: int = 50, seed:
     draw = it.withColumn("_p", F.row_number().over(key.orderBy(F.xxhash64(F.lit(seed), "iteration", "feature_id", "sample_id")))).select("iteration", "feature_id", "value", "_p")
     shuffled = pos.join(draw, ["iteration", "feature_id", "_p"])
     e = correlate.edges(correlate.correlations(shuffled, keys=["iteration"]), min_correlation).withColumn("weight", F.abs("r"))
-    return graph.communities(e, ["iteration"], seed=seed).groupBy("iteration").agg(F.first("modularity").alias("modularity"))
+    return communities.quality(e, communities.communities(e, ["iteration"]), ["iteration"]).select("iteration", "modularity")

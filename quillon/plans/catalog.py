@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar
-from quillon.operators import align, cohort, compare, correlate, graph, impute, kg, linear, multiple, normalize, resample, robust
+from quillon.operators import align, cliques, cohort, communities, compare, correlate, graph, impute, kg, linear, multiple, normalize, resample, robust
+from quillon.operators.store import stored
 from quillon.plans.views import BRAND_SQL, DOC_SQL, EDGE_SQL, EMB_SQL, EVENT_SQL, USER_SQL, brand_cells, doc_samples, edge_table, emb_cells, event_cells, part_sets, table, user_cells
 from quillon.schema import Quality, flag_summary, has_flag
 
@@ -420,9 +421,25 @@ def graph_complexity(spark, d):
     return graph.complexity(_edges(spark, d)).withColumn("density", r("density"))
 
 
-@query()
+def _clique_sql(edges: str, keys: str = "", least: int = 3) -> str:
+    """All maximal cliques of ``edges`` (keys, a, b, r; a < b): grown by later nodes, kept where no node is joined to all members."""
+    k = f"{keys}, " if keys else ""
+    same = (lambda x, y: f" AND {x}.{keys} = {y}.{keys}") if keys else (lambda x, y: "")
+    return f"""ce AS ({edges}), ca AS (SELECT {k}a, list(b) AS near FROM (SELECT {k}a, b FROM ce UNION ALL SELECT {k}b, a FROM ce) GROUP BY ALL),
+gc AS (SELECT {k}[a] AS members, near FROM ca UNION ALL SELECT {"g." + k if k else ""}list_append(g.members, g.u), list_intersect(g.near, n.near)
+  FROM (SELECT *, unnest(list_filter(near, lambda x: x > members[-1])) AS u FROM gc) g JOIN ca n ON n.a = g.u{same("n", "g")}),
+mc AS (SELECT {k}members FROM gc WHERE len(near) = 0 AND len(members) >= {least})
+SELECT {"mc." + k if k else ""}array_to_string(members, ',') AS members, CAST(len(any_value(members)) AS INTEGER) AS size, round(avg(r), 6) AS mean_r, round(min(abs(r)), 6) AS min_abs_r
+FROM mc JOIN ce ON list_contains(members, ce.a) AND list_contains(members, ce.b){same("mc", "ce")} GROUP BY ALL"""
+
+
+def _cliques(found: DataFrame) -> DataFrame:
+    return found.withColumns({"members": F.array_join("members", ","), "mean_r": r("mean_r"), "min_abs_r": r("min_abs_r")})
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, {_clique_sql('SELECT a, b, r FROM pr WHERE abs(r) >= 0.08')}")
 def maximal_cliques(spark, d):
-    return graph.find_cliques(_edges(spark, d), min_size=3)
+    return _cliques(cliques.find_cliques(_edges(spark, d), min_size=3))
 
 
 @query()
@@ -433,8 +450,25 @@ def greedy_cliques(spark, d):
 
 @query()
 def louvain_communities(spark, d):
-    e = correlate.edges(_by_condition(spark, d), 0.25).withColumn("weight", F.abs("r"))
-    return graph.communities(e, ["condition"])
+    e = correlate.edges(_by_condition(spark, d), 0.25).withColumn("weight", F.abs("r")).select("condition", "a", "b", "weight")
+    e = stored(e, "edges")
+    found = stored(communities.communities(e, ["condition"]), "members")
+    return found.join(communities.quality(e, found, ["condition"]).select("condition", "modularity"), "condition")
+
+
+@query()
+def signed_communities(spark, d):
+    """Communities per condition over both signs of all correlations, with the quality of the partition."""
+    e = correlate.soft_threshold(correlate.signed_edges(_by_condition(spark, d)), 2.0, 0.01).select("condition", "a", "b", "weight", "sign")
+    e = stored(e, "edges")
+    found = stored(communities.communities(e, ["condition"]), "members")
+    return found.join(communities.quality(e, found, ["condition"]), "condition")
+
+
+@query()
+def community_bootstrap(spark, d):
+    """Size, stability and mean Jaccard index of each condition's communities over ten bootstraps."""
+    return communities.community_bootstrap(emb_cells(spark, d), "grp", n=10, power=2.0, floor=0.01)[0]
 
 
 # Linear models ----------------------------------------------------------------------------------------------
@@ -793,11 +827,11 @@ def ensemble_labels(spark, d):
     return markers.classify_samples(c, s, "label", ("0", "1"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BY_GROUP}, {_clique_sql('SELECT condition AS grp, a, b, r FROM pr WHERE abs(r) >= 0.3', 'grp')}")
 def module_cliques(spark, d):
     from quillon.operators import modules
 
-    return modules.discover(emb_cells(spark, d), "grp", 64, 0.3)
+    return _cliques(modules.discover(emb_cells(spark, d), "grp", 64, 0.3))
 
 
 @query(f"""WITH {_BY_GROUP}, e AS (SELECT condition, a, b, r FROM pr WHERE abs(r) >= 0.3) SELECT x.condition, x.a, x.b, y.b AS c FROM e x JOIN e y ON x.condition = y.condition AND x.b = y.a JOIN e z ON z.condition = x.condition AND x.a = z.a AND y.b = z.b""")
@@ -818,7 +852,7 @@ def set_rewiring(spark, d):
 def clique_stability(spark, d):
     from quillon.operators import modules
 
-    return modules.clique_stability(emb_cells(spark, d).filter("grp = '0'"), 0.35, 3, n=10)
+    return modules.clique_stability(emb_cells(spark, d), 0.1, 3, n=20)
 
 
 @query()
