@@ -79,8 +79,8 @@ def units_of_texts(texts: pa.Array) -> pa.Array:
 class Units:
     """Ids of texts by way of the ids, as bytes, of their units; what isn't known is tokenized and kept.
 
-    Once ``most`` units are kept, further ones are tokenized anew each time; if these are more than a tenth of a run's
-    units, the kept ones are out of date and are forgotten. Tokenizers that don't cut texts at the byte-level pattern
+    Once ``most`` units are kept, further ones are tokenized anew each time; if these make more than a tenth of a run's
+    text, the kept ones are out of date and are forgotten. Tokenizers that don't cut texts at the byte-level pattern
     alone get whole texts."""
 
     def __init__(self, tokenizer_json: str, most: int = 400_000):
@@ -114,17 +114,18 @@ class Units:
                 self.pieces[piece] = found
         return found
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole texts, one after the other, and where each text ends."""
+    def ids(self, texts: pa.Array, at_once: int = 1 << 19) -> Iterator[np.ndarray]:
+        """Ids of each whole text. Different units are looked up once for all ``texts``; ids are laid out for ``at_once`` units at a time."""
         if not self.by_unit:
-            raw = [self.whole(t) for t in texts.to_pylist()]
-            return np.frombuffer(b"".join(raw), ID), np.cumsum([len(x) for x in raw], dtype=np.int64) // ID.itemsize
+            yield from (np.frombuffer(self.whole(t), ID) for t in texts.to_pylist())
+            return
         lists = units_of_texts(texts)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
         encoded = lists.flatten().dictionary_encode()
         used, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
         found = list(map(self.known.get, used))
         missing = [i for i, x in enumerate(found) if x is None]
-        if len(self.known) >= self.most and 10 * len(missing) > len(used):
+        if len(self.known) >= self.most and 10 * np.isin(codes, missing).sum() > len(codes):
             self.known.clear()
             self.pieces.clear()
         for i in missing:
@@ -132,10 +133,16 @@ class Units:
             if len(self.known) < self.most and len(used[i]) <= 64:
                 self.known[used[i]] = found[i]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // ID.itemsize
-        first, n = np.cumsum(sizes) - sizes, sizes[codes]
-        ends = np.cumsum(n)
-        at = np.repeat(first[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.frombuffer(b"".join(found), ID)[at], np.append(0, ends)[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), ID)
+        low = text = 0
+        while text < len(ends):
+            last = max(text + 1, int(np.searchsorted(ends, low + at_once, "right")))
+            part = codes[low : ends[last - 1]]
+            n = sizes[part]
+            upto = np.cumsum(n)
+            ids = flat[np.repeat(first[part] - upto + n, n) + np.arange(upto[-1])]
+            yield from np.split(ids, np.append(0, upto)[ends[text : last - 1] - low])
+            low, text = int(ends[last - 1]), last
 
 
 _UNITS: dict[int, Units] = {}
@@ -268,7 +275,7 @@ class FrameReader:
         return range(n) if doc_id is None else range(*(n + int(np.searchsorted(self.keys[n:], doc_id, side)) for side in ("left", "right")))
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes, at least a row each."""
     rows = max(1, limit * batch.num_rows // max(1, batch.nbytes))
     return (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
@@ -297,9 +304,8 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, fi
                     store.create()
                     out = store.fs.open_output_stream(f"{store.base}/{name}", compression=None)
                     writer = FrameWriter(out, frame_ids)
-                ids, ends = units.ids(part.column(1))
-                for doc_id, low, high in zip(part.column(0), (0, *ends.tolist()), ends.tolist()):
-                    writer.add(doc_id.as_py(), ids[low:high].tobytes() + end)
+                for doc_id, ids in zip(part.column(0), units.ids(part.column(1))):
+                    writer.add(doc_id.as_py(), ids.tobytes() + end)
         if writer is not None:
             writer.finish()
             out.close()  # a file is named only once it is whole

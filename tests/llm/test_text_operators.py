@@ -177,9 +177,9 @@ def test_units_give_the_ids_of_whole_texts(units):
     for most in (50, 500_000):
         table = tokenfiles.Units(units, most)
         for low in range(0, len(texts), 500):
-            ids, ends = table.ids(pa.array(texts[low : low + 500]))
-            for text, a, b in zip(texts[low:], (0, *ends.tolist()), ends.tolist()):
-                assert ids[a:b].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+            some = texts[low : low + 500]
+            for text, ids in zip(some, table.ids(pa.array(some), 300), strict=True):
+                assert ids.tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
         assert len(table.known) <= most
 
 
@@ -266,3 +266,20 @@ def test_query_reads_the_files(spark, units):
     got = sorted(queries.op13_token_files(spark, SF).collect(), key=lambda r: r["start"])
     want = plain_ids(units, [d[:2] for d in local_docs()])
     assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want]
+
+
+# 9 ------------------------------------------------------------------------------------------------
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Six labelled ids that 30,000 documents share: the driver gets ``max_rows`` rows, equal ones once."""
+    from quillon.llm import quality
+
+    docs = spark.range(30_000).select((F.col("id") % 6).alias("doc_id"), F.concat(F.lit("some text "), (F.col("id") % 15_000).cast("string")).alias("text")).withColumn("label", F.lit("clash"))
+    docs = docs.union(spark.range(50).select((F.col("id") % 2).alias("doc_id"), F.lit(None).cast("string"), F.lit("x")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id int, quality int")
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y, **_: got.append((len(rows), set(y.tolist()))) or "fitted")
+    for most, want in ((500, 500), (20_000, 15_002)):
+        assert quality.train(docs, labels, F.lit(True), most) == "fitted"
+        assert got[-1] == (want, {0.0, 1.0})
