@@ -4,8 +4,8 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^
 interactions in time linear in the number of distinct features of a text. Inputs come from the text
 alone: its words (hashed by crc32), statistics of its structure, and its own size as metadata.
 
-Training takes at most ``max_rows`` labelled documents (a documented bound; chosen by a hash of the
-id, so that every run takes the same ones) and fits on the driver with mini-batches; scoring is one
+Training takes at most ``max_rows`` labelled documents (a documented bound, over pairs of id and text; chosen by their
+hash, so that every run takes the same ones; a pair teaches once, however often it repeats) and fits on the driver with mini-batches; scoring is one
 pass over all documents with the parameters of fixed size in the task.
 
 Edge cases: null text is empty and scored like any other; without labels of both classes the score is
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import crc_mod
+from quillon.llm.shared import crc_mod, written
 
 BUCKETS = 1 << 13
 N_STATS = 18
@@ -110,14 +110,19 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int =
     """Fit on at most ``max_rows`` labelled documents for which ``may_learn`` (of doc_id) holds."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may_learn).select("doc_id", F.col("quality").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    text = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h")
+    seen = docs.select("doc_id", text).join(known, "doc_id").distinct()  # a row per id and text, however often it repeats
+    chosen = written(seen.orderBy(F.xxhash64("doc_id", "_h"), "doc_id", "_h").limit(max_rows), "quality-chosen")
 
     def extract(batches):
         for b in batches:
             found = [features_of(x.as_py()) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], names=["label", "idx", "val"])
+            idx, val = ([x[k].astype(t).tobytes() for x in found] for k, t in ((0, np.int32), (1, np.float32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["doc_id", "_h", "label", "idx", "val"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").mapInArrow(extract, "label int, idx binary, val binary").collect()  # bounded by max_rows
+    hit = docs.select("doc_id", "text", text).join(F.broadcast(chosen), ["doc_id", "_h"]).select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "_h", "label")
+    found = hit.mapInArrow(extract, "doc_id bigint, _h bigint, label int, idx binary, val binary")
+    rows = found.groupBy("doc_id", "_h").agg(*(F.first(c).alias(c) for c in ("label", "idx", "val"))).collect()  # as many as were chosen
     rows.sort(key=lambda r: (bytes(r["idx"]), r["label"]))  # the order of tasks must not matter
     return fit([(np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["val"], np.float32).astype(float)) for r in rows], np.array([r["label"] for r in rows], float))
 
