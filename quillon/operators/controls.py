@@ -60,20 +60,55 @@ def _scatter(seed: int, iteration: int, rows: np.ndarray, cols: np.ndarray) -> n
     return ((x >> np.uint64(11)).astype(np.float64) / 2**53 * 2 - 1) * JITTER
 
 
-def matched_pool(stats: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def matched_pool(stats: DataFrame, targets: DataFrame, step: int = 64) -> tuple[DataFrame, DataFrame]:
     """(targets, others that a least-cost matching can use), each feature_id, m, v of ``stats``.
 
     With k targets one of the k cheapest others of a target is always free, and jitter of 10 % lets only those be
     cheaper whose cost is at most 1.1 / 0.9 times the k-th: the rest can't be in any best matching. The cost of a pair
-    is |difference of means| + |difference of variances| / 2."""
+    is |difference of means| + |difference of variances| / 2.
+
+    The k-th cost is bounded without looking at all pairs: others are dealt to cells of a grid over (m, v / 2), by
+    quantiles of each, and counted. Around each target, cells are added ring by ring until they hold k others; the farthest
+    corner of these is a bound, and the cells within it are joined by their number. Only the counts (as many as there are
+    cells) and the targets are looked at as a whole."""
     chosen = targets.select("feature_id").distinct()
     t, rest = stats.join(chosen, "feature_id", "left_semi"), stats.join(chosen, "feature_id", "left_anti")
-    n = t.count()
-    pairs = rest.crossJoin(t.select(F.col("feature_id").alias("t"), F.col("m").alias("tm"), F.col("v").alias("tv")))  # targets are a set of features, small beside the others
-    pairs = pairs.withColumn("c", F.abs(F.col("m") - F.col("tm")) + 0.5 * F.abs(F.col("v") - F.col("tv")))
+    k = t.count()
+    y = F.col("v") / 2
+    n = rest.count()
+    if not n or not k:
+        return t, rest
+    side = max(1, min(64, round((n / step) ** 0.5)))
+    shares = F.array(*(F.lit(i / side) for i in range(side + 1)))
+    row = rest.agg(F.percentile_approx("m", shares, F.lit(10_000)), F.percentile_approx(y, shares, F.lit(10_000)), F.min("m"), F.max("m"), F.min(y), F.max(y)).first()
+    edge_m, edge_v = (np.array([low, *q[1:-1], high]) for q, low, high in ((row[0], row[2], row[3]), (row[1], row[4], row[5])))
+    number = lambda x, edges: sum((F.when(x > float(e), 1).otherwise(0) for e in edges[1:-1]), F.lit(0)).cast("int")
+    dealt = rest.withColumns({"i": number(F.col("m"), edge_m), "j": number(y, edge_v)})
+    held = np.zeros((side, side), np.int64)
+    for r in dealt.groupBy("i", "j").count().collect():  # at most 64 x 64 cells
+        held[r["i"], r["j"]] = r["count"]
+
+    def reach(batches):
+        """Every cell that a target's bound touches."""
+        far_of = lambda x, e: np.maximum(np.abs(x - e[:-1]), np.abs(x - e[1:]))
+        near_of = lambda x, e: np.maximum(0, np.maximum(e[:-1] - x, x - e[1:]))
+        for b in batches:
+            out = []
+            for f, m, v in zip(b["feature_id"], b["m"], b["v"] / 2):
+                far = (far_of(m, edge_m)[:, None] + far_of(v, edge_v)[None, :]).ravel()
+                order = np.argsort(far, kind="stable")
+                enough = np.searchsorted(np.cumsum(held.ravel()[order]), min(k, n))
+                bound = far[order[enough]] * (1 + JITTER) / (1 - JITTER) + 1e-9
+                near = near_of(m, edge_m)[:, None] + near_of(v, edge_v)[None, :]
+                i, j = np.nonzero((near <= bound) & (held > 0))
+                out.append(pd.DataFrame({"t": f, "tm": m, "tv": 2 * v, "bound": bound, "i": i.astype(np.int32), "j": j.astype(np.int32)}))
+            yield pd.concat(out) if out else pd.DataFrame({"t": [], "tm": [], "tv": [], "bound": [], "i": [], "j": []})
+
+    cells = t.select("feature_id", "m", "v").mapInPandas(reach, "t string, tm double, tv double, bound double, i int, j int")
+    pairs = dealt.join(cells, ["i", "j"]).withColumn("c", F.abs(F.col("m") - F.col("tm")) + 0.5 * F.abs(F.col("v") - F.col("tv"))).filter("c <= bound")
     # the k smallest costs of each target, first by task: a bounded sketch that merges
-    kth = pairs.withColumn("_s", F.spark_partition_id()).withColumn("_rk", F.row_number().over(Window.partitionBy("t", "_s").orderBy("c"))).filter(F.col("_rk") <= n)
-    kth = kth.withColumn("_rk", F.row_number().over(Window.partitionBy("t").orderBy("c"))).filter(F.col("_rk") <= n).groupBy("t").agg((F.max("c") * (1 + JITTER) / (1 - JITTER) + 1e-12).alias("most"))
+    kth = pairs.withColumn("_s", F.pmod(F.xxhash64("feature_id"), F.lit(64))).withColumn("_rk", F.row_number().over(Window.partitionBy("t", "_s").orderBy("c"))).filter(F.col("_rk") <= k)
+    kth = kth.withColumn("_rk", F.row_number().over(Window.partitionBy("t").orderBy("c"))).filter(F.col("_rk") <= k).groupBy("t").agg((F.max("c") * (1 + JITTER) / (1 - JITTER) + 1e-12).alias("most"))
     return t, pairs.join(kth, "t").filter("c <= most").select("feature_id", "m", "v").distinct()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import coherence_z, fisher_z_difference, normal_p_value
 from quillon.operators.multiple import bh
+from quillon.operators.store import stored
 
 
 def _moments(x: Column, y: Column, w: Column | None = None) -> Column:
@@ -160,14 +161,14 @@ def differential_pairs(pairs: DataFrame, case: str, control: str, method: str =
     one = lambda v, s: pairs.filter(F.col(condition) == v).select("a", "b", F.col("r").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"))
     j = one(case, "case").join(one(control, "ctrl"), ["a", "b"])
     z = fisher_z_difference(F.col("r_case"), F.col("n_case"), F.col("r_ctrl"), F.col("n_ctrl"), method)
-    return bh(j.withColumn("z", z).withColumn("p", normal_p_value("z")), "p", "q", by=["a", "b"])
+    return bh(stored(j.withColumn("z", z).withColumn("p", normal_p_value("z")), "pairs"), "p", "q", by=["a", "b"])
 
 
 def correlation_changes(pairs: DataFrame, a: str, b: str, fdr: float = 0.05, min_change: float = 0.3, condition: str = "condition") -> DataFrame:
     """Pairs whose correlation differs by at least ``min_change`` at the false discovery rate."""
     one = lambda v, s: pairs.filter(F.col(condition) == v).select("a", "b", F.col("r").alias(f"r_{s}"), F.col("n").alias(f"n_{s}"))
     j = one(a, "a").join(one(b, "b"), ["a", "b"]).withColumn("z", coherence_z(F.col("r_a"), F.col("n_a"), F.col("r_b"), F.col("n_b")))
-    q = bh(j.withColumn("p", normal_p_value("z")), "p", "q", by=["a", "b"])
+    q = bh(stored(j.withColumn("p", normal_p_value("z")), "pairs"), "p", "q", by=["a", "b"])
     return q.withColumn("delta", F.col("r_b") - F.col("r_a")).withColumn("significant", (F.col("q") < fdr) & (F.abs("delta") >= min_change))
 
 

@@ -7,13 +7,16 @@ from the clean percentiles of all cells; a MAD of 0 goes by the rule of its stra
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillon.functions.scalar import normal_quantile, soft_clip
+from quillon.operators import select
 from quillon.operators.robust import MAD_SCALE, MIN_GROUP, back, median_mad
+from quillon.operators.store import stored
 from quillon.schema import Quality, has_flag, set_flag
 
 
@@ -24,11 +27,12 @@ def target(flag: Column) -> Column:
 def global_bounds(cells: DataFrame, max_upper: float | None = None) -> DataFrame:
     """0.1 and 99.9 percentiles of the clean values; of all values where none is clean."""
     clean = F.when(~target(F.col("flag")), F.col("value"))
-    two = F.array(F.lit(0.001), F.lit(0.999))
-    g = cells.agg(F.percentile(clean, two).alias("c"), F.percentile("value", two).alias("a"))
-    q = F.coalesce("c", "a")
-    high = q[1] if max_upper is None else F.least(q[1], F.lit(max_upper))
-    return g.select(q[0].alias("g_low"), high.alias("g_high"))
+    low, high = select.quantiles(cells, clean, [0.001, 0.999])
+    if low is None:
+        low, high = select.quantiles(cells, "value", [0.001, 0.999])
+    if max_upper is not None and high is not None:
+        high = min(high, max_upper)
+    return cells.sparkSession.createDataFrame([(low, high)], "g_low double, g_high double")
 
 
 def _feature_and_group(cells: DataFrame, group_cols: list[str]) -> DataFrame:
@@ -97,8 +101,8 @@ def median_impute(cells: DataFrame, group_cols: list[str] | None = None) -> Data
     clean = F.when(~target(F.col("flag")), F.col("value"))
     m = cells.groupBy(*keys).agg(F.median(clean).alias("_m"))
     f = cells.groupBy("feature_id").agg(F.median(clean).alias("_f"))
-    g = cells.agg(F.median(clean).alias("_g"))
-    j = back(back(back(cells, m, keys), f, ["feature_id"]), g, [])
+    (g,) = select.quantiles(cells, clean, [0.5])
+    j = back(back(cells, m, keys), f, ["feature_id"]).withColumn("_g", F.lit(g).cast("double"))
     return _done(j, F.when(target(F.col("flag")), F.coalesce("_m", "_f", "_g", "value")).otherwise(F.col("value")), cells.columns)
 
 
@@ -111,7 +115,7 @@ def missing_summary(cells: DataFrame) -> DataFrame:
     n, cov = F.count("*"), F.avg(F.col("m") * F.col("r")) - F.avg("m") * F.avg("r")
     var = F.nullif(F.var_pop("m") * F.var_pop("r"), F.lit(0.0))
     corr = f.agg(n.alias("n_features"), (cov / F.sqrt(var)).alias("corr"))
-    a = cells.agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("*").alias("n_cells"), F.percentile("value", 0.001).alias("low"))
+    a = cells.agg(F.count_if(F.col("value").isNull()).alias("n_missing"), F.count("*").alias("n_cells")).withColumn("low", F.lit(select.quantiles(cells, "value", [0.001])[0]).cast("double"))
     kind = F.when((F.col("n_features") > 10) & (F.col("corr") < -0.3), "MNAR").when((F.col("n_features") > 10) & (F.col("corr") > 0.3), "MAR").otherwise("MIXED")
     return a.crossJoin(corr).select("n_missing", "n_cells", (F.col("n_missing") / F.col("n_cells")).alias("missing_rate"), kind.alias("mechanism"), F.when(kind != "MAR", F.col("low")).alias("censoring_threshold"))
 
@@ -120,7 +124,8 @@ def censoring_threshold(cells: DataFrame, method: str = "min_feature", percentil
     if method == "min_feature":
         return cells.groupBy("feature_id").agg(F.min("value").alias("m")).agg(F.coalesce(F.median("m"), F.lit(0.0)).alias("threshold"))
     p = {"percentile": percentile, "learned": 0.1}[method]
-    return cells.agg(F.coalesce(F.percentile("value", p / 100), F.lit(0.0)).alias("threshold"))
+    (found,) = select.quantiles(cells, "value", [p / 100])
+    return cells.sparkSession.createDataFrame([(found or 0.0,)], "threshold double")
 
 
 def _fill(cells: DataFrame, value: Column) -> DataFrame:
@@ -172,19 +177,55 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(special.norm_cdf(z))
 
 
+def nearest_samples(cells: DataFrame, block: int = 256, features: int = 4096) -> DataFrame:
+    """s, o, d: root mean square distance, over the features that both have, of each sample with a gap (s) to each other one (o).
+
+    Samples are packed by blocks of features, one row a sample and feature block; a task multiplies a block of samples
+    with gaps by a block of all samples (three products of values, squares and masks), and what the feature blocks add is summed up."""
+    n = cells.select("sample_id").distinct().count()
+    blocks = max(1, -(-n // block))
+    part = F.pmod(F.xxhash64("feature_id"), F.lit(max(1, -(-cells.select("feature_id").distinct().count() // features)))).cast("int")
+    gaps = cells.filter("value is null").select("sample_id").distinct().withColumn("gap", F.lit(True))
+    centre = cells.groupBy("feature_id").agg(F.avg("value").alias("_c"))  # distances don't change, but the squares stay small
+    packed = back(cells.filter("value is not null"), centre, ["feature_id"]).groupBy("sample_id", part.alias("fb")).agg(F.collect_list("feature_id").alias("f"), F.collect_list(F.col("value") - F.col("_c")).alias("v"))
+    packed = stored(packed.join(gaps, "sample_id", "left").withColumn("sb", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int")), "knn-packed")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = packed.filter("gap").withColumn("ob", other).withColumn("gb", F.col("sb"))
+    right = packed.withColumn("gb", other).withColumn("ob", F.col("sb"))
+    left, right = (side.select(*(F.col(c).alias(c) for c in ("fb", "gb", "ob", "sample_id", "f", "v"))) for side in (left, right))
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at = {f: i for i, f in enumerate(sorted({f for side in (left, right) for fs in side["f"] for f in fs}))}
+
+        def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            x, m = np.zeros((len(rows), len(at))), np.zeros((len(rows), len(at)))
+            for i, (f, v) in enumerate(zip(rows["f"], rows["v"])):
+                j = [at[k] for k in f]
+                x[i, j], m[i, j] = v, 1
+            return x, m
+
+        (x, mx), (y, my) = dense(left), dense(right)
+        shared = mx @ my.T
+        gap = np.maximum((x * x) @ my.T + mx @ (y * y).T - 2 * x @ y.T, 0)
+        i, j = np.nonzero(shared)
+        return pd.DataFrame({"s": left["sample_id"].to_numpy()[i], "o": right["sample_id"].to_numpy()[j], "gap": gap[i, j], "n": shared[i, j].astype(np.int64)})
+
+    key = ["fb", "gb", "ob"]
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(product, "s string, o string, gap double, n bigint")
+    return sums.filter("s <> o").groupBy("s", "o").agg(F.sqrt(F.sum("gap") / F.sum("n")).alias("d"))
+
+
 def impute_knn(cells: DataFrame, k: int = 10) -> DataFrame:
     """Missing values by the distance-weighted mean of the k nearest samples that have the feature.
 
-    Distances are root mean squares over features that both samples have, scaled to all features. Only
-    samples with a missing value are on the left of the pair join, which runs feature by feature.
-    """
-    gaps = cells.filter("value is null").select("sample_id").distinct()
-    a = cells.join(gaps, "sample_id", "left_semi").filter("value is not null").select("feature_id", F.col("sample_id").alias("s"), F.col("value").alias("x"))
-    b = cells.filter("value is not null").select("feature_id", F.col("sample_id").alias("o"), F.col("value").alias("y"))
-    d = a.join(b, "feature_id").filter("s <> o").groupBy("s", "o").agg(F.sqrt(F.avg((F.col("x") - F.col("y")) ** 2)).alias("d"))
+    Distances (`nearest_samples`) are root mean squares over features that both samples have; equal ones go by the name
+    of the sample. The k best of a missing value are merged from lists of at most k per range of samples."""
+    d = stored(nearest_samples(cells).withColumn("d", F.round("d", 12)), "knn-distances")
     want = cells.filter("value is null").select(F.col("sample_id").alias("s"), "feature_id")
-    c = want.join(b, "feature_id").join(d, ["s", "o"])
-    near = c.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id").orderBy("d", "o"))).filter(F.col("rk") <= k)
+    b = cells.filter("value is not null").select("feature_id", F.col("sample_id").alias("o"), F.col("value").alias("y"))
+    c = want.join(b, "feature_id").join(d, ["s", "o"]).withColumn("_part", F.pmod(F.xxhash64("o"), F.lit(32)))
+    first = c.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id", "_part").orderBy("d", "o"))).filter(F.col("rk") <= k)
+    near = first.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id").orderBy("d", "o"))).filter(F.col("rk") <= k)
     zero = F.max(F.when(F.col("d") == 0, F.col("y")))
     w = 1 / F.nullif(F.col("d"), F.lit(0.0))
     fill = near.groupBy("s", "feature_id").agg(F.coalesce(zero, F.try_divide(F.sum(w * F.col("y")), F.sum(w))).alias("_k")).withColumnRenamed("s", "sample_id")

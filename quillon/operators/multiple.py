@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.robust import back
+from quillon.operators.store import forget, stored
+
+EULER = 0.57721566490153286
 
 
 def ranged(df: DataFrame, col: str, parts: int = 64) -> DataFrame:
@@ -34,21 +37,31 @@ def _least_from_here(rows: DataFrame, keys: list[str], col: str, value: str, out
     return back(rows, least, [*keys, "_part"]).withColumn(out, F.least(F.min(value).over(down), F.col("_after"))).drop("_after")
 
 
+def harmonic(n: Column, method: str) -> Column:
+    """1 + 1/2 + ... + 1/n for Benjamini-Yekutieli, else 1: summed for small n, by its expansion (to 1e-14) beyond."""
+    if method == "bh":
+        return F.lit(1.0)
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(64).cast("long"))), F.lit(0.0), lambda a, i: a + 1 / i)
+    x = n.cast("double")
+    return F.when(n <= 64, few).otherwise(F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def bh(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None, keys: list[str] | None = None, method: str = "bh") -> DataFrame:
     """Benjamini-Hochberg (or -Yekutieli) values within ``keys``; ``by`` breaks ties of p. Null p stays null.
 
     q = min over equal and larger p of p * m / rank; equal p values share the largest rank, so the
-    minimum may be taken over *distinct* p values with their counts. Windows run within ranges of p, and what
-    the ranges before and after add is found over one row a range.
+    minimum may be taken over *distinct* p values with their counts. These are stored once (and again with the ranks),
+    so that the input is read twice: for its counts, and to get its values of q. Windows run within ranges of p, and
+    what the ranges before and after add is found over one row a range.
     """
     keys = keys or []
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    counts = _before(ranged(counts, p), keys, p, ["_c"])
-    total = df.filter(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_n")), F.lit(0.0), lambda a, i: a + 1 / i)
-    counts = back(counts, total.withColumn("_f", factor), keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c"))
-    q = _least_from_here(counts, keys, p, "_q", out).withColumn(out, F.least(F.lit(1.0), out))
-    return back(df, q.select(*keys, p, out), [*keys, p])
+    counts = stored(df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), "bh-counts")
+    ranked = _before(stored(ranged(counts, p), "bh-ranged"), keys, p, ["_c"])
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumn("_f", harmonic(F.col("_n"), method))
+    ranked = stored(back(ranked, total, keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c")), "bh-ranked")
+    q = stored(_least_from_here(ranked, keys, p, "_q", out).withColumn(out, F.least(F.lit(1.0), out)).select(*keys, p, out), "bh-values")
+    forget(counts, ranked)
+    return back(df, q, [*keys, p])
 
 
 def bonferroni(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = None) -> DataFrame:

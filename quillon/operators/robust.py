@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import select
+from quillon.operators.store import forget, stored
 from quillon.schema import Quality, has_flag, set_flag
 
 #: Fixed consistency constants; the two are not reciprocal to the last digit.
@@ -28,8 +30,11 @@ def back(cells: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def median_mad(cells: DataFrame, keys: list[str], value: str = "value", where: Column | None = None) -> DataFrame:
-    """keys, n, med, mad of the non-null values for which ``where`` holds."""
+    """keys, n, med, mad of the non-null values for which ``where`` holds; without keys by `select.quantiles`."""
     x = F.col(value) if where is None else F.when(where, F.col(value))
+    if not keys:  # one row for all values: counted, not gathered
+        row = select.median_mad(cells, x)
+        return cells.sparkSession.createDataFrame([row], "n bigint, med double, mad double")
     d = cells.withColumn("_x", x)
     med = d.groupBy(*keys).agg(F.median("_x").alias("med"), F.count("_x").alias("n"))
     dev = back(d.select(*keys, "_x"), med, keys)
@@ -44,7 +49,11 @@ def mad_bounds(stats: DataFrame, lower: float, upper: float) -> DataFrame:
 
 def iqr_bounds(cells: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Tukey fences with interpolated quartiles."""
-    q = cells.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("value").alias("n"))
+    if keys:
+        q = cells.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("value").alias("n"))
+    else:
+        row = select.quantiles(cells, "value", [0.25, 0.75]), cells.agg(F.count("value")).first()[0]
+        q = cells.sparkSession.createDataFrame([row], "q array<double>, n bigint")
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.withColumn("lower", F.col("q")[0] - threshold * iqr).withColumn("upper", F.col("q")[1] + threshold * iqr).drop("q")
 
@@ -76,18 +85,22 @@ def residual_cells(cells: DataFrame) -> DataFrame:
     """``residual``: value - feature median - sample median + grand median."""
     f = cells.groupBy("feature_id").agg(F.median("value").alias("f_med"))
     s = cells.groupBy("sample_id").agg(F.median("value").alias("s_med"))
-    g = cells.agg(F.median("value").alias("g_med"))
-    j = back(back(back(cells, f, ["feature_id"]), s, ["sample_id"]), g, [])
+    (g,) = select.quantiles(cells, "value", [0.5])
+    j = back(back(cells, f, ["feature_id"]), s, ["sample_id"]).withColumn("g_med", F.lit(g).cast("double"))
     return j.withColumn("residual", F.col("value") - (F.col("f_med") + F.col("s_med") - F.col("g_med"))).select(*cells.columns, "residual")
 
 
 def multipass_outliers(cells: DataFrame, threshold: float = 5.0, residual_threshold: float = 4.0, high_end_only: bool = True, cap_percentile: float = 99.95, **how) -> DataFrame:
-    """Three passes whose flags are OR-ed; columns pass1, pass2, pass3 tell each pass's own finds."""
-    first = detect_outliers(cells, threshold=threshold, **how)
-    r = residual_cells(first)
-    m = median_mad(r, [], "residual").select(F.col("med").alias("r_med"), (F.col("mad") * MAD_CONSISTENCY).alias("r_mad"))
-    cap = cells.agg(F.percentile("value", cap_percentile / 100).alias("cap"))
-    j = back(back(r, m, []), cap, [])
+    """Three passes whose flags are OR-ed; columns pass1, pass2, pass3 tell each pass's own finds.
+
+    Each pass is stored, so that no later one computes it again; the medians over all cells are numbers."""
+    cells = stored(cells, "multipass-cells")
+    first = stored(detect_outliers(cells, threshold=threshold, **how), "multipass-first")
+    r = stored(residual_cells(first), "multipass-residuals")
+    _, med, mad = select.median_mad(r, "residual")
+    (cap,) = select.quantiles(cells, "value", [cap_percentile / 100])
+    j = r.withColumns({"r_med": F.lit(med).cast("double"), "r_mad": F.lit(None if mad is None else mad * MAD_CONSISTENCY).cast("double"), "cap": F.lit(cap).cast("double")})
+    forget(cells, first)
     z = (F.col("residual") - F.col("r_med")) / F.nullif(F.col("r_mad"), F.lit(0.0))
     p1 = has_flag(F.col("flag"), Quality.OUTLIER_DETECTED)
     p2 = F.coalesce((z if high_end_only else F.abs(z)) > residual_threshold, F.lit(False))

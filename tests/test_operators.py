@@ -501,7 +501,8 @@ def test_corrections_over_ranges(spark):
     for i, x in enumerate(p):
         assert got[i] is None if x is None else got[i] == pytest.approx(want[np.searchsorted(order, x, side="left")])
     plan = multiple.bh(df, "p")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_part" in plan
+    assert plan.count("Relation") + plan.count("LogicalRDD") <= 2  # the input, and what is stored
+    assert "_part" in multiple._before(multiple.ranged(df.groupBy("p").agg(F.count("*").alias("_c")), "p"), [], "p", ["_c"])._jdf.queryExecution().optimizedPlan().toString()
     null = spark.createDataFrame([(float(x),) for x in rng.random(500)], "p double")
     q = {r["id"]: r["q"] for r in multiple.storey(df, null).collect()}
     n = np.sort([r["p"] for r in null.collect()])
