@@ -4,16 +4,20 @@ Base detectors (email, ip, card, phone) find validated spans. High-recall genera
 overlapping candidates; boosted trees score them from their format and context; per-kind thresholds,
 calibrated on held-out documents, select what is redacted besides the base spans.
 
-Training needs no hand-made labels, and its labels are not the base patterns: each validated span is
-rewritten as people write such data to evade or by habit (``@`` and dots spelt out or spaced, a phone without its
-country, dotted groups of a card, a card behind another number, a spaced address), in its own context, and
-those rewritten spans that a generator proposes are the positives; each span counts once, shared among its forms.
-Candidates of the texts themselves that overlap no base span are unlabelled. The assumption is that data in other
-forms is about as frequent as validated data and stands in like contexts: of the unlabelled candidates with some
-features, as many as there are positives with these are taken to be data, and only those beyond that count as
-negatives. ``precision`` is what the held-out half of documents must reach under these counts. Features are small integers; what training gathers is one
-row per combination of them (``CELLS`` at most), counted over the candidates of all documents. Trees
-are fitted to these counts on the driver and become CASE expressions, so that scoring is JVM-only.
+Training needs no hand-made labels, and its labels are not the base patterns. Positives: each validated span is
+rewritten as people write such data to evade or by habit (``@`` and dots spelt out, bracketed, spaced or as entities; a
+phone behind 00 or without its country; groups of a card joined otherwise), in its own context; those rewritten spans
+that a generator proposes count, and each span counts once, shared among its forms. Negatives: the same spans with their
+check broken (a card that fails Luhn, an address beyond 255) in the same forms; candidates of the texts that overlap a
+date, a version, a price, or a base match that failed its test while they fail it too. Other candidates of the texts are
+unlabelled: as many of them with some features as there are rewritten spans with these are left out of the count, and
+only those beyond are negatives.
+
+Forms come in two families a kind (`forms`). Documents of fold 0 teach the trees with one family, those of fold 1 set the
+thresholds with the other, so that ``precision`` is asked of forms that the trees have never seen; and it is asked of
+the lower end of a confidence interval (Wilson, one-sided, ``Z``), so that few examples select nothing. Features are
+small integers; what training gathers is one row per combination of them (``CELLS`` at most), counted over the candidates
+of all documents. Trees are fitted to these counts on the driver and become CASE expressions, so that scoring is JVM-only.
 
 Long texts: arrays are built, compared and cut in blocks of ``BLOCK`` spans, and contexts are taken from the pieces
 between matches, so that no step looks at the whole text or all spans once per span.
@@ -46,21 +50,34 @@ BASE = {
 }
 #: A text without these has no match of the kind.
 HINT = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-#: Generators of further candidates, wider than the base patterns.
+_OPEN, _SHUT = r"\x20?[(\[{<]\x20?", r"\x20?[)\]}>]"
+_AT = rf"(?:\x20?@\x20?|{_OPEN}(?i:at){_SHUT}\x20?|&#64;|&commat;|%40)"
+_SPELT = rf"(?:{_OPEN}(?:\.|(?i:dot)){_SHUT}\x20?|\x20(?i:dot)\x20)"
+_DOT = rf"(?:\x20?\.\x20?|{_OPEN}(?:\.|(?i:dot)){_SHUT}\x20?|\x20(?i:dot)\x20|&#46;)"
+_JOIN = r"[\x20._/-]"
+#: Generators of further candidates, wider than the base patterns. Behind a bare word ``at`` a dot isn't spaced.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+\x20?\.\x20?[0-9]{1,3}+\x20?\.\x20?[0-9]{1,3}+\x20?\.\x20?[0-9]{1,3}+(?![0-9])",
-    "card": r"(?<![0-9-])(?:[0-9]{12,19}+|[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4})(?![0-9-])",
-    "phone": r"(?<![0-9(])\+?(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._+-]++(?:\x20(?i:at)\x20[A-Za-z0-9-]++(?:(?:\.|{_SPELT})[A-Za-z0-9-]++)++|{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++)",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9])",
+    "card": rf"(?<![0-9-])(?:[0-9]{{12,19}}+|[0-9]{{4}}{_JOIN}[0-9]{{4}}{_JOIN}[0-9]{{4}}{_JOIN}[0-9]{{4}}|[0-9]{{4}}{_JOIN}[0-9]{{6}}{_JOIN}[0-9]{{5}})(?![0-9-])",
+    "phone": r"(?<![0-9(])(?:\+?[0-9]{1,3}[\x20./-]?|00[0-9]{1,3}[\x20./-]?)?(?:\([0-9]{2,5}\)[\x20/-]?|[0-9]{3,5}[\x20./-])(?:[0-9]{6,8}|[0-9]{3,4}[\x20./-][0-9]{3,4})(?![0-9])",
 }
-WIDE_HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\x20?\.\x20?[0-9]", "card": r"[0-9]{12}|[0-9]{4}[\x20.-][0-9]{4}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
+WIDE_HINT = {
+    "email": r"@|(?i:[(\[{<]\x20?at\x20?[)\]}>])|(?i:\x20at\x20[a-z0-9-]++(?:\.[a-z0-9]|\x20?[(\[{<]?\x20?dot))|&#64;|&commat;|%40",
+    "ip": r"[0-9]\x20?(?:\.|[(\[{<]|(?i:dot)|&#46;)[^0-9]{0,6}[0-9]", "card": r"[0-9]{12}|[0-9]{4}[\x20._/-][0-9]{4}", "phone": r"[0-9]{2,5}\)?[\x20./-]?[0-9]{3}",
+}
+#: What looks like such data and isn't: dates, versions, prices.
+OTHER = r"(?<![0-9])(?:[12][0-9]{3}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][12][0-9]{3})(?![0-9])|(?i:\bv(?:ersion|er)?\.?\x20?)[0-9]++(?:\x20?\.\x20?[0-9]++)++|[$€£]\x20?[0-9][0-9.,]*+"
+OTHER_HINT = r"[0-9][./-][0-9]|(?i:\bv)[a-z]*\.?\x20?[0-9]|[$€£]\x20?[0-9]"
 #: Spans in a block.
 BLOCK = 128
 #: Words near a span that speak of its kind.
 NEAR = r"(?i)(?:mail|kontakt|contact|phone|tel|call|fax|card|visa|konto|iban|addr|host|server|\bip\b)"
 
-FEATURES = ("kind", "digits", "luhn", "style", "left", "right", "near", "octets", "tail")
-LEVELS = (4, 8, 2, 6, 4, 4, 2, 2, 3)
+FEATURES = ("kind", "digits", "luhn", "style", "dots", "left", "right", "near", "octets", "tail")
+LEVELS = (4, 8, 2, 6, 5, 4, 4, 2, 2, 3)
+#: Standard errors below an observed precision at which its confidence interval begins.
+Z = 1.28
 CELLS = math.prod(LEVELS)
 
 
@@ -147,22 +164,45 @@ def candidates(text: str) -> Column:
     return F.array_sort(F.concat(*(_found(text, WIDE[k], WIDE_HINT[k], i) for i, k in enumerate(KINDS))))
 
 
-def rewritten(kind: str, x: Column) -> Column:
-    """array<struct<left, form>>: a base span as it is otherwise written, behind its context."""
+def forms(kind: str, x: Column, broken: bool = False) -> list[tuple[Column, Column]]:
+    """(left context, span) of a base span written in other ways; those at even places are one family, those at odd ones the other.
+    ``broken``: with a check that fails (null where the kind has none)."""
     m, left, d = x["match"], x["left"], _digits(x["match"])
+    if broken:
+        if kind == "card":  # another last digit
+            d = F.concat(F.expr("''"), F.substring(d, F.lit(1), F.length(d) - 1), ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
+        elif kind == "ip":
+            m = F.regexp_replace(m, r"^[0-9]+", "999")
+        else:
+            return []
     if kind == "email":
         user, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-        forms = [(left, F.concat(user, F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))) for at, dot in (("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."))]
-    elif kind == "ip":
-        forms = [(left, F.replace(m, F.lit("."), F.lit(dot))) for dot in (" . ", ". ")]
-    elif kind == "card":
+        ways = [("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."), (" at ", " dot "), (" AT ", " DOT "), ("&#64;", "."), ("%40", "."), ("<at>", "."), ("{at}", "{dot}"), (" at ", "."), (" (AT) ", ".")]
+        return [(left, F.concat(user, F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))) for at, dot in ways]
+    if kind == "ip":
+        return [(left, F.replace(m, F.lit("."), F.lit(dot))) for dot in (" . ", ". ", "[.]", "(.)", " dot ", "[dot]")]
+    if kind == "card":
         groups = [F.substring(d, i, 4) for i in (1, 5, 9, 13)]
-        forms = [(F.concat(left, F.lit(" 12 ")), d), (left, F.when(F.length(d) == 16, F.concat_ws(".", *groups)))]
-    else:
-        area, first, last = (F.substring(d, i, n) for i, n in ((-10, 3), (-7, 3), (-4, 4)))
-        forms = [(left, F.when(F.length(d) >= 10, f)) for f in (F.concat(F.lit("("), area, F.lit(") "), first, F.lit("-"), last), *(F.concat_ws(c, area, first, last) for c in "-. "))]
-    made = F.array(*(F.struct(a.alias("left"), f.alias("form")) for a, f in forms))
-    return F.filter(made, lambda v: v["form"].isNotNull())
+        joined = [F.when(F.length(d) == 16, F.concat_ws(c, *groups)) for c in (".", "_", "/")]
+        return [(F.concat(left, F.lit(" 12 ")), d), (F.concat(left, F.lit(" 7 ")), d), *((left, j) for j in joined)]
+    area, first, last = (F.substring(d, i, n) for i, n in ((-10, 3), (-7, 3), (-4, 4)))
+    country = F.substring(d, F.lit(1), F.length(d) - 10)
+    abroad = F.concat(F.lit("00"), F.when(F.length(country).between(1, 3), country))
+    ways = [F.concat(F.lit("("), area, F.lit(") "), first, F.lit("-"), last), F.concat(F.lit("("), area, F.lit(")"), first, last), F.concat_ws("-", area, first, last), F.concat_ws(".", area, first, last),
+            F.concat_ws(" ", area, first, last), F.concat_ws("/", area, F.concat(first, last)), F.concat_ws(" ", area, F.concat(first, last)), F.concat(abroad, F.lit(" "), area, F.lit(" "), first, last),
+            F.concat(abroad, F.lit(" "), area, F.lit("-"), first, F.lit("-"), last)]
+    return [(left, F.when(F.length(d) >= 10, f)) for f in ways]
+
+
+def rewritten(kind: str, x: Column, fold: Column) -> Column:
+    """array<struct<left, form, y, w, own>>: a base span's forms, and those with a broken check (y = 0); own: of the fold's family."""
+    def made(ways: list, y: float, own: bool) -> Column:
+        mine = [F.when(fold == i % 2 if own else fold != i % 2, f) for i, (_, f) in enumerate(ways)]
+        every = F.array(*(F.struct(a.alias("left"), f.alias("form")) for (a, _), f in zip(ways, mine)))
+        return _bound(F.filter(every, lambda v: v["form"].isNotNull()), lambda some: F.transform(some, lambda v: F.struct(v["left"].alias("left"), v["form"].alias("form"), F.lit(y).alias("y"), (1.0 / F.size(some)).alias("w"), F.lit(own).alias("own"))))
+
+    good, bad = forms(kind, x), forms(kind, x, broken=True)
+    return F.concat(made(good, 1.0, True), made(good, 1.0, False), *([made(bad, 0.0, True)] if bad else []))
 
 
 def _char_class(c: Column) -> Column:
@@ -172,16 +212,18 @@ def _char_class(c: Column) -> Column:
 def features(x: Column) -> Column:
     """struct of FEATURES of a span, each an integer below its level."""
     m, n = x["match"], F.length(_digits(x["match"]))
+    at = F.when(m.rlike(r"(?i)[(\[{<]\x20?at\b"), 2).when(m.rlike(r"(?i)\x20at\x20"), 3).when(m.rlike("&#64;|&commat;|%40"), 4).when(m.rlike(r"\x20@|@\x20"), 1).otherwise(0)
     values = {
         "kind": x["kind"],
         "digits": F.when(n < 7, 0).when(n < 10, 1).when(n == 10, 2).when(n == 11, 3).when(n < 16, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7),
         "luhn": _luhn(m).cast("int"),
-        "style": F.when(m.contains("@"), 0).when(m.contains("("), 1).when(m.contains(" "), 2).when(m.contains("-"), 3).when(m.contains("."), 4).otherwise(5),
+        "style": F.when(x["kind"] == 0, at).when((x["kind"] == 1) | m.contains("("), 0).when(m.contains(" "), 1).when(m.contains("-"), 2).when(m.contains("."), 3).when(m.rlike("[_/]"), 4).otherwise(5),
+        "dots": F.when(x["kind"] > 1, 0).when(m.rlike(r"(?i)\x20dot\x20"), 4).when(m.rlike(r"(?i)[(\[{<]\x20?(?:\.|dot)|&#46;"), 3).when(m.rlike(r"\x20\.|\.\x20"), 2).when(m.contains("."), 1).otherwise(0),
         "left": _char_class(F.substring(x["left"], -1, 1)),
         "right": _char_class(F.substring(x["right"], 1, 1)),
         "near": x["left"].rlike(NEAR).cast("int"),
-        "octets": _valid("ip", F.replace(m, F.lit(" "), F.lit(""))).cast("int"),
-        "tail": F.when(m.rlike(r"[.\])]\x20?[A-Za-z]{2,6}$"), 2).when(m.rlike("[A-Za-z]$"), 1).otherwise(0),
+        "octets": _valid("ip", F.regexp_replace(m, "[^0-9]+", ".")).cast("int"),
+        "tail": F.when(m.rlike(r"(?:[.\])}>;]|(?i:dot))\x20?[A-Za-z]{2,6}$"), 2).when(m.rlike("[A-Za-z]$"), 1).otherwise(0),
     }
     return F.struct(*(F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in values.items()))
 
@@ -243,36 +285,57 @@ def boost(cells: list[tuple[tuple[int, ...], float, float]], n_trees: int = 16,
     return model
 
 
+def lower_bound(y: float, n: float, z: float = Z) -> float:
+    """Lower end of Wilson's interval of a share y / n."""
+    if n <= 0:
+        return 0.0
+    p = y / n
+    return (p + z * z / (2 * n) - z * math.sqrt(max(0.0, p * (1 - p) / n + z * z / (4 * n * n)))) / (1 + z * z / n)
+
+
 def calibrate(model: Trees, cells: list[tuple[tuple[int, ...], float, float]], precision: float) -> None:
-    """Per kind the lowest margin from which on the held-out candidates reach ``precision``."""
+    """Per kind the lowest margin from which on the held-out candidates surely reach ``precision``."""
     for kind in range(len(KINDS)):
         ranked = sorted(((model.value(c[0]), c[1], c[2]) for c in cells if c[0][0] == kind), reverse=True)
         n = y = 0.0
         for i, (m, count, positives) in enumerate(ranked):
             n, y = n + count, y + positives
-            if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and y >= precision * n and m > 0:
+            if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and lower_bound(y, n) >= precision and m > 0:
                 model.thresholds[kind] = m - 1e-9
 
 
 def examples(texts: DataFrame) -> DataFrame:
-    """fold, f (features), w (weight), y (1: a rewritten span, 0: unlabelled) of the training candidates of ``texts`` (fold, text)."""
-    t = texts.withColumn("base", base_spans("text"))
+    """fold, f (features), w (weight), y (1: a rewritten span, 0: none, null: unlabelled), own (not of the other fold's family)
+    of the training candidates of ``texts`` (fold, text)."""
+    t = texts.withColumn("every", F.array_sort(F.concat(*(_found("text", BASE[k], HINT[k], i) for i, k in enumerate(KINDS)))))
+    passes = lambda x: F.coalesce(*(F.when(x["kind"] == i, _valid(k, x["match"])) for i, k in enumerate(KINDS)))
+    t = t.withColumn("base", F.filter("every", passes)).withColumn("failed", F.filter("every", lambda x: ~passes(x)))
+    t = t.withColumn("other", _found("text", OTHER, OTHER_HINT, len(KINDS)))
     free = _bound(_blocks(F.col("base")), lambda blocks: F.filter(candidates("text"), lambda x: ~_meets(x, blocks)))
-    natural = F.transform(free, lambda x: F.struct(x.alias("x"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("form"), F.lit(1.0).alias("w")))
+    fails = lambda x: F.coalesce(F.when(x["kind"] == 1, ~_valid("ip", F.regexp_replace(x["match"], "[^0-9]+", "."))).when(x["kind"] == 2, ~_valid("card", x["match"])), F.lit(False))
+
+    def label(others: Column, failed: Column):
+        def one(x: Column) -> Column:
+            wrong = _meets(x, others) | (fails(x) & _meets(x, failed, lambda o: o["kind"] == x["kind"]))
+            return F.struct(x.alias("x"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("form"), F.when(wrong, 0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(True).alias("own"))
+
+        return one
+
+    natural = _bound(F.struct(_blocks(F.col("other")).alias("o"), _blocks(F.col("failed")).alias("b")), lambda v: F.transform(free, label(v["o"], v["b"])))
 
-    def forms(i: int, kind: str) -> Column:
-        each = lambda x: _bound(rewritten(kind, x), lambda v: F.transform(v, lambda a: F.struct(x.alias("x"), a["left"].alias("left"), a["form"].alias("form"), (1.0 / F.size(v)).alias("w"))))
+    def made(i: int, kind: str) -> Column:
+        each = lambda x: F.transform(rewritten(kind, x, F.col("fold")), lambda a: F.struct(x.alias("x"), a["left"].alias("left"), a["form"].alias("form"), a["y"].alias("y"), a["w"].alias("w"), a["own"].alias("own")))
         return F.flatten(F.transform(F.filter("base", lambda x: x["kind"] == i), each))
 
-    t = t.select("fold", F.explode(F.concat(natural, *(forms(i, k) for i, k in enumerate(KINDS)))).alias("e"))
+    t = t.select("fold", F.explode(F.concat(natural, *(made(i, k) for i, k in enumerate(KINDS)))).alias("e"))
     t = t.select("fold", "e.*", F.concat("e.left", "e.form", "e.x.right").alias("local"))
     # a rewritten span counts if a generator of its kind proposes just it
     proposed = F.lit(None).cast(f"array<{_SPAN}>")
     for i, k in enumerate(KINDS):
         proposed = F.when(F.col("x.kind") == i, _found("local", WIDE[k], WIDE_HINT[k], i)).otherwise(proposed)
     whole = F.filter(proposed, lambda c: (c["start"] == F.length("left")) & (c["match"] == F.col("form")))
-    t = t.select("fold", "w", F.when(F.col("form").isNull(), 0.0).otherwise(1.0).alias("y"), F.explode(F.when(F.col("form").isNull(), F.array("x")).otherwise(whole)).alias("x"))
-    return t.select("fold", features(F.col("x")).alias("f"), "w", "y")
+    t = t.select("fold", "w", "y", "own", F.explode(F.when(F.col("form").isNull(), F.array("x")).otherwise(whole)).alias("x"))
+    return t.select("fold", features(F.col("x")).alias("f"), "w", "y", "own")
 
 
 def train(docs: DataFrame, precision: float = 0.9) -> Trees:
@@ -280,8 +343,10 @@ def train(docs: DataFrame, precision: float = 0.9) -> Trees:
     t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), crc_mod("doc_id", 2).alias("fold"))
     hint = "|".join([*WIDE_HINT.values(), *HINT.values()])
     c = examples(t.filter(F.col("text").rlike(hint)))
-    rows = c.groupBy("fold", "f").agg(F.sum(F.col("w") * (1 - F.col("y"))).alias("u"), F.sum(F.col("w") * F.col("y")).alias("y")).collect()  # two rows a cell at most
-    folds = {k: sorted((tuple(r["f"]), max(float(r["u"]), float(r["y"])), float(r["y"])) for r in rows if r["fold"] == k) for k in (0, 1)}
+    sums = [F.sum(F.when(c, F.col("w")).otherwise(0.0)).alias(k) for k, c in (("yes", F.expr("y = 1 and own")), ("kin", F.expr("y = 1 and not own")), ("no", F.col("y") == 0), ("open", F.col("y").isNull()))]
+    rows = c.groupBy("fold", "f").agg(*sums).collect()  # two rows a cell at most
+    total = lambda r: r["yes"] + r["no"] + max(0.0, r["open"] - r["yes"] - r["kin"])
+    folds = {k: sorted((tuple(r["f"]), total(r), r["yes"]) for r in rows if r["fold"] == k and total(r) > 0) for k in (0, 1)}
     model = boost(folds[0])
     calibrate(model, folds[1], precision)
     return model
