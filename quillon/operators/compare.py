@@ -24,12 +24,12 @@ def _corr(x: str, y: str) -> Column:
     return F.try_divide(cov, F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def concordance(results: DataFrame, threshold: float = 0.05, min_sets: int = 3) -> DataFrame:
-    """A row per pair of methods (a < b) of long results (set_id, method, effect_size, p_value)."""
-    r = valid(results)
-    one = lambda s: r.select("set_id", F.col("method").alias(f"method_{s}"), F.col("p_value").alias(f"p_{s}"), F.col("effect_size").alias(f"e_{s}"))
-    j = one("a").join(one("b"), "set_id").filter("method_a < method_b")
-    keys = ["method_a", "method_b"]
+def concordance(results: DataFrame, threshold: float = 0.05, min_sets: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """A row per pair of methods (a < b) of long results (set_id, method, effect_size, p_value), within ``keys`` if given."""
+    r, outer = valid(results), keys or []
+    one = lambda s: r.select(*outer, "set_id", F.col("method").alias(f"method_{s}"), F.col("p_value").alias(f"p_{s}"), F.col("effect_size").alias(f"e_{s}"))
+    j = one("a").join(one("b"), [*outer, "set_id"]).filter("method_a < method_b")
+    keys = [*outer, "method_a", "method_b"]
     j = j.withColumn("rk_a", _rank("p_a", keys)).withColumn("rk_b", _rank("p_b", keys))
     sa, sb = F.col("p_a") < threshold, F.col("p_b") < threshold
     g = j.groupBy(*keys).agg(

@@ -89,6 +89,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         _write(results, out, "results")
         _write(compare.concordance(results), out, "concordance")
         _write(compare.robust_hits(results), out, "robust_hits")
+        if a.stratify:
+            for name, df in workflows.stratified_comparison(cells, samples, sets, a.condition, pair, a.stratify, a.n, seed=a.seed).items():
+                _write(df, out, f"stratified_{name}")
     elif a.command == "validate":
         targets = sets.select("feature_id").distinct()
         names = lambda text: text.split(",") if text else None
@@ -109,7 +112,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
-    for name in ("metadata", "cohort", "match", "sets", "contrast", "config", "covariates", "strata", "others"):
+    for name in ("metadata", "cohort", "match", "sets", "contrast", "config", "covariates", "strata", "others", "stratify"):
         p.add_argument(f"--{name}")
     p.add_argument("--tests", default="", help="of differential: rotation, permutation")
     p.add_argument("--condition", default="phenotype")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import DataFrame
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import adaptive, compare, controls, correlate, impute, linear, modules, multiple, normalize, resample, robust, rotation
 from quillon.operators.cohort import match_exactly
+from quillon.operators.store import fingerprint, stored
+from quillon.functions.scalar import normal_p_value, t_p_value
 from quillon.schema import flag_summary
 from quillon.sources import matrix
 
@@ -101,6 +101,60 @@ def compare_methods(cells: DataFrame, sets: DataFrame, condition: str, contrast:
     return compare.unified({"ols": ols, "rotation_msq": pick("msq"), "rotation_mean": pick("mean"), "permutation": perm})
 
 
+def _draws(samples: DataFrame, condition: str, contrast: tuple[str, str], stratum: str, n: int, seed: int) -> DataFrame:
+    """stratum, iteration, sample_id, side (1: the first of the contrast), times: the samples as they are (iteration 0) and n bootstraps of each stratum and condition."""
+    s = samples.filter(F.col(condition).isin(*contrast) & F.col(stratum).isNotNull() & (F.lower(F.col(stratum).cast("string")) != "unknown")).select("sample_id", stratum, condition).distinct()
+    drawn = resample.bootstrap_weights(s, n, [stratum, condition], seed).withColumn("iteration", F.col("iteration") + 1)
+    every = drawn.select("iteration", "sample_id", "times").unionByName(s.select(F.lit(0).alias("iteration"), "sample_id", F.lit(1).cast("long").alias("times")))
+    return every.join(s, "sample_id").select(F.col(stratum).alias("stratum"), "iteration", "sample_id", (F.col(condition) == contrast[0]).cast("int").alias("side"), "times")
+
+
+def _weighted_t(values: DataFrame, draws: DataFrame, unit: str) -> DataFrame:
+    """stratum, iteration, unit, estimate, t, df from six weighted sums each."""
+    j = values.filter("value is not null").join(draws, "sample_id")
+    a, b, v = F.col("times") * F.col("side"), F.col("times") * (1 - F.col("side")), F.col("value")
+    g = j.groupBy("stratum", "iteration", unit).agg(*(F.sum(x).alias(k) for k, x in (("na", a), ("nb", b), ("sa", a * v), ("sb", b * v), ("qa", a * v * v), ("qb", b * v * v)))).filter("na >= 2 and nb >= 2")
+    df = F.col("na") + F.col("nb") - 2
+    ss = F.col("qa") - F.col("sa") * F.col("sa") / F.col("na") + F.col("qb") - F.col("sb") * F.col("sb") / F.col("nb")
+    gap = F.col("sa") / F.col("na") - F.col("sb") / F.col("nb")
+    t = F.try_divide(gap, F.sqrt(F.greatest(ss, F.lit(0.0)) / df * (1 / F.col("na") + 1 / F.col("nb"))))
+    return g.select("stratum", "iteration", unit, gap.alias("estimate"), t.alias("t"), df.cast("double").alias("df"))
+
+
+def stratified_comparison(cells: DataFrame, samples: DataFrame, sets: DataFrame, condition: str, contrast: tuple[str, str], stratum: str, n: int = 100, threshold: float = 0.05, seed: int = 0) -> dict[str, DataFrame]:
+    """Methods compared within strata, over bootstraps of the samples: strata x resamples x methods are one relation.
+
+    Methods from weighted sufficient statistics: summary (t of the set's mean value), competitive (mean |t| of members
+    against all other features), directional (mean t of members). results: (stratum, iteration, set_id, method,
+    effect_size, p_value), iteration 0 being the data as they are. concordance: each two methods' agreement in the data
+    with 95 % intervals over the resamples. sets: share of resamples in which a method calls a set, and of the majority
+    direction. Strata that are null or 'unknown', or have fewer than two samples a side, give nothing."""
+    draws = stored(_draws(samples, condition, contrast, stratum, n, seed), "comparison-draws")
+    members = sets.select("set_id", "feature_id").distinct()
+    summary = _weighted_t(cells.join(members, "feature_id").groupBy("set_id", "sample_id").agg(F.avg("value").alias("value")), draws, "set_id")
+    key = ["stratum", "iteration"]
+    summary = summary.select(*key, "set_id", F.lit("summary").alias("method"), F.col("estimate").alias("effect_size"), t_p_value("t", "df").alias("p_value"))
+    t = stored(_weighted_t(cells, draws, "feature_id").filter("t is not null").select(*key, "feature_id", "t"), "comparison-t")
+    x = F.abs("t")
+    every = t.groupBy(*key).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    own = t.join(members, "feature_id").groupBy(*key, "set_id").agg(F.count("*").alias("k"), F.sum(x).alias("os"), F.sum(x * x).alias("oq"), F.avg("t").alias("mt"))
+    j = own.join(every, key)
+    rest = F.col("n") - F.col("k")
+    mean = F.try_divide(F.col("s") - F.col("os"), rest)
+    var = F.try_divide(F.col("q") - F.col("oq") - rest * mean * mean, rest - 1)
+    j = j.select(*key, "set_id", F.try_divide(F.col("os") / F.col("k") - mean, F.sqrt(F.greatest(var, F.lit(0.0)) / F.col("k"))).alias("competitive"), (F.col("mt") * F.sqrt("k")).alias("directional"))
+    z = j.unpivot([*key, "set_id"], ["competitive", "directional"], "method", "effect_size").filter("effect_size is not null")
+    results = stored(summary.unionByName(z.withColumn("p_value", normal_p_value("effect_size"))), "comparison-results")
+    each = stored(compare.concordance(results, threshold, keys=key), "comparison-concordance")
+    pair = ["stratum", "method_a", "method_b"]
+    measures = ["spearman", "effect_r", "sign_agreement", "kappa", "jaccard"]
+    bounds = [F.percentile(m, q).alias(f"{m}_{side}") for m in measures for side, q in (("low", 0.025), ("high", 0.975))]
+    spread = each.filter("iteration > 0").groupBy(*pair).agg(F.count("*").alias("n_resamples"), *bounds)
+    hit, up = F.avg((F.col("p_value") < threshold).cast("double")), F.avg((F.col("effect_size") > 0).cast("double"))
+    called = results.filter("iteration > 0").groupBy("stratum", "set_id", "method").agg(hit.alias("frequency"), F.greatest(up, 1 - up).alias("direction_share"), F.percentile("effect_size", 0.025).alias("effect_low"), F.percentile("effect_size", 0.975).alias("effect_high"))
+    return {"results": results, "concordance": each.filter("iteration = 0").drop("iteration").join(spread, pair, "left"), "sets": called}
+
+
 def _one(df: DataFrame) -> dict:
     """The only row of a summary."""
     row = df.first()
@@ -113,25 +167,24 @@ def _one(df: DataFrame) -> dict:
 class Validation:
     """Phases of a validation of one target set, each stored in ``folder`` (if given) once finished, and their verdict.
 
-    A phase that is stored already, for the same study, isn't run again; one that fails is stored as failed with its
+    A phase that is stored already, for the same study (settings, and what cells, samples and targets hold), isn't run again; one that fails is stored as failed with its
     message, counts as missing in the verdict, and is tried again by the next run."""
 
     folder: str | None = None
     phases: dict = field(default_factory=dict)
 
     def _phase(self, name: str, study: dict, work: Callable[[], dict]) -> None:
-        path = Path(self.folder) / f"{name}.json" if self.folder else None
-        if path and path.exists():
-            stored = json.loads(path.read_text())
-            if stored.get("study") == study and stored["result"].get("status") != "failed":
-                self.phases[name] = stored["result"]
-                return
+        path = f"{self.folder.rstrip('/')}/{name}.json" if self.folder else None
+        before = matrix.read_json(path) if path else None
+        if before and before.get("study") == study and before["result"].get("status") != "failed":
+            self.phases[name] = before["result"]
+            return
         try:
             self.phases[name] = work()
         except (ValueError, AnalysisException, PythonException) as e:
             self.phases[name] = {"status": "failed", "message": str(e).splitlines()[0]}
         if path:
-            matrix.write_json(str(path), {"study": study, "result": self.phases[name]})
+            matrix.write_json(path, {"study": study, "result": self.phases[name]})
 
     def run(
         self, cells: DataFrame, samples: DataFrame, condition: str, contrast: tuple[str, str], targets: DataFrame, covariates: list[str] | None = None,
@@ -144,7 +197,7 @@ class Validation:
         covariates, others = covariates or [], others or []
         cells = cells.drop(condition)
         ids = targets.select("feature_id").distinct()
-        study = {"condition": condition, "contrast": list(contrast), "covariates": covariates, "strata": strata, "others": [list(o) for o in others], "n": n, "seed": seed, "targets": ids.agg(F.count("*").alias("n"), F.sum(F.xxhash64("feature_id").cast("decimal(38,0)")).cast("string").alias("h")).first().asDict()}
+        study = {"condition": condition, "contrast": list(contrast), "covariates": covariates, "strata": strata, "others": [list(o) for o in others], "n": n, "seed": seed, "targets": fingerprint(ids), "cells": fingerprint(cells.select("feature_id", "sample_id", "value")), "samples": fingerprint(samples)}
 
         def enriched(t: DataFrame) -> dict:
             marked = t.select("feature_id", "t").filter("t is not null").join(ids.withColumn("_i", F.lit(True)), "feature_id", "left").withColumn("is_target", F.coalesce("_i", F.lit(False)))

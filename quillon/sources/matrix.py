@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -73,13 +74,44 @@ def write_long(cells: DataFrame, path: str, partition_by: list[str] | None = Non
     cells.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def _hadoop(path: str):
+    """(file system, path, Hadoop's Path) of the session at hand; None without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind(path), kind
+
+
 def write_json(path: str, data) -> None:
-    """Atomically: a temporary file renamed."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    t = p.with_name(p.name + ".tmp")
-    t.write_text(data if isinstance(data, str) else json.dumps(data, indent=2, default=str))
-    t.replace(p)
+    """Atomically: a temporary file renamed, through Hadoop's file systems where there is a session (else on the local disk)."""
+    text = data if isinstance(data, str) else json.dumps(data, indent=2, default=str)
+    if (at := _hadoop(path)) is None:
+        p = Path(path)
+        p.parent.mkdir(parents=True, exist_ok=True)
+        t = p.with_name(p.name + ".tmp")
+        t.write_text(text)
+        t.replace(p)
+        return
+    fs, target, kind = at
+    draft = kind(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"{path} could not be written")
+
+
+def read_json(path: str):
+    """What `write_json` wrote, None if there is no such file."""
+    if (at := _hadoop(path)) is None:
+        return json.loads(Path(path).read_text()) if Path(path).exists() else None
+    fs, target, _ = at
+    if not fs.exists(target):
+        return None
+    rows = SparkSession.getActiveSession().read.text(path, wholetext=True).collect()  # one small file
+    return json.loads(rows[0][0])
 
 
 def load_sets(spark: SparkSession, path: str, min_members: int = 3) -> DataFrame:
