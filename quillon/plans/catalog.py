@@ -666,9 +666,9 @@ def enrichment_terms(spark, d):
     return e.select("term", "study_count", "pathway_size", "study_size", "background_size", r("ratio").alias("ratio"), r("odds_ratio").alias("odds_ratio"), r("p", 5).alias("p"))
 
 
-@query(f"""WITH {EDGE_SQL}, a AS (SELECT DISTINCT source AS id, target AS m FROM ed WHERE source IN ('S1', 'S2', 'S3', 'S4')), n AS (SELECT id, count(*) AS n FROM a GROUP BY 1) SELECT x.id AS id_a, y.id AS id_b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM a x JOIN a y ON x.m = y.m JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.05""")
+@query(f"""WITH {EDGE_SQL}, a AS (SELECT DISTINCT source AS id, target AS m FROM ed), n AS (SELECT id, count(*) AS n FROM a GROUP BY 1) SELECT x.id AS id_a, y.id AS id_b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM a x JOIN a y ON x.m = y.m JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.05""")
 def jaccard_match(spark, d):
-    a = edge_table(spark, d).filter(F.col("source").isin("S1", "S2", "S3", "S4")).select(F.col("source").alias("id"), F.col("target").alias("member"))
+    a = edge_table(spark, d).select(F.col("source").alias("id"), F.col("target").alias("member"))
     return kg.jaccard_matches(a, a, 0.05).withColumn("jaccard", r("jaccard"))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from quillon.operators import align, compare, correlate, kg, linear, modules, normalize, resample
+from quillon.operators import align, classify, compare, correlate, kg, linear, modules, normalize, resample, select, tiles
+from quillon.operators.store import folder
 from quillon.plans import extension, workflows
-from quillon.plans.catalog import _BY_GROUP, _OLS, _PAIRS, _by_condition, _ols, _per_feature, query, r
+from quillon.plans.catalog import _BY_GROUP, _OLS, _PAIRS, _RES, _by_condition, _dim_sets, _ols, _per_feature, _results, query, r
 from quillon.plans.views import BRAND_SQL, DOC_SQL, EDGE_SQL, EMB_SQL, brand_cells, doc_samples, edge_table, emb_cells, table
 from quillon.sources import matrix
 from quillon.sources.formats import Format
@@ -22,21 +20,13 @@ def _target_ids(spark, d):
     return emb_cells(spark, d).select("feature_id").distinct().filter(F.col("feature_id") < "12")
 
 
-def _folder(spark, name: str) -> str:
-    """A folder that all executors see; a temporary one only on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {BRAND_SQL} SELECT feature_id, sample_id, round(value, 8) AS value FROM br WHERE sample_id < '000000040'")
+@query(f"WITH {BRAND_SQL} SELECT feature_id, sample_id, round(value, 8) AS value FROM br")
 def csv_round_trip(spark, d):
-    c = brand_cells(spark, d).filter(F.col("sample_id") < "000000040")
-    path = _folder(spark, "matrix")
+    c = brand_cells(spark, d)
+    path = folder(spark, "matrix")
     names = [x["sample_id"] for x in c.select("sample_id").distinct().orderBy("sample_id").collect()]  # the width of the file
     matrix.write_matrix(c.select("feature_id", "sample_id", "value", "flag"), path, names)
     cells, _ = matrix.load_matrix(spark, f"{path}.data", Format("plain", delimiter=","))
@@ -226,10 +216,11 @@ def normalize_by_name(spark, d):
     return _per_feature(normalize.normalize(brand_cells(spark, d), "median"), 4)
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('a', 'b', 0.5), ('a', 'c', -0.25), ('b', 'c', 0.75)) t(x, y, v)) SELECT 'a' AS method, 1.0::DOUBLE AS a, 0.5::DOUBLE AS b, -0.25::DOUBLE AS c UNION ALL SELECT 'b', 0.5, 1.0, 0.75 UNION ALL SELECT 'c', -0.25, 0.75, 1.0""")
+@query(f"""WITH {_RES}, j AS (SELECT x.method AS ma, y.method AS mb, rank() OVER (PARTITION BY x.method, y.method ORDER BY x.p_value) AS ra, rank() OVER (PARTITION BY x.method, y.method ORDER BY y.p_value) AS rb FROM re x JOIN re y ON x.set_id = y.set_id)
+SELECT ma AS method, round(max(rho) FILTER (WHERE mb = 'a'), 6) AS a, round(max(rho) FILTER (WHERE mb = 'b'), 6) AS b, round(max(rho) FILTER (WHERE mb = 'c'), 6) AS c FROM (SELECT ma, mb, corr(ra, rb) AS rho FROM j GROUP BY 1, 2) GROUP BY 1""")
 def concordance_table(spark, d):
-    c = spark.createDataFrame([("a", "b", 0.5), ("a", "c", -0.25), ("b", "c", 0.75)], "method_a string, method_b string, spearman double")
-    return compare.concordance_matrix(c, ["a", "b", "c"])
+    c = compare.concordance(_results(spark, d), 0.3)
+    return compare.concordance_matrix(c, ["a", "b", "c"]).select("method", *(r(m).alias(m) for m in "abc"))
 
 
 @query(f"""WITH {DOC_SQL}, x AS (SELECT lang, source, CAST(n_chars AS DOUBLE) AS v FROM sm WHERE lang IS NOT NULL AND source IS NOT NULL), q AS (SELECT lang, source, quantile_cont(v, 0.25) AS q1, median(v) AS m, quantile_cont(v, 0.75) AS q3, count(*) AS c FROM x GROUP BY 1, 2),
@@ -246,6 +237,61 @@ def adjusted_boxplot_within_group(spark, d):
     return out.groupBy("feature_id", "grp").agg(F.count("*").alias("n"), F.count_if(has_flag(F.col("flag"), Quality.OUTLIER_DETECTED)).alias("n_out")).filter("n >= 20")
 
 
+# Selection, tiles, classifiers, strata ---------------------------------------------------------------------
+
+
+@query("""SELECT CAST(q AS DOUBLE) AS share, round(quantile_cont(l_extendedprice, q), 4) AS price FROM lineitem, (SELECT unnest([0.001, 0.25, 0.5, 0.75, 0.999]) AS q) GROUP BY q""".replace("quantile_cont(l_extendedprice, q)", "CASE q " + " ".join(f"WHEN {q} THEN quantile_cont(l_extendedprice, {q})" for q in (0.001, 0.25, 0.5, 0.75, 0.999)) + " END"))
+def exact_quantiles(spark, d):
+    """Quantiles of a whole column from histograms that are refined."""
+    shares = [0.001, 0.25, 0.5, 0.75, 0.999]
+    found = select.quantiles(table(spark, d, "lineitem"), "l_extendedprice", shares)
+    return spark.createDataFrame([(q, round(x, 4)) for q, x in zip(shares, found)], "share double, price double")
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(r, 6) AS r FROM pr")
+def correlation_tiles(spark, d):
+    """All pairs from a store of tiles that is filled in two steps: the second computes the added blocks' tiles alone."""
+    c = emb_cells(spark, d)
+    store = tiles.CorrelationTiles(spark, folder(spark, "tiles"), block=16)
+    store.update(c.filter("feature_id < '48'"))
+    store.update(c)
+    return store.read().select("a", "b", r("r").alias("r"))
+
+
+def _hidden_labels(spark, d):
+    c = emb_cells(spark, d).filter("grp in ('0', '1')")
+    number = F.col("sample_id").cast("long")
+    s = c.select("sample_id", F.when(number % 3 != 0, F.col("grp")).alias("label"), F.concat(F.lit("part"), (number % 2).cast("string")).alias("part")).distinct()
+    return c, s
+
+
+@query()
+def self_training(spark, d):
+    """Scores of all samples, a third of their labels hidden, each by a model of other folds; two rounds."""
+    c, s = _hidden_labels(spark, d)
+    return classify.self_train(c, s, "label", ("0", "1"), least=0.9, rounds=2, folds=3, trees=10)[0]
+
+
+@query()
+def stratum_labels(spark, d):
+    c, s = _hidden_labels(spark, d)
+    return classify.classify_by_stratum(c, s, "label", ("0", "1"), "part")
+
+
+@query()
+def reference_markers(spark, d):
+    """Features that follow the two components of the first one, within each label."""
+    return classify.discover_from_reference(emb_cells(spark, d), "00", ["grp"], min_effect=0.0)[0]
+
+
+@query()
+def stratified_concordance(spark, d):
+    """Agreement of three methods within two strata, with intervals over 20 resamples."""
+    c = emb_cells(spark, d)
+    s = c.select("sample_id", "grp", F.concat(F.lit("s"), (F.col("sample_id").cast("long") % 2).cast("string")).alias("site")).distinct()
+    return workflows.stratified_comparison(c.drop("grp"), s, _dim_sets(spark, d), "grp", ("0", "1"), "site", n=20)["concordance"]
+
+
 @query()
 def validation_phases(spark, d):
     """Phases, metrics and the verdict of a validation of the first 12 dimensions, as rows."""
