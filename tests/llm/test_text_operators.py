@@ -350,3 +350,21 @@ def test_pii_labels_can_be_wrong(spark):
     assert all(got[k, 1.0] > 10 for k in range(4)) and all(got[k, 0.0] > 10 for k in (1, 2)) and got[3, None] > 0
     assert pii.lower_bound(5, 5) < 0.9 < pii.lower_bound(200, 202)
     assert pii.train(spark.createDataFrame(docs[:12], "doc_id bigint, text string")).thresholds == {}
+
+
+# 2 ------------------------------------------------------------------------------------------------
+
+
+def test_segments_count_like_whole_texts():
+    """Expected counts of a 5,000-symbol text in segments against the whole sequence, with states that stay for about 30 symbols."""
+    from quillon.llm import hmm
+
+    rng = np.random.default_rng(6)
+    step = np.full((4, 4), 0.01) + np.eye(4) * 0.96
+    emit = rng.dirichlet(np.full(50, 0.3), 4).T + 1e-4
+    h = hmm.Hmm(np.full(4, 0.25), step, emit / emit.sum(0))
+    text = rng.integers(0, 50, 5000).astype(np.uint16)
+    cut = sorted(hmm.segments(text, 512, 64), key=lambda x: -len(x[0]))
+    whole, parts = hmm.expected(h, [text]), hmm.expected(h, [x[0] for x in cut], np.array([x[1] for x in cut]), 512)
+    for a, b in zip(whole, parts):
+        assert np.abs(a - b).max() <= 1e-9 * a.max()
