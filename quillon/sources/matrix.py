@@ -75,12 +75,15 @@ def write_long(cells: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def _hadoop(path: str):
-    """(file system, path, Hadoop's Path) of the session at hand; None without a session."""
+    """(file system, path, Hadoop's Path) of the session at hand; None without a session. Local files have no checksum beside them, so that they may be edited."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         return None
     kind = spark._jvm.org.apache.hadoop.fs.Path
-    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind(path), kind
+    fs = kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.ChecksumFileSystem").isInstance(fs):
+        fs = fs.getRawFileSystem()
+    return fs, kind(path), kind
 
 
 def write_json(path: str, data) -> None:
@@ -110,8 +113,11 @@ def read_json(path: str):
     fs, target, _ = at
     if not fs.exists(target):
         return None
-    rows = SparkSession.getActiveSession().read.text(path, wholetext=True).collect()  # one small file
-    return json.loads(rows[0][0])
+    stream = fs.open(target)
+    try:
+        return json.loads(SparkSession.getActiveSession()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def load_sets(spark: SparkSession, path: str, min_members: int = 3) -> DataFrame:
