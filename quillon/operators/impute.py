@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 from quillon.functions.scalar import normal_quantile, soft_clip
 from quillon.operators import select
 from quillon.operators.robust import MAD_SCALE, MIN_GROUP, back, median_mad
-from quillon.operators.store import stored
+from quillon.operators.store import forget, stored
 from quillon.schema import Quality, has_flag, set_flag
 
 
@@ -27,9 +27,11 @@ def target(flag: Column) -> Column:
 def global_bounds(cells: DataFrame, max_upper: float | None = None) -> DataFrame:
     """0.1 and 99.9 percentiles of the clean values; of all values where none is clean."""
     clean = F.when(~target(F.col("flag")), F.col("value"))
-    low, high = select.quantiles(cells, clean, [0.001, 0.999])
+    values = stored(cells.select(clean.alias("clean"), "value"), "impute-values")  # read some times, so without what led to them
+    low, high = select.quantiles(values, "clean", [0.001, 0.999])
     if low is None:
-        low, high = select.quantiles(cells, "value", [0.001, 0.999])
+        low, high = select.quantiles(values, "value", [0.001, 0.999])
+    forget(values)
     if max_upper is not None and high is not None:
         high = min(high, max_upper)
     return cells.sparkSession.createDataFrame([(low, high)], "g_low double, g_high double")
@@ -101,7 +103,9 @@ def median_impute(cells: DataFrame, group_cols: list[str] | None = None) -> Data
     clean = F.when(~target(F.col("flag")), F.col("value"))
     m = cells.groupBy(*keys).agg(F.median(clean).alias("_m"))
     f = cells.groupBy("feature_id").agg(F.median(clean).alias("_f"))
-    (g,) = select.quantiles(cells, clean, [0.5])
+    values = stored(cells.select(clean.alias("clean")), "impute-values")
+    (g,) = select.quantiles(values, "clean", [0.5])
+    forget(values)
     j = back(back(cells, m, keys), f, ["feature_id"]).withColumn("_g", F.lit(g).cast("double"))
     return _done(j, F.when(target(F.col("flag")), F.coalesce("_m", "_f", "_g", "value")).otherwise(F.col("value")), cells.columns)
 

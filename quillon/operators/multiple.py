@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.robust import back
-from quillon.operators.store import forget, stored
+from quillon.operators.store import stored
 
 EULER = 0.57721566490153286
+#: Distinct p values in a window.
+WINDOW = 100_000
 
 
 def ranged(df: DataFrame, col: str, parts: int = 64) -> DataFrame:
@@ -50,18 +52,23 @@ def bh(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None, keys:
     """Benjamini-Hochberg (or -Yekutieli) values within ``keys``; ``by`` breaks ties of p. Null p stays null.
 
     q = min over equal and larger p of p * m / rank; equal p values share the largest rank, so the
-    minimum may be taken over *distinct* p values with their counts. These are stored once (and again with the ranks),
-    so that the input is read twice: for its counts, and to get its values of q. Windows run within ranges of p, and
-    what the ranges before and after add is found over one row a range.
+    minimum may be taken over *distinct* p values with their counts. These are stored once, so that the input is read
+    twice: for its counts, and to get its values of q. Up to ``WINDOW`` of them are one window a key; beyond, windows run
+    within ranges of p, and what the ranges before and after add is found over one row a range: the values are the same.
     """
     keys = keys or []
     counts = stored(df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), "bh-counts")
-    ranked = _before(stored(ranged(counts, p), "bh-ranged"), keys, p, ["_c"])
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumn("_f", harmonic(F.col("_n"), method))
-    ranked = stored(back(ranked, total, keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c")), "bh-ranked")
-    q = stored(_least_from_here(ranked, keys, p, "_q", out).withColumn(out, F.least(F.lit(1.0), out)).select(*keys, p, out), "bh-values")
-    forget(counts, ranked)
-    return back(df, q, [*keys, p])
+    whole = lambda rows: back(rows, total, keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c"))
+    parts = -(-counts.count() // WINDOW)
+    if parts <= 1:
+        by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy
+        ranked = whole(counts.withColumn("_run_c", F.sum("_c").over(by(p).rowsBetween(Window.unboundedPreceding, 0))))
+        q = ranked.withColumn(out, F.min("_q").over(by(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranked = stored(whole(_before(stored(ranged(counts, p, min(1024, parts)), "bh-ranged"), keys, p, ["_c"])), "bh-ranked")
+        q = _least_from_here(ranked, keys, p, "_q", out)
+    return back(df, q.select(*keys, p, F.least(F.lit(1.0), F.col(out)).alias(out)), [*keys, p])
 
 
 def bonferroni(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = None) -> DataFrame:

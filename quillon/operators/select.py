@@ -4,17 +4,20 @@ A pass counts the values of each sought rank's interval in ``BINS`` equal parts,
 each; the part that holds the rank is the next interval, between values that are really there. Odd passes cut the
 interval evenly by logarithm, so that a few huge values don't stretch all parts; each part is an order-preserving
 function of the value, so ranks stay exact. A pass moves at most ranks x BINS rows of counts, whatever the input;
-usually two or three suffice (until the part holds one distinct value).
+usually one or two suffice, until what the parts hold is at most ``FEW`` values, which are looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
+FEW = 20_000
 
 
 def _position(x: Column, low: float, high: float, log: bool) -> Column:
@@ -39,24 +42,31 @@ def at_ranks(df: DataFrame, value: str | Column, ranks: list[int], bounds: tuple
     rows = df.select(col.cast("double").alias("x")).filter("x is not null")
     if bounds is None:
         bounds = tuple(rows.agg(F.min("x"), F.max("x")).first())
-    open_, done, log = {k: (*bounds, k) for k in set(ranks)}, {}, False
+    open_, done, log = {k: (*bounds, k, math.inf) for k in set(ranks)}, {}, False
     while True:
-        for k, (low, high, _) in list(open_.items()):
+        for k, (low, high, *_) in list(open_.items()):
             if low == high:
                 done[k] = low
                 del open_[k]
         if not open_:
             return [done[k] for k in ranks]
-        spans = sorted({(low, high) for low, high, _ in open_.values()})
+        sizes = {(low, high): n for low, high, _, n in open_.values()}
+        spans = sorted(sizes)
+        if sum(sizes.values()) <= FEW:
+            near = [F.col("x").between(low, high) for low, high in spans]
+            values = sorted(r["x"] for r in rows.filter(reduce(lambda a, b: a | b, near)).collect())
+            for k, (low, _, rank, _) in open_.items():
+                done[k] = values[bisect.bisect_left(values, low) + rank]
+            return [done[k] for k in ranks]
         where = F.array_compact(F.array(*(F.when(F.col("x").between(low, high), F.struct(F.lit(i).alias("span"), _position(F.col("x"), low, high, log).alias("part"))) for i, (low, high) in enumerate(spans))))
         parts = rows.select("x", F.explode(where).alias("at")).groupBy("at.span", "at.part").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         found: dict[int, list] = {}
         for r in parts.collect():  # at most BINS rows a rank
             found.setdefault(r["span"], []).append((r["part"], r["n"], r["low"], r["high"]))
-        for k, (low, high, rank) in open_.items():
+        for k, (low, high, rank, _) in open_.items():
             for _, n, least, most in sorted(found[spans.index((low, high))]):
                 if rank < n:
-                    open_[k] = (least, most, rank)
+                    open_[k] = (least, most, rank, n)
                     break
                 rank -= n
         log = not log
