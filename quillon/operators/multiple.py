@@ -52,11 +52,12 @@ def bh(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None, keys:
     """Benjamini-Hochberg (or -Yekutieli) values within ``keys``; ``by`` breaks ties of p. Null p stays null.
 
     q = min over equal and larger p of p * m / rank; equal p values share the largest rank, so the
-    minimum may be taken over *distinct* p values with their counts. These are stored once, so that the input is read
-    twice: for its counts, and to get its values of q. Up to ``WINDOW`` of them are one window a key; beyond, windows run
-    within ranges of p, and what the ranges before and after add is found over one row a range: the values are the same.
+    minimum may be taken over *distinct* p values with their counts. The input is stored first: it is read for its counts
+    and to get its values of q, and sums taken anew in another order may differ in their last bits and find no p. Up to
+    ``WINDOW`` counts are one window a key; beyond, windows run within ranges of p, and what the ranges before and after
+    add is found over one row a range: the values are the same.
     """
-    keys = keys or []
+    keys, df = keys or [], stored(df, "bh-rows")
     counts = stored(df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), "bh-counts")
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumn("_f", harmonic(F.col("_n"), method))
     whole = lambda rows: back(rows, total, keys).withColumn("_q", F.col(p) * F.col("_n") * F.col("_f") / F.col("_run_c"))
@@ -77,7 +78,10 @@ def bonferroni(df: DataFrame, p: str, out: str = "q", keys: list[str] | None = N
 
 
 def storey(observed: DataFrame, null: DataFrame, p: str = "p", out: str = "q") -> DataFrame:
-    """q values against permutation p values: pi0 is the median over the usual cut-offs; counts by a merged running sum."""
+    """q values against permutation p values: pi0 is the median over the usual cut-offs; counts by a merged running sum.
+
+    Both are stored, as q comes back by p."""
+    observed, null = stored(observed, "storey-rows"), stored(null.select(p), "storey-null")
     cuts = [i * 0.05 for i in range(1, 19)]
     pi0 = observed.agg(F.count(p).alias("_m"), F.array(*(F.least(F.lit(1.0), F.count_if(F.col(p) > c) / (F.count(p) * (1 - c))) for c in cuts)).alias("_e"))
     pi0 = pi0.select("_m", F.explode("_e").alias("_e")).groupBy("_m").agg(F.median("_e").alias("_pi0"))
