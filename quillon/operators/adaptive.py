@@ -15,35 +15,78 @@ from quillon.operators.robust import MAD_CONSISTENCY, MAD_SCALE, MIN_GROUP, adju
 from quillon.schema import Quality, set_flag
 
 
-def medcouple(x: np.ndarray) -> float:
-    """Median of the kernel over pairs around the median; pairs of equal values are dropped, ties at the median give +-1."""
-    x = np.sort(x[np.isfinite(x)])
-    if len(x) < 3:
+def medcouple(x: np.ndarray, times: np.ndarray | None = None) -> float:
+    """Median of the kernel over pairs around the median; pairs of equal values are dropped, ties at the median give +-1.
+
+    ``times``: how often each value occurs. The kernel grows with both values of a pair, so pairs up to a limit are counted
+    by a search per distinct value above the median, and the limit is halved in: memory is that of the distinct values."""
+    times = np.ones(len(x), np.int64) if times is None else times
+    ok = np.isfinite(x)
+    x, at = np.unique(x[ok], return_inverse=True)
+    times = np.bincount(at, times[ok], len(x)).astype(np.int64)
+    n = int(times.sum())
+    if n < 3:
         return 0.0
-    m = np.median(x)
-    low, high = x[x <= m], x[x >= m]
-    values = []
-    for part in np.array_split(high, max(1, len(high) * len(low) // 2_000_000 + 1)):
-        d = part[:, None] - low[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            h = ((part[:, None] - m) - (m - low[None, :])) / d
-        h = np.where(part[:, None] == m, 1.0, np.where(low[None, :] == m, -1.0, h))
-        values.append(h[d != 0])
-    h = np.concatenate(values)
-    return float(np.median(h)) if len(h) else 0.0
+    upto = np.cumsum(times)
+    m = (x[np.searchsorted(upto, (n - 1) // 2, side="right")] + x[np.searchsorted(upto, n // 2, side="right")]) / 2
+    low, high = x[x < m], x[x > m]
+    below = np.concatenate([[0], np.cumsum(times[x < m])])
+    above, same = times[x > m], int(times[x == m].sum())
+    downs, ups = same * int(above.sum()), same * int(below[-1])  # pairs with the median: -1 and 1
+    inner = int(above.sum()) * int(below[-1])
+    if not (total := downs + inner + ups):
+        return 0.0
+
+    def kernel(columns: np.ndarray) -> np.ndarray:
+        return ((high - m) - (m - low[columns])) / (high - low[columns])
+
+    def reach(limit: float, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How many of the values below the median have a kernel up to the limit, for each one above it."""
+        first, last = first.copy(), last.copy()
+        while (open_ := first < last).any():
+            middle = (first + last) // 2
+            small = open_ & (kernel(np.minimum(middle, len(low) - 1)) <= limit)
+            first, last = np.where(small, middle + 1, first), np.where(open_ & ~small, middle, last)
+        return first
+
+    def ranked(k: int) -> float:
+        """The k-th smallest kernel, from 0."""
+        if k < downs:
+            return -1.0
+        if k >= downs + inner:
+            return 1.0
+        k -= downs
+        start, end = -1.0 - 1e-9, 1.0
+        first, last = np.zeros(len(high), np.int64), np.full(len(high), len(low))
+        for _ in range(60):
+            middle = (start + end) / 2
+            here = reach(middle, first, last)
+            if int(above @ below[here]) > k:
+                end, last = middle, here
+            else:
+                start, first = middle, here
+        while True:  # the next larger kernel, and again while it doesn't reach k
+            left = first < len(low)
+            value = kernel(np.minimum(first, len(low) - 1))[left].min()
+            first = reach(value, first, np.full(len(high), len(low)))
+            if int(above @ below[first]) > k:
+                return float(value)
+
+    return (ranked((total - 1) // 2) + ranked(total // 2)) / 2
 
 
 @F.pandas_udf(DoubleType())
-def medcouple_of(values: pd.Series) -> float:
-    return medcouple(values.to_numpy(float))
+def medcouple_of(values: pd.Series, times: pd.Series) -> float:
+    return medcouple(values.to_numpy(float), times.to_numpy(np.int64))
 
 
 def adjusted_boxplot(cells: DataFrame, keys: list[str], whis: float = 1.5) -> DataFrame:
     """Cells flagged outside medcouple-adjusted fences per ``keys``; with groups, fewer than MIN_GROUP values flag nothing.
 
-    The medcouple needs a key's values together in a task (an Arrow aggregate); quartiles stay built in."""
+    The medcouple needs a key's distinct values with their counts together in a task (an Arrow aggregate); quartiles stay built in."""
     q = cells.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("value").alias("n"))
-    mc = cells.filter("value is not null").groupBy(*keys).agg(medcouple_of("value").alias("mc"))
+    counts = cells.filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("times"))
+    mc = counts.groupBy(*keys).agg(medcouple_of("value", "times").alias("mc"))
     j = back(q, mc, keys) if keys else q.crossJoin(F.broadcast(mc))
     low, high = adjusted_fences(F.col("q")[0], F.col("q")[2], F.col("q")[1], F.col("mc"), F.col("n"), whis)
     j = j.select(*keys, low.alias("_low"), high.alias("_high"), "n")

@@ -2,11 +2,13 @@
 
 import math
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import multiple
+from quillon.operators import adaptive, multiple
 from quillon.plans import catalog
 from tests.test_queries import canonical
 
@@ -38,3 +40,26 @@ def test_concordance_where_no_method_finds_anything(spark, tmp_path):
     e = spark.range(3000).select(F.col("id").alias("vec_id"), (F.col("id") % 3).cast("int").alias("label"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.floor(F.col("id") / 3) * (i + 3)) % 17 / 100 + (F.col("id") % 3) * (F.xxhash64(i) % 997) * 1e-7).cast("float")).alias("embedding"))
     got = same_as_sql(spark, "concordance", tmp_path, embeddings=e).collect()
     assert len(got) == 3 and all(r["n_neither"] == 64 and math.isnan(r["kappa"]) for r in got)
+
+
+def test_medcouple_from_counts():
+    """The medcouple of distinct values with their counts is that of all pairs, in the memory of the distinct values."""
+
+    def by_pairs(x):
+        m, h = np.median(x), []
+        for a in x[x >= m]:
+            for b in x[x <= m]:
+                if a != b:
+                    h.append(1.0 if a == m else -1.0 if b == m else ((a - m) - (m - b)) / (a - b))
+        return float(np.median(h)) if h else 0.0
+
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        x = (rng.normal(size=k), rng.integers(0, 8, k).astype(float), np.exp(2 * rng.normal(size=k)))[k % 3]
+        want = by_pairs(x) if len(x) > 2 else 0.0
+        assert adaptive.medcouple(x) == want
+        assert adaptive.medcouple(*np.unique(x, return_counts=True)) == want
+    tracemalloc.start()
+    value = adaptive.medcouple(np.floor(np.exp(rng.normal(size=5000) + 8)), np.full(5000, 1000))
+    assert 0.3 < value < 0.5 and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
