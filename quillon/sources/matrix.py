@@ -24,22 +24,33 @@ def read_wide(spark: SparkSession, path: str, fmt: Format | None = None) -> Data
     return df.select(*(F.col(f"`{c}`") for c in keep)).withColumn("row_order", F.monotonically_increasing_id())
 
 
-def load_matrix(spark: SparkSession, path: str, fmt: Format | str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def _turned(cells: DataFrame) -> DataFrame:
+    """Features as samples and samples as features."""
+    return cells.select(F.col("sample_id").alias("feature_id"), F.col("feature_id").alias("sample_id"), *(c for c in cells.columns if c not in ("feature_id", "sample_id")))
+
+
+def load_matrix(spark: SparkSession, path: str, fmt: Format | str | None = None, strict: bool = False, samples_in_rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cells, samples) of a wide file: first column ids, header samples, repeated features and samples keep the first.
 
+    ``samples_in_rows``: the file's rows are samples and its header features (then samples are ordered by their rows, with gaps).
     ``strict`` raises on values that are neither a number nor a missing token, and on infinite ones; otherwise they are missing.
     """
     fmt = PRESETS[fmt] if isinstance(fmt, str) else fmt or suggest_format(head_text(spark, path))
     wide = read_wide(spark, path, fmt)
     id_col, *names = (c for c in wide.columns if c != "row_order")
-    wide = wide.withColumn(id_col, fmt.id_column(F.col(f"`{id_col}`")))
+    if not samples_in_rows:
+        wide = wide.withColumn(id_col, fmt.id_column(F.col(f"`{id_col}`")))
     wide = keep_first(wide, [id_col], ["row_order"])
     na = list(fmt.na_values)
     raw = wide.select(F.col(id_col).alias("feature_id"), *(F.when(F.trim(F.col(f"`{c}`")).isin(na), None).otherwise(F.trim(F.col(f"`{c}`"))).alias(c) for c in names))
     cells = raw.unpivot(["feature_id"], names, "sample_id", "text").withColumn("value", F.col("text").try_cast("double"))
     if strict and (bad := cells.filter((F.col("text").isNotNull() & F.col("value").isNull()) | (F.abs("value") == float("inf"))).first()):
         raise ValueError(f"{bad['feature_id']}, {bad['sample_id']}: {bad['text']!r} is no finite number")
-    samples = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "sample_id string, sample_ord int")
+    if samples_in_rows:
+        cells = _turned(cells).withColumn("feature_id", fmt.id_column(F.col("feature_id")))
+        samples = wide.select(F.col(id_col).alias("sample_id"), F.col("row_order").alias("sample_ord"))
+    else:
+        samples = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "sample_id string, sample_ord int")
     extra = fmt.sample_columns(F.col("sample_id"))
     samples = samples.select("sample_id", "sample_ord", *(extra or sample_fields(F.col("sample_id"))))
     return canonical(cells.select("feature_id", "sample_id", "value")), samples
@@ -61,10 +72,14 @@ def load_counts(spark: SparkSession, path: str, annotation: str | None = None, i
     return canonical(unwide(keep_first(wide, [id_col], ["row_order"]).drop("row_order"), id_col)), kind
 
 
-def write_matrix(cells: DataFrame, path: str, samples: list[str], flags: bool = True) -> None:
-    """Wide CSV folders ``path.data`` and ``path.flags``; ``samples`` bounds the width. Long Parquet is the better sink for many."""
+def write_matrix(cells: DataFrame, path: str, samples: list[str], flags: bool = True, samples_in_rows: bool = False) -> None:
+    """Wide CSV folders ``path.data`` and ``path.flags``; ``samples`` bounds the width.
+
+    ``samples_in_rows``: rows are samples, and ``samples`` names the features that are the columns: the way to write many
+    samples of few features. Long Parquet is the better sink for many of both."""
     from quillon.schema import widen
 
+    cells = _turned(cells) if samples_in_rows else cells
     widen(cells, samples).write.mode("overwrite").csv(f"{path}.data", header=True)
     if flags:
         widen(cells, samples, "flag").write.mode("overwrite").csv(f"{path}.flags", header=True)
