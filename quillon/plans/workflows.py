@@ -93,8 +93,7 @@ def compare_levels(set_results: DataFrame, feature_results: DataFrame, sets: Dat
 def compare_methods(cells: DataFrame, sets: DataFrame, condition: str, contrast: tuple[str, str], n_rotations: int = 499) -> DataFrame:
     """Long results (set_id, method, effect_size, p_value) of OLS on summaries, rotation (two statistics) and competitive permutation."""
     ols = differential_sets(cells, sets, condition, contrast).select("set_id", F.col("estimate").alias("effect_size"), F.col("p").alias("p_value"))
-    samples = cells.select("sample_id", condition).distinct().filter(F.col(condition).isin(*contrast)).orderBy("sample_id").toPandas()
-    rot = rotation.test_sets(rotation.feature_effects(cells, rotation.two_group_basis(samples, condition, contrast)), sets, n_rotations)
+    rot = stored(rotation.test_two_groups(cells, sets, condition, contrast, n_rotations), "rotation")
     pick = lambda s: rot.filter((F.col("statistic") == s) & (F.col("alternative") == "mixed")).select("set_id", F.col("observed").alias("effect_size"), F.col("p").alias("p_value"))
     t = linear.ols_contrasts(cells, [contrast], condition).select("feature_id", "t")
     perm = resample.competitive_test(t, sets, n=n_rotations).select("set_id", F.col("z").alias("effect_size"), F.col("p").alias("p_value"))

@@ -8,8 +8,9 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import adaptive, multiple
+from quillon.operators import adaptive, multiple, rotation
 from quillon.plans import catalog
+from quillon.sources import formats, matrix
 from tests.test_queries import canonical
 
 
@@ -63,3 +64,45 @@ def test_medcouple_from_counts():
     value = adaptive.medcouple(np.floor(np.exp(rng.normal(size=5000) + 8)), np.full(5000, 1000))
     assert 0.3 < value < 0.5 and tracemalloc.get_traced_memory()[1] < 20_000_000
     tracemalloc.stop()
+
+
+def test_matrix_of_many_samples(spark, tmp_path, monkeypatch):
+    """Samples may be the rows of a file, and the query's file is as wide as its shorter side: here three brands, not 600 suppliers."""
+    rows = [(f"f{i}", f"CASE_{j}", float(i * 10 + j), 0) for i in range(3) for j in range(40) if (i + j) % 7]
+    cells = spark.createDataFrame(rows, "feature_id string, sample_id string, value double, flag int")
+    matrix.write_matrix(cells, str(tmp_path / "m"), ["f0", "f1", "f2"], samples_in_rows=True)
+    assert len(spark.read.csv(str(tmp_path / "m.data"), header=True).columns) == 4
+    got, samples = matrix.load_matrix(spark, str(tmp_path / "m.data"), formats.Format("plain", delimiter=","), samples_in_rows=True)
+    assert sorted((r["feature_id"], r["sample_id"], r["value"], 0) for r in got.filter("value is not null").collect()) == sorted(rows)
+    assert sorted(r["sample_id"] for r in samples.collect()) == sorted(f"CASE_{j}" for j in range(40))
+    widths, write = [], matrix.write_matrix
+    monkeypatch.setattr(matrix, "write_matrix", lambda c, path, names, **how: widths.append(len(names)) or write(c, path, names, **how))
+    n = spark.range(3000)
+    same_as_sql(
+        spark, "csv_round_trip", tmp_path, part=spark.range(30).select(F.col("id").alias("p_partkey"), F.concat(F.lit("B"), F.col("id") % 3).alias("p_brand")), nation=spark.range(2).select(F.col("id").alias("n_nationkey"), F.col("id").alias("n_regionkey")),
+        supplier=spark.range(600).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).alias("s_nationkey")), lineitem=n.select((F.col("id") % 30).alias("l_partkey"), (F.col("id") * 7 % 600).alias("l_suppkey"), (F.col("id") * 1.5).alias("l_extendedprice")),
+    )
+    assert widths == [3]
+
+
+def test_rotation_of_two_groups_without_a_basis(spark, monkeypatch):
+    """Observed statistics are those of the basis, p values agree but for the draws, and nothing is samples x samples."""
+    rng = np.random.default_rng(4)
+    rows = [(f"f{i:02d}", f"s{j:03d}", float(rng.normal() + (0.8 if i < 4 and j % 3 == 0 else 0) + 5 * i), ("x", "y", "z")[j % 3]) for i in range(12) for j in range(60)]
+    cells = spark.createDataFrame(rows, "feature_id string, sample_id string, value double, grp string")
+    sets = spark.createDataFrame([(f"g{i // 4}", f"f{i:02d}", 1.0 + i % 2) for i in range(12)] + [("one", "f01", 1.0), ("gone", "f99", 1.0), ("gone", "f00", 1.0)], "set_id string, feature_id string, weight double")
+    samples = cells.select("sample_id", "grp").distinct().orderBy("sample_id").toPandas()
+    key = ["set_id", "statistic", "alternative"]
+    old = rotation.test_sets(rotation.feature_effects(cells, rotation.two_group_basis(samples, "grp", ("x", "y"))), sets, 3999).toPandas().set_index(key).sort_index()
+    monkeypatch.setattr(rotation, "contrast_basis", None)
+    new = rotation.test_two_groups(cells, sets, "grp", ("x", "y"), 3999, block=16).toPandas().set_index(key).sort_index()
+    assert list(new.index) == list(old.index) and len(new) == 36
+    assert np.allclose(new["observed"], old["observed"]) and np.allclose(new["active_up"], old["active_up"])
+    assert np.abs(new["p"] - old["p"]).max() < 0.04 and new["p"].min() < 0.01
+    few = rotation.rotated(np.diag([1.0, 2.0, 3.0]), 2, 50, 0)  # more members than dimensions
+    assert few.shape == (50, 3) and np.allclose((few[:, 1:] ** 2 / [2, 3]).sum(1), 1)
+
+
+def test_rotation_query_needs_no_basis(spark, monkeypatch):
+    monkeypatch.setattr(rotation, "contrast_basis", None)
+    assert catalog.QUERIES["rotation_test"](spark, "/root/testdata/sf0.001").count() == 96
