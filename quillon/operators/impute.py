@@ -181,55 +181,62 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(special.norm_cdf(z))
 
 
-def nearest_samples(cells: DataFrame, block: int = 256, features: int = 4096) -> DataFrame:
-    """s, o, d: root mean square distance, over the features that both have, of each sample with a gap (s) to each other one (o).
-
-    Samples are packed by blocks of features, one row a sample and feature block; a task multiplies a block of samples
-    with gaps by a block of all samples (three products of values, squares and masks), and what the feature blocks add is summed up."""
-    n = cells.select("sample_id").distinct().count()
-    blocks = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64("feature_id"), F.lit(max(1, -(-cells.select("feature_id").distinct().count() // features)))).cast("int")
-    gaps = cells.filter("value is null").select("sample_id").distinct().withColumn("gap", F.lit(True))
-    centre = cells.groupBy("feature_id").agg(F.avg("value").alias("_c"))  # distances don't change, but the squares stay small
-    packed = back(cells.filter("value is not null"), centre, ["feature_id"]).groupBy("sample_id", part.alias("fb")).agg(F.collect_list("feature_id").alias("f"), F.collect_list(F.col("value") - F.col("_c")).alias("v"))
-    packed = stored(packed.join(gaps, "sample_id", "left").withColumn("sb", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int")), "knn-packed")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = packed.filter("gap").withColumn("ob", other).withColumn("gb", F.col("sb"))
-    right = packed.withColumn("gb", other).withColumn("ob", F.col("sb"))
-    left, right = (side.select(*(F.col(c).alias(c) for c in ("fb", "gb", "ob", "sample_id", "f", "v"))) for side in (left, right))
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at = {f: i for i, f in enumerate(sorted({f for side in (left, right) for fs in side["f"] for f in fs}))}
+def nearest_samples(cells: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+    """s, feature_id, o, d, y: for each missing value the k nearest samples that have the feature, with its value there.
 
-        def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    d: root mean square distance over the features that both have, to 12 digits; equal ones go by the name of the sample.
+    A task has a block of samples with gaps and one of eight times as many of all samples, multiplies them piece by piece
+    (three products of values, squares and masks) and keeps k samples a missing value; no list of all pairs is written."""
+    block = max(16, min(block, 2**20 // max(1, cells.select("feature_id").distinct().count())))
+    centre = cells.groupBy("feature_id").agg(F.avg("value").alias("_c"))  # distances don't change, but the squares stay small
+    have = F.col("value").isNotNull()
+    packed = back(cells, centre, ["feature_id"]).groupBy("sample_id").agg(*(F.collect_list(F.when(have, x)).alias(n) for n, x in (("f", F.col("feature_id")), ("v", F.col("value") - F.col("_c")), ("y", F.col("value")))), F.collect_list(F.when(~have, F.col("feature_id"))).alias("w"))
+    packed = stored(packed.filter(F.size("f") > 0), "knn-packed")
+    with_gap = packed.filter(F.size("w") > 0)
+    gaps, others = max(1, -(-with_gap.count() // block)), max(1, -(-packed.count() // (8 * block)))
+    deal = lambda n: F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = with_gap.select("sample_id", "f", "v", "w", deal(gaps).alias("gb"), every(others).alias("ob"))
+    right = packed.select("sample_id", "f", "v", "y", deal(others).alias("ob"), every(gaps).alias("gb"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at = {f: i for i, f in enumerate(sorted({f for side in (left["f"], right["f"], left["w"]) for fs in side for f in fs}))}
+
+        def dense(rows: pd.DataFrame, value: str = "v") -> tuple[np.ndarray, np.ndarray]:
             x, m = np.zeros((len(rows), len(at))), np.zeros((len(rows), len(at)))
-            for i, (f, v) in enumerate(zip(rows["f"], rows["v"])):
-                j = [at[k] for k in f]
+            for i, (f, v) in enumerate(zip(rows["f"], rows[value])):
+                j = [at[n] for n in f]
                 x[i, j], m[i, j] = v, 1
             return x, m
 
-        (x, mx), (y, my) = dense(left), dense(right)
-        shared = mx @ my.T
-        gap = np.maximum((x * x) @ my.T + mx @ (y * y).T - 2 * x @ y.T, 0)
-        i, j = np.nonzero(shared)
-        return pd.DataFrame({"s": left["sample_id"].to_numpy()[i], "o": right["sample_id"].to_numpy()[j], "gap": gap[i, j], "n": shared[i, j].astype(np.int64)})
-
-    key = ["fb", "gb", "ob"]
-    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(product, "s string, o string, gap double, n bigint")
-    return sums.filter("s <> o").groupBy("s", "o").agg(F.sqrt(F.sum("gap") / F.sum("n")).alias("d"))
+        (x, mx), out = dense(left), [pd.DataFrame({"s": [], "feature_id": [], "o": [], "d": [], "y": []})]
+        names = left["sample_id"].to_numpy()
+        wanted = {f: np.array([i for i, w in enumerate(left["w"]) if f in w]) for f in sorted({f for w in left["w"] for f in w})}
+        for start in range(0, len(right), block):
+            part = right.iloc[start : start + block]
+            (z, mz), raw, o = dense(part), dense(part, "y")[0], part["sample_id"].to_numpy()
+            shared = mx @ mz.T
+            gap = np.maximum((x * x) @ mz.T + mx @ (z * z).T - 2 * x @ z.T, 0)
+            d = np.round(np.sqrt(np.divide(gap, shared, out=np.full_like(gap, np.inf), where=shared > 0)), 12)
+            d[names[:, None] == o[None, :]] = np.inf
+            for f, rows in wanted.items():
+                has = np.flatnonzero(mz[:, at[f]])
+                if not len(has):
+                    continue
+                near = d[np.ix_(rows, has)]
+                limit = np.partition(near, min(k, len(has)) - 1, axis=1)[:, min(k, len(has)) - 1]
+                i, j = np.nonzero((near <= limit[:, None]) & (near < np.inf))
+                out.append(pd.DataFrame({"s": names[rows[i]], "feature_id": f, "o": o[has[j]], "d": near[i, j], "y": raw[has[j], at[f]]}))
+        found = pd.concat(out).sort_values(["s", "feature_id", "d", "o"])
+        return found.groupby(["s", "feature_id"], sort=False).head(k)
+
+    found = left.groupBy("gb", "ob").cogroup(right.groupBy("gb", "ob")).applyInPandas(nearest, "s string, feature_id string, o string, d double, y double")
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id").orderBy("d", "o"))).filter(F.col("rk") <= k).drop("rk")
 
 
 def impute_knn(cells: DataFrame, k: int = 10) -> DataFrame:
-    """Missing values by the distance-weighted mean of the k nearest samples that have the feature.
-
-    Distances (`nearest_samples`) are root mean squares over features that both samples have; equal ones go by the name
-    of the sample. The k best of a missing value are merged from lists of at most k per range of samples."""
-    d = stored(nearest_samples(cells).withColumn("d", F.round("d", 12)), "knn-distances")
-    want = cells.filter("value is null").select(F.col("sample_id").alias("s"), "feature_id")
-    b = cells.filter("value is not null").select("feature_id", F.col("sample_id").alias("o"), F.col("value").alias("y"))
-    c = want.join(b, "feature_id").join(d, ["s", "o"]).withColumn("_part", F.pmod(F.xxhash64("o"), F.lit(32)))
-    first = c.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id", "_part").orderBy("d", "o"))).filter(F.col("rk") <= k)
-    near = first.withColumn("rk", F.row_number().over(Window.partitionBy("s", "feature_id").orderBy("d", "o"))).filter(F.col("rk") <= k)
+    """Missing values by the distance-weighted mean of the k nearest samples that have the feature (`nearest_samples`)."""
+    near = nearest_samples(cells, k)
     zero = F.max(F.when(F.col("d") == 0, F.col("y")))
     w = 1 / F.nullif(F.col("d"), F.lit(0.0))
     fill = near.groupBy("s", "feature_id").agg(F.coalesce(zero, F.try_divide(F.sum(w * F.col("y")), F.sum(w))).alias("_k")).withColumnRenamed("s", "sample_id")

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.operators import adaptive, multiple, rotation
+from quillon.operators import adaptive, impute, kg, multiple, normalize, rotation
 from quillon.plans import catalog
 from quillon.sources import formats, matrix
 from tests.test_queries import canonical
@@ -106,3 +106,42 @@ def test_rotation_of_two_groups_without_a_basis(spark, monkeypatch):
 def test_rotation_query_needs_no_basis(spark, monkeypatch):
     monkeypatch.setattr(rotation, "contrast_basis", None)
     assert catalog.QUERIES["rotation_test"](spark, "/root/testdata/sf0.001").count() == 96
+
+
+def test_nearest_samples_keep_k_a_missing_value(spark):
+    """k samples a missing value come out, whatever the number of samples; they are the nearest of all, over blocks of samples."""
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(3, 90)), 3)
+    gone = {(f, s) for f in range(3) for s in range(90) if (s + f) % 9 == 0}
+    rows = [(f"f{f}", f"s{s:02d}", None if (f, s) in gone else float(v[f, s]), 0) for f in range(3) for s in range(90)]
+    cells = spark.createDataFrame(rows, "feature_id string, sample_id string, value double, flag int")
+    near, want = impute.nearest_samples(cells, 4, block=16).collect(), {}
+    for f, s in gone:
+        every = []
+        for o in range(90):
+            both = [g for g in range(3) if (g, s) not in gone and (g, o) not in gone]
+            if o != s and (f, o) not in gone and both:
+                every.append((round(float(np.sqrt(np.mean([(v[g, s] - v[g, o]) ** 2 for g in both]))), 9), f"s{o:02d}"))
+        want[f"f{f}", f"s{s:02d}"] = {o for _, o in sorted(every)[:4]}
+    got = {}
+    for r in near:
+        got.setdefault((r["feature_id"], r["s"]), set()).add(r["o"])
+        assert r["y"] == v[int(r["feature_id"][1:]), int(r["o"][1:])]
+    assert got == want and len(near) == 4 * len(gone)
+
+
+def test_stabilising_brings_no_samples_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    cells = spark.createDataFrame([(f"f{f}", f"s{s}", float(np.sinh(f / 4) * (1 + s / 9) + s + rng.normal() / 9), 0) for f in range(12) for s in range(15)], "feature_id string, sample_id string, value double, flag int")
+    seen, frame = [], type(cells)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: [seen.append(1), rows := collect(self), seen.append(len(rows))][1])
+    out = normalize.variance_stabilise(cells, 4)
+    assert max(seen) == 1 and out.count() == 180
+
+
+def test_modules_repeat_no_edge(spark):
+    e = spark.createDataFrame([("a", "x", "activation", 3), ("a", "x", "repression", 3), ("a", "y", "other", 3), ("a", None, "activation", 3), ("b", "x", "repression", 3), ("b", "y", None, 3)], "source string, target string, relationship string, evidence_count long")
+    m = kg.modules(e, min_targets=2)
+    assert sorted(map(tuple, m.collect())) == [("a", 2, 1, 1, "mixed"), ("b", 2, 0, 1, "repressing")]
+    assert "Expand" not in m._jdf.queryExecution().optimizedPlan().toString()
