@@ -106,8 +106,10 @@ def modules(edges: DataFrame, universe: DataFrame | None = None, min_targets: in
     e = edges.filter(F.col("evidence_count") >= min_evidence)
     if universe is not None:
         e = e.join(universe.select(F.col("feature_id").alias("target")).distinct(), "target", "left_semi")
-    kind = lambda k: F.count_distinct(F.when(F.col("relationship") == k, F.col("target")))
-    m = e.groupBy("source").agg(F.count_distinct("target").alias("n_targets"), kind("activation").alias("n_activated"), kind("repression").alias("n_repressed")).filter(F.col("n_targets") >= min_targets)
+    # a row a pair first: distinct counts side by side would repeat every edge for each of them
+    pairs = e.filter("target is not null").groupBy("source", "target").agg(*(F.max((F.col("relationship") == k).cast("int")).alias(k) for k in ("activation", "repression")))
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0)).cast("long")
+    m = pairs.groupBy("source").agg(F.count("*").alias("n_targets"), total("activation").alias("n_activated"), total("repression").alias("n_repressed")).filter(F.col("n_targets") >= min_targets)
     m = m if max_targets is None else m.filter(F.col("n_targets") <= max_targets)
     direction = F.when(F.col("n_activated") > F.col("n_repressed"), "activating").when(F.col("n_repressed") > F.col("n_activated"), "repressing").otherwise("mixed")
     m = m.withColumn("direction", direction)
