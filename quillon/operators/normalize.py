@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import clip
 from quillon.operators.robust import back
+from quillon.operators.store import forget, stored
 
 
 def median_normalize(cells: DataFrame, reference: str = "global") -> DataFrame:
@@ -63,23 +64,26 @@ def asinh_scale(cells: DataFrame) -> DataFrame:
 def variance_stabilise(cells: DataFrame, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
     """asinh((value - a) / b) with per-sample offset and scale from alternating medians against the feature means.
 
-    The parameters (two numbers a sample) are the only thing the driver keeps between rounds, as a small table.
+    The parameters (two numbers a sample) are a stored table between rounds; the driver gets the largest step of a round alone.
     """
-    spark = cells.sparkSession
-    p = [(r["sample_id"], 0.0, r["b"]) for r in cells.groupBy("sample_id").agg(F.coalesce(F.median(F.when(F.col("value") > 0, F.col("value"))), F.lit(1.0)).alias("b")).collect()]
+    cells = stored(cells, "vsn-cells")
+    p = cells.groupBy("sample_id").agg(F.lit(0.0).alias("a"), F.coalesce(F.median(F.when(F.col("value") > 0, F.col("value"))), F.lit(1.0)).alias("b"))
+    p = stored(p, "vsn-parameters")
     y = F.asinh(clip(F.col("value") - F.col("a"), -1e10, 1e10) / F.greatest(F.col("b"), F.lit(1e-10)))
     for _ in range(max_iter):
-        now = back(cells, spark.createDataFrame(p, "sample_id string, a double, b double"), ["sample_id"])
+        now = back(cells, p, ["sample_id"])
         ref = now.groupBy("feature_id").agg(F.avg(y).alias("ref"))
         j = back(now, ref, ["feature_id"]).filter("value is not null").withColumn("sh", F.sinh(clip(F.col("ref"), -10.0, 10.0)))
         a = j.groupBy("sample_id").agg(F.median(F.col("value") - F.col("b") * F.col("sh")).alias("a2"), F.first("a").alias("a"), F.first("b").alias("b"))
         k = back(j.drop("a", "b"), a, ["sample_id"])
         ratio = F.abs(F.col("value") - F.col("a2")) / F.abs(F.col("sh"))
-        b = k.groupBy("sample_id").agg(F.first("a").alias("a"), F.first("a2").alias("a2"), F.first("b").alias("b"), F.greatest(F.coalesce(F.median(F.when(F.abs("sh") > 1e-10, ratio)), F.first("b")), F.lit(1e-10)).alias("b2")).collect()
-        p = [(r["sample_id"], r["a2"], r["b2"]) for r in b]
-        if max((max(abs(r["a2"] - r["a"]), abs(r["b2"] - r["b"]) / max(r["b"], 1e-10)) for r in b), default=0) < tol:
+        b = stored(k.groupBy("sample_id").agg(F.first("a").alias("a"), F.first("a2").alias("a2"), F.first("b").alias("b"), F.greatest(F.coalesce(F.median(F.when(F.abs("sh") > 1e-10, ratio)), F.first("b")), F.lit(1e-10)).alias("b2")), "vsn-parameters")
+        step = F.greatest(F.abs(F.col("a2") - F.col("a")), F.abs(F.col("b2") - F.col("b")) / F.greatest("b", F.lit(1e-10)))
+        forget(p)
+        p, largest = b.select("sample_id", F.col("a2").alias("a"), F.col("b2").alias("b")), b.agg(F.max(step)).first()[0]
+        if largest is None or largest < tol:
             break
-    return back(cells, spark.createDataFrame(p, "sample_id string, a double, b double"), ["sample_id"]).withColumn("value", y).select(*cells.columns)
+    return back(cells, p, ["sample_id"]).withColumn("value", y).select(*cells.columns)
 
 
 def normalization_quality(before: DataFrame, after: DataFrame) -> DataFrame:
