@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import hypergeometric_p
 from quillon.operators.robust import back
+from quillon.operators.store import stored
 
 
 def aggregate_edges(edges: DataFrame) -> DataFrame:
@@ -136,12 +137,49 @@ def enrichment(study: DataFrame, annotations: DataFrame, background: DataFrame |
     return g.withColumn("p", F.when((n == 0) | (m == 0), 1.0).otherwise(hypergeometric_p(k, total, m, n)))
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """id, code (int): distinct ids numbered within parts of some thousands, so that no window spans them all."""
+    ids = stored(ids.distinct(), "ids")
+    parts = max(1, -(-ids.count() // 4096))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy("id")) - 1
+    return stored(ids.withColumn("_part", part).select("id", (at * parts + F.col("_part")).cast("int").alias("code")), "codes")
+
+
+def _holders(sets: DataFrame, codes: DataFrame) -> DataFrame:
+    """member, codes: the sorted codes of the sets that hold it."""
+    return stored(sets.join(codes, "id").groupBy("member").agg(F.array_sort(F.collect_set("code")).alias("codes")), "holders")
+
+
+def _set_sizes(holders: DataFrame, name: str) -> DataFrame:
+    return holders.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias(name))
+
+
 def jaccard_matches(a: DataFrame, b: DataFrame, least: float = 0.3) -> DataFrame:
-    """id_a, id_b, jaccard of sets (id, member) that share members, by an equi-join on the member."""
-    na, nb = a.groupBy(F.col("id").alias("id_a")).agg(F.count_distinct("member").alias("na")), b.groupBy(F.col("id").alias("id_b")).agg(F.count_distinct("member").alias("nb"))
-    both = a.select(F.col("id").alias("id_a"), "member").distinct().join(b.select(F.col("id").alias("id_b"), "member").distinct(), "member").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
-    j = both.join(na, "id_a").join(nb, "id_b")
-    return j.select("id_a", "id_b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") >= least)
+    """id_a, id_b, jaccard of sets (id, member) that share members.
+
+    A set goes, once a member, with the list of sets that hold this member too; pairs are made and counted where all rows
+    of their first set are, so that lists of numbers are shuffled and no pairs. If both sides are the same
+    DataFrame, a pair is counted once and given in both orders."""
+    same = a is b
+    sides = [x.select("id", "member").filter("id is not null and member is not null") for x in ((a,) if same else (a, b))]
+    codes = [_numbered(x.select("id")) for x in sides]
+    held = [_holders(x, c) for x, c in zip(sides, codes)]
+    if same:
+        later = held[0].select("codes", F.posexplode("codes").alias("at", "x")).filter(F.col("at") + 1 < F.size("codes"))
+        lists = later.select("x", F.slice("codes", F.col("at") + 2, F.size("codes")).alias("ys"))
+    else:
+        lists = held[0].select("member", F.explode("codes").alias("x")).join(held[1].withColumnRenamed("codes", "ys"), "member").select("x", "ys")
+    na, nb = (stored(_set_sizes(h, n), "sizes").withColumnRenamed("code", c) for h, n, c in ((held[0], "na", "x"), (held[-1], "nb", "y")))
+    both = lists.repartition("x").select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count("*").alias("shared"))
+    # the first size alone drops most pairs before they are moved for the second
+    j = both.join(na, "x").filter(F.col("shared") / F.col("na") >= least).join(nb, "y")
+    j = j.select("x", "y", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") >= least)
+    if same:
+        j = j.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"), "jaccard").select("p.*", "jaccard")
+        j = j.unionByName(na.select("x", F.col("x").alias("y"), F.lit(1.0).alias("jaccard")).filter(F.lit(1.0) >= least))
+    name = lambda c, x: c.select(F.col("id").alias(f"id_{x}"), F.col("code").alias("x" if x == "a" else "y"))
+    return j.join(name(codes[0], "a"), "x").join(name(codes[-1], "b"), "y").select("id_a", "id_b", "jaccard")
 
 
 def features_of_classes(members: DataFrame, classes: list[str]) -> DataFrame:

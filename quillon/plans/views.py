@@ -62,6 +62,11 @@ def edge_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey")).alias("target"), rel.alias("relationship")).agg(F.count("*").alias("evidence_count"))
 
 
+def edge_ends(spark: SparkSession, d: str) -> DataFrame:
+    """source and target of the edges, for what needs neither evidence nor relationship; a pair may come more than once."""
+    return table(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("P"), F.col("l_partkey")).alias("target"))
+
+
 EDGE_SQL = """ed AS (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target,
   CASE l_returnflag WHEN 'A' THEN 'activation' WHEN 'R' THEN 'repression' ELSE 'other' END AS relationship,
   count(*) AS evidence_count FROM lineitem GROUP BY ALL)"""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import duckdb
@@ -145,3 +146,27 @@ def test_modules_repeat_no_edge(spark):
     m = kg.modules(e, min_targets=2)
     assert sorted(map(tuple, m.collect())) == [("a", 2, 1, 1, "mixed"), ("b", 2, 0, 1, "repressing")]
     assert "Expand" not in m._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_set_matches_shuffle_lists_and_no_pairs(spark):
+    """All pairs of sets that share enough, by brute force; what is shuffled before the count goes by one set, not by pairs."""
+    rng = random.Random(3)
+    rows = [(f"s{i}", m) for i in range(40) for m in rng.choices(range(60), k=25)] + [("lone", None), (None, 1), ("one", 5), ("one", 5)]
+    a = spark.createDataFrame(rows, "id string, member int")
+    b = a.filter("id > 's2'").withColumn("member", F.when(F.col("member") < 50, F.col("member")))
+
+    def sets(df):
+        out = {}
+        for r in df.filter("id is not null and member is not null").collect():
+            out.setdefault(r["id"], set()).add(r["member"])
+        return out
+
+    for other in (a, b):
+        got = kg.jaccard_matches(a, other, 0.3)
+        x, y = sets(a), sets(other)
+        want = {(i, j, len(p & q) / len(p | q)) for i, p in x.items() for j, q in y.items() if p & q and len(p & q) / len(p | q) >= 0.3}
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\((.*)", plan)
+        assert dealt and not any(re.match(r"\w+#\d+, \w+#\d+", keys) for keys in dealt)
