@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import coherence_z, fisher_z_difference, normal_p_value
 from quillon.operators.multiple import bh
+from quillon.operators.store import stored
 
 
 def _moments(x: Column, y: Column, w: Column | None = None) -> Column:
@@ -28,6 +29,12 @@ def _moments(x: Column, y: Column, w: Column | None = None) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))  # least and greatest skip nulls
 
 
+def correlation(w: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
+    """Correlation from weighted sums of centred values; NaN where a side has no spread."""
+    spread = F.sqrt(F.greatest(sxx * w - sx * sx, F.lit(0.0)) * F.greatest(syy * w - sy * sy, F.lit(0.0)))
+    return F.when(spread > 1e-12, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (sxy * w - sx * sy) / spread))).otherwise(F.lit(float("nan")))
+
+
 def average_ranks(cells: DataFrame, keys: list[str]) -> DataFrame:
     """``rk``: average rank of the value within ``keys``."""
     w = Window.partitionBy(*keys)
@@ -91,23 +98,29 @@ def blocked_correlations(rows: DataFrame, block: int = 512) -> DataFrame:
     return spread.groupBy("_lo", "_hi").applyInPandas(lambda rows: product(rows), "a string, b string, r double")
 
 
-def resampled_correlations(cells: DataFrame, weights: DataFrame, condition: str, least: float = 0.0, block: int = 256) -> DataFrame:
+def resampled_correlations(cells: DataFrame, weights: DataFrame, condition: str, least: float = 0.0, block: int = 256, most: int = 1 << 20) -> DataFrame:
     """condition, iteration, a, b, r with |r| >= ``least``: weighted pair correlations for every set of sample weights (iteration, sample_id, times).
 
-    A task holds two blocks of features and all weights of its condition's samples; each iteration is six matrix
-    products over the values that both features have. Neither cells nor pairs are repeated per iteration in a shuffle."""
-    n = cells.select("feature_id").distinct().count()
-    blocks = max(1, -(-n // block))
-    have = cells.filter("value is not null")
-    packed = have.groupBy(F.col(condition).alias("_k"), "feature_id").agg(F.collect_list("sample_id").alias("samples"), F.collect_list("value").alias("values"))
-    packed = packed.withColumn("_own", F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int"))
+    A task holds two blocks of features and all weights of a part of its condition's samples (about ``most`` cells a
+    block); each iteration is six matrix products over the values that both features have, and the parts' sums are added
+    by pair. Neither cells nor pairs are repeated per iteration before that."""
+    have = cells.filter("value is not null").withColumnRenamed(condition, "_k")
+    centre = stored(have.groupBy("_k", "feature_id").agg(F.avg("value").alias("_m"), F.count("*").alias("_n")), "centres")
+    blocks = max(1, -(-centre.select("feature_id").distinct().count() // block))
+    own = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int").alias("_own")
+    cells_of_block = centre.groupBy("_k", own).agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = -(-cells_of_block // most)
+    part = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
+    near = have.join(centre, ["_k", "feature_id"]).withColumn("value", F.col("value") - F.col("_m"))  # near 0, for the sums of squares
+    packed = near.groupBy("_k", "feature_id", part.alias("_part")).agg(F.collect_list("sample_id").alias("samples"), F.collect_list("value").alias("values")).select("*", own)
     spread = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
     times = weights.groupBy("sample_id").agg(F.collect_list("iteration").alias("its"), F.collect_list("times").alias("times"))
     grid = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.transform(F.sequence(i, F.lit(blocks - 1)), lambda j: F.struct(i.alias("_lo"), j.alias("_hi"))))))
-    times = have.select(F.col(condition).alias("_k"), "sample_id").distinct().join(times, "sample_id").withColumn("_b", grid).select("_k", "_b._lo", "_b._hi", "sample_id", "its", "times")
+    times = have.select("_k", "sample_id").distinct().join(times, "sample_id").withColumn("_b", grid).select(F.col("_k").alias("_k"), "_b._lo", "_b._hi", part.alias("_part"), "sample_id", "its", "times")
+    sums = ("w", "sx", "sy", "sxy", "sxx", "syy")
 
     def product(key: tuple, rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"_k": [], "iteration": [], "a": [], "b": [], "r": []})
+        none = pd.DataFrame({k: [] for k in ("_k", "iteration", "a", "b", *sums)})
         if not len(rows) or not len(draws):
             return none
         rows = rows.sort_values("feature_id")
@@ -119,26 +132,31 @@ def resampled_correlations(cells: DataFrame, weights: DataFrame, condition: str,
             w[[number[i] for i in which], at[s]] = k
         x, m = np.zeros((len(rows), len(at))), np.zeros((len(rows), len(at)))
         for i, (ss, vs) in enumerate(zip(rows["samples"], rows["values"])):
-            j = [at[s] for s in ss]
-            x[i, j], m[i, j] = vs, 1
-        x -= np.divide(x.sum(1), m.sum(1), out=np.zeros(len(x)), where=m.sum(1) > 0)[:, None] * m  # near 0, for the sums of squares
+            drawn = [(at[s], v) for s, v in zip(ss, vs) if s in at]
+            if drawn:
+                j, v = zip(*drawn)
+                x[i, list(j)], m[i, list(j)] = v, 1
         ids, lo = rows["feature_id"].to_numpy(), rows["_own"].to_numpy() == key[1]
         left, right = (np.flatnonzero(lo), np.flatnonzero(~lo)) if key[1] != key[2] else (np.arange(len(x)),) * 2
         out = []
         for it, u in zip(its, w):
             xa, ma, xb, mb = x[left] * u, m[left] * u, x[right], m[right]
-            size, sx, sy = ma @ mb.T, xa @ mb.T, ma @ xb.T
-            sxy, sxx, syy = xa @ xb.T, (xa * x[left]) @ mb.T, ma @ (xb * xb).T
-            spread = np.sqrt(np.maximum(sxx * size - sx * sx, 0) * np.maximum(syy * size - sy * sy, 0))
-            r = np.clip(np.divide(sxy * size - sx * sy, spread, out=np.full_like(size, np.nan), where=spread > 1e-12), -1, 1)
-            i, j = np.nonzero(np.nan_to_num(np.abs(r), nan=-1.0) >= least if key[1] != key[2] else np.triu(np.nan_to_num(np.abs(r), nan=-1.0) >= least, 1))
+            size, sx, sy, sxy, sxx, syy = found = ma @ mb.T, xa @ mb.T, ma @ xb.T, xa @ xb.T, (xa * x[left]) @ mb.T, ma @ (xb * xb).T
+            keep = size > 0
+            if parts == 1:  # these are all samples: pairs that can't reach the limit end here
+                gap = np.sqrt(np.maximum(sxx * size - sx * sx, 0) * np.maximum(syy * size - sy * sy, 0))
+                keep &= np.abs(sxy * size - sx * sy) >= (least - 1e-9) * gap
+            i, j = np.nonzero(keep if key[1] != key[2] else np.triu(keep, 1))
             a, b = ids[left[i]], ids[right[j]]
-            out.append(pd.DataFrame({"_k": key[0], "iteration": it, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "r": r[i, j]}))
+            out.append(pd.DataFrame({"_k": key[0], "iteration": it, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), **{k: v[i, j] for k, v in zip(sums, found)}}))
         return pd.concat(out) if out else none
 
-    kind = cells.schema[condition].dataType.simpleString()
-    by = ["_k", "_lo", "_hi"]
-    return spread.groupBy(*by).cogroup(times.groupBy(*by)).applyInPandas(product, f"_k {kind}, iteration int, a string, b string, r double").withColumnRenamed("_k", condition)
+    kind = have.schema["_k"].dataType.simpleString()
+    by = ["_k", "_lo", "_hi", "_part"]
+    made = spread.groupBy(*by).cogroup(times.groupBy(*by)).applyInPandas(product, f"_k {kind}, iteration int, a string, b string, " + ", ".join(f"{k} double" for k in sums))
+    g = made.groupBy("_k", "iteration", "a", "b").agg(*(F.sum(k).alias(k) for k in sums))
+    r = g.select(F.col("_k").alias(condition), "iteration", "a", "b", correlation(*map(F.col, sums)).alias("r"))
+    return r.filter(~F.isnan("r") & (F.abs("r") >= least))
 
 
 def edges(pairs: DataFrame, min_correlation: float = 0.7) -> DataFrame:
