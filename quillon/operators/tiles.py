@@ -15,12 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.correlate import correlation
+from quillon.operators.store import stored
+
 TILE_SCHEMA = "i int, j int, key string, a string, b string, r double, n double"
 
 
+SUMS = ("w", "sx", "sy", "sxy", "sxx", "syy")
+
+
 def _product(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-    """a, b, r, n (summed pair weights) of two blocks of packed rows, over the samples that both features have."""
-    at = {s: k for k, s in enumerate(sorted({s for side in (left, right) for ss in side["samples"] for s in ss}))}
+    """a, b and their weighted sums, of two blocks of packed, centred rows over the samples of a part that both features have."""
+    at = {s: k for k, s in enumerate({s for side in (left, right) for ss in side["samples"] for s in ss})}
 
     def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
         rows = rows.sort_values("feature_id")
@@ -28,26 +34,22 @@ def _product(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFram
         for k, (ss, vs, us) in enumerate(zip(rows["samples"], rows["values"], rows["roots"])):
             where = [at[s] for s in ss]
             x[k, where], u[k, where] = vs, us
-        centre = np.divide((x * (u > 0)).sum(1), (u > 0).sum(1), out=np.zeros(len(x)), where=(u > 0).any(1))
-        return (x - centre[:, None]) * (u > 0), u, rows["feature_id"].tolist()
+        return x, u, rows["feature_id"].tolist()
 
     (x, u, ids), (y, v, others) = dense(left), dense(right)
-    w = u @ v.T
-    sx, sy, sxy = (u * x) @ v.T, u @ (v * y).T, (u * x) @ (v * y).T
-    sxx, syy = (u * x * x) @ v.T, u @ (v * y * y).T
-    spread = np.sqrt(np.maximum(sxx * w - sx * sx, 0) * np.maximum(syy * w - sy * sy, 0))
-    r = np.clip(np.divide(sxy * w - sx * sy, spread, out=np.full_like(w, np.nan), where=spread > 1e-12), -1, 1)
-    p, q = np.nonzero(np.triu(np.ones_like(w, bool), 1) if same else np.ones_like(w, bool))
+    sums = (u @ v.T, (u * x) @ v.T, u @ (v * y).T, (u * x) @ (v * y).T, (u * x * x) @ v.T, u @ (v * y * y).T)
+    p, q = np.nonzero(np.triu(np.ones_like(sums[0], bool), 1) if same else np.ones_like(sums[0], bool))
     a, b = np.array(ids, object)[p], np.array(others, object)[q]
-    found = pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "r": r[p, q], "n": w[p, q]})
-    return pd.concat([pd.DataFrame({"a": [None], "b": [None], "r": [np.nan], "n": [0.0]}), found])  # a tile without pairs is there, too
+    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), **{k: m[p, q] for k, m in zip(SUMS, sums)}})
 
 
 class CorrelationTiles:
-    """Tiles below ``root`` of cells (feature_id, sample_id, value and perhaps weight: then a pair's weight is the geometric mean of its two)."""
+    """Tiles below ``root`` of cells (feature_id, sample_id, value and perhaps weight: then a pair's weight is the geometric mean of its two).
+
+    The samples of a tile are dealt to parts of about ``most`` cells of a block; the parts' sums are added by pair."""
 
-    def __init__(self, spark: SparkSession, root: str, block: int = 512):
-        self.spark, self.root, self.block = spark, root.rstrip("/"), block
+    def __init__(self, spark: SparkSession, root: str, block: int = 512, most: int = 1 << 19):
+        self.spark, self.root, self.block, self.most = spark, root.rstrip("/"), block, max(most, 8 * block * block)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -94,16 +96,26 @@ class CorrelationTiles:
         count = missing.count()
         if not count:
             return 0
-        packed = rows.groupBy("block", "feature_id").agg(F.collect_list("sample_id").alias("samples"), F.collect_list("value").alias("values"), F.collect_list("root").alias("roots"))
-        sides = [packed.join(missing.withColumnRenamed(x, "block"), "block").withColumn(x, F.col("block")).select(*(F.col(c).alias(c) for c in ("i", "j", "key", "feature_id", "samples", "values", "roots"))) for x in "ij"]
+        features = stored(rows.groupBy("block", "feature_id").agg(F.avg("value").alias("_m"), F.count("*").alias("_n")), "tile-features")
+        parts = -(-features.groupBy("block").agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] // self.most)
+        part = F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int")
+        centred = rows.join(features.select("feature_id", "_m"), "feature_id").withColumn("value", F.col("value") - F.col("_m")).withColumn("part", part)
+        packed = centred.groupBy("block", "part", "feature_id").agg(*(F.collect_list(c).alias(f"{c.removesuffix('_id')}s") for c in ("sample_id", "value", "root")))
+        by = ["i", "j", "key"]
+        side = lambda df, x: df.join(missing.withColumnRenamed(x, "block"), "block").withColumn(x, F.col("block"))
+        sides = [side(packed, x).select(*(F.col(c).alias(c) for c in (*by, "part", "feature_id", "samples", "values", "roots"))) for x in "ij"]
 
         def tile(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            found = _product(left, right, key[0] == key[1])
-            return found.assign(i=key[0], j=key[1], key=key[2])[[c.split()[0] for c in TILE_SCHEMA.split(", ")]]
-
-        by = ["i", "j", "key"]
-        made = sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInPandas(tile, TILE_SCHEMA)
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.root}/tiles")
+            return _product(left, right, key[0] == key[1]).assign(i=key[0], j=key[1], key=key[2])[[*by, "a", "b", *SUMS]]
+
+        deal = [*by, "part"]
+        made = sides[0].groupBy(*deal).cogroup(sides[1].groupBy(*deal)).applyInPandas(tile, "i int, j int, key string, a string, b string, " + ", ".join(f"{k} double" for k in SUMS))
+        # pairs without a part in common, and a tile without pairs, are there, too
+        left, right = (side(features, x).select(*(F.col(c).alias(c) for c in by), F.col("feature_id").alias(f"_{x}")) for x in "ij")
+        every = left.join(right, by).filter("i < j or _i < _j").select(*by, F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"))
+        every = every.unionByName(missing.select(*by, *(F.lit(None).cast("string").alias(x) for x in "ab"))).select("*", *(F.lit(0.0).alias(k) for k in SUMS))
+        g = made.unionByName(every).groupBy(*by, "a", "b").agg(*(F.sum(k).alias(k) for k in SUMS))
+        g.select(*by, "a", "b", correlation(*map(F.col, SUMS)).alias("r"), F.col("w").alias("n")).repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.root}/tiles")
         return count
 
     def _tiles(self) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillon.operators import adaptive, impute, kg, linear, multiple, normalize, rotation
+from quillon.operators import adaptive, correlate, impute, kg, linear, multiple, normalize, rotation, tiles
+from quillon.operators.store import folder
 from quillon.plans import catalog
 from quillon.sources import formats, matrix
 from tests.test_queries import canonical
@@ -192,3 +193,42 @@ def test_contrasts_on_a_design_from_sums(spark):
     for f, (estimate, df, s2) in want.items():
         assert np.isclose(got[f]["estimate"], estimate) and got[f]["df"] == df and np.isclose(got[f]["s2"], s2) and np.isclose(got[f]["t"], estimate / got[f]["se"])
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def gappy(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"f{f}", f"s{i:02d}", float(rng.normal() + f * i % 5)) for f in range(7) for i in range(90) if (f * 5 + i) % 6 and not (f == 5 and i > 44) and not (f == 6 and i <= 44)]
+    return spark.createDataFrame(rows, "feature_id string, sample_id string, value double")
+
+
+def test_tiles_add_parts_of_the_samples(spark):
+    """Samples in several parts give the same pairs; those without a sample in common are there, without a correlation."""
+    cells, found = gappy(spark), []
+    for most in (1, 1 << 20):
+        store = tiles.CorrelationTiles(spark, folder(spark, "tiles"), block=2, most=most)
+        store.update(cells)
+        found.append({(r["a"], r["b"]): (r["r"], r["n"]) for r in store.read().collect()})
+    assert len(found[0]) == 21 and found[0].keys() == found[1].keys() and found[0]["f5", "f6"] == (None, 0.0)
+    assert all(n == found[1][k][1] and (r is None or np.isclose(r, found[1][k][0])) for k, (r, n) in found[0].items())
+
+
+def test_resampled_correlations_add_parts_of_the_samples(spark):
+    """As above for resamples; a sample that no resample draws is no error."""
+    cells = gappy(spark).withColumn("k", F.lit("x"))
+    w = spark.createDataFrame([(i, f"s{s:02d}", 1 + (s + i) % 2) for i in range(2) for s in range(3, 90)], "iteration int, sample_id string, times long")
+    one, many = ({(r["iteration"], r["a"], r["b"]): r["r"] for r in correlate.resampled_correlations(cells, w, "k", 0.05, block=4, most=m).collect()} for m in (1 << 20, 40))
+    assert one.keys() == many.keys() and len(one) > 5 and all(np.isclose(one[k], many[k]) for k in one)
+
+
+def test_polished_sets_hold_no_object_a_cell(spark):
+    """As the polish of the matrix; a member without values and a sample without any don't count, and nothing is pivoted."""
+    cells = gappy(spark).unionByName(spark.createDataFrame([("f7", "s01", None), ("f0", "none", None)], "feature_id string, sample_id string, value double"))
+    sets = spark.createDataFrame([(s, f"f{f}") for s, fs in (("a", (0, 1, 7)), ("b", (2, 3, 4))) for f in fs], "set_id string, feature_id string")
+    pdf = cells.toPandas().dropna()
+    for s, fs in (("a", ("f0", "f1")), ("b", ("f2", "f3", "f4"))):
+        wide = pdf[pdf["feature_id"].isin(fs)].pivot(index="feature_id", columns="sample_id", values="value")
+        for method, v in (("polish", normalize.median_polish(wide.to_numpy())[0]), ("pc1", normalize.first_component(wide.to_numpy()))):
+            out = normalize.summarize_sets(cells, sets, method)
+            got = {r["sample_id"]: r["value"] for r in out.filter(F.col("set_id") == s).collect()}
+            assert got.keys() == set(wide.columns) and np.allclose([got[c] for c in wide.columns], v)
+            assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
