@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +145,21 @@ def summarize_sets(cells: DataFrame, sets: DataFrame, method: str = "median") ->
         m = j.groupBy("set_id", "sample_id").agg(F.max("value").alias("_m"))
         return back(j, m, ["set_id", "sample_id"]).groupBy("set_id", "sample_id").agg((F.first("_m") + F.log(F.sum(F.exp(F.col("value") - F.col("_m"))))).alias("value"))
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index="feature_id", columns="sample_id", values="value", aggfunc="first").sort_index()
-        x = wide.to_numpy(float)
+    def block(rows: pa.Table) -> pa.Table:
+        """A row a sample, with the numbers of its members and their values: the matrix is filled without objects a cell."""
+        at, values = (rows[c].combine_chunks() for c in ("at", "values"))
+        member = at.flatten().to_numpy()
+        x = np.full((member.max() + 1, rows.num_rows), np.nan)
+        x[member, np.repeat(np.arange(rows.num_rows), at.value_lengths().to_numpy())] = values.flatten().to_numpy()
+        x = x[~np.isnan(x).all(axis=1)]
         v = median_polish(x)[0] if method == "polish" else first_component(x)
-        return pd.DataFrame({"set_id": rows["set_id"].iloc[0], "sample_id": wide.columns, "value": v})
+        return pa.table({"set_id": rows["set_id"].cast(pa.string()), "sample_id": rows["sample_id"], "value": pa.array(v, pa.float64(), from_pandas=True)})
 
-    return j.select("set_id", "feature_id", "sample_id", "value").groupBy("set_id").applyInPandas(block, "set_id string, sample_id string, value double")
+    number = (F.row_number().over(Window.partitionBy("set_id").orderBy("feature_id")) - 1).alias("_at")
+    members = sets.select("set_id", "feature_id").distinct().select("set_id", "feature_id", number)
+    have = cells.filter("value is not null and not isnan(value)").join(members, "feature_id")
+    packed = have.groupBy("set_id", "sample_id").agg(F.collect_list("_at").alias("at"), F.collect_list(F.col("value").cast("double")).alias("values"))
+    return packed.groupBy("set_id").applyInArrow(block, "set_id string, sample_id string, value double")
 
 
 def median_polish(x: np.ndarray, max_iter: int = 10, eps: float = 0.01):
