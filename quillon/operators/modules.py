@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import cliques, communities, correlate, graph, normalize
 from quillon.operators.resample import bootstrap_weights, iterations
 from quillon.operators.robust import back
+from quillon.operators.store import stored
+
+#: So many edges and features go to a task where regulators' targets are counted.
+TASK_ROWS = 250_000
 
 
 def discover(cells: DataFrame, condition: str, n_features: int = 5000, min_correlation: float = 0.7, min_size: int = 3, min_samples: int = 20, universe: DataFrame | None = None, greedy: bool = False) -> DataFrame:
@@ -67,18 +73,25 @@ def universe(cells: DataFrame, rule: str, n_features: int = 5000, edges: DataFra
     """feature_id: the features that a module search looks at.
 
     variance: the most variable; measured: those with any value above ``least``; targets: measured features that a
-    regulator of at least ``min_targets`` measured targets points to; components: measured ends of edges between measured features."""
+    regulator of at least ``min_targets`` measured targets points to (edges may repeat; they are counted before they are read);
+    components: measured ends of edges between measured features."""
     have = cells.filter(F.col("value") > least).select("feature_id").distinct() if rule == "measured" else cells.filter("value is not null").select("feature_id").distinct()
     if rule == "variance":
         return normalize.variance_top(cells, n_features).select("feature_id")
     if rule == "measured":
         return have
-    hit = edges.join(have.withColumnRenamed("feature_id", "target"), "target", "left_semi").select("source", "target").distinct()
+    have = have.withColumnRenamed("feature_id", "target")
+    ends = edges.select("source", "target")
     if rule == "targets":
-        strong = hit.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") >= min_targets)
-        return hit.join(strong, "source", "left_semi").select(F.col("target").alias("feature_id")).distinct()
+        # tasks by the number of rows, not the session's, and no broadcast: what one of them holds doesn't grow with the graph
+        have = stored(have, "features")
+        n = max(1, math.ceil((ends.count() + have.count()) / TASK_ROWS))
+        hit = ends.filter("source is not null").repartition(n, "target").join(have.repartition(n, "target").hint("merge"), "target")
+        pairs = hit.select("source", "target").repartition(n, "source").distinct()
+        strong = pairs.withColumn("n", F.count("*").over(Window.partitionBy("source"))).filter(F.col("n") >= min_targets)
+        return strong.select(F.col("target").alias("feature_id")).distinct()
     if rule == "components":
-        inner = hit.join(have.withColumnRenamed("feature_id", "source"), "source", "left_semi").filter("source <> target")
+        inner = ends.join(have, "target", "left_semi").join(have.withColumnRenamed("target", "source"), "source", "left_semi").filter("source <> target")
         return inner.select(F.explode(F.array("source", "target")).alias("feature_id")).distinct()
     raise ValueError(f"unknown universe {rule}")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillon.operators import adaptive, correlate, impute, kg, linear, multiple, normalize, rotation, tiles
+from quillon.operators import adaptive, correlate, impute, kg, linear, modules, multiple, normalize, rotation, tiles
 from quillon.operators.store import folder
 from quillon.plans import catalog
 from quillon.sources import formats, matrix
@@ -232,3 +232,31 @@ def test_polished_sets_hold_no_object_a_cell(spark):
             got = {r["sample_id"]: r["value"] for r in out.filter(F.col("set_id") == s).collect()}
             assert got.keys() == set(wide.columns) and np.allclose([got[c] for c in wide.columns], v)
             assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+
+
+def test_target_universe_in_tasks_of_bounded_size(spark, monkeypatch):
+    """What a task holds where targets are counted follows a number of rows, not the session's number of partitions; edges repeat and have nulls."""
+    monkeypatch.setattr(modules, "TASK_ROWS", 500, raising=False)
+    rng = random.Random(4)
+    rows = [(f"r{rng.randrange(150)}", f"f{rng.randrange(300)}") for _ in range(4000)] + [("few", "f1")] * 40 + [(None, f"f{i}") for i in range(60)] + [("r1", None)] * 30
+    edges = spark.createDataFrame(rows, "source string, target string")
+    cells = spark.range(300).select(F.concat(F.lit("f"), "id").alias("feature_id"), F.lit("s").alias("sample_id"), F.when(F.col("id") % 5 > 0, 1.0).alias("value"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        for least in (1, 20, 24, 1000):
+            found = modules.universe(cells, "targets", edges=edges, min_targets=least)
+            got = sorted(r["feature_id"] for r in found.collect())
+            hit = {(s, t) for s, t in rows if s and t and int(t[1:]) % 5}
+            want = {t for s, t in hit if sum(x == s for x, _ in hit) >= least}
+            assert got == sorted(want)
+            dealt = [int(n) for n in re.findall(r"hashpartitioning\((?:source|target)[^)]*?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+            assert dealt and min(dealt) * 500 >= len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_component_universe_of_repeated_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("c", "c"), ("d", "x"), ("x", "e"), ("e", "d")], "source string, target string")
+    cells = spark.createDataFrame([(f, "s", 1.0) for f in "abcde"] + [("x", "s", None)], "feature_id string, sample_id string, value double")
+    assert sorted(r["feature_id"] for r in modules.universe(cells, "components", edges=edges).collect()) == ["a", "b", "d", "e"]
