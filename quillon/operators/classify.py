@@ -137,9 +137,9 @@ def _log_density(x: str, share: Column, mean: Column, var: Column) -> Column:
 
 
 def _posterior(x: str = "x") -> Column:
-    """Probability of the upper component."""
+    """Probability of the upper component; null without a mixture or value."""
     gap = _log_density(x, F.lit(1.0) - F.col("share"), F.col("m0"), F.col("v0")) - _log_density(x, F.col("share"), F.col("m1"), F.col("v1"))
-    return 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), gap))))
+    return F.when(gap.isNotNull(), 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), gap)))))  # least and greatest pass over nulls
 
 
 def two_components(values: DataFrame, keys: list[str] | None = None, min_samples: int = 20, max_iter: int = 60, tol: float = 1e-7) -> DataFrame:
